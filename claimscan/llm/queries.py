@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import decontaminate, language_id, minhash_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op5_packing": packing.op5_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
+    "op10_language_id": language_id.op10_language_id,
 }
 
+#: The others use hashing, learned models, a tokenizer or crc32, which DuckDB's SQL lacks; tests/llm compares them with brute force.
 SQL = {
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
