@@ -7,12 +7,12 @@ permutations so give all coordinates, and those of one shingle are neighbours in
 Search: documents with equal shingle sets are one class. Class representatives that agree in a band
 meet in its bucket. No bucket is expanded into all its pairs:
 
-1. every member is paired with its bucket's smallest member only; the best such pair of each document
-   is verified on full sets, and what is linked forms components;
-2. pairs inside a component can no longer change the result. All other smallest-member pairs are
-   verified. A bucket that still joins several components is resolved exactly: a small one by the pairs
-   between its components, a large one by a prefix filter, in which two sets of the wanted similarity
-   must share one of their rarest shingles.
+1. every member is paired with its bucket's hub only, the member that meets the most documents in all its
+   buckets; these pairs are verified on full sets, and what is linked forms components;
+2. a pair inside a component can no longer change the result. A bucket that still joins several
+   components is resolved exactly: a small one by the pairs between its components, a large one by a
+   prefix filter with positions: sets of the wanted similarity share one of their rarest shingles, and
+   from the first shared one on enough shingles must be left in both.
 
 Then the links give the final components. A pair of Jaccard 0.75 shares none of the 32 bands of 4
 coordinates with a probability of 5e-6; nothing else can lose a link.
@@ -169,19 +169,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Candidate pairs between components among ``sets``: an exact prefix filter.
+    """Candidate pairs between components among ``sets``: an exact prefix filter with positions.
 
-    Sets of n shingles at least ``percent`` similar to another share one of their n - ceil(percent*n/100) + 1
-    rarest shingles, in one order for all: by frequency, then by hash.
+    All sets are ordered alike, by frequency and then by hash. Sets of n shingles that are ``percent`` similar
+    to another share one of their n - ceil(percent*n/100) + 1 rarest. Where two sets first meet, at their
+    places r, they have at most 1 + min(n - r) shingles in common.
     """
     each = sets.join(labels, "doc_id").select("doc_id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "s")
     w = W.partitionBy("doc_id").orderBy("df", "s")
-    prefix = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
-    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), "s"), prefix.select(F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "s")
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-    return a.join(b, "s").filter(near).select("a", "b").distinct()
+    ranked = each.join(often, "s").withColumn("r", F.row_number().over(w))
+    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    side = lambda k: prefix.select(F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("r") + 1).alias(f"left{k}"), "s")
+    common = F.least("lefta", "leftb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return side("a").join(side("b"), "s").filter(common & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -193,34 +194,34 @@ def group(docs: DataFrame) -> DataFrame:
     member = stash(linked.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     entries = linked.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    hubs = entries.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = stash(entries.join(hubs, "band"), "buckets")
-    stars = stash(buckets.filter("doc_id != hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n")), "stars")
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stash(entries.join(shared, "band"), "buckets")
+    meets = buckets.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    hubs = buckets.join(meets, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("meets", -F.col("doc_id"))).alias("hub"))
+    stars = stash(buckets.join(hubs, "band").filter("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
-    ids = stash(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ids")
+    ids = stash(buckets.select(F.col("doc_id").alias("id")).distinct(), "ids")
     wanted = small_side(ids, BROADCAST_IDS)
     sets = stash(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, SETS), "sets")
 
-    best = stash(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "best")
     copies = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stash(verify(best, sets), "links")
+    links = stash(verify(stars, sets), "links")
     found = stash(components(links), "labels")
 
     labels = ids.join(found, ids["id"] == found["doc_id"], "left").select("id", F.coalesce("component_id", "id").alias("c"))
     labels = stash(labels, "labels")
-    la = lambda name: labels.select(F.col("id").alias(name), F.col("c").alias(f"c{name}"))
-    rest = stars.select("a", "b").join(la("a"), "a").join(la("b"), "b").filter("ca != cb").select("a", "b")
-    open_ = buckets.join(labels, buckets["doc_id"] == labels["id"]).select("band", "doc_id", "hub", "size", "c")
+    open_ = buckets.join(labels, buckets["doc_id"] == labels["id"]).select("band", "doc_id", "size", "c")
     mixed = open_.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("band")
     open_ = stash(open_.join(mixed, "band", "left_semi"), "open")
-    few = open_.filter((F.col("size") <= SMALL_BUCKET) & (F.col("doc_id") != F.col("hub")))
+    few = open_.filter(F.col("size") <= SMALL_BUCKET)
     pairs = few.select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(few.select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "band")
-    rest = rest.union(pairs.filter("a < b AND ca != cb").select("a", "b"))
+    rest = pairs.filter("a < b AND ca != cb").select("a", "b").distinct()
     many = stash(open_.filter(F.col("size") > SMALL_BUCKET).select("doc_id", "c").distinct(), "many")
     if many.limit(1).count():
         chosen = small_side(many, BROADCAST_IDS)
         rest = rest.union(prefix_pairs(sets.join(chosen.select("doc_id"), "doc_id", "left_semi"), many))
-    rest = stash(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stash(rest.distinct().join(known, ["a", "b"], "left_anti"), "rest")
 
     final = stash(components(links.union(verify(rest, sets)).union(copies)), "components")
     return sign.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, packing, quality_rules, sharding
+from . import decontaminate, html_text, language_id, lm_scoring, minhash_dedup, packing, quality_crf, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_packing": packing.op5_packing,
+    "op6_html_text": html_text.op6_html_text,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_language_id": language_id.op10_language_id,
 }
 
-#: The others use hashing, learned models, a tokenizer or crc32, which DuckDB's SQL lacks; tests/llm compares them with brute force.
+#: The others use hashing, learned models, a parser, a tokenizer or crc32, which DuckDB's SQL lacks; tests/llm compares them with brute force.
 SQL = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
