@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, hashes, mix, split_words
@@ -44,6 +43,8 @@ UNIVERSE_BITS = 20
 SEED = 20220
 #: A bucket of up to so many documents is resolved by pairs between its components, a larger one by prefixes.
 SMALL_BUCKET = 32
+#: Frequent shingles that the tasks of the prefix filter know.
+COMMON = 1 << 17
 #: Lists of document numbers are broadcast up to so many rows and joined by a shuffle beyond that.
 BROADCAST_IDS = 2_000_000
 
@@ -168,21 +169,46 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(roots)
 
 
-def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Candidate pairs between components among ``sets``: an exact prefix filter with positions.
+def _common(batches):
+    """(s, n) of shingles that occur twice or more in a batch of sets."""
+    for batch in batches:
+        s, n = np.unique(batch.column("shingles").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(s[n > 1]), pa.array(n[n > 1])], ["s", "n"])
 
-    All sets are ordered alike, by frequency and then by hash. Sets of n shingles that are ``percent`` similar
-    to another share one of their n - ceil(percent*n/100) + 1 rarest. Where two sets first meet, at their
-    places r, they have at most 1 + min(n - r) shingles in common.
+
+def prefix_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs between components among ``sets`` (doc_id, shingles, c): an exact prefix filter with positions.
+
+    All sets are ordered alike. Sets of n shingles that are ``percent`` similar to another share one of their
+    first n - ceil(percent*n/100) + 1. Where two sets first meet, they have at most as many shingles in common
+    as are left in either. This holds in any order; the best puts frequent shingles last, so those that
+    repeat within the batches of all sets are counted, and the COMMON most frequent sent to the tasks.
     """
-    each = sets.join(labels, "doc_id").select("doc_id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df"))
-    w = W.partitionBy("doc_id").orderBy("df", "s")
-    ranked = each.join(often, "s").withColumn("r", F.row_number().over(w))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    side = lambda k: prefix.select(F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("r") + 1).alias(f"left{k}"), "s")
-    common = F.least("lefta", "leftb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return side("a").join(side("b"), "s").filter(common & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    common = sets.mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).orderBy("s").toArrow()
+    sent = sets.sparkSession.sparkContext.broadcast((np.append(common["s"].to_numpy(), np.iinfo(np.int64).max), np.append(common["n"].to_numpy(), 0)))
+
+    def prefixes(batches):
+        keys, often = sent.value
+        for batch in batches:
+            own, places = [], []
+            for s in batch.column("shingles"):
+                s = s.values.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(keys, s)
+                n = np.where(keys[at] == s, often[at], 0)
+                k = len(s) - -(-percent * len(s) // 100) + 1
+                own.append(s[np.lexsort((s, n))[:k]])
+                places.append(len(s) - np.arange(k))
+            size = [len(x) for x in own]
+            which = pa.array(np.repeat(np.arange(len(own)), size))
+            whole = pa.array(np.repeat([len(s.values) for s in batch.column("shingles")], size), pa.int32())
+            none = [np.zeros(0, np.int64)]
+            left, s = pa.array(np.concatenate(places or none), pa.int32()), pa.array(np.concatenate(own or none))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("c").take(which), whole, left, s], ["doc_id", "c", "n", "left", "s"])
+
+    prefix = stash(sets.mapInArrow(prefixes, "doc_id long, c long, n int, left int, s long"), "prefixes")
+    side = lambda k: prefix.select(F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("left").alias(f"left{k}"), "s")
+    enough = F.least("lefta", "leftb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return side("a").join(side("b"), "s").filter(enough & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -190,7 +216,7 @@ def group(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sign = stash(docs.mapInArrow(_signatures, SIGNATURES), "signatures")
     linked = sign.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = stash(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     member = stash(linked.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     entries = linked.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
@@ -218,8 +244,7 @@ def group(docs: DataFrame) -> DataFrame:
     rest = pairs.filter("a < b AND ca != cb").select("a", "b").distinct()
     many = stash(open_.filter(F.col("size") > SMALL_BUCKET).select("doc_id", "c").distinct(), "many")
     if many.limit(1).count():
-        chosen = small_side(many, BROADCAST_IDS)
-        rest = rest.union(prefix_pairs(sets.join(chosen.select("doc_id"), "doc_id", "left_semi"), many))
+        rest = rest.union(prefix_pairs(sets.join(small_side(many, BROADCAST_IDS), "doc_id").select("doc_id", "shingles", "c")))
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stash(rest.distinct().join(known, ["a", "b"], "left_anti"), "rest")
 
