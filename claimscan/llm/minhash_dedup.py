@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, hashes, mix, split_words
-from ._work import small_side, stash
+from ._work import most_frequent, small_side, stash
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -184,7 +184,8 @@ def prefix_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     as are left in either. This holds in any order; the best puts frequent shingles last, so those that
     repeat within the batches of all sets are counted, and the COMMON most frequent sent to the tasks.
     """
-    common = sets.mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).orderBy("s").toArrow()
+    counts = stash(sets.mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "common")
+    common = most_frequent(counts, "n", COMMON).toArrow().sort_by("s")
     sent = sets.sparkSession.sparkContext.broadcast((np.append(common["s"].to_numpy(), np.iinfo(np.int64).max), np.append(common["n"].to_numpy(), 0)))
 
     def prefixes(batches):
