@@ -325,7 +325,7 @@ def post_filter(results: DataFrame, source: str | None = None, importance: str |
     if importance is not None:
         df = df.filter(F.col("importance") == importance)
     if tags_any:
-        tags = F.col("tags") if dict(results.dtypes)["tags"] != "string" else F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != "")
+        tags = F.col("tags") if dict(results.dtypes)["tags"] != "string" else F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "")
         df = df.filter(F.arrays_overlap(tags, F.array(*map(F.lit, tags_any))))
     w = W.partitionBy("query_id").orderBy("rank")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -562,7 +562,7 @@ _LIBRARY_SQL = f"""
 {i.VECTORS_SQL}, lib AS (
   SELECT 'd' || doc_id AS key, text AS value, {_SOURCES}[1 + doc_id % 4] AS source, lang AS tags, e, CAST(doc_id % 10 AS DOUBLE) / 10 AS conf,
          greatest(1 / (1 + (doc_id * 3600 / 86400.0::DOUBLE) / (9 * (30.0::DOUBLE + doc_id % 5 * 10))), 0.01) AS tim, doc_id FROM documents JOIN v ON v.key = doc_id
-), {_FTS_SQL.format(k=200).replace("FROM documents)", "FROM documents JOIN v ON v.key = doc_id)")},
+), {_FTS_SQL.format(k=200).replace("FROM documents)", "FROM documents JOIN v ON v.key = doc_id)").replace("lower(source)", f"{_SOURCES}[1 + doc_id % 4]")},
 typed AS (SELECT query_id, {_CLASS_SQL} AS query_type FROM (SELECT query_id, {_SCORE_SQL["law"]} AS law, {_SCORE_SQL["case"]} AS cas, {_SCORE_SQL["rule"]} AS rul FROM asked)),
 w AS (SELECT * FROM (VALUES ('law', 0.60, 0.25, 0.05, 0.10, 1.5, 0.7, 0.7), ('case', 0.45, 0.30, 0.15, 0.10, 0.7, 1.5, 0.7), ('rule', 0.40, 0.35, 0.10, 0.15, 0.7, 0.7, 1.5), ('general', 0.50, 0.20, 0.10, 0.20, 1.0, 1.0, 1.0)) w(query_type, wv, wf, wt, wc, b_law, b_case, b_rule)),
 dots AS (SELECT t.query_id, t.query_type, l.*, list_dot_product(q.e, l.e) AS s FROM typed t JOIN v q ON q.key = t.query_id CROSS JOIN lib l),
@@ -731,7 +731,7 @@ def e11(spark, sf):
 @query(
     "e11_reinforce",
     f"""
-WITH {i.MEMORIES_SQL}, r AS (SELECT 'm' || user_id AS key, count(*) AS n, epoch(max(ts))::BIGINT AS latest FROM events GROUP BY user_id)
+WITH {i.MEMORIES_SQL}, r AS (SELECT 'm' || user_id AS key, count(*) AS n, CAST(floor(epoch(max(ts))) AS BIGINT) AS latest FROM events GROUP BY user_id)
 SELECT m.key, round(coalesce(stability, CASE WHEN source || ' ' || importance SIMILAR TO '.*(error|lesson).*' THEN 90 WHEN importance = 'profile' THEN 180 WHEN source = 'session' THEN 7 ELSE 30 END) * pow(1.1, coalesce(n, 0)), 3) AS stability,
        coalesce(latest, last_review) AS last_review FROM memories m LEFT JOIN r ON r.key = m.key
 """,
@@ -889,13 +889,13 @@ def f6_by(spark, sf):
 # --- G: evaluation --------------------------------------------------------------------------------
 
 _PRED_SQL = f"""
-WITH pred AS (SELECT d.doc_id, d.lang, ({" OR ".join(f"contains(lower(text), '{w.lower()}')" for w in i.WORDS)}) AS predicted, l.toxic = 1 AS expected, CAST((d.doc_id * 37) % 101 AS DOUBLE) / 100 AS confidence FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+WITH pred AS (SELECT d.doc_id, d.lang, ({" OR ".join(f"contains(lower(text), '{w.lower()}')" for w in i.WORDS)}) AS predicted, l.toxic = 1 AS expected, CAST((d.doc_id * 37) % 101 AS DOUBLE) / 103 AS confidence FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def _pred(spark, sf):
     flagged = scan.flag_documents(t(spark, sf, "documents").select("doc_id", "lang", "text"), i.rules(spark)).drop("text")
     labels = t(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("expected"))
-    return flagged.join(labels, "doc_id").select("doc_id", "lang", F.col("flagged").alias("predicted"), "expected", (F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0).alias("confidence"))
+    return flagged.join(labels, "doc_id").select("doc_id", "lang", F.col("flagged").alias("predicted"), "expected", (F.pmod(F.col("doc_id") * 37, F.lit(101)) / 103.0).alias("confidence"))
 
 
 @query(
