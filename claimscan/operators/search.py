@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from claimscan.functions.work import small_rows, stash
 
@@ -106,6 +107,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     Every batch of the corpus gives its k best a query, so k rows a query and batch are shuffled.
     """
     types = dict(corpus.dtypes)["key"], dict(queries.dtypes)["query_id"]
+    key_type, id_type = to_arrow_type(corpus.schema["key"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
     parts = []
     for ids, q in _query_blocks(queries):
 
@@ -117,7 +119,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     continue
                 own = [keys[i] for i in at]
                 out = [(i, own[j], s[j]) for i, s in zip(ids, q @ m.T, strict=True) for j in _top(s, own, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array([float(x[2]) for x in out])], ["query_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_type), pa.array([x[1] for x in out], key_type), pa.array([float(x[2]) for x in out], pa.float64())], ["query_id", "key", "score"])
 
         parts.append(corpus.select("key", "embedding").mapInArrow(run, f"query_id {types[1]}, key {types[0]}, score double"))
     if not parts:
@@ -232,6 +234,7 @@ def classify_queries(queries: DataFrame, patterns: DataFrame, text: str = "text"
 def _ranges(queries: DataFrame, corpus: DataFrame) -> dict:
     """{query_id: (least, greatest cosine)} by a first pass that sends two numbers a query and batch."""
     kind, out = dict(queries.dtypes)["query_id"], {}
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     for ids, q in _query_blocks(queries):
 
         def run(batches, ids=ids, q=q):
@@ -239,7 +242,7 @@ def _ranges(queries: DataFrame, corpus: DataFrame) -> dict:
                 m, at = vectors(batch.column("embedding"), q.shape[1])
                 if len(at):
                     s = q @ m.T
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], ["query_id", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], ["query_id", "lo", "hi"])
 
         part = corpus.select("embedding").mapInArrow(run, f"query_id {kind}, lo double, hi double")
         out |= {r[0]: (r[1], r[2]) for r in part.groupBy("query_id").agg(F.min("lo"), F.max("hi")).collect()}
@@ -254,7 +257,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
     (all, if None) each library keeps its best five, scaled by the boost for the query's type.
     """
     spark = corpus.sparkSession
-    ids = dict(queries.dtypes)["query_id"]
+    ids, id_type = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
     time_ = retrievability(F.lit(float(now)), F.col("last_review"), F.col("stability"))
     conf = F.coalesce("confidence", F.lit(0.5))
     rows = corpus.filter("embedding IS NOT NULL").select("key", "source", "tags", "embedding", time_.cast("double").alias("time"), conf.cast("double").alias("conf"))
@@ -292,7 +295,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
                 out = [(i, j, total[n, j]) for n, i in enumerate(block) for j in (_top(total[n], keys, keep) if keep else range(len(keys)))]
                 pick = pa.array([j for _, j, _ in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in out]), batch.column("key").take(pick), batch.column("source").take(pick), batch.column("tags").take(pick), pa.array([s for _, _, s in out], pa.float64())],
+                    [pa.array([i for i, _, _ in out], id_type), batch.column("key").take(pick), batch.column("source").take(pick), batch.column("tags").take(pick), pa.array([s for _, _, s in out], pa.float64())],
                     ["query_id", "key", "source", "tags", "raw_score"],
                 )
 
