@@ -39,14 +39,19 @@ MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|disclaimer|gdpr|sidebar|side|rail|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|newsletter|subscribe|subscription|signup|popup|modal|overlay|widget|pagination|pager|toolbar|search|login|skip|contentinfo|complementary|navigation|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: A page's outermost article or main element is skipped only by these.
+NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|teaser)(?:$|[\s_-])", re.IGNORECASE)
+#: Such parts of a class say what stands beside the content, not what it is.
+BESIDE = re.compile(r"\b(?:with|has|no|without)[-_][\w-]+", re.IGNORECASE)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|articlebody|main|main-content|post-content|entry-content|article-content|story-body)(?:$|\s)", re.IGNORECASE)
 
 
 class Lines(HTMLParser):
     """Collects a page's lines: text, number of tags, region (0: none; -1: skipped) and container."""
 
-    def __init__(self):
+    def __init__(self, use_marks: bool = True):
         super().__init__(convert_charrefs=True)
+        self.use_marks = use_marks
         self.open: list[tuple[str, int, int]] = []  # tag, region, container
         self.n = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -82,9 +87,10 @@ class Lines(HTMLParser):
                     break
         region, container = self.open[-1][1:] if self.open else (0, 0)
         if region >= 0:
-            marks = [v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label")]
+            marks = [BESIDE.sub("", v) for k, v in attrs if v and k in ("class", "id", "role", "itemprop")] if self.use_marks else []
+            marked = NO_ARTICLE if tag in REGIONS and not region else MARKED
             hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
-            if tag in SKIPPED or hidden or (tag not in ("html", "body") and any(MARKED.search(v) for v in marks) and not any(ARTICLE.search(v) for v in marks)):
+            if tag in SKIPPED or hidden or (tag not in ("html", "body") and any(marked.search(v) for v in marks) and not any(ARTICLE.search(v) for v in marks)):
                 region = -1
             elif not region and (tag in REGIONS or any(ARTICLE.search(v) for v in marks)):
                 self.n += 1
@@ -134,9 +140,12 @@ def main_text(html: str | None) -> str:
     last = html.rfind("<!--")  # an unclosed comment hides the rest
     if last >= 0 and html.find("-->", last) < 0 and html.lower().find("</script", last) < 0:
         html = html[:last]
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
+    lines = []
+    for use_marks in (True, False):  # if class names would leave nothing, only the elements' kinds decide
+        if not lines:
+            parser = Lines(use_marks)
+            parser.feed(html)
+            lines = parser.finish()
     if not lines:
         return ""
     region, container = (np.array([x[i] for x in lines]) for i in (2, 3))

@@ -80,6 +80,14 @@ def test_page_without_article():
     assert len(got) == 6 and all("running text" in x for x in got)
 
 
+def test_class_names_beside_the_content():
+    para = "<p>A paragraph of running text that goes on for a while, number %d.</p>"
+    body = "".join(para % i for i in range(3))
+    for html in (f'<body><div class="layout with-sidebar">{body}</div></body>', f'<body><article class="post sidebar-left">{body}</article></body>', f'<body><div class="widget">{body}</div></body>'):
+        assert ht.main_text(html).count("\n") == 2
+    assert ht.main_text(f'<main>{body}<article class="comment"><p>me too</p></article></main>').count("\n") == 2
+
+
 def test_pages(spark):
     rows = ht.op6_html_text(spark, DATA).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
