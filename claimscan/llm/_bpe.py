@@ -18,7 +18,7 @@ from ._bytes import buffers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @cache

@@ -36,7 +36,7 @@ END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts in which the pieces of one length are ranked.
 PARTS = 128
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
