@@ -33,7 +33,8 @@ def review(
     """
     table = {r.prohibited: r.alternatives[0] for r in small_rows(replacements) if r.alternatives} if replacements is not None else {}
     cited = {r.word: r.law_content for r in small_rows(citations)} if citations is not None else {}
-    found = find_hits(docs.select(key, text), rules, text).withColumn("signals", text_signals(F.col(text), signals))
+    # the signals' patterns run over documents with hits only
+    found = find_hits(docs.select(key, text), rules, text).withColumn("signals", F.when(F.size("hits") > 0, text_signals(F.col(text), signals)))
 
     def lookup(d, word, other):
         return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in d.items() for x in p]), word), F.lit(other)) if d else F.lit(other)
