@@ -146,21 +146,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataF
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every linked document: the smallest document reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014); every round is written, so that
-    the lineage stays short, and the loop ends when a round changes nothing.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014); every step is written, so that
+    the lineage stays short, and the loop ends when a round changes nothing. The least neighbours are
+    written before they are joined: then the join has two plain sides, and a large one that holds most links
+    of one node can be split.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
     was = mark(edges)
     while was[0]:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).union(edges.select("u", F.col("v").alias("w"))).join(low, "u")
-        edges = large.filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(low, "u")
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = stash(edges, "edges")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stash(large.distinct(), "large")
+        low = stash(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = stash(small.filter("u > v").distinct(), "edges")
         now = mark(edges)
         if now == was:
             break
@@ -221,10 +222,11 @@ def group(docs: DataFrame) -> DataFrame:
     member = stash(linked.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     entries = linked.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    # what is joined by band is written first, so that a frequent band's join has two plain sides and can be split
+    shared = stash(entries.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     buckets = stash(entries.join(shared, "band"), "buckets")
     meets = buckets.groupBy("doc_id").agg(F.sum("size").alias("meets"))
-    hubs = buckets.join(meets, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("meets", -F.col("doc_id"))).alias("hub"))
+    hubs = stash(buckets.join(meets, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("meets", -F.col("doc_id"))).alias("hub")), "hubs")
     stars = stash(buckets.join(hubs, "band").filter("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
     ids = stash(buckets.select(F.col("doc_id").alias("id")).distinct(), "ids")
@@ -239,6 +241,7 @@ def group(docs: DataFrame) -> DataFrame:
     labels = stash(labels, "labels")
     open_ = buckets.join(labels, buckets["doc_id"] == labels["id"]).select("band", "doc_id", "size", "c")
     mixed = open_.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("band")
+    mixed = stash(mixed, "mixed")
     open_ = stash(open_.join(mixed, "band", "left_semi"), "open")
     few = open_.filter(F.col("size") <= SMALL_BUCKET)
     pairs = few.select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(few.select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "band")
