@@ -129,18 +129,18 @@ def _sets(batches):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    A pair comes once for each pair of its rows, if documents have several; dropping those here would keep
+    the rows of a hub together in one task.
+    """
     left = sets.join(small_side(pairs, BROADCAST_IDS), sets["doc_id"] == pairs["a"]).select("a", "b", F.col("shingles").alias("sa"))
     wanted = small_side(stash(pairs.select(F.col("b").alias("id")).distinct(), "ids"), BROADCAST_IDS)
     right = sets.join(wanted, sets["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     low, high = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return (
-        left.join(right, "b")
-        .filter((low * 100 >= high * percent) & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent))
-        .select("a", "b")
-        .distinct()
-    )
+    similar = (low * 100 >= high * percent) & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
+    return left.join(right, "b").filter(similar).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
