@@ -8,10 +8,15 @@ mixtures (Willems, Shtarkov and Tjalkens 1995). The weights that all the trainin
 on its context's path. A text ends with a byte that UTF-8 never uses, so that the probabilities of all
 texts add up to one.
 
-Counting: tasks count byte strings of DEPTH + 1, which a shuffle adds up; shorter contexts are sums of
-longer ones. The tree has the most frequent contexts (so with each its shorter ones), up to MAX_NODES; rarer
-ones share a "rest" child of their longest kept suffix, counted like any child. So the model that is sent
-to the tasks has a fixed size, while all text is counted.
+Counting and mixing: every context that occurs has its node, so the tree grows with the text and is never in one
+place. Byte strings of DEPTH + 1 are dealt by the last NEAR bytes of their context into buckets, whose number
+grows with the text; a bucket has whole subtrees, mixes them, and hands up one sum for each node above.
+The tree of contexts of less than NEAR bytes, which no text can make larger than 1 + 256 + 65,536 nodes, is mixed
+on the driver and sent to the tasks. The documents are dealt into parts of about PART bytes; a part asks each
+bucket once for the log probabilities of its distinct strings, and the answers are joined to the part.
+
+``fit`` is the same mixture in one piece, for small texts: it keeps the most frequent contexts up to MAX_NODES, and
+rarer ones share a "rest" child of their longest kept suffix. ``score`` doesn't use it.
 
 Beside it, a unigram base score over words: the words' counts are a table joined by a shuffle, all but
 the most frequent words of up to HEAD_BYTES bytes, up to HEAD_WORDS, which have bounded size and are sent to the
@@ -25,13 +30,15 @@ ignored, also such that bear the name of a result column.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_SPACE, buffers, chunks, codes, split_words
+from ._bytes import NOT_SPACE, buffers, chunks, codes, mix, split_words
 from ._work import most_frequent, stash
 
 DEPTH = 5
@@ -42,11 +49,19 @@ HEAD_WORDS, HEAD_BYTES = 131_072, 64
 SMOOTHING = 0.1
 CHUNK = 4 << 20
 SCORE_CHUNK = 2 << 20
+#: Bytes of text whose byte strings are made at a time; a string takes eight times as much in each array.
+GRAM_CHUNK = 1 << 20
 #: Places of a decision whose trees are mixed at a time; bounds the driver's arrays.
 PLACES = 16
 #: Distinct byte strings that a task holds before it hands them on.
-HELD = 2_000_000
-
+HELD = 1_000_000
+#: Subtrees of contexts of so many bytes stay together.
+NEAR = 3
+#: Bytes of text of a part of the documents, and for each bucket of the tree; buckets at least.
+PART, BUCKET, LEAST_BUCKETS = 8 << 20, 16 << 20, 64
+
+PARTS = "part long, doc_ids array<long>, texts array<string>, asks array<binary>"
+SUBTREES = "bucket int, grams binary, n binary, kind array<int>, key array<long>, x array<double>"
 SCORED = "doc_id long, n_tokens long, head_known long, head_sum double, score double, words array<string>, counts array<int>"
 
 
@@ -218,6 +233,265 @@ def log_probabilities(batch: pa.RecordBatch, tree: Tree) -> np.ndarray:
     return np.add.reduceat(each, first[:-1]) if len(batch) else np.zeros(0)
 
 
+# --- the whole tree, in buckets -------------------------------------------------------------------
+
+
+def distinct_grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings of DEPTH + 1 bytes as numbers, the latest byte lowest; the index of each byte's string; each text's first."""
+    data, at, first = framed(batch)
+    gram = np.zeros(len(at), dtype=np.int64)
+    for k in range(DEPTH, -1, -1):
+        gram = (gram << 8) | data[at - k]
+    index, distinct = codes(pa.array(gram))
+    return distinct.to_numpy(), index, first
+
+
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(((grams >> 8) & ((1 << 8 * NEAR) - 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _cut(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ascending ``grams`` by bucket, and where each bucket begins in it."""
+    b = bucket_of(grams, buckets)
+    order = np.argsort(b, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+
+
+def deal_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, grams, n): distinct byte strings and how often they occur, several rows a bucket."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            keys, index = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(index, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
+        def rows(keys, n):
+            order, cuts = _cut(keys, buckets)
+            there = np.flatnonzero(np.diff(cuts))
+            piece = lambda x: pa.array([x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in there], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), piece(keys), piece(n)], ["bucket", "grams", "n"])
+
+        for whole in batches:
+            for batch in chunks(whole, "text", GRAM_CHUNK):
+                grams, index, _ = distinct_grams(batch)
+                held.append((grams, np.bincount(index, minlength=len(grams))))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*merged())
+
+    return docs.select("text").mapInArrow(run, "bucket int, grams binary, n binary")
+
+
+def deal_parts(docs: DataFrame, buckets: int) -> DataFrame:
+    """PARTS: rows of about PART bytes of texts each, with the part's distinct byte strings by bucket."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        grams: list[np.ndarray] = []
+        size = 0
+
+        def part():
+            table = pa.Table.from_batches(held).combine_chunks()
+            all_grams = np.unique(np.concatenate(grams))
+            order, cuts = _cut(all_grams, buckets)
+            asks = [all_grams[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            ends = pa.array([0, len(table)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, table[c].combine_chunks()) for c in ("doc_id", "text")]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([asks], pa.list_(pa.binary()))], [f.split()[0] for f in PARTS.split(", ")])
+
+        for whole in batches:
+            for batch in chunks(whole, "text", GRAM_CHUNK):
+                held.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string())], ["doc_id", "text"]))
+                grams.append(distinct_grams(batch)[0])
+                size += len(buffers(batch.column("text"))[0])
+                if size >= PART:
+                    yield part()
+                    pa.default_memory_pool().release_unused()
+                    held, grams, size, number = [], [], 0, number + 1
+        if held:
+            yield part()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PARTS)
+
+
+@cache
+def _gammas(size: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    k = np.arange(size, dtype=np.float64)
+    return log_gamma(k + 0.5), log_gamma(k + 1.0)
+
+
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``log_kt`` of whole numbers, most of which are small."""
+    half, one = _gammas()
+    large = a + b >= len(one)
+    i, j = np.where(large, 0, a).astype(np.int64), np.where(large, 0, b).astype(np.int64)
+    out = half[i] + half[j] - one[i + j] - np.log(np.pi)
+    if large.any():
+        out[large] = log_kt(a[large], b[large])
+    return out
+
+
+class Subtrees:
+    """Nodes of NEAR to DEPTH bytes of context over ascending distinct byte strings, seen ``n`` times (0: only asked for)."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.keys, self.n, self.up = {DEPTH: grams}, {DEPTH: n.astype(np.float64)}, {}
+        for d in range(DEPTH - 1, NEAR - 1, -1):  # (context of d bytes, next byte), ascending
+            self.keys[d], self.up[d + 1] = np.unique(self.keys[d + 1] & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], weights=self.n[d + 1], minlength=len(self.keys[d]))
+
+    def mixed(self, bit: int):
+        """Of one place in the byte, by depth: each key's node and place as a number, the first key of each, its
+        parent, zeros and ones, log estimate and log mixture."""
+        of, first, parent, own, log_e, log_w = {}, {}, {}, {}, {}, {}
+        for d in range(NEAR, DEPTH + 1):
+            change = np.diff(self.keys[d] >> (8 - bit), prepend=-1) != 0
+            of[d], first[d] = np.cumsum(change) - 1, np.flatnonzero(change)
+            is_one = (self.keys[d] >> (7 - bit)) & 1
+            ones = np.add.reduceat(self.n[d] * is_one, first[d])
+            own[d] = np.add.reduceat(self.n[d], first[d]) - ones, ones
+            log_e[d] = _log_kt(*own[d])
+            if d > NEAR:
+                parent[d] = of[d - 1][self.up[d][first[d]]]
+        log_w[DEPTH] = log_e[DEPTH]
+        for d in range(DEPTH - 1, NEAR - 1, -1):
+            below = np.bincount(parent[d + 1], weights=log_w[d + 1], minlength=len(first[d]))
+            log_w[d] = np.logaddexp(log_e[d], below) + np.log(0.5)
+        return of, first, parent, own, log_e, log_w
+
+    def above(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node of NEAR - 1 bytes and place, log product of its children's mixtures here)."""
+        keys, sums = [], []
+        for bit in range(8):
+            _, first, _, _, _, log_w = self.mixed(bit)
+            k = self.keys[NEAR][first[NEAR]]
+            place = (1 << bit) | ((k & 0xFF) >> (8 - bit))
+            node = (k >> 8) & ((1 << 8 * (NEAR - 1)) - 1)
+            key, index = np.unique((node << 8) | place, return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(index, weights=log_w[NEAR], minlength=len(key)))
+        return np.concatenate(keys), np.concatenate(sums)
+
+    def log_probabilities(self, top: Top) -> np.ndarray:
+        """log10 probability of the last byte of each string after the others."""
+        total = np.zeros(len(self.keys[DEPTH]))
+        for bit in range(8):
+            of, first, parent, own, log_e, log_w = self.mixed(bit)
+            k = self.keys[NEAR][first[NEAR]]
+            one, zero, further = top.at(k >> 8, (1 << bit) | ((k & 0xFF) >> (8 - bit)))
+            for d in range(NEAR, DEPTH + 1):
+                if d > NEAR:
+                    one, zero, further = one[parent[d]], zero[parent[d]], further[parent[d]]
+                stop = np.exp(np.minimum(log_e[d] + np.log(0.5) - log_w[d], 0)) if d < DEPTH else 1.0
+                p = (own[d][1] + 0.5) / (own[d][0] + own[d][1] + 1)
+                one, zero, further = one + further * stop * p, zero + further * stop * (1 - p), further * (1 - stop)
+            is_one = (self.keys[DEPTH] >> (7 - bit)) & 1
+            total += np.log10(np.where(is_one, one[of[DEPTH]], zero[of[DEPTH]]))
+        return total
+
+
+class Top:
+    """Nodes of less than NEAR bytes. ``state[node, place]``: what the mixture down to the node, itself included, gives to
+    one and to zero, and the weight that is left for longer contexts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, below_keys: np.ndarray, below: np.ndarray):
+        last = NEAR - 1
+        nodes = {last: np.unique(keys >> 8)}
+        tables = {last: np.zeros((len(nodes[last]), 256))}
+        tables[last][np.searchsorted(nodes[last], keys >> 8), keys & 0xFF] = n
+        up = {}
+        for d in range(last - 1, -1, -1):
+            nodes[d], up[d + 1] = np.unique(nodes[d + 1] & ((1 << 8 * d) - 1), return_inverse=True)
+            if d == 0 and not len(nodes[0]):
+                nodes[0] = np.zeros(1, np.int64)
+            tables[d] = np.zeros((len(nodes[d]), 256))
+            np.add.at(tables[d], up[d + 1], tables[d + 1])
+        given = np.zeros((len(nodes[last]), 256))
+        given[np.searchsorted(nodes[last], below_keys >> 8), below_keys & 0xFF] = below
+        self.nodes = nodes
+        self.state = {d: np.zeros((len(nodes[d]), 256, 3), dtype=np.float32) for d in nodes}
+        for bit in range(8):
+            width = 128 >> bit
+            for lo in range(0, 1 << bit, PLACES):
+                hi = min(lo + PLACES, 1 << bit)
+                at = slice((1 << bit) + lo, (1 << bit) + hi)
+                own = {d: t[:, lo * 2 * width : hi * 2 * width].reshape(len(t), hi - lo, 2, width).sum(axis=3) for d, t in tables.items()}
+                log_e = {d: log_kt(x[:, :, 0], x[:, :, 1]) for d, x in own.items()}
+                sums, log_w = given[:, at], {}
+                for d in range(last, -1, -1):
+                    log_w[d] = np.logaddexp(log_e[d], sums) + np.log(0.5)
+                    if d:
+                        sums = np.zeros((len(nodes[d - 1]), hi - lo))
+                        np.add.at(sums, up[d], log_w[d])
+                one, zero, further = np.zeros((1, hi - lo)), np.zeros((1, hi - lo)), np.ones((1, hi - lo))
+                for d in range(last + 1):
+                    if d:
+                        one, zero, further = one[up[d]], zero[up[d]], further[up[d]]
+                    stop = np.exp(np.minimum(log_e[d] + np.log(0.5) - log_w[d], 0))
+                    p = (own[d][:, :, 1] + 0.5) / (own[d].sum(axis=2) + 1)
+                    one, zero, further = one + further * stop * p, zero + further * stop * (1 - p), further * (1 - stop)
+                    self.state[d][:, at] = np.stack([one, zero, further], axis=2)
+
+    def at(self, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state of the longest node there is for each context (only its last bytes count)."""
+        out = self.state[0][np.zeros(len(place), np.int64), place]
+        for d in range(1, NEAR):
+            if len(self.nodes[d]):
+                own = context & ((1 << 8 * d) - 1)
+                i = np.minimum(np.searchsorted(self.nodes[d], own), len(self.nodes[d]) - 1)
+                out = np.where((self.nodes[d][i] == own)[:, None], self.state[d][i, place], out)
+        return tuple(out.astype(np.float64).T)
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+
+
+def fit_whole(train: DataFrame, buckets: int) -> tuple[DataFrame, Top]:
+    """The tree of all texts of ``train``: its subtrees as a written table (SUBTREES), and the top."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        grams, index = np.unique(_numbers(table["grams"]), return_inverse=True)
+        n = np.bincount(index, weights=_numbers(table["n"]), minlength=len(grams)).astype(np.int64)
+        key, x = Subtrees(grams, n).above()
+        near, index = np.unique(grams & ((1 << 8 * NEAR) - 1), return_inverse=True)  # NEAR - 1 bytes of context and the next
+        kind = np.repeat([0, 1], [len(near), len(key)])
+        rows = [np.concatenate([near, key]), np.concatenate([np.bincount(index, weights=n), x])]
+        one = lambda v, t: pa.array([v], pa.list_(t))
+        return pa.table([table["bucket"].slice(0, 1), pa.array([grams.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), one(kind, pa.int32()), one(rows[0], pa.int64()), one(rows[1], pa.float64())], names=[f.split()[0] for f in SUBTREES.split(", ")])
+
+    tree = stash(deal_counts(train, buckets).groupBy("bucket").applyInArrow(gather, SUBTREES), "subtrees")
+    up = tree.select(F.explode(F.arrays_zip("kind", "key", "x")).alias("r")).groupBy("r.kind", "r.key").agg(F.sum("r.x").alias("x")).toArrow()  # at most 2 * 2^24
+    kind, key, x = (up[c].to_numpy() for c in ("kind", "key", "x"))
+    return tree.select("bucket", "grams", "n"), Top(key[kind == 0], x[kind == 0], key[kind == 1], x[kind == 1])
+
+
+def answer(parts: DataFrame, tree: DataFrame, top: Top) -> DataFrame:
+    """(part, bucket, logp): the log probabilities, as 4-byte numbers, of what each part asks a bucket."""
+    sent = parts.sparkSession.sparkContext.broadcast(top)
+    asks = parts.select("part", F.posexplode("asks").alias("bucket", "grams")).filter(F.octet_length("grams") > 0)
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(x, dtype=np.int64) for x in theirs["grams"].to_pylist()]
+        known, n = _numbers(ours["grams"]), _numbers(ours["n"])
+        grams = np.unique(np.concatenate([known, *asked]))
+        seen = np.zeros(len(grams), dtype=np.int64)
+        seen[np.searchsorted(grams, known)] = n
+        logp = Subtrees(grams, seen).log_probabilities(sent.value).astype(np.float32) if len(asked) else None
+        out = [logp[np.searchsorted(grams, x)].tobytes() for x in asked]
+        return pa.table([theirs["part"], theirs["bucket"], pa.array(out, pa.binary())], names=["part", "bucket", "logp"])
+
+    return tree.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(run, "part long, bucket int, logp binary")
+
+
 # --- scoring ----------------------------------------------------------------------------------------
 
 
@@ -229,40 +503,51 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     head = most_frequent(words.filter(F.octet_length("word") <= HEAD_BYTES), "c", HEAD_WORDS).toArrow()
     known, often = head["word"].combine_chunks().cast(pa.large_binary()), np.append(head["c"].to_numpy(), 0)
     ends = int((np.array(words.filter("word = ''").select("c").collect(), dtype=np.int64)).sum())
-    sent = spark.sparkContext.broadcast((fit(train), known, often))
-
-    def run(batches):
-        tree, known, often = sent.value
-        for whole in batches:
-            for batch in chunks(whole, "text", SCORE_CHUNK):
-                found = split_words(*buffers(batch.column("text")), NOT_SPACE)
-                index, distinct = codes(found.words)
-                place = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-                place = place[index] if len(index) else np.zeros(0, np.int64)
-                total = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, np.log10(often[place] + SMOOTHING), 0.0))])
-                in_head = np.concatenate([[0], np.cumsum(place >= 0)])
-                tail = np.flatnonzero(place < 0)
-                size = max(1, len(distinct))
-                doc = np.searchsorted(found.first, tail, "right") - 1
-                pair, n = np.unique(doc * size + index[tail], return_counts=True)
-                edges = np.searchsorted(pair, np.arange(len(batch) + 1) * size)
-                a, b = found.first[:-1], found.first[1:]
-                offsets = pa.array(edges.astype(np.int32))
-                texts = distinct.cast(pa.binary()).cast(pa.string()).take(pa.array(pair % size))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(b - a + 1),
-                        pa.array(in_head[b] - in_head[a]),
-                        pa.array(total[b] - total[a]),
-                        pa.array(log_probabilities(batch, tree)),
-                        pa.ListArray.from_arrays(offsets, texts),
-                        pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
-                    ],
-                    [f.split()[0] for f in SCORED.split(", ")],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, size // BUCKET)
+    tree, top = fit_whole(train, buckets)
+    parts = stash(deal_parts(docs, buckets), "parts")
+    sent = spark.sparkContext.broadcast((known, often))
+
+    def one(batch: pa.RecordBatch, grams: np.ndarray, logp: np.ndarray, known: pa.Array, often: np.ndarray) -> pa.RecordBatch:
+        own, which, starts = distinct_grams(batch)
+        each = logp[np.searchsorted(grams, own)].astype(np.float64)[which]
+        found = split_words(*buffers(batch.column("text")), NOT_SPACE)
+        index, distinct = codes(found.words)
+        place = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        place = place[index] if len(index) else np.zeros(0, np.int64)
+        total = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, np.log10(often[place] + SMOOTHING), 0.0))])
+        in_head = np.concatenate([[0], np.cumsum(place >= 0)])
+        tail = np.flatnonzero(place < 0)
+        size = max(1, len(distinct))
+        doc = np.searchsorted(found.first, tail, "right") - 1
+        pair, n = np.unique(doc * size + index[tail], return_counts=True)
+        edges = np.searchsorted(pair, np.arange(len(batch) + 1) * size)
+        a, b = found.first[:-1], found.first[1:]
+        offsets = pa.array(edges.astype(np.int32))
+        texts = distinct.cast(pa.binary()).cast(pa.string()).take(pa.array(pair % size))
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(b - a + 1),
+                pa.array(in_head[b] - in_head[a]),
+                pa.array(total[b] - total[a]),
+                pa.array(np.add.reduceat(each, starts[:-1])),
+                pa.ListArray.from_arrays(offsets, texts),
+                pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
+            ],
+            [f.split()[0] for f in SCORED.split(", ")],
+        )
+
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        known, often = sent.value
+        grams = np.frombuffer(b"".join(part["asks"][0].as_py()), dtype=np.int64)  # by bucket, as the answers
+        logp = np.frombuffer(b"".join(answers.sort_by("bucket")["logp"].to_pylist()), dtype=np.float32)
+        order = np.argsort(grams)
+        whole = pa.RecordBatch.from_arrays([part["doc_ids"][0].values, part["texts"][0].values], ["doc_id", "text"])
+        return pa.Table.from_batches([one(batch, grams[order], logp[order], known, often) for batch in chunks(whole, "text", GRAM_CHUNK)])
+
+    rows = parts.select("part", "doc_ids", "texts", "asks").groupBy("part").cogroup(answer(parts, tree, top).groupBy("part")).applyInArrow(run, SCORED)
     rows = stash(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
     tail = rows.select("__row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("__row", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
     tail = tail.join(words, "word", "left").groupBy("__row").agg(

@@ -117,3 +117,17 @@ def test_edges(spark):
     assert lm.score(brute.empty_docs(spark), docs).collect() == []
     none = lm.score(docs, brute.empty_docs(spark)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
+
+
+def test_score_is_the_whole_mixture_at_every_size(spark, monkeypatch):
+    """No budget of contexts, whatever the number of parts and buckets."""
+    monkeypatch.setattr(lm, "MAX_NODES", 9)
+    train = ["abracadabra abracadabra", "a cad and a bra", "été", "", "abracadabra"] * 3
+    test = ["abra cadabra", "", "zzz", "été à la bra", None]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = context_tree(train, [t or "" for t in test], lm.DEPTH)
+    for part, buckets in ((1 << 24, 64), (5, 3)):
+        monkeypatch.setattr(lm, "PART", part)
+        monkeypatch.setattr(lm, "LEAST_BUCKETS", buckets)
+        rows = sorted(lm.score(frame(test), frame(train)).collect())
+        assert [r.score for r in rows] == pytest.approx(want, rel=1e-5)
