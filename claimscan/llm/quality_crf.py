@@ -8,8 +8,9 @@ from forward-backward sums. A document's score is the length-weighted mean of it
 Forward and backward sums are prefix products of 2x2 matrices in log space, taken by doubling over all
 lines of a batch at once, so that a text of very many lines is no slower than many short ones.
 
-Training takes a bounded sample: the TRAIN_DOCS labelled rows with the smallest hash of doc_id, and of
-these, in that order, as many as have TRAIN_LINES lines together.
+Training takes a bounded sample: the TRAIN_DOCS labelled documents with the smallest hash of doc_id. If they have more than
+TRAIN_LINES lines together, each gives its first lines, as many for each as the greatest equal share that fits, so
+that a long text displaces no other.
 
 Cases: a null or empty text has one empty line, which is scored as such; lines weigh their length in
 bytes plus one; rows without doc_id are scored; a document with several labels takes the least; without
@@ -22,7 +23,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, split_words
@@ -189,16 +189,27 @@ def _levels(batches):
             yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("doc_id"), flat.cast(pa.binary())], ["quality", "doc_id", "levels"])
 
 
+def equal_share(sizes: dict[int, int], limit: int) -> int:
+    """The most lines that each of so many documents by number of lines may give for at most ``limit`` together; one at least."""
+    left, docs = limit, sum(sizes.values())
+    for lines in sorted(sizes):
+        if lines * docs > left:
+            return max(1, left // docs)
+        left, docs = left - lines * sizes[lines], docs - sizes[lines]
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> Chain | None:
     """Learn from ``labels`` (doc_id, quality) on a bounded sample; None without any label."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.least(F.greatest(F.min("quality"), F.lit(0)), F.lit(1)).cast("int").alias("quality"))
-    sample = stash(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "sample")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most max_docs rows
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    sample = stash(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "sample")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = stash(own.mapInArrow(_levels, "quality int, doc_id long, levels binary"), "levels")
     width = len(FEATURES)
-    total = F.sum(F.octet_length("levels")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "levels"))
-    # the window sorts the sample only
-    table = rows.withColumn("total", total).filter(F.col("total") <= max_lines * width).orderBy(F.xxhash64("doc_id"), "doc_id", "levels").toArrow()
+    sizes = rows.groupBy((F.octet_length("levels") / width).cast("long").alias("lines")).count().collect()
+    share = equal_share({r["lines"]: r["count"] for r in sizes}, max_lines)
+    table = rows.withColumn("levels", F.substring("levels", 1, share * width)).orderBy(F.xxhash64("doc_id"), "doc_id", "levels").limit(max_lines).toArrow()
     if not len(table):
         return None
     raw = table["levels"].to_pylist()

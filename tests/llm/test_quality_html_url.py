@@ -153,3 +153,17 @@ def test_url_filter_cases(spark, monkeypatch, limit):
     assert {(r.id, r.verdict) for r in rows} == {(r.id, r.want) for r in rows}
     assert uf.evaluate(captures.limit(0), entries).collect() == []
     assert {r.verdict for r in uf.evaluate(captures, entries.limit(0)).collect()} == {"allowed"}
+
+
+def test_long_text_displaces_no_other(spark):
+    """Every labelled document teaches, whatever its place and length; labels without a document take no place."""
+    assert qc.equal_share({2: 3, 10: 1}, 100) == 10 and qc.equal_share({2: 3, 100: 2}, 26) == 10 and qc.equal_share({}, 5) == 1
+    good, bad = "This is a good line of text.\nAnd here is one more of them.", "### $$$ ||| %%%\n*** &&& <<< >>>"
+    docs = [(k, (good if k % 2 else bad)) for k in range(20)]
+    docs = [(k, "\n".join([t] * 200) if k < 2 else t) for k, t in docs]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id long, quality int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = qc.fit(frame, labels, max_docs=20, max_lines=60)
+    got = {r.doc_id: r.score for r in qc.score(frame, chain).collect()}
+    assert all((got[k] > 0.7) == bool(k % 2) for k in got)
+    assert chain is not None and qc.fit(frame.filter("doc_id < 1"), labels, max_lines=60) is not None
