@@ -41,7 +41,7 @@ BLOCK = 2048
 BROADCAST_IDS = 2_000_000
 
 INDEX = "doc_ids array<long>, first array<int>, terms array<binary>, term_at array<int>, positions array<int>"
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, near_items array<string>"
+RESULT = "segment long, place int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, near_items array<string>"
 
 
 class Phrases:
@@ -110,7 +110,7 @@ def build_index(docs: DataFrame, terms: pa.Array | None = None) -> DataFrame:
                     ["doc_ids", "first", "terms", "term_at", "positions"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX).withColumn("segment", F.monotonically_increasing_id())
 
 
 class Segment:
@@ -187,19 +187,20 @@ class Segment:
 
 
 def search(index: DataFrame, phrases: Phrases, near: bool = True, span: int = SPAN) -> DataFrame:
-    """One row per document: its words, the words inside an occurrence of a phrase, these items, the
+    """One row per document: its place in the index, its words, the words inside an occurrence of a phrase, these items, the
     merged spans (word numbers, half-open), and the items of which a phrase's words are near each other.
     """
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                yield _search_segment({n: batch.column(n)[i].values for n in batch.schema.names}, phrases, near, span)
+                row = {n: batch.column(n)[i].values for n in batch.schema.names if n != "segment"}
+                yield _search_segment(row, batch.column("segment")[i].as_py(), phrases, near, span)
 
     return index.mapInArrow(run, RESULT)
 
 
-def _search_segment(row: dict, phrases: Phrases, near: bool, span: int) -> pa.RecordBatch:
+def _search_segment(row: dict, segment: int, phrases: Phrases, near: bool, span: int) -> pa.RecordBatch:
     row = {k: v if k in ("doc_ids", "terms") else v.to_numpy(zero_copy_only=False) for k, v in row.items()}
     first, n_docs = row["first"].astype(np.int64), len(row["doc_ids"])
     items: list[set] = [set() for _ in range(n_docs)]
@@ -227,6 +228,8 @@ def _search_segment(row: dict, phrases: Phrases, near: bool, span: int) -> pa.Re
         spans[d].append({"start": b - int(first[d]), "end": e - int(first[d])})
     return pa.RecordBatch.from_arrays(
         [
+            pa.array(np.full(n_docs, segment), pa.int64()),
+            pa.array(np.arange(n_docs), pa.int32()),
             row["doc_ids"],
             pa.array(np.diff(first) - 1, pa.int64()),
             pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
@@ -234,7 +237,7 @@ def _search_segment(row: dict, phrases: Phrases, near: bool, span: int) -> pa.Re
             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             pa.array([sorted(x) for x in close], pa.list_(pa.string())),
         ],
-        [f.split()[0] for f in ("doc_id", "n_words", "n_hit", "items", "spans", "near_items")],
+        [f.split()[0] for f in ("segment", "place", "doc_id", "n_words", "n_hit", "items", "spans", "near_items")],
     )
 
 
@@ -246,14 +249,14 @@ def find(docs: DataFrame, benchmark: DataFrame, near: bool = True) -> DataFrame:
     phrases = Phrases(one)
     index = stash(build_index(docs, phrases.terms if two is None else None), "index")
     if two is None:
-        return search(index, phrases, near)
+        return search(index, phrases, near).drop("segment", "place")
     found = [stash(search(index, phrases, near), "found"), stash(search(index, Phrases(two), near), "found")]
     found += [stash(search(index, Phrases(x), near), "found") for x in parts]
     return merge(reduce(DataFrame.unionByName, found))
 
 
 def merge(found: DataFrame) -> DataFrame:
-    """Joins the results of several slices, one row per document and slice; doc_id must be unique here.
+    """Joins the results of several slices, one row per place in the index and slice: a repeated document row stays a row of its own.
 
     Spans of several slices are merged in order of their start; each adds what lies beyond the furthest end so far.
     """
@@ -265,9 +268,9 @@ def merge(found: DataFrame) -> DataFrame:
         lambda s: s["n"].cast("long"),
     )
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), grown.alias("n_hit"), union("items").alias("items"), flat.alias("spans"), union("near_items").alias("near_items")
-    )
+    return found.groupBy("segment", "place").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), grown.alias("n_hit"), union("items").alias("items"), flat.alias("spans"), union("near_items").alias("near_items")
+    ).drop("segment", "place")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

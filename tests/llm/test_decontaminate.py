@@ -58,6 +58,17 @@ def test_spans_and_proximity(spark):
     assert got[7].near_items == [] and got[8].near_items == []
 
 
+def test_repeated_rows_in_slices(spark, monkeypatch):
+    """Several slices give the same rows as one, also for repeated, changed and missing doc_ids."""
+    _, items = frames(spark)
+    docs = spark.createDataFrame([*DOCS, DOCS[0], (1, DOCS[1][1]), (None, DOCS[0][1]), (None, "clean"), (None, None)], "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, list(r["items"]), list(r.near_items))
+    one = sorted(key(r) for r in dc.find(docs, items).collect())
+    monkeypatch.setattr(dc.slices, "__defaults__", (12,))
+    assert sorted(key(r) for r in dc.find(docs, items).collect()) == one
+    assert len(one) == len(DOCS) + 5
+
+
 def test_edges(spark):
     _, items = frames(spark)
     out = dc.find(brute.edge_docs(spark), items).collect()
