@@ -253,23 +253,23 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
     """The k best rows per query over three libraries: (query_id, query_type, key, lib, raw_score, score, rank).
 
     queries: query_id, text, embedding, query_type and, optionally, industry. corpus: key, value, source, tags,
-    embedding, confidence, stability, last_review. Scores are fused over the whole corpus; of its ``overfetch`` best rows
+    embedding, confidence, stability, last_review. Scores are fused over the whole corpus (a row without a vector of the
+    query's length has a vector part of 0); of its ``overfetch`` best rows
     (all, if None) each library keeps its best five, scaled by the boost for the query's type.
     """
     spark = corpus.sparkSession
     ids, id_type = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
     time_ = retrievability(F.lit(float(now)), F.col("last_review"), F.col("stability"))
     conf = F.coalesce("confidence", F.lit(0.5))
-    rows = corpus.filter("embedding IS NOT NULL").select("key", "source", "tags", "embedding", time_.cast("double").alias("time"), conf.cast("double").alias("conf"))
+    rows = corpus.select("key", "source", "tags", "embedding", time_.cast("double").alias("time"), conf.cast("double").alias("conf"))
     ends = rows.agg(F.min("time"), F.max("time"), F.min("conf"), F.max("conf")).first()
     if ends[0] is None:
         return spark.createDataFrame([], f"query_id {ids}, query_type string, key {dict(corpus.dtypes)['key']}, lib string, raw_score double, score double, rank int")
     scaled = rows.withColumns({"time": _scaled(F.col("time"), F.lit(ends[0]), F.lit(ends[1])), "conf": _scaled(F.col("conf"), F.lit(ends[2]), F.lit(ends[3]))})
     fts = minmax(fulltext_topk(queries, corpus), "score", "query_id").select("query_id", "key", F.col("norm").alias("fts"))
     fts = stash(fts, "fulltext")
-    words: dict = {}
-    for r in small_rows(fts):  # at most 200 rows a query
-        words.setdefault(r.key, {})[r.query_id] = r.fts
+    words = fts.groupBy("key").agg(F.collect_list(F.struct("query_id", "fts")).alias("words"))  # at most one a query
+    scaled = stash(scaled.join(words, "key", "left"), "scaled")
     kinds = {r.query_id: r.query_type if adaptive else "general" for r in small_rows(queries.select("query_id", "query_type"))}
     spans = _ranges(queries, rows)
     keep = overfetch or 0
@@ -278,8 +278,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
 
         def run(batches, block=block, q=q):
             w = np.array([WEIGHTS[kinds[i]] for i in block])
-            lo = np.array([spans[i][0] for i in block])
-            width = np.array([spans[i][1] - spans[i][0] for i in block])
+            place = {i: n for n, i in enumerate(block)}
+            lo = np.array([spans.get(i, (0, 0))[0] for i in block])
+            width = np.array([spans.get(i, (0, 0))[1] for i in block]) - lo
             for batch in batches:
                 keys = batch.column("key").to_pylist()
                 m, at = vectors(batch.column("embedding"), q.shape[1])
@@ -287,10 +288,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
                 if len(at):
                     vec[:, at] = np.where(width[:, None] < 1e-9, 0.5, (q @ m.T - lo[:, None]) / np.where(width < 1e-9, 1, width)[:, None])
                 total = w[:, :1] * vec + w[:, 2:3] * batch.column("time").to_numpy()[None] + w[:, 3:] * batch.column("conf").to_numpy()[None]
-                for j, key in enumerate(keys):
-                    for i, s in (words.get(key) or {}).items():
-                        if i in block:
-                            total[block.index(i), j] += w[block.index(i), 1] * s
+                for j, found in enumerate(batch.column("words").to_pylist()):
+                    for x in found or ():
+                        if (n := place.get(x["query_id"])) is not None:
+                            total[n, j] += w[n, 1] * x["fts"]
                 total = np.round(total, 9)
                 out = [(i, j, total[n, j]) for n, i in enumerate(block) for j in (_top(total[n], keys, keep) if keep else range(len(keys)))]
                 pick = pa.array([j for _, j, _ in out], pa.int64())

@@ -256,3 +256,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, latency_ms double, is_error boolean").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.run_to_end(jobs.stream_latency(stream, "1 hour"), "latency").collect()
     assert sorted((str(r.start), r.n) for r in out) == [("2024-01-01 00:00:00", 1), ("2024-01-01 05:00:00", 1)]
+
+
+# --- the whole job --------------------------------------------------------------------------------
+
+
+def test_retrieve_keeps_rows_without_vector(spark, monkeypatch):
+    monkeypatch.setattr(search, "small_rows", lambda df, limit=2, whole=search.small_rows: whole(df, limit))
+    corpus = spark.createDataFrame(
+        [("a", "needle needle", "ad_law", None), ("b", "needle and hay", "ad_law", [1.0, 0.0]), ("c", "hay and needle", "ad_law", [0.0, 1.0]), ("d", "hay", "ad_law", [0.6, 0.8])], "key string, value string, source string, embedding array<float>"
+    ).selectExpr("*", "'' AS tags", "0.5D AS confidence", "30.0D AS stability", "0L AS last_review")
+    q = spark.createDataFrame([(1, "needle", [0.0, 1.0], "law")], "query_id long, text string, embedding array<float>, query_type string")
+    out = {r.key: r.raw_score for r in search.retrieve(q, corpus, 1000, k=5).collect()}
+    assert set(out) == {"a", "b", "c", "d"}
+    assert out["a"] == pytest.approx(0.25 + 0.5 * 0.15)  # best full text, no vector, time and confidence all alike
