@@ -30,11 +30,11 @@ def recent_reviews(reviews: DataFrame, n: int = 10) -> DataFrame:
     return reviews.orderBy(F.desc("created_at"), "review_id").limit(n).select("review_id", F.substring("text", 1, 30).alias("preview"), "status", "overall_risk", "violation_count")
 
 
-def feedback_by_violation(feedback: DataFrame, n: int = 20) -> DataFrame:
-    """Counts per violation, of the busiest n."""
+def feedback_by_violation(feedback: DataFrame, n: int | None = 20) -> DataFrame:
+    """Counts per violation, of the busiest n or, if None, of all."""
     one = lambda a: F.count_if(F.col("action") == a)
     rows = feedback.groupBy("violation_id").agg(one("confirm").alias("confirms"), one("dismiss").alias("dismisses"), one("modify").alias("modifies"), F.count("*").alias("total"))
-    return rows.orderBy(F.desc("total"), "violation_id").limit(n)
+    return rows if n is None else rows.orderBy(F.desc("total"), "violation_id").limit(n)
 
 
 def feedback_totals(feedback: DataFrame) -> DataFrame:

@@ -854,7 +854,7 @@ def f4_totals(spark, sf):
 
 @query("f5_learning_adjustments", f"{_BY_VIOLATION} SELECT violation_id, CASE WHEN dismisses / total >= 0.7 THEN 'down' ELSE 'up' END AS direction, CASE WHEN dismisses / total >= 0.7 THEN 0.15 ELSE 0.1 END::DOUBLE AS magnitude, total AS sample_count FROM v WHERE total >= 3 AND (dismisses / total >= 0.7 OR confirms / total >= 0.8)")
 def f5(spark, sf):
-    return analytics.learning_adjustments(analytics.feedback_by_violation(i.feedback(spark, sf), 1_000_000))
+    return analytics.learning_adjustments(analytics.feedback_by_violation(i.feedback(spark, sf), None))
 
 
 def _latency(spark, sf):

@@ -261,6 +261,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
 # --- the whole job --------------------------------------------------------------------------------
 
 
+def test_feedback_without_limit(spark):
+    from claimscan.plans.queries import QUERIES
+
+    rows = spark.createDataFrame([(f"v{k}", "confirm") for k in range(30) for _ in range(3)], "violation_id string, action string")
+    assert analytics.learning_adjustments(analytics.feedback_by_violation(rows, None)).count() == 30
+    plan = QUERIES["f5_learning_adjustments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
 def test_retrieve_keeps_rows_without_vector(spark, monkeypatch):
     monkeypatch.setattr(search, "small_rows", lambda df, limit=2, whole=search.small_rows: whole(df, limit))
     corpus = spark.createDataFrame(
