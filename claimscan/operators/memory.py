@@ -25,13 +25,21 @@ TOPIC_BLOCK = 2048
 # --- links ----------------------------------------------------------------------------------------
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
+def common_dimension(df: DataFrame, col: str = "embedding") -> int | None:
+    """The commonest length of the vectors, the greater of equals; None without any."""
+    first = df.filter(F.col(col).isNotNull()).groupBy(F.size(col).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    return None if first is None else first["dim"]
+
+
+def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None) -> DataFrame:
     """Ordered pairs (key, other, strength) of different keys whose unit vectors have a dot product of at least ``threshold``.
 
     The vectors are dealt into blocks by hash; every pair of blocks meets in one task, which holds two blocks and
-    emits only the pairs found. No pair is computed twice; both orders are emitted.
+    emits only the pairs found. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
+    (by default the commonest of the table) are left out.
     """
     n = df.count()
+    dim = common_dimension(df) if dim is None else dim
     blocks = max(1, math.ceil(n / block))
     key = dict(df.dtypes)["key"]
     own = df.select("key", "embedding", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"))
@@ -43,11 +51,10 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK) ->
         b = table["b"].to_numpy()
         keys = table["key"].to_pylist()
         rows = table["embedding"].to_pylist()
-        dim = max((len(v) for v in rows if v is not None), default=0)
         good = np.array([v is not None and len(v) == dim for v in rows])
         left, right = np.flatnonzero(good & (b == x)), np.flatnonzero(good & (b == y))
-        a = np.array([rows[i] for i in left], dtype=np.float64).reshape(len(left), dim)
-        c = a if x == y else np.array([rows[i] for i in right], dtype=np.float64).reshape(len(right), dim)
+        a = np.array([rows[i] for i in left], dtype=np.float64).reshape(len(left), dim or 0)
+        c = a if x == y else np.array([rows[i] for i in right], dtype=np.float64).reshape(len(right), dim or 0)
         s = a @ c.T
         i, j = np.nonzero(s >= threshold)
         if x == y:
@@ -72,12 +79,13 @@ def add_links(links: DataFrame, new: DataFrame, types: list[str] = LINK_TYPES, d
 # --- topics ---------------------------------------------------------------------------------------
 
 
-def match_topics(df: DataFrame, topics: DataFrame, threshold: float = 0.75) -> DataFrame:
+def match_topics(df: DataFrame, topics: DataFrame, threshold: float = 0.75, dim: int | None = None) -> DataFrame:
     """(key, topic_id, similarity): the nearest centroid (id, centroid) of each vector (key, embedding).
 
     The lowest id wins ties; below the threshold the topic is null. Only positive similarities count. Topics are sent
-    to the tasks in blocks.
+    to the tasks in blocks. Vectors and centroids whose length is not ``dim`` (by default the commonest of ``df``) match nothing.
     """
+    dim = common_dimension(df) if dim is None else dim
     kind = dict(df.dtypes)["key"]
     rows, parts = [], []
 
@@ -97,9 +105,7 @@ def match_topics(df: DataFrame, topics: DataFrame, threshold: float = 0.75) -> D
 
         return df.select("key", "embedding").mapInArrow(run, f"key {kind}, t long, s double")
 
-    for r in topics.filter("centroid IS NOT NULL").orderBy("id").select("id", "centroid").toLocalIterator():
-        if rows and len(r[1]) != len(rows[0][1]):
-            continue
+    for r in topics.filter(F.size("centroid") == F.lit(dim)).orderBy("id").select("id", "centroid").toLocalIterator():
         rows.append(r)
         if len(rows) == TOPIC_BLOCK:
             parts.append(compare([x[0] for x in rows], np.array([x[1] for x in rows], dtype=np.float64)))
@@ -124,8 +130,9 @@ def cluster_topics(df: DataFrame, threshold: float = 0.75, topics: DataFrame | N
     smaller neighbour founds one. Rounds over the threshold graph decide all rows whose smaller neighbours are
     decided, until none is open.
     """
-    pairs = stash(similar_pairs(df, threshold).filter("other < key"), "pairs")
-    matched = match_topics(df, topics, threshold) if topics is not None else df.select("key", F.lit(None).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
+    dim = common_dimension(df)
+    pairs = stash(similar_pairs(df, threshold, dim=dim).filter("other < key"), "pairs")
+    matched = match_topics(df, topics, threshold, dim) if topics is not None else df.select("key", F.lit(None).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
     matched = stash(matched, "matched")
     state = stash(matched.select("key", F.when(F.col("topic_id").isNotNull(), False).alias("leads")), "state")
     while state.filter("leads IS NULL").limit(1).count():

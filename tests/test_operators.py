@@ -261,6 +261,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
 # --- the whole job --------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_one_longer_vector_displaces_no_other(spark, block):
+    v = [(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(20)]
+    df = spark.createDataFrame([*v, (99, [1.0, 0.0, 0.0])], "key long, embedding array<float>")
+    want = {(i, j) for i in range(20) for j in range(20) if i != j and i % 2 == j % 2}
+    assert {(r.key, r.other) for r in memory.similar_pairs(df, 0.9, block).collect()} == want
+    topics = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, centroid array<float>")
+    assert {r.key: r.topic_id for r in memory.match_topics(df, topics).collect()} == {k: 1 if k % 2 else 2 for k in range(20)} | {99: None}
+    out = memory.cluster_topics(df.selectExpr("key", "'v' AS value", "embedding"), 0.9).collect()
+    assert len({r.topic for r in out if r.key < 20}) == 2
+
+
 def test_feedback_without_limit(spark):
     from claimscan.plans.queries import QUERIES
 
