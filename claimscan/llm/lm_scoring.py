@@ -6,17 +6,16 @@ Krichevsky and Trofimov, and mixes its own estimate half and half with the produ
 mixtures (Willems, Shtarkov and Tjalkens 1995). The weights that all the training text gives to
 "stop here" and "look further back" are kept, so that a byte's probability is the mixture over all depths
 on its context's path. A text ends with a byte that UTF-8 never uses, so that the probabilities of all
-texts add up to one.
+texts add up to one. The code length per byte follows from the score.
 
 Counting and mixing: every context that occurs has its node, so the tree grows with the text and is never in one
-place. Byte strings of DEPTH + 1 are dealt by the last NEAR bytes of their context into buckets, whose number
-grows with the text; a bucket has whole subtrees, mixes them, and hands up one sum for each node above.
-The tree of contexts of less than NEAR bytes, which no text can make larger than 1 + 256 + 65,536 nodes, is mixed
-on the driver and sent to the tasks. The documents are dealt into parts of about PART bytes; a part asks each
-bucket once for the log probabilities of its distinct strings, and the answers are joined to the part.
-
-``fit`` is the same mixture in one piece, for small texts: it keeps the most frequent contexts up to MAX_NODES, and
-rarer ones share a "rest" child of their longest kept suffix. ``score`` doesn't use it.
+place. The documents are dealt into parts of about PART bytes, each with its distinct byte strings of DEPTH + 1 and
+how often those that are learned from occur. The strings are dealt by the last NEAR bytes of their context into
+buckets; a bucket has whole subtrees, mixes them, and hands up one sum for each node above. The tree of contexts of
+less than NEAR bytes, which no text can make larger than 1 + 256 + 65,536 nodes, is mixed on the driver and sent to the
+tasks. Each bucket then has the log probabilities of all its strings; a part asks it once for its own, and
+the answers are joined to the part. A bucket that many parts ask meets them in groups of about GROUP bytes.
+Strings, counts and answers travel packed.
 
 Beside it, a unigram base score over words: the words' counts are a table joined by a shuffle, all but
 the most frequent words of up to HEAD_BYTES bytes, up to HEAD_WORDS, which have bounded size and are sent to the
@@ -35,34 +34,60 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, mix, split_words
 from ._work import most_frequent, stash
 
 DEPTH = 5
-MAX_NODES = 49_152
 #: The byte that ends a text and, as context, stands before it.
 END = 0xFF
 HEAD_WORDS, HEAD_BYTES = 131_072, 64
 SMOOTHING = 0.1
 CHUNK = 4 << 20
-SCORE_CHUNK = 2 << 20
 #: Bytes of text whose byte strings are made at a time; a string takes eight times as much in each array.
 GRAM_CHUNK = 1 << 20
 #: Places of a decision whose trees are mixed at a time; bounds the driver's arrays.
 PLACES = 16
-#: Distinct byte strings that a task holds before it hands them on.
-HELD = 1_000_000
 #: Subtrees of contexts of so many bytes stay together.
 NEAR = 3
-#: Bytes of text of a part of the documents, and for each bucket of the tree; buckets at least.
-PART, BUCKET, LEAST_BUCKETS = 8 << 20, 16 << 20, 64
+#: Bytes of text of a part of the documents, and for each bucket of the tree; how many buckets at least and at most.
+PART, BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 16 << 20, 64, 4096
+#: Packed bytes of a bucket that meet in one task.
+GROUP = 64 << 20
+
+PARTS = "part long, body binary, grams array<binary>, counts array<binary>"
+COUNTS = "bucket int, grams binary, n binary"
+SUBTREES = COUNTS + ", kind array<int>, key array<long>, x array<double>"
+SCORED = "doc_id long, n_tokens long, head_known long, head_sum double, score double, bits_per_byte double, words array<string>, counts array<int>"
+
+
+# --- packing ----------------------------------------------------------------------------------------
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of numbers of one type, by place and compressed; ascending whole numbers as differences."""
+    if not len(values):
+        return b""
+    if values.dtype == np.int64:
+        values = np.diff(values, prepend=0)
+    width = values.dtype.itemsize
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-PARTS = "part long, doc_ids array<long>, texts array<string>, asks array<binary>"
-SUBTREES = "bucket int, grams binary, n binary, kind array<int>, key array<long>, x array<double>"
-SCORED = "doc_id long, n_tokens long, head_known long, head_sum double, score double, words array<string>, counts array<int>"
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, dtype=kind)
+    n, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed[8:], n * width, codec="zstd"), dtype=np.uint8)
+    values = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+    return np.cumsum(values) if kind == np.int64 else values
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 # --- counting -------------------------------------------------------------------------------------
@@ -83,37 +108,6 @@ def framed(batch: pa.RecordBatch, depth: int = DEPTH) -> tuple[np.ndarray, np.nd
     return out, np.flatnonzero(predicted), offsets + np.arange(n + 1)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n): strings of DEPTH + 1 bytes as one number, the latest byte lowest."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            keys, index = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(index, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
-            return keys, n
-
-        def rows(keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-        for whole in batches:
-            for batch in chunks(whole, "text", CHUNK):
-                data, at, _ = framed(batch)
-                gram = np.zeros(len(at), dtype=np.uint64)
-                for k in range(DEPTH, -1, -1):
-                    gram = (gram << np.uint64(8)) | data[at - k]
-                held.append(np.unique(gram, return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD // 2:
-                        yield rows(*held.pop())
-        if held:
-            yield rows(*merged())
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all words of ``docs``; the end of a text counts as the empty word."""
 
@@ -128,114 +122,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-# --- the tree ---------------------------------------------------------------------------------------
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series at x + 8, brought back by the recurrence."""
-    y = x + 8
-    back = np.zeros_like(x)
-    for k in range(8):
-        back += np.log(x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - back
-
-
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
-
-
-class Tree:
-    """``child[node, byte]``: the node with one byte more of context, 0 if it is not kept; ``logp[node,
-    byte]``: log10 probability of the next byte where the context's longest kept suffix is the node."""
-
-    def __init__(self, child: np.ndarray, logp: np.ndarray):
-        self.child, self.logp = child, logp
-
-
-def build_tree(depth: np.ndarray, parent: np.ndarray, last: np.ndarray, counts: np.ndarray, max_depth: int = DEPTH) -> Tree:
-    """Nodes in an order in which parents precede; ``last``: the earliest byte of a node's context;
-    ``counts``: occurrences of each next byte. Node 0 is the empty context.
-    """
-    n = len(depth)
-    child = np.zeros((n, 256), dtype=np.uint16 if n <= 1 << 16 else np.int32)
-    child[parent[1:], last[1:]] = np.arange(1, n)
-    leaf = (depth == max_depth)[:, None]
-    levels = [np.flatnonzero(depth == d) for d in range(max_depth + 1)]
-    logp = np.zeros((n, 256), dtype=np.float32)
-    for bit in range(8):  # each place that a decision can have in a byte has a tree of its own
-        for lo in range(0, 1 << bit, PLACES):
-            hi = min(lo + PLACES, 1 << bit)
-            width = 128 >> bit
-            own = counts[:, lo * 2 * width : hi * 2 * width].reshape(n, hi - lo, 2, width).sum(axis=3).astype(np.float64)
-            p = mix_depths(own, parent, leaf, levels)
-            both = np.log10(np.stack([1 - p, p], axis=2)).reshape(n, -1)
-            logp[:, lo * 2 * width : hi * 2 * width] += np.repeat(both, width, axis=1).astype(np.float32)
-    return Tree(child, logp)
-
-
-def mix_depths(own: np.ndarray, parent: np.ndarray, leaf: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """P(1) at each node and place, from the zeros and ones seen there (nodes x places x 2)."""
-    rest = own.copy()
-    np.subtract.at(rest, parent[1:], own[1:])
-    log_e = log_kt(own[:, :, 0], own[:, :, 1])
-    below = log_kt(rest[:, :, 0], rest[:, :, 1])  # log product of the children's mixtures, the rest first
-    log_w = np.empty_like(log_e)
-    for at in reversed(levels):
-        log_w[at] = np.where(leaf[at], log_e[at], np.logaddexp(log_e[at], below[at]) + np.log(0.5))
-        if len(at) and at[0]:
-            np.add.at(below, parent[at], log_w[at])
-    stop = np.where(leaf, 1.0, np.exp(np.minimum(log_e + np.log(0.5) - log_w, 0)))
-    one, one_rest = ((x[:, :, 1] + 0.5) / (x.sum(axis=2) + 1) for x in (own, rest))
-    so_far, further = np.zeros_like(one), np.ones_like(one)
-    for at in levels[1:]:
-        up = parent[at]
-        so_far[at] = so_far[up] + further[up] * stop[up] * one[up]
-        further[at] = further[up] * (1 - stop[up])
-    return so_far + further * (stop * one + (1 - stop) * one_rest)
-
-
-def fit(docs: DataFrame) -> Tree:
-    """The tree of all texts of ``docs``. The driver gets at most MAX_NODES nodes and their counts."""
-    grams = stash(count_grams(docs), "grams")
-    counts = None
-    for d in range(DEPTH, -1, -1):  # strings of d + 1 bytes
-        level = grams.select(F.lit(d).alias("d"), F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(0xFF)).cast("int").alias("byte"), "n")
-        counts = level if counts is None else counts.union(level)
-        if d:
-            grams = stash(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    sizes = stash(counts.groupBy("d", "ctx").agg(F.sum("n").alias("m")), "sizes")
-    nodes = most_frequent(sizes, "m", MAX_NODES).toArrow().sort_by([("d", "ascending"), ("ctx", "ascending")])
-    d, ctx = nodes["d"].to_numpy(), nodes["ctx"].to_numpy()
-    if not len(d):
-        d = ctx = np.zeros(1, dtype=np.int64)
-    key = (d.astype(np.int64) << 56) | ctx  # ascending
-    shift = 8 * np.maximum(d.astype(np.int64) - 1, 0)
-    parent = np.searchsorted(key, (np.maximum(d.astype(np.int64) - 1, 0) << 56) | (ctx & ((1 << shift) - 1)))
-    chosen = docs.sparkSession.createDataFrame(pa.table({"d": pa.array(d, pa.int32()), "ctx": pa.array(ctx, pa.int64())}))
-    rows = counts.join(F.broadcast(chosen), ["d", "ctx"]).select("d", "ctx", "byte", "n").toArrow()
-    most = int(rows["n"].to_numpy().max(initial=0))
-    table = np.zeros((len(d), 256), dtype=np.int32 if most < 1 << 31 else np.int64)
-    table[np.searchsorted(key, (rows["d"].to_numpy().astype(np.int64) << 56) | rows["ctx"].to_numpy()), rows["byte"].to_numpy()] = rows["n"].to_numpy()
-    return build_tree(d, parent, (ctx >> shift) & 0xFF, table)
-
-
-def log_probabilities(batch: pa.RecordBatch, tree: Tree) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    data, at, first = framed(batch)
-    node = tree.child[0, data[at - 1]].astype(np.int32)
-    alive = node > 0
-    for k in range(2, DEPTH + 1):
-        further = tree.child.ravel()[node * 256 + data[at - k]]
-        alive &= further > 0
-        node = np.where(alive, further, node)
-    each = tree.logp.ravel()[node * 256 + data[at]].astype(np.float64)
-    return np.add.reduceat(each, first[:-1]) if len(batch) else np.zeros(0)
-
-
-# --- the whole tree, in buckets -------------------------------------------------------------------
-
-
 def distinct_grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct strings of DEPTH + 1 bytes as numbers, the latest byte lowest; the index of each byte's string; each text's first."""
     data, at, first = framed(batch)
@@ -257,38 +143,8 @@ def _cut(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def deal_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, grams, n): distinct byte strings and how often they occur, several rows a bucket."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            keys, index = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(index, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
-
-        def rows(keys, n):
-            order, cuts = _cut(keys, buckets)
-            there = np.flatnonzero(np.diff(cuts))
-            piece = lambda x: pa.array([x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in there], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), piece(keys), piece(n)], ["bucket", "grams", "n"])
-
-        for whole in batches:
-            for batch in chunks(whole, "text", GRAM_CHUNK):
-                grams, index, _ = distinct_grams(batch)
-                held.append((grams, np.bincount(index, minlength=len(grams))))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD // 2:
-                        yield rows(*held.pop())
-        if held:
-            yield rows(*merged())
-
-    return docs.select("text").mapInArrow(run, "bucket int, grams binary, n binary")
-
-
-def deal_parts(docs: DataFrame, buckets: int) -> DataFrame:
-    """PARTS: rows of about PART bytes of texts each, with the part's distinct byte strings by bucket."""
+def deal(rows: DataFrame, buckets: int) -> DataFrame:
+    """PARTS of rows (doc_id, text, asked, learned): the asked documents, the distinct byte strings by bucket, and how often the learned have them."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -296,30 +152,54 @@ def deal_parts(docs: DataFrame, buckets: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         grams: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = 0
 
         def part():
-            table = pa.Table.from_batches(held).combine_chunks()
-            all_grams = np.unique(np.concatenate(grams))
-            order, cuts = _cut(all_grams, buckets)
-            asks = [all_grams[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            ends = pa.array([0, len(table)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, table[c].combine_chunks()) for c in ("doc_id", "text")]
-            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([asks], pa.list_(pa.binary()))], [f.split()[0] for f in PARTS.split(", ")])
+            keys, index = np.unique(np.concatenate(grams), return_inverse=True)
+            n = np.bincount(index, weights=np.concatenate(counts), minlength=len(keys)).astype(np.uint64)
+            order, cuts = _cut(keys, buckets)
+            cells = lambda x: pa.array([[pack(x[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]], pa.list_(pa.binary()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            body = sink.getvalue().to_pybytes() if any(len(b) for b in held) else None
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([body], pa.binary()), cells(keys), cells(n)], _names(PARTS))
 
         for whole in batches:
             for batch in chunks(whole, "text", GRAM_CHUNK):
-                held.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string())], ["doc_id", "text"]))
-                grams.append(distinct_grams(batch)[0])
-                size += len(buffers(batch.column("text"))[0])
+                own, index, first = distinct_grams(batch)
+                learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(np.float64)
+                grams.append(own)
+                counts.append(np.bincount(index, weights=np.repeat(learned, np.diff(first)), minlength=len(own)))
+                held.append(batch.select(["doc_id", "text"]).filter(batch.column("asked")))
+                size += len(index)
                 if size >= PART:
                     yield part()
+                    held, grams, counts, size, number = [], [], [], 0, number + 1
                     pa.default_memory_pool().release_unused()
-                    held, grams, size, number = [], [], 0, number + 1
         if held:
             yield part()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PARTS)
+    return rows.mapInArrow(run, PARTS)
+
+
+# --- the tree ---------------------------------------------------------------------------------------
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series at x + 8, brought back by the recurrence."""
+    y = x + 8
+    back = np.zeros_like(x)
+    for k in range(8):
+        back += np.log(x + k)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - back
+
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
 @cache
@@ -451,64 +331,100 @@ class Top:
         return tuple(out.astype(np.float64).T)
 
 
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of rows of COUNTS, ascending, and their sums."""
+    grams, index = np.unique(np.concatenate([unpack(x, np.int64) for x in table["grams"].to_pylist()]), return_inverse=True)
+    n = np.concatenate([unpack(x, np.uint64) for x in table["n"].to_pylist()])
+    return grams, np.bincount(index, weights=n, minlength=len(grams)).astype(np.uint64)
+
+
+def _cell(value, kind: pa.DataType) -> pa.Array:
+    return pa.array([value], kind)
 
 
-def fit_whole(train: DataFrame, buckets: int) -> tuple[DataFrame, Top]:
-    """The tree of all texts of ``train``: its subtrees as a written table (SUBTREES), and the top."""
+def merge_counts(counted: DataFrame) -> DataFrame:
+    """COUNTS with so few rows a bucket that a task can hold those of any: else they are first added up in groups."""
+
+    def add(table: pa.Table) -> pa.Table:
+        grams, n = _merge(table)
+        return pa.table([table["bucket"].slice(0, 1), _cell(pack(grams), pa.binary()), _cell(pack(n), pa.binary())], names=_names(COUNTS))
+
+    while True:
+        size, rows = F.sum(F.octet_length("grams") + F.octet_length("n")), F.count("*")
+        groups = counted.groupBy("bucket").agg(F.least(F.ceil(size / GROUP), F.ceil(rows / 4)).alias("g")).agg(F.max("g")).first()[0] or 1
+        if groups <= 1:
+            return counted
+        group = F.pmod(F.xxhash64("grams", "n"), F.lit(groups)).alias("group")
+        counted = stash(counted.groupBy("bucket", group).applyInArrow(add, COUNTS), "counts")
+
+
+def fit(parts: DataFrame) -> DataFrame:
+    """(bucket, grams, logp): the log10 probabilities of all byte strings of written ``parts``, learned from all their counts."""
 
     def gather(table: pa.Table) -> pa.Table:
-        grams, index = np.unique(_numbers(table["grams"]), return_inverse=True)
-        n = np.bincount(index, weights=_numbers(table["n"]), minlength=len(grams)).astype(np.int64)
+        grams, n = _merge(table)
         key, x = Subtrees(grams, n).above()
         near, index = np.unique(grams & ((1 << 8 * NEAR) - 1), return_inverse=True)  # NEAR - 1 bytes of context and the next
         kind = np.repeat([0, 1], [len(near), len(key)])
-        rows = [np.concatenate([near, key]), np.concatenate([np.bincount(index, weights=n), x])]
-        one = lambda v, t: pa.array([v], pa.list_(t))
-        return pa.table([table["bucket"].slice(0, 1), pa.array([grams.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), one(kind, pa.int32()), one(rows[0], pa.int64()), one(rows[1], pa.float64())], names=[f.split()[0] for f in SUBTREES.split(", ")])
+        columns = [np.concatenate([near, key]), np.concatenate([np.bincount(index, weights=n), x])]
+        cells = [_cell(pack(grams), pa.binary()), _cell(pack(n), pa.binary()), _cell(kind, pa.list_(pa.int32())), _cell(columns[0], pa.list_(pa.int64())), _cell(columns[1], pa.list_(pa.float64()))]
+        return pa.table([table["bucket"].slice(0, 1), *cells], names=_names(SUBTREES))
 
-    tree = stash(deal_counts(train, buckets).groupBy("bucket").applyInArrow(gather, SUBTREES), "subtrees")
+    counted = parts.select(F.posexplode(F.arrays_zip("grams", "counts")).alias("bucket", "x")).select("bucket", "x.grams", F.col("x.counts").alias("n")).filter(F.octet_length("grams") > 0)
+    tree = stash(merge_counts(counted).groupBy("bucket").applyInArrow(gather, SUBTREES), "subtrees")
     up = tree.select(F.explode(F.arrays_zip("kind", "key", "x")).alias("r")).groupBy("r.kind", "r.key").agg(F.sum("r.x").alias("x")).toArrow()  # at most 2 * 2^24
     kind, key, x = (up[c].to_numpy() for c in ("kind", "key", "x"))
-    return tree.select("bucket", "grams", "n"), Top(key[kind == 0], x[kind == 0], key[kind == 1], x[kind == 1])
+    top = parts.sparkSession.sparkContext.broadcast(Top(key[kind == 0], x[kind == 0], key[kind == 1], x[kind == 1]))
+
+    def run(batches):
+        for batch in batches:
+            for bucket, packed, n in zip(*(batch.column(c) for c in ("bucket", "grams", "n")), strict=True):
+                logp = Subtrees(unpack(packed.as_py(), np.int64), unpack(n.as_py(), np.uint64)).log_probabilities(top.value)
+                yield pa.RecordBatch.from_arrays([_cell(bucket.as_py(), pa.int32()), _cell(packed.as_py(), pa.binary()), _cell(pack(logp.astype(np.float32)), pa.binary())], ["bucket", "grams", "logp"])
 
+    return stash(tree.select("bucket", "grams", "n").mapInArrow(run, "bucket int, grams binary, logp binary"), "model")
 
-def answer(parts: DataFrame, tree: DataFrame, top: Top) -> DataFrame:
-    """(part, bucket, logp): the log probabilities, as 4-byte numbers, of what each part asks a bucket."""
-    sent = parts.sparkSession.sparkContext.broadcast(top)
-    asks = parts.select("part", F.posexplode("asks").alias("bucket", "grams")).filter(F.octet_length("grams") > 0)
+
+def answer(parts: DataFrame, model: DataFrame) -> DataFrame:
+    """(part, bucket, logp): the packed log probabilities of what each part asks a bucket."""
+    asks = parts.filter("body IS NOT NULL").select("part", F.posexplode("grams").alias("bucket", "asked")).filter(F.octet_length("asked") > 0)
+    groups = asks.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("asked")) / GROUP).alias("groups"))
+    groups = F.broadcast(stash(groups, "groups"))  # at most MOST_BUCKETS rows
+    asks = asks.join(groups, "bucket").select("part", "bucket", "asked", F.pmod(F.xxhash64("part"), F.col("groups")).alias("group"))
+    known = model.join(groups, "bucket").select("bucket", "grams", "logp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
 
     def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, dtype=np.int64) for x in theirs["grams"].to_pylist()]
-        known, n = _numbers(ours["grams"]), _numbers(ours["n"])
-        grams = np.unique(np.concatenate([known, *asked]))
-        seen = np.zeros(len(grams), dtype=np.int64)
-        seen[np.searchsorted(grams, known)] = n
-        logp = Subtrees(grams, seen).log_probabilities(sent.value).astype(np.float32) if len(asked) else None
-        out = [logp[np.searchsorted(grams, x)].tobytes() for x in asked]
+        if not len(theirs):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "bucket", "logp"])
+        grams, logp = unpack(ours["grams"][0].as_py(), np.int64), unpack(ours["logp"][0].as_py(), np.float32)
+        out = [pack(logp[np.searchsorted(grams, unpack(x.as_py(), np.int64))]) for x in theirs["asked"]]
         return pa.table([theirs["part"], theirs["bucket"], pa.array(out, pa.binary())], names=["part", "bucket", "logp"])
 
-    return tree.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(run, "part long, bucket int, logp binary")
+    return known.groupBy("bucket", "group").cogroup(asks.groupBy("bucket", "group")).applyInArrow(run, "part long, bucket int, logp binary")
 
 
 # --- scoring ----------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learned from ``train``."""
+def score(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of ``docs``.
+
+    Learns from the rows of the table ``train``, or from those of ``docs`` for which the condition ``train`` holds.
+    """
     spark = docs.sparkSession
+    row = lambda df, asked, learned: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(asked).alias("asked"), F.coalesce(learned, F.lit(False)).alias("learned"))
+    if isinstance(train, DataFrame):
+        rows = row(docs, True, F.lit(False)).union(row(train, False, F.lit(True)))
+    else:
+        rows, train = row(docs, True, train), docs.filter(train)
     words = stash(count_words(train), "words")
     n_train, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = most_frequent(words.filter(F.octet_length("word") <= HEAD_BYTES), "c", HEAD_WORDS).toArrow()
     known, often = head["word"].combine_chunks().cast(pa.large_binary()), np.append(head["c"].to_numpy(), 0)
     ends = int((np.array(words.filter("word = ''").select("c").collect(), dtype=np.int64)).sum())
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, size // BUCKET)
-    tree, top = fit_whole(train, buckets)
-    parts = stash(deal_parts(docs, buckets), "parts")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = stash(deal(rows, min(MOST_BUCKETS, max(LEAST_BUCKETS, size // BUCKET))), "parts")
     sent = spark.sparkContext.broadcast((known, often))
-
     def one(batch: pa.RecordBatch, grams: np.ndarray, logp: np.ndarray, known: pa.Array, often: np.ndarray) -> pa.RecordBatch:
         own, which, starts = distinct_grams(batch)
         each = logp[np.searchsorted(grams, own)].astype(np.float64)[which]
@@ -524,6 +440,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         pair, n = np.unique(doc * size + index[tail], return_counts=True)
         edges = np.searchsorted(pair, np.arange(len(batch) + 1) * size)
         a, b = found.first[:-1], found.first[1:]
+        total_score = np.add.reduceat(each, starts[:-1])
         offsets = pa.array(edges.astype(np.int32))
         texts = distinct.cast(pa.binary()).cast(pa.string()).take(pa.array(pair % size))
         return pa.RecordBatch.from_arrays(
@@ -532,22 +449,29 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 pa.array(b - a + 1),
                 pa.array(in_head[b] - in_head[a]),
                 pa.array(total[b] - total[a]),
-                pa.array(np.add.reduceat(each, starts[:-1])),
+                pa.array(total_score),
+                pa.array(total_score / (-np.log10(2.0) * np.diff(starts))),
                 pa.ListArray.from_arrays(offsets, texts),
                 pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
             ],
-            [f.split()[0] for f in SCORED.split(", ")],
+            _names(SCORED),
         )
 
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         known, often = sent.value
-        grams = np.frombuffer(b"".join(part["asks"][0].as_py()), dtype=np.int64)  # by bucket, as the answers
-        logp = np.frombuffer(b"".join(answers.sort_by("bucket")["logp"].to_pylist()), dtype=np.float32)
+        grams = np.concatenate([unpack(x, np.int64) for x in part["grams"][0].as_py()])  # by bucket, as the answers
+        logp = np.concatenate([unpack(x, np.float32) for x in answers.sort_by("bucket")["logp"].to_pylist()])
         order = np.argsort(grams)
-        whole = pa.RecordBatch.from_arrays([part["doc_ids"][0].values, part["texts"][0].values], ["doc_id", "text"])
-        return pa.Table.from_batches([one(batch, grams[order], logp[order], known, often) for batch in chunks(whole, "text", GRAM_CHUNK)])
-
-    rows = parts.select("part", "doc_ids", "texts", "asks").groupBy("part").cogroup(answer(parts, tree, top).groupBy("part")).applyInArrow(run, SCORED)
+        grams, logp = grams[order], logp[order]
+        out = []
+        with pa.ipc.open_stream(part["body"][0].as_buffer()) as body:
+            for whole in body:
+                if len(whole):
+                    out.append(one(whole, grams, logp, known, often))
+        return pa.Table.from_batches(out)
+
+    asking = parts.filter("body IS NOT NULL").select("part", "body", "grams")
+    rows = asking.groupBy("part").cogroup(answer(parts, fit(parts)).groupBy("part")).applyInArrow(run, SCORED)
     rows = stash(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
     tail = rows.select("__row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("__row", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
     tail = tail.join(words, "word", "left").groupBy("__row").agg(
@@ -563,6 +487,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("head_sum") + zero("tail_sum") + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         "score",
+        "bits_per_byte",
     )
 
 
@@ -570,5 +495,5 @@ def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 10 is not 0 and scores all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
-    out = score(docs, docs.filter(remainder != 0))
-    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = score(docs, remainder != 0)
+    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

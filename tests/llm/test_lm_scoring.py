@@ -93,19 +93,21 @@ def context_tree(train, test, depth):
     return out
 
 
-def test_tree_equals_recursive_mixture(spark):
-    train = ["abracadabra abracadabra", "a cad and a bra", "été", "", "abracadabra"] * 3
-    test = ["abra cadabra", "", "zzz", "été à la bra"]
-    tree = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
-    got = lm.log_probabilities(pa.RecordBatch.from_pydict({"text": test}), tree)
-    assert got == pytest.approx(context_tree(train, test, lm.DEPTH), rel=1e-4)
+def test_packed_numbers_come_back():
+    for values in (np.array([], np.int64), np.array([3, 4, 900, 1 << 47]), np.array([7, 0, 7], np.uint64), np.array([-1.5, 0.25], np.float32)):
+        assert np.array_equal(lm.unpack(lm.pack(values), values.dtype.type), values)
 
 
-def test_probabilities_sum_to_one_with_few_nodes(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_NODES", 9)
-    tree = lm.fit(spark.createDataFrame([("the cat sat on the mat",)] * 5, "text string"))
-    assert 1 <= len(tree.logp) <= 9
-    assert (10.0**tree.logp).sum(axis=1) == pytest.approx(np.ones(len(tree.logp)), abs=1e-4)
+def test_probabilities_of_the_next_byte_sum_to_one(spark):
+    grams, n = np.unique(lm.distinct_grams(pa.RecordBatch.from_pydict({"text": ["the cat sat on the mat"] * 5}))[0], return_counts=True)
+    context = int(grams[7]) >> 8
+    every = np.unique(np.append(grams, (context << 8) | np.arange(256)))
+    counts = np.zeros(len(every), np.uint64)
+    counts[np.searchsorted(every, grams)] = n
+    near, index = np.unique(every & 0xFFFFFF, return_inverse=True)
+    top = lm.Top(near, np.bincount(index, weights=counts), *lm.Subtrees(every, counts).above())
+    logp = lm.Subtrees(every, counts).log_probabilities(top)
+    assert (10 ** logp[every >> 8 == context]).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_edges(spark):
@@ -120,14 +122,17 @@ def test_edges(spark):
 
 
 def test_score_is_the_whole_mixture_at_every_size(spark, monkeypatch):
-    """No budget of contexts, whatever the number of parts and buckets."""
-    monkeypatch.setattr(lm, "MAX_NODES", 9)
+    """The same whatever the number of parts, buckets and groups, and whether the training rows are a table or a condition."""
     train = ["abracadabra abracadabra", "a cad and a bra", "été", "", "abracadabra"] * 3
     test = ["abra cadabra", "", "zzz", "été à la bra", None]
-    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    frame = lambda texts, at=0: spark.createDataFrame([(i + at, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     want = context_tree(train, [t or "" for t in test], lm.DEPTH)
-    for part, buckets in ((1 << 24, 64), (5, 3)):
+    for part, buckets, group in ((1 << 24, 64, 1 << 24), (5, 3, 1 << 24), (5, 3, 200)):
         monkeypatch.setattr(lm, "PART", part)
         monkeypatch.setattr(lm, "LEAST_BUCKETS", buckets)
+        monkeypatch.setattr(lm, "GROUP", group)
         rows = sorted(lm.score(frame(test), frame(train)).collect())
         assert [r.score for r in rows] == pytest.approx(want, rel=1e-5)
+        assert [r.bits_per_byte for r in rows] == pytest.approx([-w / math.log10(2) / (len((t or "").encode()) + 1) for w, t in zip(want, test)], rel=1e-5)
+        both = sorted(lm.score(frame(test).union(frame(train, 100)), lm.F.col("doc_id") >= 100).collect())
+        assert [r.score for r in both[: len(test)]] == pytest.approx(want, rel=1e-5)
