@@ -1,13 +1,16 @@
 """Byte-level BPE ids of whole columns: texts are cut into words in numpy, and each distinct word is
 encoded once. The cut follows the tokenizer's own pattern (``PATTERN``). The vocabulary comes from the
 tokenizer's file; as its ids are in the order of its merges, tiktoken encodes words with the same result
-and four times as fast. A text with the string of a special token is left to the tokenizer itself.
+and four times as fast. A text with the string of a special token is left to the tokenizer itself, which is
+loaded for the first such text only. A worker keeps one encoder for all its tasks.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from ._bytes import buffers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 65_536
 
 
 @cache
@@ -67,22 +70,29 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         # byte-level vocabularies write the bytes that are no visible character as the characters from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, list[int]] = {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of distinct words; remembers up to CACHE_WORDS."""
         known, word = self.known, self.word
         out = [known.get(w) or word(w) for w in words]
-        if len(known) < CACHE_WORDS:
-            known.update(zip(words, out, strict=True))
+        known.update(islice(zip(words, out, strict=True), CACHE_WORDS - len(known)))
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,3 +121,8 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(n)])
         out = flat[np.repeat(begin[code] - total[:-1], n) + np.arange(total[-1])]
         return out, total[np.searchsorted(starts, offsets)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._bpe import Encoder
+from ._bpe import encoder
 from ._bytes import chunks
 from ._work import stash
 
@@ -36,7 +36,8 @@ END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts in which the pieces of one length are ranked.
 PARTS = 128
-CHUNK = 4 << 20
+#: Bytes of text encoded at a time; the arrays of a task take some forty times as much.
+CHUNK = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,10 +63,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
     """The pieces of every document: its ids and the end token; a longer one is cut from its end."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for whole in batches:
             for batch in chunks(whole, "text", CHUNK):
-                flat, at = encoder.encode(batch.column("text"))
+                flat, at = encode(batch.column("text"))
                 ids = np.full(len(flat) + len(batch), END, dtype="<u4")
                 real = np.ones(len(ids), dtype=bool)
                 real[at[1:] + np.arange(len(batch))] = False
@@ -86,6 +87,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
