@@ -5,12 +5,18 @@ A written table cuts the lineage, survives a lost executor and can be read with
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that Spark sends to a Python worker at a time, unless the session sets its own number.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is set (tests on one machine) a new local one."""
@@ -28,6 +34,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of bounded size; the worker gives freed memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed pages otherwise
+            trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged (a shuffle join).
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ALNUM, buffers, chunks, codes, split_words
-from ._work import small_side, stash
+from ._work import in_arrow, small_side, stash
 
 WINDOW = 10
 #: The words of a phrase are near each other if they lie in so many consecutive words.
@@ -110,7 +110,7 @@ def build_index(docs: DataFrame, terms: pa.Array | None = None) -> DataFrame:
                     ["doc_ids", "first", "terms", "term_at", "positions"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX).withColumn("segment", F.monotonically_increasing_id())
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), segments, INDEX).withColumn("segment", F.monotonically_increasing_id())
 
 
 class Segment:
@@ -197,7 +197,7 @@ def search(index: DataFrame, phrases: Phrases, near: bool = True, span: int = SP
                 row = {n: batch.column(n)[i].values for n in batch.schema.names if n != "segment"}
                 yield _search_segment(row, batch.column("segment")[i].as_py(), phrases, near, span)
 
-    return index.mapInArrow(run, RESULT)
+    return in_arrow(index, run, RESULT)
 
 
 def _search_segment(row: dict, segment: int, phrases: Phrases, near: bool, span: int) -> pa.RecordBatch:

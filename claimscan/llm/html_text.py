@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import chunks
+from ._work import in_arrow
 
 SIGMA = 1.0
 #: Content lines have a smoothed ratio of at least so many standard deviations of the page's ratios.
@@ -175,7 +176,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(rows, run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import buffers, chunks
+from ._work import in_arrow
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -104,7 +105,7 @@ def count(docs: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
                     held.clear()
         yield from rows()
 
-    return docs.select("lang", "text").mapInArrow(add, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select("lang", "text"), add, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -163,7 +164,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] = ()) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*out.columns, *[batch.column(c) for c in extra]], [*out.schema.names, *extra])
 
     schema = SCORES + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in extra)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c == "text" or c in extra]).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c == "text" or c in extra]), run, schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

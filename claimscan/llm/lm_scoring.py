@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, mix, split_words
-from ._work import most_frequent, stash
+from ._work import in_arrow, most_frequent, stash
 
 DEPTH = 5
 #: The byte that ends a text and, as context, stands before it.
@@ -119,7 +119,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 words = pa.concat_arrays([distinct.cast(pa.binary()).cast(pa.string()), pa.array([""])])
                 yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, len(batch)))], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def distinct_grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def deal(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield part()
 
-    return rows.mapInArrow(run, PARTS)
+    return in_arrow(rows, run, PARTS)
 
 
 # --- the tree ---------------------------------------------------------------------------------------
@@ -382,7 +382,7 @@ def fit(parts: DataFrame) -> DataFrame:
                 logp = Subtrees(unpack(packed.as_py(), np.int64), unpack(n.as_py(), np.uint64)).log_probabilities(top.value)
                 yield pa.RecordBatch.from_arrays([_cell(bucket.as_py(), pa.int32()), _cell(packed.as_py(), pa.binary()), _cell(pack(logp.astype(np.float32)), pa.binary())], ["bucket", "grams", "logp"])
 
-    return stash(tree.select("bucket", "grams", "n").mapInArrow(run, "bucket int, grams binary, logp binary"), "model")
+    return stash(in_arrow(tree.select("bucket", "grams", "n"), run, "bucket int, grams binary, logp binary"), "model")
 
 
 def answer(parts: DataFrame, model: DataFrame) -> DataFrame:

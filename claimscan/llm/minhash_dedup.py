@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, hashes, mix, split_words
-from ._work import most_frequent, small_side, stash
+from ._work import in_arrow, most_frequent, small_side, stash
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -185,7 +185,7 @@ def prefix_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     as are left in either. This holds in any order; the best puts frequent shingles last, so those that
     repeat within the batches of all sets are counted, and the COMMON most frequent sent to the tasks.
     """
-    counts = stash(sets.mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "common")
+    counts = stash(in_arrow(sets, _common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "common")
     common = most_frequent(counts, "n", COMMON).toArrow().sort_by("s")
     sent = sets.sparkSession.sparkContext.broadcast((np.append(common["s"].to_numpy(), np.iinfo(np.int64).max), np.append(common["n"].to_numpy(), 0)))
 
@@ -207,7 +207,7 @@ def prefix_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
             left, s = pa.array(np.concatenate(places or none), pa.int32()), pa.array(np.concatenate(own or none))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("c").take(which), whole, left, s], ["doc_id", "c", "n", "left", "s"])
 
-    prefix = stash(sets.mapInArrow(prefixes, "doc_id long, c long, n int, left int, s long"), "prefixes")
+    prefix = stash(in_arrow(sets, prefixes, "doc_id long, c long, n int, left int, s long"), "prefixes")
     side = lambda k: prefix.select(F.col("doc_id").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("left").alias(f"left{k}"), "s")
     enough = F.least("lefta", "leftb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     return side("a").join(side("b"), "s").filter(enough & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
@@ -216,7 +216,7 @@ def prefix_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
 def group(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sign = stash(docs.mapInArrow(_signatures, SIGNATURES), "signatures")
+    sign = stash(in_arrow(docs, _signatures, SIGNATURES), "signatures")
     linked = sign.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stash(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     member = stash(linked.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
@@ -231,7 +231,7 @@ def group(docs: DataFrame) -> DataFrame:
 
     ids = stash(buckets.select(F.col("doc_id").alias("id")).distinct(), "ids")
     wanted = small_side(ids, BROADCAST_IDS)
-    sets = stash(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, SETS), "sets")
+    sets = stash(in_arrow(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), _sets, SETS), "sets")
 
     copies = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stash(verify(stars, sets), "links")

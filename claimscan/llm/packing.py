@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import encoder
 from ._bytes import chunks
-from ._work import stash
+from ._work import in_arrow, stash
 
 CAPACITY = 1024
 END = 2
@@ -87,9 +87,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
-            pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(histogram: dict[int, int], limits: Limits = Limits()) -> list[tuple[int, int, int, int, int, int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, split_words
-from ._work import stash
+from ._work import in_arrow, stash
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 100_000
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_line
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     sample = stash(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "sample")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = stash(own.mapInArrow(_levels, "quality int, doc_id long, levels binary"), "levels")
+    rows = stash(in_arrow(own, _levels, "quality int, doc_id long, levels binary"), "levels")
     width = len(FEATURES)
     sizes = rows.groupBy((F.octet_length("levels") / width).cast("long").alias("lines")).count().collect()
     share = equal_share({r["lines"]: r["count"] for r in sizes}, max_lines)
@@ -235,7 +235,7 @@ def score(docs: DataFrame, chain: Chain | None, with_lines: bool = False) -> Dat
                     out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(good)))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "lines"][: len(out)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double" + ", lines array<double>" * with_lines)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double" + ", lines array<double>" * with_lines)
 
 
 def op4_quality_crf(spark, sf_dir: str) -> DataFrame:
