@@ -6,22 +6,26 @@ A written table cuts the lineage, survives a lost executor and can be read with
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of rows that Spark sends to a Python worker at a time, unless the session sets its own number.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests on one machine) a new local one."""
+    """The cluster's shared folder; only where none is set and all runs in one process (tests) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="claimscan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,7 +38,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of bounded size; the worker gives freed memory back when a task ends."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
@@ -70,5 +74,10 @@ def most_frequent(df: DataFrame, n: str, limit: int) -> DataFrame:
     return df.filter(level >= lowest) if lowest is not None else df.limit(0)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """doc_id; for a row without one, a number from its text that is above any usual doc_id."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

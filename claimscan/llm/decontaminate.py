@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ALNUM, buffers, chunks, codes, split_words
-from ._work import in_arrow, small_side, stash
+from ._work import in_arrow, row_key, small_side, stash
 
 WINDOW = 10
 #: The words of a phrase are near each other if they lie in so many consecutive words.
@@ -287,7 +287,8 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any benchmark phrase. (A row without doc_id stays.)"""
-    found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=False)
+    """Pipeline stage: documents without any benchmark phrase. Rows without doc_id are told apart by their texts."""
+    rows = docs.select(F.struct("*").alias("document"), row_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    found = find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=False)
     gone = stash(found.filter("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti").select("document.*")

@@ -4,7 +4,8 @@ Counting: every task adds up its documents' n-grams by language and bucket; the
 shuffle of at most languages x buckets rows a task. Scoring: the matrix of log-probabilities is sent to
 the tasks, and the n-grams of a batch of documents are looked up and summed in numpy.
 
-The matrix has a bound: if languages x buckets exceeds ``MAX_CELLS``, the number of buckets is halved until it fits.
+A matrix has at most ``MAX_LANGS`` languages, so what is sent to the tasks is bounded. If there are more, each matrix scores all
+texts in a pass of its own; the best language and the sum over languages are carried from pass to pass.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from; ties go to the language that sorts first; rows without doc_id are scored, but
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import buffers, chunks
-from ._work import in_arrow
+from ._work import in_arrow, stash
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
-MAX_CELLS = 1 << 24
+MAX_LANGS = 256
 SMOOTHING = 0.5
 CHUNK = 1 << 20
 SPACE = 32
@@ -34,7 +35,6 @@ SPACE = 32
 MIN_SCORE = 0.5
 
 COUNTS = "lang string, bucket int, n long"
-SCORES = "doc_id long, lang_pred string, score double"
 
 
 @cache
@@ -109,76 +109,87 @@ def count(docs: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
 
 
 class Model:
+    """Some languages, in order: ``matrix`` has the log probability of each bucket, and 0 in its last row; ``prior`` of each language."""
+
     def __init__(self, langs: list[str], bits: int, matrix: np.ndarray, prior: np.ndarray):
         self.langs, self.bits, self.matrix, self.prior = langs, bits, matrix, prior
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, max_langs: int = MAX_LANGS) -> list[Model]:
     """Learn from all of ``docs`` (lang, text); rows without either are left out."""
-    counts = count(docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL"))
-    langs = sorted(r[0] for r in counts.filter("bucket = -1").select("lang").collect())
-    bits = BUCKET_BITS
-    while len(langs) << bits > MAX_CELLS and bits > 1:
-        bits -= 1
-    folded = counts.select("lang", F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.shiftright("bucket", BUCKET_BITS - bits)).alias("bucket"), "n")
-    rows = folded.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((len(langs), (1 << bits) + 1))
-    if langs:
-        where = {x: i for i, x in enumerate(langs)}
-        n[np.array([where[x] for x in rows["lang"].to_pylist()]), rows["bucket"].to_numpy() + 1] = rows["n"].to_numpy()
-    docs_, grams = n[:, 0], n[:, 1:] + SMOOTHING
-    matrix = np.zeros(((1 << bits) + 1, len(langs)))  # the last row: no n-gram
-    matrix[:-1] = np.log(grams / grams.sum(axis=1, keepdims=True)).T
-    prior = np.log(docs_ / max(1, docs_.sum()))
-    return Model(langs, bits, matrix, prior)
-
-
-def _score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
-    chars, at = characters(batch.column("text"))
-    n = len(batch)
-    total = np.tile(model.prior, (n, 1))
+    counts = stash(count(docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")), "counts")
+    sizes = {r.lang: r.n for r in counts.filter("bucket = -1").select("lang", "n").collect()}
+    models = []
+    for i in range(0, len(sizes), max_langs):
+        langs = sorted(sizes)[i : i + max_langs]
+        rows = counts.filter((F.col("bucket") >= 0) & (F.col("lang") >= langs[0]) & (F.col("lang") <= langs[-1])).toArrow()
+        grams = np.full((len(langs), 1 << BUCKET_BITS), SMOOTHING)
+        where = {x: k for k, x in enumerate(langs)}
+        grams[np.array([where[x] for x in rows["lang"].to_pylist()], dtype=np.int64), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
+        matrix = np.zeros(((1 << BUCKET_BITS) + 1, len(langs)))
+        matrix[:-1] = np.log(grams / grams.sum(axis=1, keepdims=True)).T
+        prior = np.log(np.array([sizes[x] for x in langs]) / sum(sizes.values()))
+        models.append(Model(langs, BUCKET_BITS, matrix, prior))
+    return models
+
+
+def log_probabilities(column: pa.Array, model: Model) -> np.ndarray:
+    """Texts x languages: log of prior times likelihood; -inf for a text without a letter."""
+    chars, at = characters(column)
+    total = np.tile(model.prior, (len(column), 1))
     full = np.flatnonzero(np.diff(at) > 0)
-    worded = np.zeros(n, dtype=bool)
+    worded = np.zeros(len(column), dtype=bool)
     if len(full):
         worded[full] = np.logical_or.reduceat(chars != SPACE, at[full])
         for order in ORDERS:
             total[full] += np.add.reduceat(model.matrix[buckets(chars, at, order, model.bits)], at[full], axis=0)
-    if not model.langs:
-        lang, score = ["und"] * n, np.zeros(n)
-    else:
-        best = total.argmax(axis=1)
-        score = np.where(worded, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-        lang = [model.langs[b] if w else "und" for b, w in zip(best, worded, strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+    total[~worded] = -np.inf
+    return total
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str] = ()) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], columns: list[str] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text), and the given further columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in columns if c not in ("doc_id", "lang_pred", "score")]
+    names = ["doc_id", "text", *[c for c in docs.columns if c != "text" and c in extra]]
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names[1:], F.lit(None).cast("string").alias("__best"), F.lit(float("-inf")).alias("__top"), F.lit(float("-inf")).alias("__sum"))
 
-    def run(batches):
-        for whole in batches:
-            for batch in chunks(whole, "text", CHUNK):
-                out = _score(batch, sent.value)
-                yield pa.RecordBatch.from_arrays([*out.columns, *[batch.column(c) for c in extra]], [*out.schema.names, *extra])
+    def one_pass(model: Model):
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            model = sent.value
+            for whole in batches:
+                for batch in chunks(whole, "text", CHUNK):
+                    total = log_probabilities(batch.column("text"), model)
+                    place = total.argmax(axis=1)
+                    top, was = total[np.arange(len(batch)), place], batch.column("__top").to_numpy()
+                    with np.errstate(invalid="ignore"):
+                        here = np.where(top > -np.inf, top + np.log(np.exp(total - top[:, None]).sum(axis=1)), -np.inf)
+                    best = [model.langs[k] if a > b else old for k, a, b, old in zip(place, top, was, batch.column("__best").to_pylist(), strict=True)]
+                    carried = [pa.array(best, pa.string()), pa.array(np.maximum(top, was)), pa.array(np.logaddexp(here, batch.column("__sum").to_numpy()))]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *carried], [*names, "__best", "__top", "__sum"])
+
+        return run
 
-    schema = SCORES + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in extra)
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in docs.columns if c == "text" or c in extra]), run, schema)
+    for i, model in enumerate(models):
+        state = in_arrow(stash(state, "scored") if i else state, one_pass(model), state.schema)
+    score = F.when(F.col("__best").isNull(), 0.0).otherwise(F.least(F.exp(F.col("__top") - F.col("__sum")), F.lit(1.0)))
+    return state.select("doc_id", F.coalesce("__best", F.lit("und")).alias("lang_pred"), score.alias("score"), *extra)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 4 is not 2 and predicts all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    model = fit(docs.filter(remainder != 2))
+    models = fit(docs.filter(remainder != 2))
     held = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
-    return predict(docs, model).select("doc_id", held, "lang_pred", "score")
+    return predict(docs, models).select("doc_id", held, "lang_pred", "score")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a recognised language; learns from the rows op10 learns from."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    model = fit(docs.filter(remainder != 2))
-    scored = predict(docs, model, docs.columns)
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    models = fit(docs.filter(remainder != 2))
+    rows = docs.select(F.struct("*").alias("document"), F.lit(None).cast("long").alias("doc_id"), "text")
+    scored = predict(rows, models, ["document"])
+    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("document.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, hashes, mix, split_words
-from ._work import in_arrow, most_frequent, small_side, stash
+from ._work import in_arrow, most_frequent, row_key, small_side, stash
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -262,6 +262,16 @@ def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, its smallest doc_id."""
-    gone = stash(group(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each group, its smallest doc_id; of exact repeats of a row one stays.
+
+    Rows without doc_id are told apart by their texts and give way to rows with one.
+    """
+    rows = docs.select(F.struct("*").alias("document"), row_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    found = stash(group(rows), "groups")
+    gone = stash(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    repeated = stash(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    left = rows.join(small_side(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    if repeated.limit(1).count():
+        once = left.join(small_side(repeated, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(small_side(repeated, BROADCAST_IDS), "doc_id", "left_anti").unionByName(once)
+    return left.select("document.*")

@@ -7,7 +7,7 @@ whose shrunk rate exceeds a limit fails with all its documents.
 
 Cases: a null text has no words (so the document fails); a null host is a host of its own, the empty
 name; repeated rows are counted as often as they occur; an empty table gives an empty result; columns
-that bear the name of a result column are replaced by it.
+that bear the name of a result column are replaced by it (the pipeline stage returns all columns as they came).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULTS = [*MEASURES, "base_failed", "host_docs", "host_fails", "host_rate", "host_failed", "kept"]
 
 #: A host fails if its shrunk rate of failed documents is above this.
 MAX_HOST_RATE = 0.5
@@ -70,26 +71,22 @@ def repeated_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measures of every whole text and ``base_failed``."""
-    docs = docs.drop(*MEASURES, "base_failed")
-    t = F.coalesce(F.col(text), F.lit(""))
+    names = [c for c in docs.columns if c not in (*MEASURES, "base_failed")]
+    t = F.coalesce(F.col("t"), F.lit(""))
     words = F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     found = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    n, r = F.col("__w")["n_words"], F.col("__w")["n_repeat_words"]
-    return (
-        docs.withColumn("__w", found)
-        .withColumns(
-            {
-                "n_words": n,
-                "word_chars": F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
-                "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-                "n_dup_lines": dup,
-                "n_repeat_words": r,
-                "base_failed": (n < 10) | (r * 100 > n * 20),
-            }
-        )
-        .drop("__w")
+    n, r = F.col("w.n_words"), F.col("w.n_repeat_words")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("t"))
+    return rows.withColumn("w", found).select(
+        "row.*",
+        n.alias("n_words"),
+        F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        dup.alias("n_dup_lines"),
+        r.alias("n_repeat_words"),
+        ((n < 10) | (r * 100 > n * 20)).alias("base_failed"),
     )
 
 
@@ -115,15 +112,12 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
 
     The measured rows are written once, so that texts are not measured again for the join.
     """
-    columns = [c for c in (columns or docs.columns) if c not in (*MEASURES, "base_failed")]
-    measured = stash(measure(docs, text).select(*dict.fromkeys([*columns, host]), *MEASURES, "base_failed"), "measured")
-    verdicts = small_side(stash(host_verdicts(measured, host, max_rate), "hosts"), BROADCAST_HOSTS)
-    return (
-        measured.withColumn("__host", F.coalesce(F.col(host), F.lit("")))
-        .join(verdicts, "__host")
-        .drop("__host")
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
-    )
+    columns = [c for c in (columns or docs.columns) if c not in RESULTS]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col(host), F.lit("")).alias("__host"), F.col(text).alias("text"))
+    measured = stash(measure(rows).drop("text"), "measured")
+    verdicts = small_side(stash(host_verdicts(measured, "__host", max_rate), "hosts"), BROADCAST_HOSTS)
+    kept = ~F.col("base_failed") & ~F.col("host_failed")
+    return measured.join(verdicts, "__host").select("row.*", *[c for c in RESULTS if c != "kept"], kept.alias("kept"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +128,8 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("document"), "source", "text")
+    return judge(rows, columns=["document"]).filter("kept").select("document.*")
 
 
 OP7_SQL = r"""

@@ -1,8 +1,12 @@
+import math
 import zlib
+from collections import Counter
 
 import pytest
 
+from claimscan.llm import decontaminate as dc
 from claimscan.llm import language_id as li
+from claimscan.llm import minhash_dedup as md
 from claimscan.llm import quality_rules as qr
 from claimscan.llm import sharding as sh
 
@@ -34,12 +38,71 @@ def test_language_edges(spark):
     assert li.stage(spark, docs, DATA).columns == docs.columns
 
 
-def test_language_matrix_stays_bounded(spark, monkeypatch):
-    monkeypatch.setattr(li, "MAX_CELLS", 1 << 10)
-    docs = spark.createDataFrame([(i, "abc déf" if i % 2 else "xyz uvw", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
-    model = li.fit(docs)
-    assert model.matrix.size <= (1 << 10) + 2
-    assert all(r.lang_pred == "ab"[r.doc_id % 2] for r in li.predict(docs, model).collect())
+def plain_bayes(train, texts):
+    """{text: (best language, its probability)} by dictionaries, one n-gram at a time."""
+    mask = (1 << 32) - 1
+
+    def grams(text):
+        chars = [ord(x.lower()) if x.isalpha() and len(x.lower()) == 1 else ord(x) if x.isalpha() else 32 for x in text]
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                h = n * 0x9E3779B1 & mask
+                for c in chars[i : i + n]:
+                    h = (h ^ c) * 0x85EBCA6B & mask
+                    h ^= h >> 15
+                yield (h * 0xC2B2AE35 & mask) >> 16
+
+    seen, docs = {}, Counter(lang for _, lang in train)
+    for text, lang in train:
+        seen.setdefault(lang, Counter()).update(grams(text))
+    size = {lang: sum(c.values()) + 0.5 * 65536 for lang, c in seen.items()}
+    out = {}
+    for text in texts:
+        own = list(grams(text))
+        log = {lang: math.log(docs[lang] / len(train)) + sum(math.log((seen[lang][g] + 0.5) / size[lang]) for g in own) for lang in sorted(seen)}
+        best = max(log, key=log.get)
+        out[text] = best, 1 / sum(math.exp(x - log[best]) for x in log.values())
+    return out
+
+
+@pytest.mark.parametrize("at_a_time", [li.MAX_LANGS, 3, 1])
+def test_language_equals_plain_bayes(spark, at_a_time):
+    """Whether the languages' matrices are sent at once or in several passes."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    docs = spark.createDataFrame([(r.doc_id, r.text[:400], r.lang) for r in rows] + [(10**6, "Ünder the Straße", "xx"), (10**6 + 1, "123", "xx")], "doc_id long, text string, lang string")
+    every = docs.collect()
+    want = plain_bayes([(r.text, r.lang) for r in every], {r.text for r in every} - {"123"})
+    models = li.fit(docs, at_a_time)
+    assert all(len(m.langs) <= at_a_time for m in models) and sum(len(m.langs) for m in models) == len({r.lang for r in every})
+    got = {r.doc_id: r for r in li.predict(docs, models).collect()}
+    assert (got[10**6 + 1].lang_pred, got[10**6 + 1].score) == ("und", 0)
+    for r in every:
+        if r.text != "123":
+            assert got[r.doc_id].lang_pred == want[r.text][0] and got[r.doc_id].score == pytest.approx(want[r.text][1], rel=1e-6)
+
+
+CLASHES = ["host", "row", "document", "t", "w", "__w", "__host", *qr.RESULTS, "doc_key", "lang_pred", "score", "__best", "__top", "__sum", "n_shingles", "component_id", "n_hit", "items", "segment", "place", "repeated", "shingles", "c"]
+
+
+def test_filter_stages_return_columns_untouched(spark):
+    """Whatever the names of further columns; exact repeats of a row leave one, and rows without doc_id are judged by their texts."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 100").first().text
+    good = "plain words of one more text that say this and that about some subject without any end number {} and so on"
+    rows = [(i, good.format("one two three four five six seven eight nine ten".split()[i]) + f" {i} x{i} y{i} z{i}") for i in range(5)]
+    rows += [rows[0], (None, rows[1][1]), (None, "words nobody else has in this small table of texts for a test of stages"), (None, f"before {bench} after"), (9, f"again {bench} behind it")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, *range(len(CLASHES))) for d, t in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"`{c}` int" for c in dict.fromkeys(CLASHES)]]))
+    for f in (qr.stage, li.stage, md.stage, dc.stage):
+        out = f(spark, docs, DATA)
+        assert out.schema == docs.schema
+        got = out.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in got)
+        ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
+        if f is dc.stage:
+            assert ids == [-1, -1, 0, 0, 1, 2, 3, 4]
+        elif f is md.stage:
+            assert {i: ids.count(i) for i in ids if i >= 0} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 9: 1} and sum(r.text == rows[1][1] for r in got) == 1
+        else:
+            assert len(got) == len(rows)
 
 
 def test_quality_edges(spark):
