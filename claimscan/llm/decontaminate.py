@@ -86,7 +86,10 @@ def build_index(docs: DataFrame, terms: pa.Array | None = None) -> DataFrame:
     can cross two of them.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
     def segments(batches):
+        terms = sent.value
         for whole in batches:
             for batch in chunks(whole, "text"):
                 words = split_words(*buffers(batch.column("text")), ALNUM)
@@ -117,7 +120,7 @@ class Segment:
     """One row of the index, ready to be searched for the phrases of a slice."""
 
     def __init__(self, row: dict, phrases: Phrases):
-        self.phrases = phrases
+        self.phrases, self.first = phrases, row["first"].astype(np.int64)
         self.at, self.positions = row["term_at"], row["positions"].astype(np.int64)
         own = pc.index_in(phrases.terms.cast(pa.binary()), value_set=row["terms"]).fill_null(-1).to_numpy(zero_copy_only=False)
         self.term = np.append(own, -2)  # -2: beyond a phrase's end
@@ -160,30 +163,34 @@ class Segment:
 
     def near(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, position of its rarest word) where all its words lie within ``span`` positions."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        out, rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], self.phrases.rows
         for some, order, n in self.blocks():
             which, at = self.rarest(some, order[:, 0])
             for k in range(1, order.shape[1]):
-                term = self.term[self.phrases.rows[some[which], order[which, k]]].astype(np.int64)
+                term = self.term[rows[some[which], order[which, k]]].astype(np.int64)
                 low = (term << 32) | np.maximum(at - span + 1, 0)
                 found = np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)
                 hit = (k >= n[which]) | ((self.keys[found] >> 32 == term) & (self.keys[found] & 0xFFFFFFFF < at + span))
                 which, at = which[hit], at[hit]
-            fits = [self._fits(np.unique(self.term[r[r >= 0]]), int(p), span) for r, p in zip(self.phrases.rows[some[which]], at, strict=True)]
-            keep = np.array(fits, dtype=bool)
+            keep = np.concatenate([self._fit(rows[some[w]], p, span) for w, p in _cuts(which, at)] or [np.zeros(0, bool)])
             out.append((some[which][keep], at[keep]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _fits(self, terms: np.ndarray, p: int, span: int) -> bool:
-        """Is there a span around position p with every term in it?"""
-        around = []
-        for t in terms:
-            own = self.positions[self.at[t] : self.at[t + 1]]
-            around.append(own[np.searchsorted(own, p - span + 1) : np.searchsorted(own, p + span)])
-        for start in range(max(0, p - span + 1), p + 1):
-            if all(((own >= start) & (own < start + span)).any() for own in around):
-                return True
-        return False
+    def _fit(self, rows: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+        """Is there, around each position, a span of its document with every term of its phrase? Tries all starts of a span at once."""
+        doc = np.searchsorted(self.first, at, "right") - 1
+        start, end = at[:, None] - np.arange(span), self.first[doc + 1][:, None]
+        fits = start >= self.first[doc][:, None]
+        for term in self.term[rows].astype(np.int64).T:
+            low = (term[:, None] << 32) | np.maximum(start, 0)
+            found = self.keys[np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)]
+            fits &= (term[:, None] < 0) | ((found >= low) & (found < (term[:, None] << 32) + np.minimum(start + span, end)))
+        return fits.any(axis=1)
+
+
+def _cuts(*arrays: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    for i in range(0, len(arrays[0]), BLOCK):
+        yield tuple(a[i : i + BLOCK] for a in arrays)
 
 
 def search(index: DataFrame, phrases: Phrases, near: bool = True, span: int = SPAN) -> DataFrame:
@@ -191,11 +198,13 @@ def search(index: DataFrame, phrases: Phrases, near: bool = True, span: int = SP
     merged spans (word numbers, half-open), and the items of which a phrase's words are near each other.
     """
 
+    sent = index.sparkSession.sparkContext.broadcast(phrases)
+
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
                 row = {n: batch.column(n)[i].values for n in batch.schema.names if n != "segment"}
-                yield _search_segment(row, batch.column("segment")[i].as_py(), phrases, near, span)
+                yield _search_segment(row, batch.column("segment")[i].as_py(), sent.value, near, span)
 
     return in_arrow(index, run, RESULT)
 
@@ -211,13 +220,14 @@ def _search_segment(row: dict, segment: int, phrases: Phrases, near: bool, span:
         found, start = seg.exact()
         np.add.at(marks, start, 1)
         np.add.at(marks, start + (phrases.rows[found] >= 0).sum(axis=1), -1)
-        for d, p in set(zip((np.searchsorted(first, start, "right") - 1).tolist(), found.tolist(), strict=True)):
-            items[d].update(phrases.items[p])
+        doc = np.searchsorted(first, start, "right") - 1
+        for x in np.unique(doc * len(phrases.rows) + found).tolist():
+            items[x // len(phrases.rows)].update(phrases.items[x % len(phrases.rows)])
         if near:
             found, at = seg.near(span)
             doc = np.searchsorted(first, at, "right") - 1
-            for d, p in set(zip(doc.tolist(), found.tolist(), strict=True)):
-                close[d].update(phrases.items[p])
+            for x in np.unique(doc * len(phrases.rows) + found).tolist():
+                close[x // len(phrases.rows)].update(phrases.items[x % len(phrases.rows)])
     hit = np.cumsum(marks) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))

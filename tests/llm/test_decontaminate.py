@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from claimscan.llm import decontaminate as dc
 
@@ -58,6 +59,22 @@ def test_spans_and_proximity(spark):
     assert got[7].near_items == [] and got[8].near_items == []
 
 
+def test_proximity_equals_brute_force(spark):
+    """All spans of 20 words tried one by one, single frequent words included."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice("abcdefghi") for _ in range(rng.choice([1, 2, 5, 11])))) for i in range(30)]
+
+    def windows(text):
+        w = text.split()
+        return [set(w[i : i + 10]) for i in range(max(1, len(w) - 9))] if w else []
+
+    for r in dc.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect():
+        own = docs[r.doc_id][1].split()
+        spans = [set(own[i : i + dc.SPAN]) for i in range(len(own))]
+        assert list(r.near_items) == sorted(str(i) for i, t in items if any(w <= s for w in windows(t) for s in spans))
+
+
 def test_repeated_rows_in_slices(spark, monkeypatch):
     """Several slices give the same rows as one, also for repeated, changed and missing doc_ids."""
     _, items = frames(spark)
