@@ -6,7 +6,7 @@ residual that would be left (tight fit) or by the weighted dot product of piece
 
 Pieces of equal length are alike, and lengths are whole numbers up to the capacity. So the longest-first
 vector best-fit over all pieces of the corpus is computed from their histogram alone, which has a bounded
-number of rows however many documents there are: it gives intervals of ranks, "the pieces of length l
+number of rows however many documents there are (and so has the plan: a few thousand intervals for lengths up to 1024): it gives intervals of ranks, "the pieces of length l
 ranked from r on go into the sequences from s on, at offset o". Spark then ranks the pieces of each length
 and joins the intervals. A frequent length is ranked in parts by a hash of the document, each of which
 starts where the counts of the parts before it end.
@@ -44,13 +44,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence and how residuals are scored. The defaults leave the token capacity alone binding."""
+    """Capacities of a sequence and how residuals are scored.
+
+    With the defaults all three residuals choose the sequence, but only the token capacity can be exceeded: pieces of one
+    token and more that fit into it are at most ``tokens`` many and cost at most its square.
+    """
 
     tokens: int = CAPACITY
     documents: int = CAPACITY
     attention: int = CAPACITY * CAPACITY
     score: str = "norm"  # or "dot"
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

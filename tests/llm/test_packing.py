@@ -66,6 +66,16 @@ def test_every_constraint_holds(score):
         assert len(own) <= 5 and sum(n * n for _, n in own) <= limits.attention
 
 
+def test_all_residuals_choose():
+    """Document count and attention cost move pieces to other sequences, but need no more of them."""
+    rng = np.random.default_rng(8)
+    histogram = {int(n): int(c) for n, c in zip(rng.integers(1, 1025, 700), rng.integers(1, 60, 700), strict=True)}
+    plans = [pk.best_fit(histogram, pk.Limits(weights=w)) for w in ((1, 0, 0), (1, 0.5, 0.5), (1, 0, 2), (1, 2, 0))]
+    used = [max(s0 + -(-(r1 - r0) // copies) for _, r0, r1, copies, s0, _ in p) for p in plans]
+    assert plans[1] != plans[0] and plans[2] != plans[3] and max(used) <= 1.001 * used[0]
+    assert all(w > 0 for w in pk.Limits().weights)
+
+
 def test_edges(spark):
     rows = pk.pack_documents(brute.edge_docs(spark), with_ids=True).collect()
     assert_packed(rows)
