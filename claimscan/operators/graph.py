@@ -11,21 +11,25 @@ from claimscan.functions.work import stash
 def transitive_closure(edges: DataFrame, max_iter: int = 64) -> DataFrame:
     """(ancestor, descendant, depth) of edges (from_id, to_id): all reachable pairs with their least depth, and each node to itself at 0.
 
-    Path doubling: each round joins the paths found with each other, so chains of length n take log2(n) rounds. Every
-    round is written, and the loop ends when a round changes nothing. A cycle does not replace the rows at depth 0.
+    Path doubling: each round joins the paths that were new or shorter in the last round with all paths, on either side, so chains
+    of length n take log2(n) rounds and nothing old is joined with old again. Every round is written, and the loop ends when a
+    round finds nothing better. A cycle does not replace the rows at depth 0.
     """
     one = edges.select(F.col("from_id").alias("ancestor"), F.col("to_id").alias("descendant")).filter("ancestor != descendant").distinct()
-    paths = stash(one.withColumn("depth", F.lit(1).cast("long")), "paths")
-    mark = lambda p: tuple(p.agg(F.count("*"), F.sum("depth")).first())
-    was = mark(paths)
+    paths = fresh = stash(one.withColumn("depth", F.lit(1).cast("long")), "paths")
+    pair = ["ancestor", "descendant"]
+
+    def joined(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.select(F.col("ancestor").alias("via"), F.col("descendant").alias("end"), F.col("depth").alias("more"))
+        return first.join(on, first["descendant"] == on["via"]).select("ancestor", F.col("end").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth")).filter("ancestor != descendant")
+
     for _ in range(max_iter):
-        on = paths.select(F.col("ancestor").alias("via"), F.col("descendant").alias("end"), F.col("depth").alias("more"))
-        longer = paths.join(on, paths["descendant"] == on["via"]).select("ancestor", F.col("end").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth"))
-        paths = stash(paths.union(longer).filter("ancestor != descendant").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), "paths")
-        now = mark(paths)
-        if now == was:
+        longer = joined(fresh, paths) if fresh is paths else joined(fresh, paths).union(joined(paths, fresh))
+        found = longer.groupBy(*pair).agg(F.min("depth").alias("depth")).join(paths.withColumnRenamed("depth", "known"), pair, "left")
+        fresh = stash(found.filter(F.col("known").isNull() | (F.col("depth") < F.col("known"))).drop("known"), "fresh")
+        if not fresh.limit(1).count():
             break
-        was = now
+        paths = stash(paths.join(fresh, pair, "left_anti").union(fresh), "paths")
     nodes = edges.select(F.col("from_id").alias("n")).union(edges.select("to_id")).distinct()
     return paths.union(nodes.select("n", "n", F.lit(0).cast("long")))
 

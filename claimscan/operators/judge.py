@@ -233,25 +233,44 @@ def feedback_counts(feedback: DataFrame, by: str = "word") -> DataFrame:
     return feedback.groupBy(by).agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("confirm", "dismiss", "modify")], F.count("*").alias("total"))
 
 
+@dataclass(frozen=True)
+class Shift:
+    """What past feedback on a word does to its judgements: lowers or raises confidences, and lets a doubtful violation pass."""
+
+    confirm: Column
+    dismiss: Column
+    total: Column
+    minimum: int = 8
+
+    def moved(self, confidence: Column) -> Column:
+        no, yes = self.dismiss / self.total, self.confirm / self.total
+        down = F.coalesce((self.total >= self.minimum) & (no >= 0.8), F.lit(False))
+        up = F.coalesce((self.total >= self.minimum) & (yes >= 0.8), F.lit(False))
+        lower, higher = F.least(F.lit(0.3), no * 0.5), F.least(F.lit(0.2), yes * 0.3)
+        return F.when(down, F.greatest(F.lit(0.1), confidence - lower)).when(up, F.least(F.lit(0.99), confidence + higher)).otherwise(confidence)
+
+    def passes(self, is_violation: Column, confidence: Column) -> Column:
+        down = F.coalesce((self.total >= self.minimum) & (self.dismiss / self.total >= 0.8), F.lit(False))
+        return down & is_violation & (self.moved(confidence) < 0.4)
+
+    def note(self) -> Column:
+        return F.concat(F.lit("根据 "), self.total.cast("string"), F.lit(" 次历史反馈中 "), self.dismiss.cast("string"), F.lit(" 次被驳回，系统自动调整为不违规"))
+
+
 def adjust_by_feedback(judgments: DataFrame, counts: DataFrame, minimum: int = 8) -> DataFrame:
     """Lowers confidences of words that are mostly dismissed (a violation below 0.4 passes) and raises those of words mostly confirmed."""
     df = judgments.join(small_side(counts.select("word", "confirm", "dismiss", "total")), "word", "left")
-    n, c = F.col("total"), F.col
-    no, yes = c("dismiss") / n, c("confirm") / n
-    down = F.coalesce((n >= minimum) & (no >= 0.8), F.lit(False))
-    up = ~down & F.coalesce((n >= minimum) & (yes >= 0.8), F.lit(False))
-    lower, higher = F.least(F.lit(0.3), no * 0.5), F.least(F.lit(0.2), yes * 0.3)
-    moved = lambda x: F.when(down, F.greatest(F.lit(0.1), c(x) - lower)).when(up, F.least(F.lit(0.99), c(x) + higher)).otherwise(c(x))
-    passes = down & c("is_violation") & (moved("confidence") < 0.4)
-    note = F.concat(F.lit("根据 "), n.cast("string"), F.lit(" 次历史反馈中 "), c("dismiss").cast("string"), F.lit(" 次被驳回，系统自动调整为不违规"))
+    c = F.col
+    shift = Shift(c("confirm"), c("dismiss"), c("total"), minimum)
+    passes = shift.passes(c("is_violation"), c("confidence"))
     return df.select(
         *[
             {
-                "confidence": moved("confidence").alias("confidence"),
-                "violation_type_confidence": moved("violation_type_confidence").alias("violation_type_confidence"),
+                "confidence": shift.moved(c("confidence")).alias("confidence"),
+                "violation_type_confidence": shift.moved(c("violation_type_confidence")).alias("violation_type_confidence"),
                 "is_violation": (c("is_violation") & ~passes).alias("is_violation"),
                 "suggested_severity": F.when(passes, "pass").otherwise(c("suggested_severity")).alias("suggested_severity"),
-                "mitigating_factors": F.when(passes, F.array_append("mitigating_factors", note)).otherwise(c("mitigating_factors")).alias("mitigating_factors"),
+                "mitigating_factors": F.when(passes, F.array_append("mitigating_factors", shift.note())).otherwise(c("mitigating_factors")).alias("mitigating_factors"),
             }.get(x, c(x))
             for x in judgments.columns
         ]
@@ -262,9 +281,18 @@ def adjust_by_feedback(judgments: DataFrame, counts: DataFrame, minimum: int = 8
 BY_HAND, FROM_TABLE, NOT_FOUND = "[需人工替换]", "从合规映射表匹配", "映射表无匹配"
 
 
+def first_alternatives(replacements: DataFrame) -> DataFrame:
+    """(prohibited, first): one alternative a word. Of several rows of a word with alternatives the last by ``updated_at`` counts, if
+    there is such a column; of equals the one whose first alternative sorts first."""
+    rows = replacements.select("prohibited", F.try_element_at("alternatives", F.lit(1)).alias("first"), *[c for c in ("updated_at",) if c in replacements.columns]).filter("first IS NOT NULL")
+    if "updated_at" in rows.columns:
+        last = rows.groupBy("prohibited").agg(F.max("updated_at").alias("last"))
+        rows = rows.join(last, "prohibited").filter(F.col("updated_at").eqNullSafe(F.col("last")))
+    return rows.groupBy("prohibited").agg(F.min("first").alias("first"))
+
+
 def suggest_replacements(violations: DataFrame, replacements: DataFrame, word: str = "word") -> DataFrame:
     """Adds ``replacement``, the first alternative (prohibited, alternatives), and ``replacement_reason``."""
-    first = replacements.groupBy("prohibited").agg(F.max_by(F.try_element_at("alternatives", F.lit(1)), F.size("alternatives")).alias("__first"))
+    first = first_alternatives(replacements).withColumnRenamed("first", "__first")
     df = violations.join(small_side(first), violations[word] == first["prohibited"], "left").drop("prohibited")
     return df.withColumn("replacement", F.coalesce("__first", F.lit(BY_HAND))).withColumn("replacement_reason", F.when(F.col("__first").isNotNull(), FROM_TABLE).otherwise(NOT_FOUND)).drop("__first")
-

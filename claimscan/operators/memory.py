@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimscan.functions.work import small_rows, stash
 from claimscan.operators.search import base_stability, vectors
 
+# Types of links, relations, categories of profiles.
 LINK_TYPES = ["related_to", "contradicts", "refines", "supersedes", "caused_by"]
 RELATIONS = ["caused_by", "led_to", "resolved", "contradicts", "supersedes"]
 CATEGORIES = ["identity", "skills", "preferences", "tools", "efficiency", "projects"]
@@ -50,11 +51,10 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, di
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         b = table["b"].to_numpy()
         keys = table["key"].to_pylist()
-        rows = table["embedding"].to_pylist()
-        good = np.array([v is not None and len(v) == dim for v in rows])
-        left, right = np.flatnonzero(good & (b == x)), np.flatnonzero(good & (b == y))
-        a = np.array([rows[i] for i in left], dtype=np.float64).reshape(len(left), dim or 0)
-        c = a if x == y else np.array([rows[i] for i in right], dtype=np.float64).reshape(len(right), dim or 0)
+        m, at = vectors(table["embedding"], dim or 0)
+        left, right = at[b[at] == x], at[b[at] == y]
+        a = m[b[at] == x]
+        c = a if x == y else m[b[at] == y]
         s = a @ c.T
         i, j = np.nonzero(s >= threshold)
         if x == y:
@@ -83,43 +83,37 @@ def match_topics(df: DataFrame, topics: DataFrame, threshold: float = 0.75, dim:
     """(key, topic_id, similarity): the nearest centroid (id, centroid) of each vector (key, embedding).
 
     The lowest id wins ties; below the threshold the topic is null. Only positive similarities count. Topics are sent
-    to the tasks in blocks. Vectors and centroids whose length is not ``dim`` (by default the commonest of ``df``) match nothing.
+    to the tasks in blocks; a row carries its best topic from block to block. Vectors and centroids whose length is not ``dim`` (by default the commonest of ``df``) match nothing.
     """
     dim = common_dimension(df) if dim is None else dim
     kind = dict(df.dtypes)["key"]
-    rows, parts = [], []
+    vector = dict(df.dtypes)["embedding"]
+    state = df.select("key", "embedding", F.lit(None).cast("long").alias("t"), F.lit(0.0).alias("s"))
+
+    def compare(state: DataFrame, rows: list) -> DataFrame:
+        ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
 
-    def compare(ids, matrix):
         def run(batches):
             for batch in batches:
-                keys = batch.column("key")
                 m, at = vectors(batch.column("embedding"), matrix.shape[1])
-                best, sim = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys))
+                best, sim = batch.column("t").to_pylist(), batch.column("s").to_numpy().copy()
                 if len(at):
                     s = np.round(m @ matrix.T, 9)
                     j = s.argmax(axis=1)  # the first of equals: ids ascend
                     top = s[np.arange(len(at)), j]
-                    best[at] = np.where(top > 0, np.array(ids)[j], -1)
-                    sim[at] = np.maximum(top, 0)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(best), pa.array(sim)], ["key", "t", "s"])
+                    for k in np.flatnonzero(top > sim[at]):
+                        best[at[k]], sim[at[k]] = int(ids[j[k]]), top[k]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("embedding"), pa.array(best, pa.int64()), pa.array(sim)], ["key", "embedding", "t", "s"])
 
-        return df.select("key", "embedding").mapInArrow(run, f"key {kind}, t long, s double")
+        return state.mapInArrow(run, f"key {kind}, embedding {vector}, t long, s double")
 
+    rows = []
     for r in topics.filter(F.size("centroid") == F.lit(dim)).orderBy("id").select("id", "centroid").toLocalIterator():
         rows.append(r)
-        if len(rows) == TOPIC_BLOCK:
-            parts.append(compare([x[0] for x in rows], np.array([x[1] for x in rows], dtype=np.float64)))
-            rows = []
-    if rows:
-        parts.append(compare([x[0] for x in rows], np.array([x[1] for x in rows], dtype=np.float64)))
-    if not parts:
-        return df.select("key", F.lit(None).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    if len(parts) > 1:
-        out = out.groupBy("key").agg(F.max_by("t", F.struct("s", -F.col("t"))).alias("t"), F.max("s").alias("s"))
-    return out.select("key", F.when((F.col("s") >= threshold) & (F.col("t") >= 0), F.col("t")).alias("topic_id"), F.col("s").alias("similarity"))
+        if len(rows) == TOPIC_BLOCK:  # what is best so far is written, so that one block is held at a time
+            state, rows = stash(compare(state, rows), "matched"), []
+    out = compare(state, rows) if rows else state
+    return out.select("key", F.when(F.col("s") >= threshold, F.col("t")).alias("topic_id"), F.col("s").alias("similarity"))
 
 
 def cluster_topics(df: DataFrame, threshold: float = 0.75, topics: DataFrame | None = None) -> DataFrame:
@@ -170,17 +164,58 @@ def topic_sizes(members: DataFrame) -> DataFrame:
 # --- confidence and decay -------------------------------------------------------------------------
 
 
+def _composed(same: np.ndarray, low: np.ndarray, high: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix compositions of clamped additions x -> min(high, max(low, x + add)) within runs; ``same``: the place in the run.
+
+    The composition of two is one again: first then second adds both, and clamps the first's bounds moved by the second.
+    """
+    low, high, add = low.copy(), high.copy(), add.copy()
+    k = 1
+    while (at := np.flatnonzero(same >= k)).size:
+        before = at - k
+        l2, h2, d2 = low[at], high[at], add[at]
+        l1, h1, d1 = low[before], high[before], add[before]
+        low[at], high[at], add[at] = np.clip(l1 + d2, l2, h2), np.clip(h1 + d2, l2, h2), d1 + d2
+        k *= 2
+    return low, high, add
+
+
 def apply_confidence(memories: DataFrame, deltas: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """One log row per delta (key, at, delta, reason): step, old_confidence, new_confidence; applied in time order, clamped after each.
 
-    The fold is no sum, so a key's deltas are sorted and folded together; unknown keys are dropped.
+    The fold is no sum, but clamped additions compose: the deltas are range-partitioned by key and time, so that a key with
+    many is split by time; every part composes its runs, and a run starts from what the earlier parts of its key
+    compose to. Unknown keys are dropped.
     """
-    rows = F.array_sort(F.collect_list(F.struct("at", "delta", "reason")))
-    folded = deltas.groupBy("key").agg(rows.alias("d")).join(memories.select("key", F.coalesce("confidence", F.lit(0.5)).alias("c")), "key")
-    step = lambda s, x: F.array_append(s, F.greatest(F.lit(lo), F.least(F.lit(hi), F.element_at(s, -1) + x["delta"])))
-    values = folded.withColumn("v", F.aggregate("d", F.array(F.col("c").cast("double")), step))
-    out = values.select("key", "v", F.posexplode("d").alias("i", "x"))
-    return out.select("key", (F.col("i") + 1).alias("step"), F.get("v", F.col("i")).alias("old_confidence"), F.get("v", F.col("i") + 1).alias("new_confidence"), "x.delta", "x.reason", "x.at")
+    order = ["key", "at", "delta", "reason"]
+    kind = {n: t for n, t in deltas.dtypes if n in order}
+    known = memories.select("key", F.coalesce("confidence", F.lit(0.5)).cast("double").alias("start"))
+    parts = deltas.select(*order).filter("key IS NOT NULL AND delta IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    parts = stash(parts, "deltas")
+    run_schema = f"part int, key {kind['key']}, at {kind['at']}, delta double, reason {kind['reason']}, place long, low double, high double, add double, old_low double, old_high double, old_add double"
+
+    def compose(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        codes = table["key"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        delta = table["delta"].to_numpy().astype(np.float64)
+        after = _composed(place, np.full(len(codes), lo), np.full(len(codes), hi), delta)
+        before = [np.where(place > 0, np.roll(x, 1), x0) for x, x0 in zip(after, (-np.inf, np.inf, 0.0), strict=True)]
+        columns = [table["part"], *(table[c] for c in ("key", "at")), pa.array(delta), table["reason"], pa.array(place), *map(pa.array, [*after, *before])]
+        return pa.table(columns, names=["part", "key", "at", "delta", "reason", "place", "low", "high", "add", "old_low", "old_high", "old_add"])
+
+    runs = stash(parts.groupBy("part").applyInArrow(compose, run_schema), "runs")
+    # what a key starts from in each of its parts: as many rows a key as parts hold it
+    ends = runs.groupBy("part", "key").agg(F.max_by(F.struct("low", "high", "add"), "place").alias("f"), F.count("*").alias("n")).join(known, "key")
+    earlier = F.array_sort(F.collect_list(F.struct("part", "f", "n")))
+    clamp = lambda x, f: F.least(f["high"], F.greatest(f["low"], x + f["add"]))
+    fold = F.aggregate("parts", F.struct(F.col("start").alias("v"), F.array().cast("array<double>").alias("out")), lambda s, x: F.struct(clamp(s["v"], x["f"]).alias("v"), F.array_append(s["out"], s["v"]).alias("out")))["out"]
+    steps = F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("v"), F.array().cast("array<bigint>").alias("out")), lambda s, x: F.struct((s["v"] + x["n"]).alias("v"), F.array_append(s["out"], s["v"]).alias("out")))["out"]
+    begun = ends.groupBy("key", "start").agg(earlier.alias("parts")).select("key", F.explode(F.arrays_zip(F.transform("parts", lambda x: x["part"]).alias("part"), fold.alias("from"), steps.alias("steps"))).alias("x")).select("key", "x.*")
+    out = runs.join(begun, ["part", "key"])
+    value = lambda a: F.least(F.col(f"{a}high"), F.greatest(F.col(f"{a}low"), F.col("from") + F.col(f"{a}add")))
+    return out.select("key", (F.col("steps") + F.col("place") + 1).cast("int").alias("step"), value("old_").alias("old_confidence"), value("").alias("new_confidence"), "delta", "reason", "at")
 
 
 def new_confidences(log: DataFrame) -> DataFrame:

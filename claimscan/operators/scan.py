@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from claimscan.functions.text import occurrences
 from claimscan.functions.work import small_rows
@@ -16,36 +17,58 @@ HIT = "struct<rule_idx: int, word: string, category: string, start: int, end: in
 COLOURS = {"high": "#ff4444", "medium": "#ffaa00", "low": "#ffdd00"}
 
 
-def find_hits(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+def _entries(rules: DataFrame) -> list[tuple]:
+    return [(r.rule_idx, r.pattern, r.category, r.regulation_ref) for r in sorted(small_rows(rules), key=lambda r: r.rule_idx)]
+
+
+def _combined(patterns: list[str]) -> tuple[re.Pattern, set[str]]:
+    """A pattern that is found where any of ``patterns`` is, and those that can't be in it: with groups, whose numbers it would shift, or flags."""
+    apart = set()
+    for p in patterns:
+        try:
+            if re.compile(f"(?:{p})").groups:
+                apart.add(p)
+        except re.error:
+            apart.add(p)
+    return re.compile("|".join(f"(?:{p})" for p in patterns if p not in apart) or r"(?!)", re.IGNORECASE), apart
+
+
+def find_hits(docs: DataFrame, rules: DataFrame, text: str = "text", notes: DataFrame | None = None) -> DataFrame:
     """Adds ``hits``: all matches of all rules, in dictionary order and then by place.
 
     A span is reported once, by the earliest rule; spans of different rules may overlap. Offsets are
     half-open and count code points. The rules are few and go to the tasks with the code; a combined
-    pattern passes over documents without any match.
+    pattern passes over documents without any match. ``notes`` (word and further columns, few rows) are looked up by
+    the matched text and added to each hit as ``note``.
     """
-    entries = [(r.rule_idx, r.pattern, r.category, r.regulation_ref) for r in sorted(small_rows(rules), key=lambda r: r.rule_idx)]
+    return _with_hits(docs, _entries(rules), text, notes)
+
+
+def _with_hits(docs: DataFrame, entries: list[tuple], text: str, notes: DataFrame | None = None) -> DataFrame:
+    known = {} if notes is None else {r["word"]: {k: v for k, v in r.asDict(True).items() if k != "word"} for r in small_rows(notes)}
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    note = None if notes is None else to_arrow_schema(notes.drop("word").schema)
 
     def run(batches):
-        compiled = [(i, re.compile(p, re.IGNORECASE), c, ref) for i, p, c, ref in entries]
-        try:
-            any_rule = re.compile("|".join(f"(?:{p})" for _, p, _, _ in entries) or r"(?!)", re.IGNORECASE)
-        except re.error:  # patterns with numbered or clashing groups can't be combined
-            any_rule = None
-        kind = pa.list_(pa.struct([("rule_idx", pa.int32()), ("word", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("regulation_ref", pa.string())]))
+        compiled = [(i, p, re.compile(p, re.IGNORECASE), c, ref) for i, p, c, ref in entries]
+        any_rule, apart = _combined([p for _, p, _, _ in entries])
+        always = [x for x in compiled if x[1] in apart]
+        fields = [("rule_idx", pa.int32()), ("word", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("regulation_ref", pa.string())]
+        kind = pa.list_(pa.struct(fields if note is None else [*fields, ("note", pa.struct(list(note)))]))
         for batch in batches:
             out = []
             for s in batch.column(text).to_pylist():
                 found: dict[tuple[int, int], dict] = {}
-                if s and (any_rule is None or any_rule.search(s)):
-                    for i, p, c, ref in compiled:
-                        for m in p.finditer(s):
-                            found.setdefault(m.span(), {"rule_idx": i, "word": m.group(), "category": c, "start": m.start(), "end": m.end(), "regulation_ref": ref})
+                for i, _, p, c, ref in (compiled if s and any_rule.search(s) else always) if s else ():
+                    for m in p.finditer(s):
+                        found.setdefault(m.span(), {"rule_idx": i, "word": m.group(), "category": c, "start": m.start(), "end": m.end(), "regulation_ref": ref} | ({} if note is None else {"note": sent.value.get(m.group())}))
                 out.append(list(found.values()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "hits"])
 
     docs = docs.drop("hits")
+    hit = HIT if notes is None else HIT.removesuffix(">") + f", note: {notes.drop('word').schema.simpleString()}>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, hits array<{HIT}>")
+    return docs.mapInArrow(run, f"{schema}, hits array<{hit}>")
 
 
 def scan_terms(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,10 +76,22 @@ def scan_terms(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str
     return find_hits(docs.select(key, text), rules, text).select(key, F.inline("hits"))
 
 
+#: What both regular expression dialects read alike: no groups but plain ones, no escapes but digits and punctuation, no nested sets.
+ALIKE = re.compile(r"(?:[^\\(\[]|\\[dD]|\\[^\w\s]|\((?!\?)|\(\?:|\[(?:[^\\\[\]&]|\\[dD]|\\[^\w\s])+\])*")
+
+
 def flag_documents(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``flagged``: the document has a hit. One pattern, no helper."""
-    pattern = "|".join(f"(?:{r.pattern})" for r in small_rows(rules)) or "(?!)"
-    return docs.withColumn("flagged", F.coalesce(F.col(text).rlike(f"(?iu){pattern}"), F.lit(False)))
+    """Adds ``flagged``: the document has a hit. Rules that Java reads as Python does are one built-in pattern; others are scanned for."""
+    entries = _entries(rules)
+    alike = [e for e in entries if ALIKE.fullmatch(e[1])]
+    others = [e for e in entries if not ALIKE.fullmatch(e[1])]
+    pattern = "|".join(f"(?:{p})" for _, p, _, _ in alike) or "(?!)"
+    flagged = F.coalesce(F.col(text).rlike(f"(?iuUd){pattern}"), F.lit(False))
+    if others:
+        names = [c for c in docs.columns if c != "flagged"]
+        rows = _with_hits(docs.select(F.struct(*names).alias("row"), F.col(text).alias("text")), others, "text").select("row.*", (F.size("hits") > 0).alias("__hit"))
+        return rows.withColumn("flagged", flagged | F.col("__hit")).drop("__hit")
+    return docs.withColumn("flagged", flagged)
 
 
 def keyword_weights(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:

@@ -8,20 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from claimscan.functions.work import small_rows, stash
+from claimscan.functions.work import small_rows, small_side, stash
 
 GRAMS, GRAM_WEIGHT = (2, 3, 4), 0.3
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 #: Queries that are scored against the corpus at a time.
 BLOCK = 512
+#: Phrases that are looked for in one pass over the index, characters of a segment of it, characters encoded at a time.
+PHRASES, SEGMENT, CHUNK = 100_000, 4_000_000, 1_000_000
 # Weights and boosts by query type, sources of the libraries, defaults of the fusion.
 WEIGHTS = {"law": (0.60, 0.25, 0.05, 0.10), "case": (0.45, 0.30, 0.15, 0.10), "rule": (0.40, 0.35, 0.10, 0.15), "general": (0.50, 0.20, 0.10, 0.20)}
 BOOSTS = {"law": (1.5, 0.7, 0.7), "case": (0.7, 1.5, 0.7), "rule": (0.7, 0.7, 1.5), "general": (1.0, 1.0, 1.0)}
@@ -33,14 +37,42 @@ COMPONENTS = ("vec", "fts", "time", "conf")
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """A matrix of the vectors of the right length, in double, and their row numbers."""
-    rows = column.to_pylist()
-    good = [i for i, v in enumerate(rows) if v is not None and len(v) == dim]
-    return np.array([rows[i] for i in good], dtype=np.float64).reshape(len(good), dim), np.array(good, dtype=np.int64)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    good = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == dim)
+    flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(good), dim), good
 
 
 # --- D1 -------------------------------------------------------------------------------------------
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, and where each text starts in them."""
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64), at
+
+
+def _hashed(texts: list[str], dim: int, slots: int) -> np.ndarray:
+    """Signed sums of the grams of each text in the slots after the first ``slots``; each distinct gram is hashed once."""
+    points, at = _points(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    out = np.zeros(len(texts) * dim)
+    code = points  # of the gram of k characters that starts at each place
+    for k in range(2, max(GRAMS) + 1):
+        n = len(points) - k + 1
+        if n < 1:
+            break
+        code, first = np.unique((code[:n] << 21) | points[k - 1 :], return_index=True, return_inverse=True)[1:][::-1]
+        if k in GRAMS:
+            raw = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), k)[first])
+            hashed = np.array([int.from_bytes(md5(g.tobytes().decode("utf-32-le").encode()).digest()[:4]) & 0x7FFFFFFF for g in raw])
+            inside = doc[:n] == doc[k - 1 :]
+            place = doc[:n] * dim + slots + hashed[code] % (dim - slots)
+            weight = np.where(hashed >> 16 & 1, GRAM_WEIGHT, -GRAM_WEIGHT)[code]
+            out += np.bincount(place[inside], weights=weight[inside], minlength=len(out))
+    return out.reshape(len(texts), dim)
+
+
 def encode_hashed(df: DataFrame, col: str, lexicon: list[tuple[str, float]], dim: int = 512, out: str = "embedding") -> DataFrame:
     """Adds a unit vector: lexicon counts in the first slots, hashed 2- to 4-grams in the others.
 
@@ -48,31 +80,23 @@ def encode_hashed(df: DataFrame, col: str, lexicon: list[tuple[str, float]], dim
     """
     slots = min(2 * len(lexicon), dim // 2)
 
-    def run(batches):
-        from functools import cache
-        from hashlib import md5
+    def encode(texts: list[str]) -> np.ndarray:
+        v = _hashed(texts, dim, slots)
+        for j, (word, weight) in enumerate(lexicon):
+            v[:, j % slots] += weight * np.array([t.count(word) for t in texts])
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, norm, out=v, where=norm > 0).astype(np.float32)
 
-        @cache
-        def place(gram: str) -> tuple[int, float]:
-            h = int(md5(gram.encode()).hexdigest()[:8], 16) & 0x7FFFFFFF
-            return slots + h % (dim - slots), GRAM_WEIGHT if h >> 16 & 1 else -GRAM_WEIGHT
-
-        for batch in batches:
-            made = []
-            for text in batch.column(col).to_pylist():
-                v = np.zeros(dim)
-                if text:
-                    for j, (word, weight) in enumerate(lexicon):
-                        v[j % slots] += weight * text.count(word)
-                    for k in GRAMS:
-                        for i in range(len(text) - k + 1):
-                            at, sign = place(text[i : i + k])
-                            v[at] += sign
-                    norm = np.sqrt((v * v).sum())
-                    v = v / norm if norm else v
-                made.append(v.astype(np.float32))
-            place.cache_clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, out])
+    def run(batches):
+        for whole in batches:
+            size = pc.fill_null(pc.utf8_length(whole.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(size) - size) // CHUNK
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(whole)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                batch = whole.slice(a, b - a)
+                v = encode([t or "" for t in batch.column(col).to_pylist()])
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
 
     df = df.drop(out)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -82,16 +106,17 @@ def encode_hashed(df: DataFrame, col: str, lexicon: list[tuple[str, float]], dim
 # --- D2 -------------------------------------------------------------------------------------------
 
 
-def _query_blocks(queries: DataFrame):
-    """(ids, matrix) of at most BLOCK queries (query_id, embedding) each; one block is held at a time."""
+def _query_blocks(queries: DataFrame, *more: str):
+    """(ids, matrix) of at most BLOCK queries (query_id, embedding) each, and their values of further columns; one block is held at a time."""
+    made = lambda rows: (rows["query_id"].to_pylist(), np.array(rows["embedding"].to_pylist(), dtype=np.float64), *(rows[c].to_pylist() for c in more))
     rows = []
-    for r in queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
-        rows.append(r)
+    for r in queries.select("query_id", "embedding", *more).filter("embedding IS NOT NULL").toLocalIterator():
+        rows.append(r.asDict())
         if len(rows) == BLOCK:
-            yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+            yield made(pa.Table.from_pylist(rows))
             rows = []
     if rows:
-        yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+        yield made(pa.Table.from_pylist(rows))
 
 
 def _top(scores: np.ndarray, keys: list, k: int) -> list[int]:
@@ -131,40 +156,211 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 # --- D3 -------------------------------------------------------------------------------------------
 
 
-def fulltext_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, key, score): BM25 of the rows in which every phrase of the query (its words at white space) occurs.
+def _trigrams(text: str) -> np.ndarray:
+    p = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
 
-    Occurrence means a substring of key, value, source or tags, case-insensitive; a phrase of fewer than 3 characters never
-    occurs. Lengths count trigrams. The phrases of a batch of queries are looked for in one pass over the corpus, in blocks.
+
+def build_index(corpus: DataFrame) -> DataFrame:
+    """Trigram postings of ``corpus`` (key, value, source, tags) in segments of about SEGMENT characters, written once.
+
+    A segment has its rows' keys, lengths in trigrams and texts, and for each trigram the ascending rows it occurs in, with
+    how often. Segments need nothing from each other, so nothing is shuffled.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("phrase"))
-    phrases = sorted({r.phrase for r in small_rows(words.select("phrase").distinct()) if len(r.phrase) >= 3})
     fields = [F.lower(F.coalesce(F.col(c) if dict(corpus.dtypes)[c] == "string" else F.array_join(c, ","), F.lit(""))) for c in ("key", "value", "source", "tags")]
     size = reduce(lambda a, b: a + b, [F.greatest(F.length(f) - 2, F.lit(0)) for f in fields])
-    base = corpus.select(F.col("key"), size.cast("long").alias("dl"), F.array(*fields).alias("fields"))
-    key_type = dict(corpus.dtypes)["key"]
-    found = []
-    for i in range(0, len(phrases), BLOCK):
-        block = F.array(*map(F.lit, phrases[i : i + BLOCK]))
-        tf = lambda p: F.aggregate("fields", F.lit(0).cast("long"), lambda s, f: s + ((F.length(f) - F.length(F.replace(f, p, F.lit("")))) / F.length(p)).cast("long"))
-        hit = F.filter(block, lambda p: F.exists("fields", lambda f: F.contains(f, p)))
-        found.append(base.select("key", "dl", F.explode(F.transform(hit, lambda p: F.struct(p.alias("phrase"), tf(p).alias("tf")))).alias("x")).select("key", "dl", "x.phrase", "x.tf"))
+    kind = to_arrow_type(corpus.schema["key"].dataType)
+
+    def segment(rows: list[tuple]) -> pa.RecordBatch:
+        keys, sizes, texts = zip(*rows, strict=True)
+        each = [np.unique(_trigrams(t), return_counts=True) for t in texts]
+        gram = np.concatenate([g for g, _ in each])
+        order = np.argsort(gram, kind="stable")
+        grams, at = np.unique(gram[order], return_index=True)
+        rows_ = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g, _ in each])[order]
+        counts = np.concatenate([n for _, n in each])[order].astype(np.int32)
+        cells = [(list(keys), kind), (list(sizes), pa.int64()), (list(texts), pa.string()), (grams, pa.int64()), (np.append(at, len(gram)).astype(np.int32), pa.int32()), (rows_, pa.int32()), (counts, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in cells], ["keys", "sizes", "texts", "grams", "at", "rows", "counts"])
+
+    def run(batches):
+        held, chars = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "text")), strict=True):
+                held.append(row)
+                chars += len(row[2])
+                if chars >= SEGMENT:
+                    yield segment(held)
+                    held, chars = [], 0
+        if held:
+            yield segment(held)
+
+    rows = corpus.select("key", size.cast("long").alias("size"), F.concat_ws("\n", *fields).alias("text"))
+    key = dict(corpus.dtypes)["key"]
+    return stash(rows.mapInArrow(run, f"keys array<{key}>, sizes array<long>, texts array<string>, grams array<long>, at array<int>, rows array<int>, counts array<int>"), "index")
+
+
+class Segment:
+    """A row of the index."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.keys, self.texts = batch.column("keys")[i].values, batch.column("texts")[i].values
+        self.sizes, self.grams, self.at, self.rows, self.counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "grams", "at", "rows", "counts"))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The place of each trigram in the postings, -1 for none."""
+        if not len(self.grams):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, at, -1)
+
+
+def _phrase_blocks(words: DataFrame):
+    """The distinct phrases of 3 characters and more, PHRASES at a time."""
+    block: list[str] = []
+    rows = words.select("phrase").distinct().filter(F.length("phrase") >= 3).toLocalIterator()
+    for r in rows:
+        block.append(r[0])
+        if len(block) == PHRASES:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _occurrences(index: DataFrame, phrases: list[str]) -> DataFrame:
+    """(key, dl, phrase, tf): postings of each phrase's two rarest trigrams in the segment are intersected, then the texts are looked at."""
+    key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+    grams = [_trigrams(p) for p in phrases]
+    sent = index.sparkSession.sparkContext.broadcast((phrases, np.concatenate(grams), np.concatenate([[0], np.cumsum([len(g) for g in grams])])))
+
+    def search(seg: Segment) -> pa.RecordBatch:
+        phrases, flat, first = sent.value
+        if not len(seg.grams):
+            return pa.RecordBatch.from_arrays([seg.keys.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], ["key", "dl", "phrase", "tf"])
+        place = seg.find(flat)
+        live = np.flatnonzero(np.minimum.reduceat(place, first[:-1]) >= 0)
+        count = np.diff(seg.at)[place]
+        which = np.repeat(np.arange(len(phrases)), np.diff(first))
+        order = np.lexsort((count, which))
+        rarest = place[order[first[:-1]]][live]
+        second = place[order[np.minimum(first[:-1] + 1, first[1:] - 1)]][live]
+        n = np.diff(seg.at)[rarest]
+        who = np.repeat(np.arange(len(live)), n)
+        row = seg.rows[np.repeat(seg.at[rarest] - (np.cumsum(n) - n), n) + np.arange(len(who))].astype(np.int64)
+        posted = (np.repeat(np.arange(len(seg.grams), dtype=np.int64), np.diff(seg.at)) << 32) | seg.rows  # ascending
+        wanted = (second[who].astype(np.int64) << 32) | row
+        both = posted[np.minimum(np.searchsorted(posted, wanted), len(posted) - 1)] == wanted
+        who, row = live[who[both]], row[both]
+        texts = seg.texts.to_pylist()
+        tf = np.array([texts[r].count(phrases[w]) for w, r in zip(who.tolist(), row.tolist(), strict=True)], dtype=np.int64)
+        who, row, tf = who[tf > 0], row[tf > 0], tf[tf > 0]
+        return pa.RecordBatch.from_arrays([seg.keys.take(pa.array(row)), pa.array(seg.sizes[row]), pa.array([phrases[w] for w in who], pa.string()), pa.array(tf)], ["key", "dl", "phrase", "tf"])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                yield search(Segment(batch, i))
+
+    return index.mapInArrow(run, f"key {key}, dl long, phrase string, tf long")
+
+
+def _statistics(index: DataFrame) -> tuple[float, float]:
+    """Rows of the corpus, and their mean length in trigrams."""
+    r = index.select(F.size("keys").alias("n"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("size")).agg(F.sum("n"), F.sum("size")).first()
+    return float(r[0] or 0), float(r[1] or 0) / max(1, r[0] or 0) or 1.0
+
+
+def _words(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("phrase"))
+
+
+def fulltext_scores(queries: DataFrame, corpus: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score): BM25 of the rows in which every phrase of the query (its words at white space) occurs.
+
+    Occurrence means a substring of key, value, source or tags, case-insensitive; a phrase of fewer than 3 characters never
+    occurs. Lengths count trigrams. ``index`` is that of ``build_index``, else one of ``corpus`` is made. Phrases are looked for
+    in blocks, each in one pass over the index.
+    """
+    index = build_index(corpus) if index is None else index
+    words = stash(_words(queries), "words")
+    found = [_occurrences(index, block) for block in _phrase_blocks(words)]
     if not found:
-        return corpus.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, key {key_type}, score double")
+        key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+        return index.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, key {key}, score double")
     hits = stash(reduce(DataFrame.union, found), "hits")
-    n, mean = base.agg(F.count("*"), F.avg("dl")).first()
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
-    wanted = words.withColumn("n_phrases", F.count("*").over(W.partitionBy("query_id")))
-    scored = hits.join(df, "phrase").withColumn("part", part).join(F.broadcast(wanted), "phrase")  # as many rows as the queries have words
+    n, mean = _statistics(index)
+    df = stash(hits.groupBy("phrase").agg(F.count("*").alias("df")), "frequencies")
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    wanted = words.join(words.groupBy("query_id").agg(F.count("*").alias("n_phrases")), "query_id").join(df, "phrase")
+    scored = hits.join(small_side(stash(wanted, "wanted")), "phrase").withColumn("part", part)
     return scored.groupBy("query_id", "key").agg(F.sum("part").alias("score"), F.count("*").alias("n"), F.max("n_phrases").alias("n_phrases")).filter("n = n_phrases").select("query_id", "key", "score")
 
 
-def fulltext_topk(queries: DataFrame, corpus: DataFrame, k: int = 200) -> DataFrame:
-    """The k best rows of ``fulltext_scores`` per query, with ``rank``; scores equal to 9 places tie."""
+def fulltext_terms(queries: DataFrame, corpus: DataFrame | None = None, k: int = 200, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank): BM25 over the trigrams of the query's words, any of which may occur; the k best rows per query.
+
+    Scores equal to 9 places tie. Every segment gives its k best a query, so k rows a query and segment are shuffled.
+    """
+    index = build_index(corpus) if index is None else index
+    ids, key = dict(queries.dtypes)["query_id"], dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+    id_type, key_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["keys"].dataType.elementType)
+    n, mean = _statistics(index)
+    frequency = index.select(F.explode(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), (F.get("at", i + 1) - F.get("at", i)).alias("n")))).alias("x")).groupBy("x.gram").agg(F.sum("x.n").alias("df"))
+    per_query = _words(queries).groupBy("query_id").agg(F.collect_list("phrase").alias("phrases"))
+    parts = []
+
+    def flush(block: list) -> None:
+        grams = [np.unique(np.concatenate([_trigrams(p) for p in r.phrases if len(p) >= 3] or [np.zeros(0, np.int64)])) for r in block]
+        every = np.unique(np.concatenate(grams))
+        known = frequency.join(F.broadcast(index.sparkSession.createDataFrame(pa.table({"gram": every}))), "gram").toArrow().sort_by("gram")
+        every, df = known["gram"].to_numpy(), known["df"].to_numpy()
+        weight = np.zeros((len(block), len(every)))
+        for i, own in enumerate(grams):
+            at = np.flatnonzero(np.isin(every, own))
+            weight[i, at] = np.maximum(np.log((n - df[at] + 0.5) / (df[at] + 0.5)), MIN_IDF)
+        sent = index.sparkSession.sparkContext.broadcast(([r.query_id for r in block], every, weight))
+
+        def run(batches):
+            asked, every, weight = sent.value
+            for batch in batches:
+                for i in range(len(batch)):
+                    seg = Segment(batch, i)
+                    place = seg.find(every)
+                    there = np.flatnonzero(place >= 0)
+                    size = np.diff(seg.at)[place[there]]
+                    term = np.repeat(np.arange(len(there)), size)
+                    at = np.repeat(seg.at[place[there]] - (np.cumsum(size) - size), size) + np.arange(len(term))
+                    row, tf = seg.rows[at], seg.counts[at].astype(np.float64)
+                    table = np.zeros((len(there), len(seg.keys)))
+                    table[term, row] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * seg.sizes[row] / mean))
+                    scores = np.round(weight[:, there] @ table, 9)
+                    keys = seg.keys.to_pylist()
+                    out = [(q, keys[j], s[j]) for q, s in zip(asked, scores, strict=True) for j in _top(s, keys, k) if s[j] > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_type), pa.array([x[1] for x in out], key_type), pa.array([float(x[2]) for x in out], pa.float64())], ["query_id", "key", "score"])
+
+        parts.append(index.mapInArrow(run, f"query_id {ids}, key {key}, score double"))
+
+    block = []
+    for r in per_query.toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            flush(block)
+            block = []
+    if block:
+        flush(block)
+    if not parts:
+        return index.sparkSession.createDataFrame([], f"query_id {ids}, key {key}, score double, rank int")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def fulltext_topk(queries: DataFrame, corpus: DataFrame | None = None, k: int = 200, mode: str = "phrase", index: DataFrame | None = None) -> DataFrame:
+    """The k best rows per query with ``rank``: of ``fulltext_scores``, or of ``fulltext_terms`` if ``mode`` is "terms"."""
+    if mode == "terms":
+        return fulltext_terms(queries, corpus, k, index)
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
-    return fulltext_scores(queries, corpus).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return fulltext_scores(queries, corpus, index).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 # --- D4 to D7 -------------------------------------------------------------------------------------
@@ -270,15 +466,14 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
     fts = stash(fts, "fulltext")
     words = fts.groupBy("key").agg(F.collect_list(F.struct("query_id", "fts")).alias("words"))  # at most one a query
     scaled = stash(scaled.join(words, "key", "left"), "scaled")
-    kinds = {r.query_id: r.query_type if adaptive else "general" for r in small_rows(queries.select("query_id", "query_type"))}
+    queries = queries if adaptive else queries.withColumn("query_type", F.lit("general"))
     spans = _ranges(queries, rows)
     keep = overfetch or 0
     parts = []
-    for block, q in _query_blocks(queries):
+    for block, q, kinds in _query_blocks(queries, "query_type"):
 
-        def run(batches, block=block, q=q):
-            w = np.array([WEIGHTS[kinds[i]] for i in block])
-            place = {i: n for n, i in enumerate(block)}
+        def run(batches, block=block, q=q, kinds=kinds):
+            w = np.array([WEIGHTS[k] for k in kinds])
             lo = np.array([spans.get(i, (0, 0))[0] for i in block])
             width = np.array([spans.get(i, (0, 0))[1] for i in block]) - lo
             for batch in batches:
@@ -288,10 +483,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
                 if len(at):
                     vec[:, at] = np.where(width[:, None] < 1e-9, 0.5, (q @ m.T - lo[:, None]) / np.where(width < 1e-9, 1, width)[:, None])
                 total = w[:, :1] * vec + w[:, 2:3] * batch.column("time").to_numpy()[None] + w[:, 3:] * batch.column("conf").to_numpy()[None]
-                for j, found in enumerate(batch.column("words").to_pylist()):
-                    for x in found or ():
-                        if (n := place.get(x["query_id"])) is not None:
-                            total[n, j] += w[n, 1] * x["fts"]
+                words = batch.column("words")
+                found, row = words.flatten(), np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0))
+                n = pc.index_in(found.field("query_id"), value_set=pa.array(block, id_type)).fill_null(-1).to_numpy(zero_copy_only=False)
+                np.add.at(total, (n[n >= 0], row[n >= 0]), w[n[n >= 0], 1] * found.field("fts").to_numpy(zero_copy_only=False)[n >= 0])
                 total = np.round(total, 9)
                 out = [(i, j, total[n, j]) for n, i in enumerate(block) for j in (_top(total[n], keys, keep) if keep else range(len(keys)))]
                 pick = pa.array([j for _, j, _ in out], pa.int64())
@@ -309,11 +504,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adap
     lib = F.create_map(*[F.lit(x) for name, source in LIBRARIES.items() for x in (source, name)])
     best = best.withColumn("lib", F.try_element_at(lib, F.col("source"))).filter("lib IS NOT NULL")
     best = best.withColumn("n", F.row_number().over(W.partitionBy("query_id", "lib").orderBy(F.desc("raw_score"), "key"))).filter(F.col("n") <= per_library)
-    info = queries.select("query_id", *[c for c in ("industry",) if c in queries.columns])
-    best = best.join(F.broadcast(info), "query_id")
-    kind = F.create_map(*[F.lit(x) for i, t in kinds.items() for x in (i, t)])[F.col("query_id")]
+    info = queries.select("query_id", "query_type", *[c for c in ("industry",) if c in queries.columns])
+    best = best.join(small_side(info), "query_id")
     boost = F.create_map(*[F.lit(x) for t, b in BOOSTS.items() for name, v in zip(CLASSES, b, strict=True) for x in (f"{t}:{name}", v)])
-    best = best.withColumn("query_type", kind).withColumn("score", F.round(F.col("raw_score") * boost[F.concat_ws(":", "query_type", "lib")], 9))
+    best = best.withColumn("score", F.round(F.col("raw_score") * boost[F.concat_ws(":", "query_type", "lib")], 9))
     text_tags = F.col("tags") if dict(corpus.dtypes)["tags"] == "string" else F.array_join("tags", ",")
     near = F.coalesce(text_tags.contains(F.col("industry")) & (F.col("industry") != "general"), F.lit(False)) if "industry" in info.columns else F.lit(False)
     final = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("near"), "key")

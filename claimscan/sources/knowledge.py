@@ -157,8 +157,9 @@ def initial_confidence(source: Column) -> Column:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "key", order_col: str = "updated_at") -> DataFrame:
-    """Last write per key wins; the first ``created_at`` and an existing ``confidence`` stay."""
-    w = W.partitionBy(key).orderBy(F.desc(order_col))
+    """Last write per key wins, of equally late ones that with the greatest other values; the first ``created_at`` and an existing ``confidence`` stay."""
+    others = [f.name for f in incoming.schema if f.name not in (key, order_col) and f.dataType.typeName() not in ("map", "variant")]
+    w = W.partitionBy(key).orderBy(F.desc(order_col), *map(F.desc, others))
     last = incoming.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     a, b = current.alias("a"), last.alias("b")
     out = []

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscan.functions.text import SPACE, first_number, strip
+from claimscan.functions.work import small_side
 
 # The marks that structure the source documents.
 NUMERALS = "一二三四五六七八九十"
@@ -105,7 +106,7 @@ def carry_section_title(lines: DataFrame, key: str, order: str = "line_no", line
 
 def range_label(df: DataFrame, num_col: str, ranges: DataFrame, out: str = "label") -> DataFrame:
     """Adds the label of the range (lo, hi, label) that has the number; ``""`` if none does."""
-    r = F.broadcast(ranges.select("lo", "hi", F.col("label").alias("__label")))  # a handful of ranges
+    r = small_side(ranges.select("lo", "hi", F.col("label").alias("__label")))
     n = F.col(num_col)
     number = n if dict(df.dtypes)[num_col] != "string" else first_number(n)
     joined = df.withColumn("__n", number).join(r, (F.col("__n") >= F.col("lo")) & (F.col("__n") <= F.col("hi")), "left")
