@@ -11,7 +11,7 @@ from claimscan.functions.text import first_match_label, keyword_tags
 from claimscan.functions.work import new_path
 from claimscan.operators import analytics, evaluate, graph, judge, memory, scan, search
 from claimscan.plans import inputs as i
-from claimscan.plans.review import review
+from claimscan.plans.review import cite, review
 from claimscan.sources import knowledge, markdown
 from claimscan.streaming import jobs
 
@@ -138,6 +138,34 @@ def a5(spark, sf):
     return knowledge.build_knowledge_base({k: markdown.split_sections(df, "text", k) for k, df in _books(spark, sf).items()})
 
 
+def _tables(spark, sf) -> dict[str, DataFrame]:
+    """Word tables of 3, 4 and 5 columns, one of each kind and supplier's nation, under a numbered heading."""
+    s = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book"), F.col("s_suppkey").alias("line_no"), F.col("s_suppkey").cast("string").alias("n"), "s_name")
+    heads = s.select("book").distinct().select("book", F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit("## 一、Part "), F.col("book").cast("string"), F.lit(" — 30+")).alias("line"))
+    cell = lambda name: F.concat(F.lit(name), F.col("n"))
+    rows = {"banned_word_team": ["n", "s_name", cell("c"), cell("r")], "replacement": ["s_name", cell("r"), cell("x")], "replacement_team": ["n", "s_name", cell("r"), cell("x")], "penalty_case_team": ["n", cell("t"), cell("v"), cell("f"), cell("o")]}
+    out = {}
+    for kind, cells in rows.items():
+        lines = s.select("book", F.col("line_no").cast("long").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+        carried = markdown.carry_section_title(lines.union(heads), "book")
+        out[kind] = carried.withColumn("cells", markdown.cells_of(F.col("line"))).filter("cells IS NOT NULL")
+    return out
+
+
+@query(
+    "a5_table_kinds",
+    """
+WITH s AS (SELECT s_suppkey AS n, s_name AS w, 'Part ' || s_nationkey AS section FROM supplier)
+SELECT 'banned_team:' || w AS key, '禁用词: ' || w || ' | 类别: c' || n || ' | 替代建议: r' || n AS value, 'banned_word_team' AS source, '禁用词,队友版,c' || n || ',' || section AS tags FROM s
+UNION ALL SELECT 'replacement:' || w, '禁用词: ' || w || ' → 替代词: r' || n || ' | 说明: x' || n, 'replacement', '替代映射,' || section || ',' || w FROM s
+UNION ALL SELECT 'replacement_team:' || w, '禁用词: ' || w || ' → 替代词: r' || n || ' | 使用场景: x' || n, 'replacement_team', '替代映射,队友版,' || section FROM s
+UNION ALL SELECT 'penalty_case_team:' || n, '案例: t' || n || chr(10) || '违法内容: v' || n || chr(10) || '处罚金额: f' || n || chr(10) || '处罚机关: o' || n, 'penalty_case_team', '处罚案例,队友版,' || section FROM s
+""",
+)
+def a5_tables(spark, sf):
+    return knowledge.build_knowledge_base(_tables(spark, sf))
+
+
 _TAGS = {"license": ["Licensed", "Copyright", "License"], "abuse": ["trash", "idiot", "clown"], "mail": ["@"], "french": [" le ", " la "], "none": ["zzzzqq"]}
 
 
@@ -154,6 +182,14 @@ def a7(spark, sf):
     return t(spark, sf, "documents").select("doc_id", first_match_label(F.substring("text", 1, 20), {"th": "eng", "the": "never", "eau": "fra"}).alias("label"))
 
 
+@query(
+    "a7_label_texts",
+    "SELECT doc_id, CASE WHEN contains(text, 'thre') THEN 'eng' WHEN contains(text, 'th') THEN 'short' WHEN contains(text, 'eau') THEN 'fra' ELSE lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '_', 'g')) END AS label FROM documents",
+)
+def a7_texts(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", first_match_label(F.col("text"), {"thre": "eng", "th": "short", "eau": "fra"}).alias("label"))
+
+
 @query("a8_range_label", "SELECT p_partkey, p_size, CASE WHEN p_size BETWEEN 1 AND 7 THEN 'tiny' WHEN p_size BETWEEN 8 AND 28 THEN 'mid' WHEN p_size BETWEEN 30 AND 45 THEN 'large' ELSE '' END AS label FROM part")
 def a8(spark, sf):
     ranges = spark.createDataFrame([("tiny", 1, 7), ("mid", 8, 28), ("large", 30, 45)], "label string, lo int, hi int")
@@ -238,6 +274,32 @@ def b2(spark, sf):
     return scan.flag_documents(t(spark, sf, "documents"), i.rules(spark)).select("doc_id", "flagged")
 
 
+#: Rules that are no literals; the second has a group, and \\w is read differently by Java.
+_RULES = [("mail", r"[a-z0-9._]+@[a-z0-9.]+[a-z]"), ("address", r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), ("license", r"licen[cs]ed? [a-z]+"), ("token", r"(token|key) = \"\w+\""), ("double", r"(ab)ab|(xy)\1")]
+
+
+def _pattern_rules(spark):
+    return spark.createDataFrame([(n, w, p, "pattern", "") for n, (w, p) in enumerate(_RULES)], "rule_idx int, word string, pattern string, category string, regulation_ref string")
+
+
+_RE2 = [(w, p if w != "double" else "abab") for w, p in _RULES]
+
+
+@query(
+    "b1_scan_patterns",
+    "WITH " + ", ".join(f"r{n} AS (SELECT doc_id, {n}::INT AS rule_idx, regexp_extract_all(text, '(?i){p}') AS w FROM documents)" for n, (_, p) in enumerate(_RE2)) + " " + " UNION ALL ".join(f"SELECT doc_id, rule_idx, len(w) AS n, array_to_string(w, '~') AS words FROM r{n} WHERE len(w) > 0" for n in range(len(_RE2))),
+)
+def b1_patterns(spark, sf):
+    hits = scan.scan_terms(t(spark, sf, "documents"), _pattern_rules(spark))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "word"))), lambda x: x["word"]), "~")
+    return hits.groupBy("doc_id", "rule_idx").agg(F.count("*").alias("n"), words.alias("words"))
+
+
+@query("b2_flag_patterns", "SELECT doc_id, (" + " OR ".join(f"regexp_matches(text, '(?i){p}')" for _, p in _RE2) + ") AS flagged FROM documents")
+def b2_patterns(spark, sf):
+    return scan.flag_documents(t(spark, sf, "documents"), _pattern_rules(spark)).select("doc_id", "flagged")
+
+
 _LEXICON = [("the", 2.0), ("tion", 1.5), ("eau", 1.0), ("stst", 0.25)]
 
 
@@ -420,6 +482,32 @@ def c7(spark, sf):
     return r.select("doc_id", "status", "overall_risk", "n_hits", "n_confirmed", "n_rejected", ids.alias("ids"))
 
 
+# the whole review: feedback on the words, sources cited for them, marked text and summary
+
+
+def _word_feedback(spark, sf):
+    k = F.col("word").cast("int")
+    return i.feedback(spark, sf).withColumn("word", F.when(k < 10, "trash").when(k < 20, "idiot").otherwise("moron"))
+
+
+_FULL_SQL = f"""
+, fb AS (SELECT CASE WHEN CAST(word AS INT) < 10 THEN 'trash' WHEN CAST(word AS INT) < 20 THEN 'idiot' ELSE 'moron' END AS word, action FROM feedback), fc AS (SELECT word, {_COUNTS} FROM fb GROUP BY word),
+c AS (SELECT h.doc_id, h.text, h.word, h.category, h."start", h."end", j.is_violation, j.confidence, dismiss / total AS dr, confirm / total AS cr, coalesce(total, 0) AS total
+      FROM hits h JOIN judged j ON j.doc_id = h.doc_id AND j.rule_idx = h.rule_idx AND j."start" = h."start" LEFT JOIN fc ON fc.word = h.word),
+x AS (SELECT *, total >= 8 AND dr >= 0.8 AS down, CASE WHEN total >= 8 AND dr >= 0.8 THEN greatest(0.1, confidence - least(0.3, dr * 0.5)) WHEN total >= 8 AND cr >= 0.8 THEN least(0.99, confidence + least(0.2, cr * 0.3)) ELSE confidence END AS new FROM c),
+y AS (SELECT x.*, citation, is_violation AND NOT coalesce(down AND new < 0.4, false) AS v, new > 0.8 AS high FROM x LEFT JOIN cited ON cited.query_id = x.word),
+m AS (SELECT *, lag("end") OVER w AS before FROM y WHERE v WINDOW w AS (PARTITION BY doc_id ORDER BY "start", "end")),
+k AS (SELECT *, coalesce(lag("end") OVER w, 0) AS done FROM m WHERE "start" >= coalesce(before, 0) WINDOW w AS (PARTITION BY doc_id ORDER BY "start", "end")),
+marked AS (SELECT doc_id, string_agg(substr(text, done + 1, "start" - done) || '<mark style="background:' || CASE WHEN high THEN '#ff4444' ELSE '#ffaa00' END || '" title="' || category || ': 基于v2判断规则分析">' || word || '</mark>', '' ORDER BY "start") AS m, max("end") AS last FROM k GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_hits, count(*) FILTER (WHERE v) AS n, bool_or(v AND high) AS high,
+             string_agg('v-' || substr(md5(word), 1, 8) || ':' || {_SUGGEST} || ':' || coalesce(citation, ''), ',' ORDER BY "start", word) FILTER (WHERE v) AS ids FROM y GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n > 0 THEN CASE WHEN high THEN 'high' ELSE 'medium' END ELSE 'pass' END AS overall_risk, coalesce(n, 0) AS n_confirmed, coalesce(n_hits - n, 0) AS n_rejected, coalesce(ids, '') AS ids,
+       CASE WHEN m IS NULL THEN d.text ELSE m || substr(d.text, last + 1) END AS highlighted_text,
+       CASE WHEN n > 0 THEN '检测到 ' || n || ' 处违规，最高风险等级：' || CASE WHEN high THEN 'high' ELSE 'medium' END WHEN n_hits > 0 THEN '检测到 ' || n_hits || ' 个疑似禁用词，经语境分析均不构成违规。' ELSE '未发现违规内容。' END AS summary
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN marked ON marked.doc_id = d.doc_id
+"""
+
+
 # --- D: retrieval ---------------------------------------------------------------------------------
 
 _KW = _LEXICON[:3]
@@ -443,6 +531,14 @@ def d1(spark, sf):
     return e.select("item_id", F.posexplode("embedding").alias("slot", "v")).select("item_id", "slot", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
+@query("d1_encode_documents")
+def d1_documents(spark, sf):
+    """All documents in 512 dimensions; three figures of each vector."""
+    e = search.encode_hashed(t(spark, sf, "documents").select("doc_id", "text"), "text", _LEXICON, 512).select("doc_id", F.posexplode("embedding").alias("slot", "v"))
+    v = F.col("v").cast("double")
+    return e.groupBy("doc_id").agg(F.round(F.sum(v), 4).alias("total"), F.round(F.sum(v * (F.col("slot") % 17)), 4).alias("weighted"), F.round(F.max(v), 4).alias("most"))
+
+
 def _queries(spark, sf):
     return i.vectors(spark, sf).filter("key % 50 = 0").select(F.col("key").alias("query_id"), "embedding")
 
@@ -486,6 +582,26 @@ def d3(spark, sf):
     return search.fulltext_topk(_asked(spark, sf), _corpus(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "d3_fulltext_terms",
+    """
+WITH words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark),
+terms AS (SELECT DISTINCT query_id, substr(w, CAST(p AS INT), 3) AS gram FROM (SELECT query_id, w, unnest(range(1, length(w) - 1)) AS p FROM words WHERE length(w) >= 3)),
+fields AS (SELECT 'd' || doc_id AS key, unnest(['d' || doc_id, lower(text), lower(source), lower(lang)]) AS f FROM documents),
+sized AS (SELECT key, sum(greatest(length(f) - 2, 0)) AS dl FROM fields GROUP BY key),
+found AS (SELECT key, gram, count(*) AS tf FROM (SELECT key, substr(f, CAST(p AS INT), 3) AS gram FROM (SELECT key, f, unnest(range(1, length(f) - 1)) AS p FROM fields WHERE length(f) >= 3)) WHERE gram IN (SELECT gram FROM terms) GROUP BY key, gram),
+df AS (SELECT gram, count(*) AS df FROM found GROUP BY gram), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM sized),
+part AS (SELECT key, gram, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM found JOIN df USING (gram) JOIN sized USING (key), st),
+s AS (SELECT query_id, key, round(sum(part), 9) AS score FROM part JOIN terms USING (gram) GROUP BY query_id, key)
+SELECT query_id, key, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+""",
+)
+def d3_terms(spark, sf):
+    """Whole benchmark items as queries."""
+    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.fulltext_topk(asked, _corpus(spark, sf), 20, "terms").withColumn("score", F.round("score", 6))
+
+
 @query(
     "d4_retrievability",
     f"""WITH {i.MEMORIES_SQL} SELECT key, round(CASE WHEN last_review IS NULL OR last_review = 0 THEN 1.0 WHEN stability <= 0 THEN 0.01
@@ -604,6 +720,25 @@ def d11(spark, sf):
     return search.format_citations(_results(spark, sf).join(_library(spark, sf).select("key", "source", "value"), "key"))
 
 
+_WORD_SQL = (
+    _LIBRARY_SQL.replace("asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[2:3], ' ') AS text FROM benchmark)", f"asked AS (SELECT word AS query_id, word AS text FROM {i.RULES_SQL})")
+    .replace("JOIN v q ON q.key = t.query_id", f"JOIN (SELECT word, e FROM {i.RULES_SQL} JOIN v ON v.key = rule_idx) q ON q.word = t.query_id").replace("QUALIFY rank <= 5", "QUALIFY rank <= 3")
+)
+
+
+@query(
+    "c7_review_full",
+    f"{_judged_cte()}, {i.FEEDBACK_SQL}, {_WORD_SQL}, cited AS (SELECT query_id, string_agg(CASE lib WHEN 'law' THEN '📖 法条：' WHEN 'case' THEN '📋 案例：' ELSE '📌 规则：' END || substr(value, 1, 200), chr(10) || '---' || chr(10) ORDER BY rank) AS citation FROM results GROUP BY query_id)" + _FULL_SQL,
+)
+def c7_full(spark, sf):
+    rules = i.rules(spark)
+    words = rules.join(i.vectors(spark, sf), F.col("rule_idx") == F.col("key")).select("word", "embedding")
+    cited = cite(words, _library(spark, sf), i.NOW, spark.createDataFrame(i.PATTERNS, "class string, level int, pattern string"))
+    r = review(t(spark, sf, "documents"), rules, _replacements(spark), cited, _word_feedback(spark, sf), signals=i.SIGNALS)
+    ids = F.array_join(F.transform(F.array_sort(F.transform("violations", lambda v: F.struct(v["start"], v["text"].alias("w"), F.concat(v["id"], F.lit(":"), v["suggestion"], F.lit(":"), v["law_content"]).alias("x")))), lambda y: y["x"]), ",")
+    return r.select("doc_id", "overall_risk", "n_confirmed", "n_rejected", ids.alias("ids"), "highlighted_text", "summary")
+
+
 # --- E: memory ------------------------------------------------------------------------------------
 
 
@@ -635,7 +770,18 @@ def e3(spark, sf):
     return memory.match_topics(v, topics, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("e4_cluster_topics")
+@query(
+    "e4_cluster_topics",
+    f"""
+WITH RECURSIVE {i.VECTORS_SQL}, p AS (SELECT a.key, b.key AS other, round(list_dot_product(a.e, b.e), 9) AS s FROM v a, v b WHERE b.key < a.key AND list_dot_product(a.e, b.e) >= 0.3),
+nb AS (SELECT v.key, row_number() OVER (ORDER BY v.key) AS n, coalesce(l, []) AS l FROM v LEFT JOIN (SELECT key, list(other) AS l FROM p GROUP BY key) x ON x.key = v.key),
+r(n, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT nb.n, CASE WHEN list_has_any(nb.l, r.leaders) THEN r.leaders ELSE list_append(r.leaders, nb.key) END FROM r JOIN nb ON nb.n = r.n + 1),
+f AS (SELECT unnest(leaders) AS leader FROM (SELECT leaders FROM r ORDER BY n DESC LIMIT 1)),
+best AS (SELECT p.key, other FROM p JOIN f ON f.leader = other QUALIFY row_number() OVER (PARTITION BY p.key ORDER BY s DESC, other) = 1),
+x AS (SELECT v.key, CASE WHEN f.leader IS NOT NULL THEN v.key ELSE other END AS leader FROM v LEFT JOIN f ON f.leader = v.key LEFT JOIN best ON best.key = v.key)
+SELECT key, CAST(leader AS VARCHAR) AS topic, 'vector ' || leader AS name FROM x
+""",
+)
 def e4(spark, sf):
     v = i.vectors(spark, sf).withColumn("value", F.concat(F.lit("vector\n"), F.col("key").cast("string")))
     return memory.cluster_topics(v, 0.3)
@@ -1048,3 +1194,60 @@ def h3(spark, sf):
 def h4(spark, sf):
     s = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("review_id"), F.col("ts").cast("timestamp").alias("ts"))
     return jobs.run_to_end(jobs.dedupe_reviews(s, "60 days"), "reviews").agg(F.count("*").alias("n"))
+
+
+def _late(spark, sf):
+    s = _stream(spark, sf, "events").select("user_id", "ts", (F.col("value") * 10).alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"))
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "h2_stream_latency_sliding",
+    """SELECT epoch(s)::BIGINT AS start, count(*) AS n, round(avg(value * 10), 4) AS avg_ms, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS error_rate
+FROM (SELECT *, time_bucket(INTERVAL 2 HOURS, ts) - to_hours(CAST(2 * k AS INT)) AS s FROM events, range(3) r(k)) GROUP BY s HAVING s + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+)
+def h2_sliding(spark, sf):
+    out = jobs.run_to_end(jobs.stream_latency(_late(spark, sf), "6 hours", "2 hours"), "latency")
+    return out.select(F.unix_timestamp("start").alias("start"), "n", "avg_ms", "error_rate")
+
+
+@query(
+    "h2_stream_sessions",
+    """WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 5 HOURS AS new FROM events), s AS (SELECT *, sum(CAST(coalesce(new, true) AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 18000000000 AS "end", count(*) AS n, round(avg(value * 10), 4) AS avg_ms, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS error_rate FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 5 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+)
+def h2_sessions(spark, sf):
+    out = jobs.run_to_end(jobs.stream_latency(_late(spark, sf), gap="5 hours", by=["user_id"]), "sessions")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "avg_ms", "error_rate")
+
+
+@query("h3_feedback_fold")
+def h3_fold(spark, sf):
+    """The confidences after all feedback has been folded in, batch by batch."""
+    e = _stream(spark, sf, "events")
+    feedback = e.select(F.get_json_object("props", "$.k").alias("word"), F.when(F.col("event_type") == "error", "dismiss").when(F.col("event_type") == "click", "modify").otherwise("confirm").alias("action"), F.col("ts").alias("at"))
+    path = new_path(spark, "confidences")
+    merge, done = jobs.feedback_sink(i.memories(spark, sf), path), []
+
+    def sink(batch, n):
+        merge(batch, n)
+        done.append(n)
+
+    jobs.run_to_end(feedback, "feedback", batch=sink)
+    return spark.read.schema("key string, confidence double").parquet(f"{path}/{max(done)}").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("h4_last_reviews", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(max(ts)) AS updated_at, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
+def h4_last(spark, sf):
+    """Of resubmitted reviews the last, kept by a sink that merges each batch."""
+    s = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"), "event_id")
+    path, done = new_path(spark, "reviews"), []
+    merge = jobs.upsert_sink(path, "key string, updated_at long, event_id long", "key", "updated_at")
+
+    def sink(batch, n):
+        merge(batch, n)
+        done.append(n)
+
+    jobs.run_to_end(s, "reviews", batch=sink)
+    return spark.read.schema("key string, updated_at long, event_id long").parquet(f"{path}/{max(done)}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +19,18 @@ def stream_review(stream: DataFrame, rules: DataFrame, version: str = "v2", sign
     return review(stream, rules, version=version, signals=signals)
 
 
-def stream_latency(stream: DataFrame, window: str = "1 hour", slide: str | None = None, gap: str | None = None, watermark: str = "10 minutes") -> DataFrame:
+def stream_latency(stream: DataFrame, window: str = "1 hour", slide: str | None = None, gap: str | None = None, watermark: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, error rate and percentiles of (ts, latency_ms, is_error) per tumbling or sliding window, or per session with ``gap``.
 
-    Rows later than the watermark are dropped.
+    ``by`` groups further, and is needed for sessions: Spark keeps none over a whole stream. Rows later than the watermark are dropped.
     """
+    if gap and not by:
+        raise ValueError("sessions need columns to group by")
     w = F.session_window("ts", gap) if gap else F.window("ts", window, slide or window)
-    rows = stream.withWatermark("ts", watermark).groupBy(w.alias("w"))
+    rows = stream.withWatermark("ts", watermark).groupBy(w.alias("w"), *by)
     return rows.agg(
         F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.round(F.count_if("is_error") / F.count("*"), 4).alias("error_rate"), F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10_000).alias("percentiles")
-    ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "avg_ms", "error_rate", "percentiles")
+    ).select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "avg_ms", "error_rate", "percentiles")
 
 
 def stream_feedback(stream: DataFrame) -> DataFrame:
