@@ -1,11 +1,12 @@
 """Main text of web pages: text-to-tag ratio per line over the events of the standard library's parser.
 
-Start, end and text events are turned into lines, one per block of the page. Every line has a
-text-to-tag ratio; the text of menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles makes no line. The ratios are smoothed with a Gaussian over neighbouring
-lines, and lines whose smoothed ratio reaches a share of the ratios' standard deviation cluster as
-content. The regions they are in (an article or main element, else the containing block) are selected:
-an article's region whole; elsewhere from the first to the last content line.
+Start, end and text events are turned into lines, one per block of the page. Every line has a text-to-tag ratio. What
+the contract names by element (menus, headers, footers, sidebars, forms, scripts, styles) or what a class calls by its full name an
+advert, a notice or comments is no text and counts as a line of ratio 0; class names that only hint at page
+furniture make a line weigh less. The ratios are smoothed with a Gaussian over neighbouring lines, and lines whose smoothed
+ratio reaches a share of the ratios' standard deviation cluster as content. The content's letters choose the regions (an
+article or main element, else the containing block): those with a share of what the richest has. An article's region is
+taken whole, but for hinted lines and runs of links that are no content; elsewhere from the first to the last content line.
 
 Cases: a null or empty page has an empty text; an unclosed or stray tag ends with its parent or is
 ignored; an unclosed comment hides the rest of the page; repeated rows are extracted each; an empty table gives an empty result. Further columns are
@@ -28,6 +29,10 @@ from ._work import in_arrow
 SIGMA = 1.0
 #: Content lines have a smoothed ratio of at least so many standard deviations of the page's ratios.
 CUT = 0.5
+#: A region is chosen if its content lines have at least this share of the letters of the richest one's.
+SHARE = 0.25
+#: What the ratio of a line counts whose class only hints at page furniture; the share of link text in a line of links.
+HINTED, LINKS = 0.2, 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template title nav header footer aside form button select textarea option svg math iframe object canvas audio video menu dialog".split())
@@ -35,41 +40,61 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 REGIONS = frozenset("article main".split())
-#: Words of a class, id or role that mark an element as no content.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|disclaimer|gdpr|sidebar|side|rail|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|newsletter|subscribe|subscription|signup|popup|modal|overlay|widget|pagination|pager|toolbar|search|login|skip|contentinfo|complementary|navigation|hidden)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-#: A page's outermost article or main element is skipped only by these.
-NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|teaser)(?:$|[\s_-])", re.IGNORECASE)
+#: Words of a class, id or role that name what is no text, words that hint at it, and words for containers and for the text itself.
+NAMED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted cookie cookies consent gdpr notice notices disclaimer alert comment comments commentlist disqus respond reply replies sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead contentinfo complementary newsletter header footer".split())
+HINTS = frozenset("banner side rail share sharing social related recommended recommendations subscribe subscription signup popup modal overlay widget pagination pager toolbar search login skip hidden teaser".split())
+PLAIN = frozenset("area bar block box buttons button container content items item inner left right top bottom links link list module panel section site slot thread unit wrapper wrap wide small large first last main page posts post the".split())
+TEXT = frozenset("article body content entry main post story text".split())
+#: An outermost article or main element is skipped for these words only.
+NOT_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
 #: Such parts of a class say what stands beside the content, not what it is.
 BESIDE = re.compile(r"\b(?:with|has|no|without)[-_][\w-]+", re.IGNORECASE)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|articlebody|main|main-content|post-content|entry-content|article-content|story-body)(?:$|\s)", re.IGNORECASE)
+SIZE = re.compile(r"\d+(?:x\d+)?")
+
+
+def furniture(value: str, outermost: bool = False) -> int:
+    """2 if a class, id or role names what is no text, 1 if it hints at it, else 0. Each name counts as a whole: "share-price" is neither."""
+    found = 0
+    for name in BESIDE.sub("", value).lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x and not SIZE.fullmatch(x)]
+        named, hinted = [x for x in parts if x in NAMED], [x for x in parts if x in HINTS]
+        if outermost:
+            found = max(found, 2 * any(x in NOT_ARTICLE for x in parts))
+        elif (named or hinted) and all(x in NAMED or x in HINTS or x in PLAIN or x in TEXT for x in parts):
+            head = set(named) <= {"header", "footer", "nav", "navigation", "menu"} and any(x in TEXT for x in parts)  # as in "entry-header"
+            found = max(found, 0 if head and not hinted else 2 if named else 1)
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines: text, number of tags, region (0: none; -1: skipped) and container."""
+    """Collects a page's lines: text, number of tags, region (0: none; -1: skipped), container, weight, and letters in links."""
 
     def __init__(self, use_marks: bool = True):
         super().__init__(convert_charrefs=True)
         self.use_marks = use_marks
-        self.open: list[tuple[str, int, int]] = []  # tag, region, container
+        self.open: list[tuple[str, int, int, float, bool]] = []  # tag, region, container, weight, inside a link
         self.n = 0
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, float, int]] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.place = (0, 0)
+        self.tags = self.linked = 0
+        self.hidden = False
+        self.place = (0, 0, 1.0)
 
     def _end_line(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                self.lines.append((words, self.tags, *self.place))
+                self.lines.append((words, self.tags, *self.place, self.linked))
                 self.tags = 0
             self.text.clear()
+        elif self.hidden:
+            self.lines.append(("", self.tags, -1, 0, 0.0, 0))
+            self.tags = 0
+        self.hidden, self.linked = False, 0
 
     def _move(self) -> None:
-        self.place = self.open[-1][1:] if self.open else (0, 0)
+        self.place = self.open[-1][1:4] if self.open else (0, 0, 1.0)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -79,28 +104,29 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in BLOCKS and any(t == "p" for t, _, _ in self.open[-8:]):  # a block ends an open paragraph
-            for i in range(len(self.open) - 1, max(-1, len(self.open) - 9), -1):
-                if self.open[i][0] == "p":
-                    del self.open[i:]
-                    break
+        if tag in BLOCKS:  # a block ends an open paragraph
+            for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] in BLOCKS:
+                    if self.open[i][0] == "p":
+                        del self.open[i:]
                     break
-        region, container = self.open[-1][1:] if self.open else (0, 0)
+        region, container, weight = self.open[-1][1:4] if self.open else (0, 0, 1.0)
         if region >= 0:
-            marks = [BESIDE.sub("", v) for k, v in attrs if v and k in ("class", "id", "role", "itemprop")] if self.use_marks else []
-            marked = NO_ARTICLE if tag in REGIONS and not region else MARKED
-            hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
-            if tag in SKIPPED or hidden or (tag not in ("html", "body") and any(marked.search(v) for v in marks) and not any(ARTICLE.search(v) for v in marks)):
+            names = [v for k, v in attrs if v and k in ("class", "id", "role", "itemprop")] if self.use_marks and tag not in ("html", "body") else []
+            text = any(ARTICLE.search(v) for v in names)
+            mark = 0 if text else max((furniture(v, tag in REGIONS and not region) for v in names), default=0)
+            unseen = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
+            if tag in SKIPPED or unseen or mark == 2:
                 region = -1
-            elif not region and (tag in REGIONS or any(ARTICLE.search(v) for v in marks)):
+            elif not region and (tag in REGIONS or text):
                 self.n += 1
                 region = self.n
+            weight = min(weight, HINTED) if mark == 1 else weight
             if tag in ("div", "section", "td", "body", "article", "main") and region >= 0:
                 self.n += 1
                 container = self.n
-        self.open.append((tag, region, container))
-        if (region, container) != self.place:
+        self.open.append((tag, region, container, weight, tag == "a" or bool(self.open) and self.open[-1][4]))
+        if (region, container, weight) != self.place:
             self._end_line()
             self._move()
 
@@ -110,7 +136,7 @@ class Lines(HTMLParser):
             self._end_line()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self._end_line() if self.open[i][1:] != (self.open[i - 1][1:] if i else (0, 0)) else None
+                self._end_line() if self.open[i][1:4] != (self.open[i - 1][1:4] if i else (0, 0, 1.0)) else None
                 del self.open[i:]
                 self._move()
                 break
@@ -123,8 +149,12 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.place[0] >= 0:
             self.text.append(data)
+            if self.open and self.open[-1][4]:
+                self.linked += len("".join(data.split()))
+        elif not self.hidden and not data.isspace():
+            self.hidden = True
 
-    def finish(self) -> list[tuple[str, int, int, int]]:
+    def finish(self) -> list[tuple[str, int, int, int, float, int]]:
         self.close()
         self._end_line()
         return self.lines
@@ -136,32 +166,50 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None) -> str:
+def choose(lines: list[tuple], use_ratio: bool = True) -> np.ndarray:
+    """Which lines are the main text. Without the ratio: every line that is not skipped."""
+    region, container = (np.array([x[i] for x in lines]) for i in (2, 3))
+    letters = np.array([len(x[0]) for x in lines])
+    weight = np.array([x[4] for x in lines])
+    seen = region >= 0
+    if not use_ratio:
+        return seen
+    ratio = weight * letters / np.maximum(1, [x[1] for x in lines])
+    smoothed = smooth(ratio)
+    cut = min(CUT * ratio.std(), smoothed[seen].max())
+    content = seen & (smoothed >= cut) & ((weight == 1) | (ratio >= cut))  # a hinted line has to be content by itself
+    links = np.array([x[5] for x in lines]) >= LINKS * np.maximum(1, [len("".join(x[0].split())) for x in lines])
+    edges = np.flatnonzero(np.diff(links, prepend=False, append=False))
+    for a, b in edges.reshape(-1, 2):  # a run of links is content if most of it is
+        content[a:b] &= content[a:b].mean() > 0.5
+    inside = content & (region > 0)
+    group = region if inside.any() else container
+    content = inside if inside.any() else content
+    mass = np.bincount(group[content], weights=letters[content])
+    keep = np.zeros(len(lines), dtype=bool)
+    for g in np.flatnonzero(mass >= max(1, SHARE * mass.max())):
+        if inside.any():
+            keep |= region == g
+        else:
+            own = np.flatnonzero((container == g) & content)
+            keep[own[0] : own[-1] + 1] = True
+    return keep & seen & (content | ((weight == 1) & ~links))
+
+
+def main_text(html: str | None, use_ratio: bool = True) -> str:
     html = html or ""
     last = html.rfind("<!--")  # an unclosed comment hides the rest
     if last >= 0 and html.find("-->", last) < 0 and html.lower().find("</script", last) < 0:
         html = html[:last]
-    lines = []
+    lines: list[tuple] = []
     for use_marks in (True, False):  # if class names would leave nothing, only the elements' kinds decide
-        if not lines:
+        if not any(x[0] for x in lines):
             parser = Lines(use_marks)
             parser.feed(html)
             lines = parser.finish()
-    if not lines:
+    if not any(x[0] for x in lines):
         return ""
-    region, container = (np.array([x[i] for x in lines]) for i in (2, 3))
-    ratio = np.array([len(x[0]) / max(1, x[1]) for x in lines])
-    smoothed = smooth(ratio)
-    content = smoothed >= min(CUT * ratio.std(), smoothed.max())
-    keep = np.zeros(len(lines), dtype=bool)
-    inside = region > 0
-    if (content & inside).any():
-        keep = np.isin(region, np.unique(region[content & inside]))
-    else:
-        for c in np.unique(container[content]):
-            own = np.flatnonzero((container == c) & content)
-            keep[own[0] : own[-1] + 1] = True
-    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+    return "\n".join(x[0] for x, k in zip(lines, choose(lines, use_ratio), strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -88,6 +88,48 @@ def test_class_names_beside_the_content():
     assert ht.main_text(f'<main>{body}<article class="comment"><p>me too</p></article></main>').count("\n") == 2
 
 
+PARA = "<p>A paragraph of running text that goes on for a while and says a thing or two, number %d.</p>"
+BODY = "".join(PARA % i for i in range(5))
+
+
+def test_names_count_as_a_whole():
+    assert [ht.furniture(x) for x in ("share-price", "side-effects", "search-theory", "header-file", "commentary", "adsorption")] == [0] * 6
+    assert [ht.furniture(x) for x in ("ad-slot", "cookie-notice", "comment-list", "site-header", "x ad_300x250", "post-comments")] == [2] * 6
+    assert [ht.furniture(x) for x in ("share", "related-posts", "widget", "social_links")] == [1] * 4
+    assert [ht.furniture(x) for x in ("entry-header", "layout with-sidebar", "main-content", "")] == [0] * 4
+
+
+def test_hints_weigh_and_do_not_delete():
+    """A hinted block is text or not by its ratio; a word inside another name is no hint."""
+    text = "<p>The price of a share rose by two parts in a hundred this week, as papers of the firm were sold well.</p>"
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>More {i}</a></li>" for i in range(8)) + "</ul>"
+    for name in ("share-price", "widget"):
+        assert "rose by two" in ht.main_text(f"<article>{BODY}<div class='{name}'>{text}</div>{BODY}</article>")
+    got = ht.main_text(f"<article>{BODY}<div class='related'>{links}</div>{BODY}</article>")
+    assert "More 3" not in got and got.count("\n") == 9
+
+
+def test_ratio_chooses_lines_and_regions():
+    """Link lists without a name inside and beside the text, several articles, and pages without any."""
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(9)) + "</ul>"
+    teaser = "<article><h2>Other</h2><p><a href=/o>Read on</a></p></article>"
+    for html in (f"<article>{BODY}{links}</article>", f"<article>{BODY}</article>{teaser * 3}", f"<div>{links}</div><div>{BODY}</div><div>{links}</div>", f"<body>{links}{BODY}{links}</body>", f"<main>{BODY}</main><div>{links}</div>"):
+        assert ht.main_text(html).split("\n") == [x for x in ht.main_text(BODY).split("\n")], html
+        assert ht.main_text(html, use_ratio=False) != ht.main_text(html)
+    both = ht.main_text(f"<article>{BODY}</article><article>{BODY}</article>")
+    assert both.count("\n") == 9
+    one = ht.main_text(f"<article>{BODY}<p>See <a href=/x>this page</a> for more.</p><p><a href=/y>The whole report of the year in full length</a></p>{BODY}</article>")
+    assert one.count("\n") == 11
+
+
+def test_long_page(spark):
+    """A page above four megabytes, and paragraphs deep in inline elements."""
+    html = "<article>" + "".join(f"<p>{'<b><i>' * 9}Line {i} of a long page with words in it.</p>" for i in range(60_000)) + "</article><footer>no</footer>"
+    assert len(html) > 4 << 20
+    got = ht.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
+    assert got.text == "\n".join(f"Line {i} of a long page with words in it." for i in range(60_000))
+
+
 def test_pages(spark):
     rows = ht.op6_html_text(spark, DATA).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
