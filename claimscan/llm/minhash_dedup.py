@@ -48,6 +48,9 @@ COMMON = 1 << 17
 #: Lists of document numbers are broadcast up to so many rows and joined by a shuffle beyond that.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of text whose shingles a task makes at a time.
+CHUNK = 2 << 20
+
 SETS = "doc_id long, shingles array<long>"
 SIGNATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
@@ -109,7 +112,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _signatures(batches):
     none = np.zeros(0, np.uint64)
     for whole in batches:
-        for batch in chunks(whole, "text"):
+        for batch in chunks(whole, "text", CHUNK):
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -124,7 +127,7 @@ def _signatures(batches):
 
 def _sets(batches):
     for whole in batches:
-        for batch in chunks(whole, "text"):
+        for batch in chunks(whole, "text", CHUNK):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(shingle_sets(batch.column("text")))], ["doc_id", "shingles"])
 
 
