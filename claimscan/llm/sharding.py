@@ -59,8 +59,8 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", sub_buckets: int
     """Adds ``shard``, ``grown_shard`` (with one shard more) and ``slot`` (gapless in the shard, from 0).
 
     A shard holds a fixed part of all rows, so its rows are not numbered in one task: they are
-    numbered in ``sub_buckets`` parts by the key's hash, and each part starts where the counts of the
-    parts before it end. The counts are at most ``n_shards * sub_buckets`` rows, whatever the input,
+    numbered in ``sub_buckets`` parts by the row's hash, so that not even the rows of one key meet in one task, and each
+    part starts where the counts of the parts before it end. The counts are at most ``n_shards * sub_buckets`` rows, whatever the input,
     so they are broadcast.
     """
     names = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot", "__sub", "__base")]
@@ -68,7 +68,7 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", sub_buckets: int
         *names,
         jump_hash(F.col(key), n_shards).alias("shard"),
         jump_hash(F.col(key), n_shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(sub_buckets)).cast("int").alias("__sub"),
+        F.pmod(F.xxhash64(*[c for c, kind in docs.select(*names).dtypes if "map<" not in kind and kind != "variant"]), F.lit(sub_buckets)).cast("int").alias("__sub"),
     )
     before = W.partitionBy("shard").orderBy("__sub").rowsBetween(W.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "__sub").agg(F.count("*").alias("n"))

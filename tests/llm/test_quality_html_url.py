@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -209,3 +212,48 @@ def test_long_text_displaces_no_other(spark):
     got = {r.doc_id: r.score for r in qc.score(frame, chain).collect()}
     assert all((got[k] > 0.7) == bool(k % 2) for k in got)
     assert chain is not None and qc.fit(frame.filter("doc_id < 1"), labels, max_lines=60) is not None
+
+
+def plain_levels(text):
+    """The levels of each line's features and the lines' sizes, one line at a time."""
+    lines = (text or "").encode().split(b"\n")
+    out = []
+    for k, line in enumerate(lines):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", line)
+        n = max(1, len(words))
+        shares = [sum(b in members for b in line) / max(1, len(line)) for members in qc.CLASSES.values()]
+        shares += [sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, len(line) / n / 20, math.log1p(len(line)) / 9, float(line in lines[:k])]
+        shares.append(0.2 * line[:1].isupper() * line[:1].isascii() + 0.6 * (line[-1:] in (b".", b"!", b"?")) if line else 1.0)
+        out.append([sum(c < x for c in qc.CUTS) for x in shares])
+    return out, [len(x) for x in lines]
+
+
+def plain_score(text, weights):
+    """Length-weighted marginals by the forward and backward recursions over lines."""
+    levels, sizes = plain_levels(text)
+    width, depth = len(qc.FEATURES), qc.LEVELS + 1
+    w = weights[:-5].reshape(3, width, depth)
+    trans = weights[-4:].reshape(2, 2)
+    none = [qc.NONE] * width
+    good = [sum(w[k, j, x[j]] for k, x in enumerate((levels[i - 1] if i else none, levels[i], levels[i + 1] if i + 1 < len(levels) else none)) for j in range(width)) + weights[-5] for i in range(len(levels))]
+    node = [(0.0, g) for g in good]
+    forward = [node[0]]
+    for x in node[1:]:
+        forward.append(tuple(x[b] + np.logaddexp(forward[-1][0] + trans[0, b], forward[-1][1] + trans[1, b]) for b in (0, 1)))
+    backward = [(0.0, 0.0)]
+    for x in node[:0:-1]:
+        backward.insert(0, tuple(np.logaddexp(trans[a, 0] + x[0] + backward[0][0], trans[a, 1] + x[1] + backward[0][1]) for a in (0, 1)))
+    p = [1 / (1 + math.exp(f[0] + b[0] - f[1] - b[1])) for f, b in zip(forward, backward)]
+    return sum(x * (n + 1) for x, n in zip(p, sizes)) / sum(n + 1 for n in sizes)
+
+
+def test_quality_scores_equal_plain_recursion(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(80)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    chain = qc.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()} | {-1 - i: t for i, t in enumerate(brute.EDGE_TEXTS)} | {-100: "same\nsame\n\n\nSame.\n\u00c9!"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in qc.score(frame, chain).collect()}
+    assert len({round(x, 3) for x in got.values()}) > 20
+    for d, t in texts.items():
+        assert got[d] == pytest.approx(plain_score(t, chain.weights), abs=1e-6), d
