@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimscan.functions.work import small_rows, stash
+from claimscan.functions.work import small_rows, small_side, stash
 from claimscan.operators.search import base_stability, vectors
 
 # Types of links, relations, categories of profiles.
@@ -32,26 +32,14 @@ def common_dimension(df: DataFrame, col: str = "embedding") -> int | None:
     return None if first is None else first["dim"]
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None) -> DataFrame:
-    """Ordered pairs (key, other, strength) of different keys whose unit vectors have a dot product of at least ``threshold``.
-
-    The vectors are dealt into blocks by hash; every pair of blocks meets in one task, which holds two blocks and
-    emits only the pairs found. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
-    (by default the commonest of the table) are left out.
-    """
-    n = df.count()
-    dim = common_dimension(df) if dim is None else dim
-    blocks = max(1, math.ceil(n / block))
-    key = dict(df.dtypes)["key"]
-    own = df.select("key", "embedding", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"))
-    pair = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
-    dealt = own.withColumn("p", F.explode(pair)).select("p.x", "p.y", "b", "key", "embedding")
+def _meet(dim: int, threshold: float):
+    """For rows (x, y, b, key, embedding): the pairs of a row with b = x and one with b = y that are similar enough, in both orders."""
 
     def meet(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         b = table["b"].to_numpy()
         keys = table["key"].to_pylist()
-        m, at = vectors(table["embedding"], dim or 0)
+        m, at = vectors(table["embedding"], dim)
         left, right = at[b[at] == x], at[b[at] == y]
         a = m[b[at] == x]
         c = a if x == y else m[b[at] == y]
@@ -63,7 +51,54 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, di
         out += [(q, p, v) for p, q, v in out]
         return pa.table({"key": pa.array([o[0] for o in out], table["key"].type), "other": pa.array([o[1] for o in out], table["key"].type), "strength": pa.array([o[2] for o in out], pa.float64())})
 
-    return dealt.groupBy("x", "y").applyInArrow(meet, f"key {key}, other {key}, strength double")
+    return meet
+
+
+def _block_pairs(b: str, blocks: Column) -> Column:
+    """Every pair of blocks that block ``b`` is part of."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(F.col(b), o).alias("x"), F.greatest(F.col(b), o).alias("y")))
+
+
+def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None) -> DataFrame:
+    """Ordered pairs (key, other, strength) of different keys whose unit vectors have a dot product of at least ``threshold``.
+
+    The vectors are dealt into blocks by hash; every pair of blocks meets in one task, which holds two blocks and
+    emits only the pairs found. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
+    (by default the commonest of the table) are left out.
+    """
+    dim = common_dimension(df) if dim is None else dim
+    blocks = max(1, math.ceil(df.count() / block))
+    key = dict(df.dtypes)["key"]
+    own = df.select("key", "embedding", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("b"))
+    dealt = own.withColumn("p", F.explode(_block_pairs("b", F.lit(blocks).cast("long")))).select("p.x", "p.y", "b", "key", "embedding")
+    return dealt.groupBy("x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
+
+
+def similar_pairs_pruned(df: DataFrame, threshold: float = 0.85, tables: int = 24, bits: int = 8, block: int = BLOCK, dim: int | None = None, seed: int = 11) -> DataFrame:
+    """``similar_pairs`` among the vectors that share a bucket only: linear where that is quadratic, but it may miss pairs.
+
+    A bucket is the signs of ``bits`` random projections; there are ``tables`` of them. Vectors at an angle a share one with
+    probability 1 - (1 - (1 - a / pi) ** bits) ** tables: 0.997 at a cosine of 0.85 with the defaults. A bucket of more than
+    ``block`` vectors is dealt into blocks like the whole table there, so that no task holds more than two blocks.
+    """
+    dim = common_dimension(df) if dim is None else dim
+    key, vector = dict(df.dtypes)["key"], dict(df.dtypes)["embedding"]
+    planes = np.random.default_rng(seed).normal(size=(dim or 0, tables * bits))
+    powers = 1 << np.arange(bits)
+
+    def buckets(batches):
+        for batch in batches:
+            m, at = vectors(batch.column("embedding"), dim or 0)
+            code = ((m @ planes > 0).reshape(len(m), tables, bits) * powers).sum(axis=2) + (np.arange(tables) << bits)
+            rows = pa.array(np.repeat(at, tables))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("embedding").take(rows), pa.array(code.ravel().astype(np.int64))], ["key", "embedding", "bucket"])
+
+    own = stash(df.select("key", "embedding").mapInArrow(buckets, f"key {key}, embedding {vector}, bucket long"), "buckets")
+    sizes = small_side(own.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 0"))  # at most tables * 2 ** bits rows
+    dealt = own.join(sizes, "bucket").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("p", F.explode(_block_pairs("b", F.col("blocks")))).select("bucket", "p.x", "p.y", "b", "key", "embedding")
+    found = dealt.groupBy("bucket", "x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
+    return found.groupBy("key", "other").agg(F.max("strength").alias("strength"))
 
 
 def add_links(links: DataFrame, new: DataFrame, types: list[str] = LINK_TYPES, deduplicate: bool = True) -> DataFrame:

@@ -424,6 +424,26 @@ def test_repeated_keys_and_blocks_of_topics(spark, monkeypatch):
     assert sorted(map(tuple, memory.match_topics(df, topics, 0.3).collect()), key=repr) == one and len(one) == 40
 
 
+@pytest.mark.parametrize("block", [9, 4096])
+def test_pruned_pairs_find_nearly_all(spark, block):
+    """Recall against brute force; nothing is found that is not similar."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    v = np.repeat(centres, 5, axis=0) + 0.25 * rng.normal(size=(300, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([*[(k, v[k].tolist()) for k in range(300)], (400, [1.0]), (401, None)], "key long, embedding array<double>")
+    want = {(r.key, r.other): r.strength for r in memory.similar_pairs(df, 0.85).collect()}
+    got = {(r.key, r.other): r.strength for r in memory.similar_pairs_pruned(df, 0.85, block=block).collect()}
+    assert len(want) > 300 and got.keys() <= want.keys() and len(got) >= 0.97 * len(want)
+    assert all(got[p] == pytest.approx(want[p]) for p in got)
+
+
+def test_approximate_percentiles(spark):
+    e = spark.range(1, 5001).selectExpr("timestamp_seconds(id) AS ts", "CAST(id AS double) AS latency_ms", "false AS is_error", "id % 2 AS g")
+    exact, near = (analytics.latency_metrics(e, 4000, by, approximate=a).orderBy("avg_ms").first() for by in ("g",) for a in (False, True))
+    assert near.p50_ms == pytest.approx(exact.p50_ms, rel=0.01) and near.p99_ms == pytest.approx(exact.p99_ms, rel=0.01) and near.max_ms == exact.max_ms
+
+
 def test_upsert_of_equal_times_is_stable(spark):
     current = spark.createDataFrame([], "key string, value string, updated_at long")
     rows = [("k", v, 5) for v in "bdca"]
