@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscan.functions.work import small_rows, small_side, stash
-from claimscan.operators.search import base_stability, vectors
+from claimscan.operators.search import base_stability, build_index, occurrences_of, phrase_blocks, vectors
 
 # Types of links, relations, categories of profiles.
 LINK_TYPES = ["related_to", "contradicts", "refines", "supersedes", "caused_by"]
@@ -264,13 +264,18 @@ ACTION_DELTA = {"confirm": 0.05, "dismiss": -0.10}
 def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 50) -> DataFrame:
     """(key, at, delta, reason) for each memory whose value contains a feedback's word, by key the first ``most`` per word.
 
-    feedback: word, action, at. Each distinct word is looked for once; words go to the tasks as one array.
+    feedback: word, action, at. Each distinct word is looked for once, case-insensitively: by trigram postings of the values, or, if it
+    has fewer than three characters, by its occurrence in each.
     """
-    words = [r.word for r in small_rows(feedback.select("word").distinct()) if r.word]
-    if not words:
-        return feedback.sparkSession.createDataFrame([], f"key {dict(memories.dtypes)['key']}, at {dict(feedback.dtypes)['at']}, delta double, reason string")
+    words = stash(feedback.select("word", F.lower("word").alias("phrase")).filter("word != ''").distinct(), "words")
     value = F.lower(F.coalesce("value", F.lit("")))
-    hits = memories.select("key", F.explode(F.filter(F.array(*map(F.lit, words)), lambda x: F.contains(value, F.lower(x)))).alias("word"))
+    short = [r.phrase for r in small_rows(words.filter(F.length("phrase") < 3).select("phrase").distinct())]
+    hits = memories.select("key", F.explode(F.filter(F.array(*map(F.lit, short)).cast("array<string>"), lambda x: F.contains(value, x))).alias("phrase"))
+    index = None
+    for block in phrase_blocks(words):
+        index = build_index(memories.select("key", "value"), ("value",)) if index is None else index
+        hits = hits.union(occurrences_of(index, block).select("key", "phrase"))
+    hits = hits.join(words, "phrase").select("key", "word")
     first = hits.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("key"))).filter(F.col("n") <= most).drop("n")
     delta = F.when(F.col("action") == "confirm", ACTION_DELTA["confirm"]).when(F.col("action") == "dismiss", ACTION_DELTA["dismiss"]).otherwise(-0.05)
     return feedback.join(first, "word").select("key", "at", delta.alias("delta"), F.concat_ws(":", F.lit("feedback"), "action", "word").alias("reason"))

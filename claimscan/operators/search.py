@@ -161,13 +161,13 @@ def _trigrams(text: str) -> np.ndarray:
     return (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
 
 
-def build_index(corpus: DataFrame) -> DataFrame:
-    """Trigram postings of ``corpus`` (key, value, source, tags) in segments of about SEGMENT characters, written once.
+def build_index(corpus: DataFrame, names: tuple[str, ...] = ("key", "value", "source", "tags")) -> DataFrame:
+    """Trigram postings of the fields ``names`` of ``corpus``, by key, in segments of about SEGMENT characters, written once.
 
     A segment has its rows' keys, lengths in trigrams and texts, and for each trigram the ascending rows it occurs in, with
     how often. Segments need nothing from each other, so nothing is shuffled.
     """
-    fields = [F.lower(F.coalesce(F.col(c) if dict(corpus.dtypes)[c] == "string" else F.array_join(c, ","), F.lit(""))) for c in ("key", "value", "source", "tags")]
+    fields = [F.lower(F.coalesce(F.col(c) if dict(corpus.dtypes)[c] == "string" else F.array_join(c, ","), F.lit(""))) for c in names]
     size = reduce(lambda a, b: a + b, [F.greatest(F.length(f) - 2, F.lit(0)) for f in fields])
     kind = to_arrow_type(corpus.schema["key"].dataType)
 
@@ -214,7 +214,7 @@ class Segment:
         return np.where(self.grams[at] == grams, at, -1)
 
 
-def _phrase_blocks(words: DataFrame):
+def phrase_blocks(words: DataFrame):
     """The distinct phrases of 3 characters and more, PHRASES at a time."""
     block: list[str] = []
     rows = words.select("phrase").distinct().filter(F.length("phrase") >= 3).toLocalIterator()
@@ -227,7 +227,7 @@ def _phrase_blocks(words: DataFrame):
         yield block
 
 
-def _occurrences(index: DataFrame, phrases: list[str]) -> DataFrame:
+def occurrences_of(index: DataFrame, phrases: list[str]) -> DataFrame:
     """(key, dl, phrase, tf): postings of each phrase's two rarest trigrams in the segment are intersected, then the texts are looked at."""
     key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
     grams = [_trigrams(p) for p in phrases]
@@ -283,7 +283,7 @@ def fulltext_scores(queries: DataFrame, corpus: DataFrame | None = None, index:
     """
     index = build_index(corpus) if index is None else index
     words = stash(_words(queries), "words")
-    found = [_occurrences(index, block) for block in _phrase_blocks(words)]
+    found = [occurrences_of(index, block) for block in phrase_blocks(words)]
     if not found:
         key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
         return index.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, key {key}, score double")

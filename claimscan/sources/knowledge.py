@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,7 +52,16 @@ def _row(df: DataFrame, source: str, key: Column, value: Column, tags: Column) -
     return df.select(F.concat(F.lit(source + ":"), key).alias("key"), value.alias("value"), F.lit(source).alias("source"), tags.alias("tags"))
 
 
-def to_knowledge_rows(parsed: DataFrame, kind: str) -> DataFrame:
+@dataclass(frozen=True)
+class Maps:
+    """What a law and its trades are called; the defaults are those of the advertising law."""
+
+    chapters: Sequence[tuple[str, int, int]] = tuple(CHAPTERS)
+    law_tags: Mapping[str, list[str]] = field(default_factory=lambda: LAW_TAGS)
+    industries: Mapping[str, str] = field(default_factory=lambda: INDUSTRIES)
+
+
+def to_knowledge_rows(parsed: DataFrame, kind: str, maps: Maps = Maps()) -> DataFrame:
     """(key, value, source, tags) from parsed rows of one kind.
 
     Sections have heading, body and value (see ``markdown.split_sections``); table kinds have cells and section.
@@ -58,16 +69,17 @@ def to_knowledge_rows(parsed: DataFrame, kind: str) -> DataFrame:
     c, cell = F.col, lambda i: F.get(F.col("cells"), F.lit(i))
     note = lambda name, x: F.when(x != "", F.concat(F.lit(f" | {name}: "), x)).otherwise(F.lit(""))
     if kind in ("law", "bold_law"):
-        ranges = parsed.sparkSession.createDataFrame(CHAPTERS, "label string, lo int, hi int")
+        ranges = parsed.sparkSession.createDataFrame(list(maps.chapters), "label string, lo int, hi int")
         df = range_label(parsed, "heading", ranges, "chapter")
-        tags = F.concat_ws(",", join_tags(F.lit("广告法"), c("heading"), c("chapter")), F.when(F.size(keyword_tags(c("value"), LAW_TAGS)) > 0, F.array_join(keyword_tags(c("value"), LAW_TAGS), ",")))
+        found = keyword_tags(c("value"), maps.law_tags)
+        tags = F.concat_ws(",", join_tags(F.lit("广告法"), c("heading"), c("chapter")), F.when(F.size(found) > 0, F.array_join(found, ",")))
         return _row(df, "ad_law" if kind == "law" else "ad_law_team", c("heading"), c("value"), tags)
     if kind == "case":
         tag = lambda name: strip(F.regexp_extract("body", rf"\*\*{name}\*\*[：:][ \t]*([^\n]+)", 1))
         return _row(parsed, "penalty_case", c("heading"), F.concat(F.lit("### 案例 "), c("heading"), F.lit("\n"), c("body")), join_tags(F.lit("处罚案例"), tag("行业"), tag("违规类型")))
     if kind in ("industry", "industry_team"):
         source, marks = ("industry_rule", "行业规则") if kind == "industry" else ("industry_rule_team", "行业规则,队友版")
-        return _row(parsed, source, first_match_label(c("heading"), INDUSTRIES), F.concat(F.lit("行业: "), c("heading"), F.lit("\n\n"), c("body")), join_tags(F.lit(marks), c("heading")))
+        return _row(parsed, source, first_match_label(c("heading"), maps.industries), F.concat(F.lit("行业: "), c("heading"), F.lit("\n\n"), c("body")), join_tags(F.lit(marks), c("heading")))
     if kind == "general":
         return _row(parsed, "industry_rule_team", F.lit("general"), F.concat(c("heading"), F.lit("\n\n"), c("body")), F.lit("行业规则,队友版,通用禁令"))
     if kind == "banned_word":
@@ -89,11 +101,11 @@ def to_knowledge_rows(parsed: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown kind {kind}")
 
 
-def build_knowledge_base(inputs: dict[str, DataFrame]) -> DataFrame:
+def build_knowledge_base(inputs: dict[str, DataFrame], maps: Maps = Maps()) -> DataFrame:
     """All kinds' rows in one table."""
     out = None
     for kind, parsed in inputs.items():
-        rows = to_knowledge_rows(parsed, kind)
+        rows = to_knowledge_rows(parsed, kind, maps)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

@@ -444,6 +444,13 @@ def test_approximate_percentiles(spark):
     assert near.p50_ms == pytest.approx(exact.p50_ms, rel=0.01) and near.p99_ms == pytest.approx(exact.p99_ms, rel=0.01) and near.max_ms == exact.max_ms
 
 
+def test_deltas_of_short_and_long_words(spark):
+    m = spark.createDataFrame([("k1", "A Needle in the HAY"), ("k2", "no"), ("k3", None), ("k4", "needles, é!")], "key string, value string")
+    f = spark.createDataFrame([("nEEdle", "confirm", 1), ("é", "dismiss", 2), ("NO", "x", 3), ("", "confirm", 4), (None, "confirm", 5), ("k1", "confirm", 6), ("needle", "dismiss", 7)], "word string, action string, at int")
+    got = sorted((r.key, r.at, r.delta) for r in memory.deltas_from_feedback(f, m).collect())
+    assert got == [("k1", 1, 0.05), ("k1", 7, -0.1), ("k2", 3, -0.05), ("k4", 1, 0.05), ("k4", 2, -0.1), ("k4", 7, -0.1)]
+
+
 def test_upsert_of_equal_times_is_stable(spark):
     current = spark.createDataFrame([], "key string, value string, updated_at long")
     rows = [("k", v, 5) for v in "bdca"]
