@@ -93,7 +93,8 @@ def line_levels(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     share[:, j + 1] = np.bincount(pairs // max(1, len(distinct)), minlength=n) / np.maximum(n_words, 1)
     share[:, j + 2] = size / np.maximum(n_words, 1) / 20
     share[:, j + 3] = np.log1p(size) / 9
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+    at = np.concatenate([[0], np.cumsum(size)])  # without the line ends, so that a text's last line equals an earlier one
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(data[data != 10])])
     same, kinds = codes(whole)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     seen = np.ones(n, dtype=bool)
