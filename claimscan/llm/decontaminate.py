@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ALNUM, buffers, chunks, codes, split_words
-from ._work import in_arrow, row_key, small_side, stash
+from ._work import in_arrow, row_key, small_side, stash, table
 
 WINDOW = 10
 #: The words of a phrase are near each other if they lie in so many consecutive words.
@@ -284,7 +284,7 @@ def merge(found: DataFrame) -> DataFrame:
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, bench = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return find(docs, bench).select(
         "doc_id",
         "n_words",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import buffers, chunks
-from ._work import in_arrow, stash
+from ._work import in_arrow, stash, table
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, models: list[Model], columns: list[str] = ()) -> Da
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 4 is not 2 and predicts all."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     models = fit(docs.filter(remainder != 2))
     held = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")

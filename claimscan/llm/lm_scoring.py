@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, mix, split_words
-from ._work import in_arrow, most_frequent, stash
+from ._work import in_arrow, most_frequent, stash, table
 
 DEPTH = 5
 #: The byte that ends a text and, as context, stands before it.
@@ -493,7 +493,7 @@ def score(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 10 is not 0 and scores all."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     out = score(docs, remainder != 0)
     return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

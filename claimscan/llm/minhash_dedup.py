@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, hashes, mix, split_words
-from ._work import in_arrow, most_frequent, row_key, small_side, stash
+from ._work import in_arrow, most_frequent, row_key, small_side, stash, table
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -260,7 +260,7 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return group(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

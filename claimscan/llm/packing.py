@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import encoder
 from ._bytes import chunks
-from ._work import in_arrow, stash
+from ._work import in_arrow, stash, table
 
 CAPACITY = 1024
 END = 2
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Li
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, buffers, chunks, codes, split_words
-from ._work import in_arrow, stash
+from ._work import in_arrow, stash, table
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 100_000
@@ -241,7 +241,7 @@ def score(docs: DataFrame, chain: Chain | None, with_lines: bool = False) -> Dat
 
 def op4_quality_crf(spark, sf_dir: str) -> DataFrame:
     """Learns from the labels of rows whose crc32(doc_id) mod 5 is not 0 and scores all documents."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     chain = fit(docs, labels.filter(remainder != 0))
     held = F.coalesce(remainder == 0, F.lit(False)).alias("held_out")
