@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscan.functions.text import first_match_label, keyword_tags
-from claimscan.functions.work import new_path
+from claimscan.functions.work import new_path, spread
 from claimscan.operators import analytics, evaluate, graph, judge, memory, scan, search
 from claimscan.plans import inputs as i
 from claimscan.plans.review import cite, review
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return i.table(spark, sf_dir, name)
+    return spread(i.table(spark, sf_dir, name)) if name == "documents" else i.table(spark, sf_dir, name)
 
 
 # --- A: sources -----------------------------------------------------------------------------------
