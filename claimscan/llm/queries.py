@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, lm_scoring, minhash_dedup, packing, quality_crf, quality_rules, sharding, source_mixing, url_filter
+from . import decontaminate, html_text, language_id, lexical_search, lm_scoring, minhash_dedup, packing, quality_crf, quality_rules, sharding, source_mixing, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_language_id": language_id.op10_language_id,
     "op12_source_mixing": source_mixing.op12_source_mixing,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 #: The others use hashing, learned models, a parser, a tokenizer or crc32, which DuckDB's SQL lacks; tests/llm compares them with brute force.
@@ -23,4 +24,5 @@ SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op12_source_mixing": source_mixing.OP12_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
