@@ -6,8 +6,8 @@ above its cap. A source's target over its size is its number of repetitions: the
 fraction a seeded sample of documents, in the order of a hash until the words of the fraction are reached. The first
 document that does not fit ends the sample; ``REFILLS`` more samples, of documents that fit, fill what it left.
 
-Where a sample ends is found without sorting a source: its words are added up by the hash's first 15 bits, and only the documents of
-the cell where the sample ends, one of 32,768, are put in order. What results is one row a source, so the documents themselves are
+Where a sample ends is found without sorting a source: its words are added up by the hash's first 12 bits, and only the documents of
+the cell where the sample ends, one of 4,096, are put in order. What results is one row a source, so the documents themselves are
 never shuffled, and a source that holds most of them is added up by all tasks.
 
 Cases: a null text has no words; a document without words adds nothing, however often it is taken. A null source is a source of its
@@ -29,7 +29,7 @@ SEED = 12
 #: Further samples, of the documents that still fit, after the first.
 REFILLS = 2
 #: Bits of the hash, and those by which a source's words are added up.
-HASH_BITS, CELL_BITS = 60, 15
+HASH_BITS, CELL_BITS = 60, 12
 BROADCAST_SOURCES = 1_000_000
 
 ADDED = ("size", "source_size", "target", "repeats", "taken")
