@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, lexical_search, lm_scoring, minhash_dedup, packing, quality_crf, quality_rules, sharding, source_mixing, url_filter
+from . import decontaminate, html_text, language_id, lexical_search, lm_scoring, minhash_dedup, packing, quality_crf, quality_rules, sharding, source_mixing, spelling_variants, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,14 +15,16 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_language_id": language_id.op10_language_id,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_source_mixing": source_mixing.op12_source_mixing,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
-#: The others use hashing, learned models, a parser, a tokenizer or crc32, which DuckDB's SQL lacks; tests/llm compares them with brute force.
+#: The others use hashing, learned models, a parser or a tokenizer, which DuckDB's SQL lacks; tests/llm compares them with brute force.
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op11_spelling_variants": spelling_variants.OP11_SQL,
     "op12_source_mixing": source_mixing.OP12_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
