@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimscan.functions.work import small_rows, small_side, stash
+from claimscan.functions.work import in_arrow, in_blocks, packed, paired, small_side, stash
 from claimscan.operators.search import base_stability, build_index, occurrences_of, phrase_blocks, vectors
 
 # Types of links, relations, categories of profiles.
@@ -19,8 +19,10 @@ RELATIONS = ["caused_by", "led_to", "resolved", "contradicts", "supersedes"]
 CATEGORIES = ["identity", "skills", "preferences", "tools", "efficiency", "projects"]
 #: Vectors in a block of the similarity grid; a task holds two blocks.
 BLOCK = 4096
-#: Topics are compared with all vectors in blocks of so many.
-TOPIC_BLOCK = 2048
+#: Vectors in a cell of the pruned search; vectors that centroids are taken from; centroids of a part; vectors on which the recall of cells is tried.
+CELL, SAMPLE, MOST_CENTROIDS, PROBES = 64, 16_384, 1024, 2000
+#: Topics in a block, vectors in a block that it is compared with, and blocks of topics that are broadcast; more are joined by a shuffle.
+TOPIC_BLOCK, PACK, BROADCAST_BLOCKS = 2048, 4096, 64
 
 
 # --- links ----------------------------------------------------------------------------------------
@@ -33,18 +35,18 @@ def common_dimension(df: DataFrame, col: str = "embedding") -> int | None:
 
 
 def _meet(dim: int, threshold: float):
-    """For rows (x, y, b, key, embedding): the pairs of a row with b = x and one with b = y that are similar enough, in both orders."""
+    """For rows (x, y, b, fresh, key, embedding): the pairs of a row with b = x and one with b = y, one of them fresh, that are similar enough, in both orders."""
 
     def meet(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        b = table["b"].to_numpy()
+        b, fresh = table["b"].to_numpy(), table["fresh"].to_numpy(zero_copy_only=False)
         keys = table["key"].to_pylist()
         m, at = vectors(table["embedding"], dim)
         left, right = at[b[at] == x], at[b[at] == y]
         a = m[b[at] == x]
         c = a if x == y else m[b[at] == y]
         s = a @ c.T
-        i, j = np.nonzero(s >= threshold)
+        i, j = np.nonzero((s >= threshold) & (fresh[left][:, None] | fresh[right][None, :]))
         if x == y:
             i, j = i[i < j], j[i < j]
         out = [(keys[left[p]], keys[right[q]], float(s[p, q])) for p, q in zip(i, j, strict=True) if keys[left[p]] != keys[right[q]]]
@@ -59,45 +61,127 @@ def _block_pairs(b: str, blocks: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(F.col(b), o).alias("x"), F.greatest(F.col(b), o).alias("y")))
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None) -> DataFrame:
+def _rows(df: DataFrame, new: DataFrame | None) -> DataFrame:
+    """(key, embedding, fresh): all rows of ``df`` are fresh, or, with ``new``, only the rows of that."""
+    own = df.select("key", "embedding", F.lit(new is None).alias("fresh"))
+    return own if new is None else own.unionByName(new.select("key", "embedding", F.lit(True).alias("fresh")))
+
+
+def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None, new: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (key, other, strength) of different keys whose unit vectors have a dot product of at least ``threshold``.
 
     The vectors are dealt into blocks by hash; every pair of blocks meets in one task, which holds two blocks and
     emits only the pairs found. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
-    (by default the commonest of the table) are left out.
+    (by default the commonest of the table) are left out. With ``new`` (rows that come to ``df``) only pairs with one of these are found.
     """
-    dim = common_dimension(df) if dim is None else dim
-    blocks = max(1, math.ceil(df.count() / block))
+    dim = common_dimension(df if new is None else df.unionByName(new, True)) if dim is None else dim
+    rows = _rows(df, new)
+    blocks = max(1, math.ceil(rows.count() / block))
     key = dict(df.dtypes)["key"]
-    own = df.select("key", "embedding", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("b"))
-    dealt = own.withColumn("p", F.explode(_block_pairs("b", F.lit(blocks).cast("long")))).select("p.x", "p.y", "b", "key", "embedding")
+    own = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    dealt = own.withColumn("p", F.explode(_block_pairs("b", F.lit(blocks).cast("long")))).select("p.x", "p.y", "b", "fresh", "key", "embedding")
     return dealt.groupBy("x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
 
 
-def similar_pairs_pruned(df: DataFrame, threshold: float = 0.85, tables: int = 24, bits: int = 8, block: int = BLOCK, dim: int | None = None, seed: int = 11) -> DataFrame:
-    """``similar_pairs`` among the vectors that share a bucket only: linear where that is quadratic, but it may miss pairs.
+class Cells:
+    """Cells around vectors of a sample: in each table a vector's cell is told by its nearest centroid in each of the table's parts."""
 
-    A bucket is the signs of ``bits`` random projections; there are ``tables`` of them. Vectors at an angle a share one with
-    probability 1 - (1 - (1 - a / pi) ** bits) ** tables: 0.997 at a cosine of 0.85 with the defaults. A bucket of more than
-    ``block`` vectors is dealt into blocks like the whole table there, so that no task holds more than two blocks.
-    """
-    dim = common_dimension(df) if dim is None else dim
-    key, vector = dict(df.dtypes)["key"], dict(df.dtypes)["embedding"]
-    planes = np.random.default_rng(seed).normal(size=(dim or 0, tables * bits))
-    powers = 1 << np.arange(bits)
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables  # (parts, centroids, dim) each
+
+    def of(self, m: np.ndarray) -> np.ndarray:
+        """The number of the cell of each row in each table; a number tells its table too."""
+        out = np.empty((len(m), len(self.tables)), dtype=np.int64)
+        for t, parts in enumerate(self.tables):
+            code = np.zeros(len(m), dtype=np.int64)
+            for centroids in parts:
+                code = code * len(centroids) + (m @ centroids.T).argmax(axis=1)
+            out[:, t] = code * len(self.tables) + t
+        return out
+
+
+def _moved(m: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors at just this cosine to the rows, in random directions."""
+    off = rng.normal(size=m.shape)
+    off -= (off * m).sum(axis=1, keepdims=True) * m
+    length = np.linalg.norm(off, axis=1, keepdims=True)
+    return cosine * m + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(off, length, out=np.zeros_like(off), where=length > 0)
+
+
+def choose_cells(sample: np.ndarray, n: int, threshold: float, recall: float, size: int = CELL, seed: int = 11) -> Cells | None:
+    """Cells for ``n`` vectors like the sample, about ``size`` to a cell; None where all pairs are less work.
 
-    def buckets(batches):
+    The number of cells grows with n, and tables are added until pairs at just the threshold, made from the sample, share a cell as
+    often as ``recall`` wants. Closer pairs do so more often.
+    """
+    sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    cells = n / size
+    if cells < 2 or len(sample) < 2:
+        return None
+    parts = max(1, math.ceil(math.log(cells) / math.log(MOST_CENTROIDS)))
+    rng = np.random.default_rng(seed)
+    probe = sample[rng.permutation(len(sample))[:PROBES]]
+    near = _moved(probe, threshold, rng)
+    # the centroids of a table are the first ones of its order of the sample, so that more of them split the same cells further
+    orders: list[np.ndarray] = []
+
+    def tables(n_tables: int, k: int) -> Cells:
+        while len(orders) < n_tables:
+            orders.append(np.stack([rng.permutation(len(sample)) for _ in range(parts)]))
+        return Cells([sample[o[:, :k]] for o in orders[:n_tables]])
+
+    def found(c: Cells) -> float:
+        return (c.of(probe) == c.of(near)).any(axis=1).mean()
+
+    k, many = min(len(sample), max(2, round(cells ** (1 / parts)))), 1
+    while found(tables(many, k)) < recall:
+        many += 1
+        if many >= cells / 2:
+            return None
+    best = tables(many, k)
+    for more in np.linspace(1.05, 1.5, 10):  # smaller cells, as long as so many tables suffice
+        if (finer := round(k * more)) > len(sample) or found(tables(many, finer)) < recall:
+            break
+        best = tables(many, finer)
+    return best
+
+
+def in_cells(rows: DataFrame, cells: Cells, dim: int) -> DataFrame:
+    """``rows`` (key, embedding, fresh) with ``cell``, once for each table, written; those of another dimension are left out."""
+    sent = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
         for batch in batches:
-            m, at = vectors(batch.column("embedding"), dim or 0)
-            code = ((m @ planes > 0).reshape(len(m), tables, bits) * powers).sum(axis=2) + (np.arange(tables) << bits)
-            rows = pa.array(np.repeat(at, tables))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("embedding").take(rows), pa.array(code.ravel().astype(np.int64))], ["key", "embedding", "bucket"])
-
-    own = stash(df.select("key", "embedding").mapInArrow(buckets, f"key {key}, embedding {vector}, bucket long"), "buckets")
-    sizes = small_side(own.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 0"))  # at most tables * 2 ** bits rows
-    dealt = own.join(sizes, "bucket").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    dealt = dealt.withColumn("p", F.explode(_block_pairs("b", F.col("blocks")))).select("bucket", "p.x", "p.y", "b", "key", "embedding")
-    found = dealt.groupBy("bucket", "x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
+            m, at = vectors(batch.column("embedding"), dim)
+            code = sent.value.of(m)
+            taken = batch.take(pa.array(np.repeat(at, code.shape[1])))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(code.ravel())], [*batch.schema.names, "cell"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return stash(rows.mapInArrow(run, f"{schema}, cell long"), "cells")
+
+
+def similar_pairs_pruned(df: DataFrame, threshold: float = 0.85, recall: float = 0.95, size: int = CELL, block: int = BLOCK, dim: int | None = None, seed: int = 11, new: DataFrame | None = None) -> DataFrame:
+    """``similar_pairs`` among vectors that share a cell only: it finds at least about ``recall`` of the pairs, in less than all pairs' work.
+
+    The centroids are SAMPLE vectors of the table at most; cells hold about ``size`` vectors whatever the table's size, so twice the rows make twice the
+    pairs of a table of cells, and a few more tables: the pairs met grow as n ** 1.2 at a threshold of 0.85 in 64 dimensions.
+    A cell of more than ``block`` vectors is dealt into blocks like the whole table in ``similar_pairs``, so that no task holds more than two blocks.
+    With ``new``, only cells that hold some of these are looked at. Where all pairs are less work (few rows, or a low threshold), all are met.
+    """
+    dim = common_dimension(df if new is None else df.unionByName(new, True)) if dim is None else dim
+    key = dict(df.dtypes)["key"]
+    rows = _rows(df, new)
+    picked = rows.filter(F.size("embedding") == F.lit(dim or 0)).orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(SAMPLE).select("embedding").toArrow()
+    cells = choose_cells(vectors(picked["embedding"], dim or 0)[0], rows.count(), threshold, recall, size, seed)
+    if cells is None:
+        return similar_pairs(df, threshold, block, dim, new)
+    own = in_cells(rows, cells, dim)
+    sizes = own.groupBy("cell").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("wanted")).filter("n > 1 AND wanted")
+    sizes = stash(sizes.select("cell", F.ceil(F.col("n") / block).alias("blocks")), "sizes")
+    dealt = own.join(small_side(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("p", F.explode(_block_pairs("b", F.col("blocks")))).select("cell", "p.x", "p.y", "b", "fresh", "key", "embedding")
+    found = dealt.groupBy("cell", "x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
     return found.groupBy("key", "other").agg(F.max("strength").alias("strength"))
 
 
@@ -115,52 +199,66 @@ def add_links(links: DataFrame, new: DataFrame, types: list[str] = LINK_TYPES, d
 
 
 def match_topics(df: DataFrame, topics: DataFrame, threshold: float = 0.75, dim: int | None = None) -> DataFrame:
-    """(key, topic_id, similarity): the nearest centroid (id, centroid) of each vector (key, embedding).
+    """(key, topic_id, similarity): the nearest centroid (id, centroid; distinct ids) of each vector (key, embedding).
 
-    The lowest id wins ties; below the threshold the topic is null. Only positive similarities count. Topics are sent
-    to the tasks in blocks; a row carries its best topic from block to block. Vectors and centroids whose length is not ``dim`` (by default the commonest of ``df``) match nothing.
+    The lowest id wins ties; below the threshold the topic is null. Only positive similarities count. Blocks of topics are paired with blocks of
+    rows by a join. Vectors and centroids whose length is not ``dim`` (by default the commonest of ``df``) match nothing.
     """
     dim = common_dimension(df) if dim is None else dim
     kind = dict(df.dtypes)["key"]
-    vector = dict(df.dtypes)["embedding"]
-    state = df.select("key", "embedding", F.lit(None).cast("long").alias("t"), F.lit(0.0).alias("s"))
+    known = topics.filter(F.size("centroid") == F.lit(dim)).select(F.col("id").cast("long").alias("id"), "centroid")
+    blocks = in_blocks(known, TOPIC_BLOCK, "id")
+    packs = packed(df.select("key", "embedding"), PACK).withColumn("pack", F.monotonically_increasing_id())
+    if blocks.count() > BROADCAST_BLOCKS:
+        packs = stash(packs, "packs")  # its numbers must be the same for all blocks
+    none = np.iinfo(np.int64).max
+
+    def run(batches):
+        last: tuple | None = None  # the pack, its keys, the best topics and similarities so far
 
-    def compare(state: DataFrame, rows: list) -> DataFrame:
-        ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+        def done(pack, keys, t, s):
+            place = np.arange(len(keys))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), pack)), pa.array(place), keys, pa.array(t, pa.int64(), mask=t == none), pa.array(s)], ["pack", "place", "key", "t", "s"])
 
-        def run(batches):
-            for batch in batches:
-                m, at = vectors(batch.column("embedding"), matrix.shape[1])
-                best, sim = batch.column("t").to_pylist(), batch.column("s").to_numpy().copy()
+        for batch in batches:
+            for i in range(len(batch)):
+                pack, keys = batch.column("pack")[i].as_py(), batch.column("key")[i].values
+                if last is None or last[0] != pack:
+                    if last is not None:
+                        yield done(*last)
+                    last = (pack, keys, np.full(len(keys), none), np.zeros(len(keys)))
+                own = batch.column("rows")[i].values
+                m, at = vectors(batch.column("embedding")[i].values, dim or 0)
                 if len(at):
-                    s = np.round(m @ matrix.T, 9)
+                    order = np.argsort(own.field("id").to_numpy())
+                    ids, s = own.field("id").to_numpy()[order], np.round(m @ vectors(own.field("centroid"), dim)[0][order].T, 9)
                     j = s.argmax(axis=1)  # the first of equals: ids ascend
-                    top = s[np.arange(len(at)), j]
-                    for k in np.flatnonzero(top > sim[at]):
-                        best[at[k]], sim[at[k]] = int(ids[j[k]]), top[k]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("embedding"), pa.array(best, pa.int64()), pa.array(sim)], ["key", "embedding", "t", "s"])
-
-        return state.mapInArrow(run, f"key {kind}, embedding {vector}, t long, s double")
-
-    rows = []
-    for r in topics.filter(F.size("centroid") == F.lit(dim)).orderBy("id").select("id", "centroid").toLocalIterator():
-        rows.append(r)
-        if len(rows) == TOPIC_BLOCK:  # what is best so far is written, so that one block is held at a time
-            state, rows = stash(compare(state, rows), "matched"), []
-    out = compare(state, rows) if rows else state
-    return out.select("key", F.when(F.col("s") >= threshold, F.col("t")).alias("topic_id"), F.col("s").alias("similarity"))
-
-
-def cluster_topics(df: DataFrame, threshold: float = 0.75, topics: DataFrame | None = None) -> DataFrame:
+                    top, best, sim = s[np.arange(len(at)), j], last[2], last[3]
+                    better = (top > sim[at]) | ((top == sim[at]) & (top > 0) & (ids[j] < best[at]))
+                    best[at[better]], sim[at[better]] = ids[j[better]], top[better]
+        if last is not None:
+            yield done(*last)
+
+    if not blocks.limit(1).count():
+        return df.select("key", F.lit(None).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
+    found = in_arrow(paired(packs, blocks, BROADCAST_BLOCKS).select("pack", "key", "embedding", "rows"), run, f"pack long, place long, key {kind}, t long, s double")
+    if blocks.count() > 1:
+        best = F.min_by(F.struct("key", "t", "s"), F.struct(-F.col("s"), F.col("t").isNull(), F.col("t")))
+        found = found.groupBy("pack", "place").agg(best.alias("b")).select("b.*")
+    return found.select("key", F.when(F.col("s") >= threshold, F.col("t")).alias("topic_id"), F.col("s").alias("similarity"))
+
+
+def cluster_topics(df: DataFrame, threshold: float = 0.75, topics: DataFrame | None = None, recall: float | None = None) -> DataFrame:
     """(key, topic, name): rows (key, value, embedding), in key order, join the best existing topic or found one.
 
     A row joins the most similar among the given topics and the founders before it, if that similarity reaches the
     threshold. Whether a row founds a topic depends on smaller keys only: it does if no topic matches it and no
     smaller neighbour founds one. Rounds over the threshold graph decide all rows whose smaller neighbours are
-    decided, until none is open.
+    decided, until none is open. With ``recall`` the pairs of ``similar_pairs_pruned`` are used: less work, but a row may miss a topic.
     """
     dim = common_dimension(df)
-    pairs = stash(similar_pairs(df, threshold, dim=dim).filter("other < key"), "pairs")
+    found = similar_pairs(df, threshold, dim=dim) if recall is None else similar_pairs_pruned(df, threshold, recall, dim=dim)
+    pairs = stash(found.filter("other < key"), "pairs")
     matched = match_topics(df, topics, threshold, dim) if topics is not None else df.select("key", F.lit(None).cast("long").alias("topic_id"), F.lit(0.0).alias("similarity"))
     matched = stash(matched, "matched")
     state = stash(matched.select("key", F.when(F.col("topic_id").isNotNull(), False).alias("leads")), "state")
@@ -181,17 +279,72 @@ def cluster_topics(df: DataFrame, threshold: float = 0.75, topics: DataFrame | N
     return out.select("key", topic.alias("topic"), founder.alias("leader")).join(names, "leader", "left").select("key", "topic", "name")
 
 
-def recalculate_centroids(members: DataFrame, vectors_: DataFrame, normalise: bool = False) -> DataFrame:
-    """(topic_id, centroid): mean vector over the distinct members (topic_id, key)."""
-    rows = members.select("topic_id", "key").distinct().join(vectors_.select("key", "embedding"), "key").select("topic_id", F.posexplode("embedding").alias("i", "v"))
-    mean = rows.groupBy("topic_id", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    whole = mean.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centroid"))
+def topic_sums(members: DataFrame, vectors_: DataFrame) -> DataFrame:
+    """(topic_id, total, n): the sums of the vectors of the distinct members (topic_id, key), which merge: see ``merge_sums``.
+
+    Every task adds up its rows first and sends a vector a topic; the vectors of a topic then meet, one from each task. Vectors of another length than
+    the commonest of the table are left out.
+    """
+    rows = members.select("topic_id", "key").distinct().join(vectors_.select("key", "embedding"), "key").select("topic_id", "embedding")
+    dim, kind = common_dimension(vectors_) or 0, dict(members.dtypes)["topic_id"]
+
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            m, at = vectors(batch.column("embedding"), dim)
+            topics = batch.column("topic_id").take(pa.array(at)).dictionary_encode()
+            which = topics.indices.fill_null(len(topics.dictionary)).to_numpy(zero_copy_only=False)
+            total, n = np.zeros((len(topics.dictionary) + 1, dim)), np.bincount(which, minlength=len(topics.dictionary) + 1)
+            np.add.at(total, which, m)
+            for name, t, c in zip([*topics.dictionary.to_pylist(), None], total, n.tolist(), strict=True):
+                if c:
+                    before = held.get(name)
+                    held[name] = (t, c) if before is None else (before[0] + t, before[1] + c)
+            if len(held) > TOPIC_BLOCK * 8:
+                yield _sums(held, batch.schema.field("topic_id").type)
+                held = {}
+        if held:
+            yield _sums(held, batch.schema.field("topic_id").type)
+
+    return merge_sums(in_arrow(rows, partial, f"topic_id {kind}, total array<double>, n long"))
+
+
+def _sums(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held, kind), pa.array([t for t, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], ["topic_id", "total", "n"])
+
+
+def merge_sums(*sums: DataFrame) -> DataFrame:
+    """One row a topic of rows (topic_id, total, n): running sums and those of new members give the sums of all."""
+    rows = sums[0]
+    for more in sums[1:]:
+        rows = rows.unionByName(more)
+    schema = f"topic_id {dict(rows.dtypes)['topic_id']}, total array<double>, n long"
+
+    def whole(batches):
+        total, n, name = None, 0, None
+        for batch in batches:
+            for t, c in zip(batch.column("total").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                total, n = np.array(t) if total is None else total + np.array(t), n + c
+            name = batch.column("topic_id").slice(0, 1)
+        yield pa.RecordBatch.from_arrays([name, pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["topic_id", "total", "n"])
+
+    return rows.select("topic_id", "total", "n").groupBy("topic_id").applyInArrow(lambda t: pa.Table.from_batches(list(whole(t.to_batches()))), schema)
+
+
+def centroids_of(sums: DataFrame, normalise: bool = False) -> DataFrame:
+    """(topic_id, centroid): the mean of each topic's ``topic_sums``, or the unit vector in its direction."""
+    whole = sums.select("topic_id", F.transform("total", lambda x: x / F.col("n")).alias("centroid"))
     if normalise:
         norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
         whole = whole.withColumn("centroid", F.when(norm > 0, F.transform("centroid", lambda x: x / norm)).otherwise(F.col("centroid")))
     return whole
 
 
+def recalculate_centroids(members: DataFrame, vectors_: DataFrame, normalise: bool = False) -> DataFrame:
+    """(topic_id, centroid): mean vector over the distinct members (topic_id, key)."""
+    return centroids_of(topic_sums(members, vectors_), normalise)
+
+
 def topic_sizes(members: DataFrame) -> DataFrame:
     return members.select("topic_id", "key").distinct().groupBy("topic_id").agg(F.count("*").alias("n"))
 
@@ -258,6 +411,13 @@ def new_confidences(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max_by("new_confidence", "step").alias("confidence"))
 
 
+def short_postings(texts: DataFrame) -> DataFrame:
+    """(key, phrase): each distinct run of one or two characters of each of ``texts`` (key, text)."""
+    size = F.length("text")
+    runs = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substr("text", at, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return texts.select("key", F.explode(F.array_distinct(F.concat(runs(1), runs(2)))).alias("phrase"))
+
+
 ACTION_DELTA = {"confirm": 0.05, "dismiss": -0.10}
 
 
@@ -265,16 +425,19 @@ def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 5
     """(key, at, delta, reason) for each memory whose value contains a feedback's word, by key the first ``most`` per word.
 
     feedback: word, action, at. Each distinct word is looked for once, case-insensitively: by trigram postings of the values, or, if it
-    has fewer than three characters, by its occurrence in each.
+    has fewer than three characters, by postings of one and two characters.
     """
     words = stash(feedback.select("word", F.lower("word").alias("phrase")).filter("word != ''").distinct(), "words")
     value = F.lower(F.coalesce("value", F.lit("")))
-    short = [r.phrase for r in small_rows(words.filter(F.length("phrase") < 3).select("phrase").distinct())]
-    hits = memories.select("key", F.explode(F.filter(F.array(*map(F.lit, short)).cast("array<string>"), lambda x: F.contains(value, x))).alias("phrase"))
-    index = None
-    for block in phrase_blocks(words):
-        index = build_index(memories.select("key", "value"), ("value",)) if index is None else index
-        hits = hits.union(occurrences_of(index, block).select("key", "phrase"))
+    index = build_index(memories.select("key", "value"), ("value",)) if words.filter(F.length("phrase") > 2).limit(1).count() else None
+    hits = short_postings(memories.select("key", value.alias("text"))) if words.filter(F.length("phrase") < 3).limit(1).count() else None
+    if hits is not None:
+        short = small_side(stash(words.filter(F.length("phrase") < 3).select("phrase").distinct(), "short"))
+        hits = hits.join(short, "phrase")
+    if index is not None:
+        long = occurrences_of(index, phrase_blocks(words)).select("key", "phrase")
+        hits = long if hits is None else hits.unionByName(long)
+    hits = memories.select("key", value.alias("phrase")).limit(0) if hits is None else hits
     hits = hits.join(words, "phrase").select("key", "word")
     first = hits.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("key"))).filter(F.col("n") <= most).drop("n")
     delta = F.when(F.col("action") == "confirm", ACTION_DELTA["confirm"]).when(F.col("action") == "dismiss", ACTION_DELTA["dismiss"]).otherwise(-0.05)

@@ -1,7 +1,8 @@
 """Hybrid retrieval: vectors, full text, decay and confidence, fused per query.
 
-Queries are a stated, bounded batch; the corpus may be of any size. Scores are never held for all
-(query, row) pairs: the vector pass keeps each query's range in a first and its best rows in a second pass.
+Neither queries nor corpus pass through the driver: the corpus is packed into blocks of rows where it lies, the queries are
+grouped into blocks, and an equi-join on the block's number pairs them, in one plan that reads the corpus once. Scores are never held for all
+(query, row) pairs: a task carries each query's best rows from block to block, and so sends k rows a query.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from claimscan.functions.work import small_rows, small_side, stash
+from claimscan.functions.work import in_arrow, in_blocks, packed, paired, small_rows, small_side, stash
 
 GRAMS, GRAM_WEIGHT = (2, 3, 4), 0.3
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-#: Queries that are scored against the corpus at a time.
-BLOCK = 512
-#: Phrases that are looked for in one pass over the index, characters of a segment of it, characters encoded at a time.
-PHRASES, SEGMENT, CHUNK = 100_000, 4_000_000, 1_000_000
+#: Queries in a block, rows of the corpus in a block, blocks of queries that are broadcast (more are joined by a shuffle), best rows that a task holds.
+BLOCK, PACK, BROADCAST_BLOCKS, HELD = 512, 4096, 64, 2_000_000
+#: Phrases in a block, characters of a segment of the index and of a row besides its text, characters encoded and postings expanded at a time.
+PHRASES, SEGMENT, ROW, CHUNK, POSTINGS = 20_000, 4_000_000, 64, 1_000_000, 2_000_000
 # Weights and boosts by query type, sources of the libraries, defaults of the fusion.
 WEIGHTS = {"law": (0.60, 0.25, 0.05, 0.10), "case": (0.45, 0.30, 0.15, 0.10), "rule": (0.40, 0.35, 0.10, 0.15), "general": (0.50, 0.20, 0.10, 0.20)}
 BOOSTS = {"law": (1.5, 0.7, 0.7), "case": (0.7, 1.5, 0.7), "rule": (0.7, 0.7, 1.5), "general": (1.0, 1.0, 1.0)}
@@ -106,51 +107,115 @@ def encode_hashed(df: DataFrame, col: str, lexicon: list[tuple[str, float]], dim
 # --- D2 -------------------------------------------------------------------------------------------
 
 
-def _query_blocks(queries: DataFrame, *more: str):
-    """(ids, matrix) of at most BLOCK queries (query_id, embedding) each, and their values of further columns; one block is held at a time."""
-    made = lambda rows: (rows["query_id"].to_pylist(), np.array(rows["embedding"].to_pylist(), dtype=np.float64), *(rows[c].to_pylist() for c in more))
-    rows = []
-    for r in queries.select("query_id", "embedding", *more).filter("embedding IS NOT NULL").toLocalIterator():
-        rows.append(r.asDict())
-        if len(rows) == BLOCK:
-            yield made(pa.Table.from_pylist(rows))
-            rows = []
-    if rows:
-        yield made(pa.Table.from_pylist(rows))
+class Best:
+    """The k best rows of each group: (group..., score, key, ...), in the order of score and key; other columns go with them."""
 
+    def __init__(self, k: int, groups: list[str]):
+        self.k, self.groups, self.tables, self.rows = k, groups, [], 0
+        self.least: dict = {}
 
-def _top(scores: np.ndarray, keys: list, k: int) -> list[int]:
-    """Indexes of the k best, ties by key."""
-    cut = np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else -np.inf
-    at = np.flatnonzero(scores >= cut)
-    return sorted(at.tolist(), key=lambda i: (-scores[i], keys[i]))[:k]
+    def add(self, table: pa.Table) -> None:
+        self.tables.append(table)
+        self.rows += len(table)
 
+    def cut(self) -> pa.Table:
+        """Keeps the best only."""
+        whole = pa.concat_tables(self.tables).combine_chunks()
+        whole = whole.take(pc.sort_indices(whole, [*((g, "ascending") for g in self.groups), ("score", "descending"), ("key", "ascending")]))
+        differs = np.zeros(len(whole), dtype=bool)
+        differs[:1] = True
+        for g in self.groups:
+            c = whole[g].to_numpy()
+            differs[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(differs)
+        place = np.arange(len(whole)) - np.repeat(first, np.diff(np.append(first, len(whole))))
+        kept = whole.filter(pa.array(place < self.k))
+        self.tables, self.rows = [kept], len(kept)
+        return kept
+
+    def take(self) -> pa.Table:
+        kept = self.cut()
+        self.tables, self.rows = [kept.slice(0, 0)], 0
+        return kept
+
+
+def _candidates(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what may be among the k best of its row: all that equal the k-th or more, and no less than ``least``."""
+    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
+    return np.nonzero(scores >= np.maximum(cut, least)[:, None])
+
+
+def _by_dimension(column: pa.Array):
+    """(positions, matrix) of the vectors of each length."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size[size > 0]):
+        m, at = vectors(column, int(dim))
+        yield at, m
+
+
+def _struct(values: pa.Array) -> dict[str, pa.Array]:
+    return {values.type.field(i).name: values.field(i) for i in range(values.type.num_fields)}
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score, rank): the k best cosines per query; rows of another dimension are left out.
 
-    Every batch of the corpus gives its k best a query, so k rows a query and batch are shuffled.
+def _carried(batches, score, k: int, groups: list[str]):
+    """The best rows of all pairs of a task: ``score(block's queries, pack, least)`` gives a table of candidates, ``query`` numbering the queries of the block.
+
+    Yields (query_ids, table) at the end, or when the rows held become too many; ``least`` says which score a query's next rows must have at least.
     """
+    best: dict[int, Best] = {}
+    asked: dict[int, pa.Array] = {}
+    least: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i in range(len(batch)):
+            n = batch.column("block")[i].as_py()
+            queries = _struct(batch.column("rows")[i].values)
+            if n not in best:
+                best[n], asked[n], least[n] = Best(k, groups), queries["query_id"], np.full(len(queries["query_id"]), -np.inf)
+            pack = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("block", "rows")}
+            table = score(queries, pack, least[n])
+            if table is None or not len(table):
+                continue
+            own = best[n]
+            own.add(table)
+            if own.rows > 4 * k * len(asked[n]):
+                kept = own.cut()
+                if groups == ["query"]:
+                    q = kept["query"].to_numpy()
+                    full = np.flatnonzero(np.bincount(q, minlength=len(asked[n])) >= k)
+                    last = np.searchsorted(q, full, "right") - 1
+                    least[n][full] = kept["score"].to_numpy()[last]
+            if sum(x.rows for x in best.values()) > HELD:
+                for j, x in best.items():
+                    if x.tables:
+                        yield asked[j], x.take()
+    for j, x in best.items():
+        if x.tables:
+            yield asked[j], x.take()
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score, rank): the k best cosines per query; rows of another dimension are left out."""
     types = dict(corpus.dtypes)["key"], dict(queries.dtypes)["query_id"]
-    key_type, id_type = to_arrow_type(corpus.schema["key"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
-    parts = []
-    for ids, q in _query_blocks(queries):
-
-        def run(batches, ids=ids, q=q):
-            for batch in batches:
-                keys = batch.column("key").to_pylist()
-                m, at = vectors(batch.column("embedding"), q.shape[1])
-                if not len(at):
-                    continue
-                own = [keys[i] for i in at]
-                out = [(i, own[j], s[j]) for i, s in zip(ids, q @ m.T, strict=True) for j in _top(s, own, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_type), pa.array([x[1] for x in out], key_type), pa.array([float(x[2]) for x in out], pa.float64())], ["query_id", "key", "score"])
 
-        parts.append(corpus.select("key", "embedding").mapInArrow(run, f"query_id {types[1]}, key {types[0]}, score double"))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], f"query_id {types[1]}, key {types[0]}, score double, rank int")
+    def score(block, pack, least):
+        out = []
+        for at, q in _by_dimension(block["embedding"]):
+            m, rows = vectors(pack["embedding"], q.shape[1])
+            if len(rows):
+                s = q @ m.T
+                i, j = _candidates(s, k, least[at])
+                out.append(pa.table({"query": pa.array(at[i], pa.int64()), "score": pa.array(s[i, j]), "key": pack["key"].take(pa.array(rows[j]))}))
+        return pa.concat_tables(out) if out else None
+
+    def run(batches):
+        for ids, t in _carried(batches, score, k, ["query"]):
+            yield from t.select(["key", "score"]).add_column(0, "query_id", ids.take(t["query"].combine_chunks())).to_batches()
+
+    blocks = in_blocks(queries.select("query_id", "embedding").filter("embedding IS NOT NULL"), BLOCK, "query_id")
+    pairs = paired(packed(corpus.select("key", "embedding"), PACK), blocks, BROADCAST_BLOCKS)
+    found = in_arrow(pairs.select("block", "rows", "key", "embedding"), run, f"query_id {types[1]}, key {types[0]}, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 # --- D3 -------------------------------------------------------------------------------------------
@@ -161,18 +226,26 @@ def _trigrams(text: str) -> np.ndarray:
     return (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
 
 
-def build_index(corpus: DataFrame, names: tuple[str, ...] = ("key", "value", "source", "tags")) -> DataFrame:
-    """Trigram postings of the fields ``names`` of ``corpus``, by key, in segments of about SEGMENT characters, written once.
+INDEX = "keys array<{key}>, sizes array<long>, texts array<string>, grams array<long>, at array<int>, rows array<int>, counts array<int>"
+
+
+def index_fields(corpus: DataFrame, names: tuple[str, ...] = ("key", "value", "source", "tags")) -> DataFrame:
+    """(key, size, text): the lower-case text of the fields ``names`` and its length in trigrams, as the index holds them."""
+    fields = [F.lower(F.coalesce(F.col(c) if dict(corpus.dtypes)[c] == "string" else F.array_join(c, ","), F.lit(""))) for c in names]
+    size = reduce(lambda a, b: a + b, [F.greatest(F.length(f) - 2, F.lit(0)) for f in fields])
+    return corpus.select("key", size.cast("long").alias("size"), F.concat_ws("\n", *fields).alias("text"))
+
+
+def segments_of(rows: DataFrame) -> DataFrame:
+    """Segments of the trigram postings of ``rows`` (key, size, text), not written.
 
     A segment has its rows' keys, lengths in trigrams and texts, and for each trigram the ascending rows it occurs in, with
     how often. Segments need nothing from each other, so nothing is shuffled.
     """
-    fields = [F.lower(F.coalesce(F.col(c) if dict(corpus.dtypes)[c] == "string" else F.array_join(c, ","), F.lit(""))) for c in names]
-    size = reduce(lambda a, b: a + b, [F.greatest(F.length(f) - 2, F.lit(0)) for f in fields])
-    kind = to_arrow_type(corpus.schema["key"].dataType)
+    kind = to_arrow_type(rows.schema["key"].dataType)
 
-    def segment(rows: list[tuple]) -> pa.RecordBatch:
-        keys, sizes, texts = zip(*rows, strict=True)
+    def segment(held: list[tuple]) -> pa.RecordBatch:
+        keys, sizes, texts = zip(*held, strict=True)
         each = [np.unique(_trigrams(t), return_counts=True) for t in texts]
         gram = np.concatenate([g for g, _ in each])
         order = np.argsort(gram, kind="stable")
@@ -187,24 +260,34 @@ def build_index(corpus: DataFrame, names: tuple[str, ...] = ("key", "value", "so
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "text")), strict=True):
                 held.append(row)
-                chars += len(row[2])
+                chars += len(row[2]) + ROW
                 if chars >= SEGMENT:
                     yield segment(held)
                     held, chars = [], 0
         if held:
             yield segment(held)
 
-    rows = corpus.select("key", size.cast("long").alias("size"), F.concat_ws("\n", *fields).alias("text"))
-    key = dict(corpus.dtypes)["key"]
-    return stash(rows.mapInArrow(run, f"keys array<{key}>, sizes array<long>, texts array<string>, grams array<long>, at array<int>, rows array<int>, counts array<int>"), "index")
+    return in_arrow(rows.select("key", "size", "text"), run, INDEX.format(key=dict(rows.dtypes)["key"]))
+
+
+def build_index(corpus: DataFrame, names: tuple[str, ...] = ("key", "value", "source", "tags")) -> DataFrame:
+    """Trigram postings of the fields ``names`` of ``corpus``, by key, in segments of about SEGMENT characters, written once. See ``operators.index`` for one that lives on."""
+    return stash(segments_of(index_fields(corpus, names)), "index")
+
+
+def _key_type(index: DataFrame) -> str:
+    return dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
 
 
 class Segment:
-    """A row of the index."""
+    """A row of the index; rows named in ``dead``, if there is such a column, are no longer part of it."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.keys, self.texts = batch.column("keys")[i].values, batch.column("texts")[i].values
         self.sizes, self.grams, self.at, self.rows, self.counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "grams", "at", "rows", "counts"))
+        self.live = np.ones(len(self.sizes), dtype=bool)
+        if "dead" in batch.schema.names and batch.column("dead")[i].is_valid:
+            self.live[batch.column("dead")[i].values.to_numpy(zero_copy_only=False)] = False
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """The place of each trigram in the postings, -1 for none."""
@@ -213,30 +296,33 @@ class Segment:
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         return np.where(self.grams[at] == grams, at, -1)
 
+    def postings(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into places, row, count) of all postings of these trigrams."""
+        size = np.diff(self.at)[places]
+        which = np.repeat(np.arange(len(places)), size)
+        at = np.repeat(self.at[places] - (np.cumsum(size) - size), size) + np.arange(len(which))
+        return which, self.rows[at].astype(np.int64), self.counts[at]
+
 
-def phrase_blocks(words: DataFrame):
-    """The distinct phrases of 3 characters and more, PHRASES at a time."""
-    block: list[str] = []
-    rows = words.select("phrase").distinct().filter(F.length("phrase") >= 3).toLocalIterator()
-    for r in rows:
-        block.append(r[0])
-        if len(block) == PHRASES:
-            yield block
-            block = []
-    if block:
-        yield block
+def _segments(batches):
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch, i, Segment(batch, i)
 
 
-def occurrences_of(index: DataFrame, phrases: list[str]) -> DataFrame:
-    """(key, dl, phrase, tf): postings of each phrase's two rarest trigrams in the segment are intersected, then the texts are looked at."""
-    key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
-    grams = [_trigrams(p) for p in phrases]
-    sent = index.sparkSession.sparkContext.broadcast((phrases, np.concatenate(grams), np.concatenate([[0], np.cumsum([len(g) for g in grams])])))
+def phrase_blocks(words: DataFrame) -> DataFrame:
+    """The distinct phrases of 3 characters and more, in blocks."""
+    return in_blocks(words.select("phrase").distinct().filter(F.length("phrase") >= 3), PHRASES, "phrase")
 
-    def search(seg: Segment) -> pa.RecordBatch:
-        phrases, flat, first = sent.value
+
+def occurrences_of(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, dl, phrase, tf) of the phrases of ``phrase_blocks``: postings of each phrase's two rarest trigrams in the segment are intersected, then the texts are looked at."""
+
+    def search(seg: Segment, phrases: list[str]):
+        grams = [_trigrams(p) for p in phrases]
+        flat, first = np.concatenate(grams), np.concatenate([[0], np.cumsum([len(g) for g in grams])])
         if not len(seg.grams):
-            return pa.RecordBatch.from_arrays([seg.keys.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], ["key", "dl", "phrase", "tf"])
+            return
         place = seg.find(flat)
         live = np.flatnonzero(np.minimum.reduceat(place, first[:-1]) >= 0)
         count = np.diff(seg.at)[place]
@@ -244,29 +330,33 @@ def occurrences_of(index: DataFrame, phrases: list[str]) -> DataFrame:
         order = np.lexsort((count, which))
         rarest = place[order[first[:-1]]][live]
         second = place[order[np.minimum(first[:-1] + 1, first[1:] - 1)]][live]
-        n = np.diff(seg.at)[rarest]
-        who = np.repeat(np.arange(len(live)), n)
-        row = seg.rows[np.repeat(seg.at[rarest] - (np.cumsum(n) - n), n) + np.arange(len(who))].astype(np.int64)
         posted = (np.repeat(np.arange(len(seg.grams), dtype=np.int64), np.diff(seg.at)) << 32) | seg.rows  # ascending
-        wanted = (second[who].astype(np.int64) << 32) | row
-        both = posted[np.minimum(np.searchsorted(posted, wanted), len(posted) - 1)] == wanted
-        who, row = live[who[both]], row[both]
         texts = seg.texts.to_pylist()
-        tf = np.array([texts[r].count(phrases[w]) for w, r in zip(who.tolist(), row.tolist(), strict=True)], dtype=np.int64)
-        who, row, tf = who[tf > 0], row[tf > 0], tf[tf > 0]
-        return pa.RecordBatch.from_arrays([seg.keys.take(pa.array(row)), pa.array(seg.sizes[row]), pa.array([phrases[w] for w in who], pa.string()), pa.array(tf)], ["key", "dl", "phrase", "tf"])
+        part = (np.cumsum(np.diff(seg.at)[rarest]) - 1) // POSTINGS
+        for one in np.unique(part):
+            some = np.flatnonzero(part == one)
+            who, row, _ = seg.postings(rarest[some])
+            wanted = (second[some][who].astype(np.int64) << 32) | row
+            both = (posted[np.minimum(np.searchsorted(posted, wanted), len(posted) - 1)] == wanted) & seg.live[row]
+            who, row = live[some[who[both]]], row[both]
+            tf = np.array([texts[r].count(phrases[w]) for w, r in zip(who.tolist(), row.tolist(), strict=True)], dtype=np.int64)
+            who, row, tf = who[tf > 0], row[tf > 0], tf[tf > 0]
+            yield pa.RecordBatch.from_arrays([seg.keys.take(pa.array(row)), pa.array(seg.sizes[row]), pa.array([phrases[w] for w in who], pa.string()), pa.array(tf)], ["key", "dl", "phrase", "tf"])
 
     def run(batches):
-        for batch in batches:
-            for i in range(len(batch)):
-                yield search(Segment(batch, i))
+        for batch, i, seg in _segments(batches):
+            yield from search(seg, batch.column("rows_")[i].values.field("phrase").to_pylist())
 
-    return index.mapInArrow(run, f"key {key}, dl long, phrase string, tf long")
+    asked = paired(index, blocks.withColumnRenamed("rows", "rows_"), BROADCAST_BLOCKS)
+    return in_arrow(asked, run, f"key {_key_type(index)}, dl long, phrase string, tf long")
 
 
 def _statistics(index: DataFrame) -> tuple[float, float]:
     """Rows of the corpus, and their mean length in trigrams."""
-    r = index.select(F.size("keys").alias("n"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("size")).agg(F.sum("n"), F.sum("size")).first()
+    dead = F.coalesce("dead", F.array().cast("array<int>")) if "dead" in index.columns else F.array().cast("array<int>")
+    gone = F.aggregate(dead, F.lit(0).cast("long"), lambda a, i: a + F.get("sizes", i))
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x) - gone
+    r = index.select((F.size("keys") - F.size(dead)).alias("n"), size.alias("size")).agg(F.sum("n"), F.sum("size")).first()
     return float(r[0] or 0), float(r[1] or 0) / max(1, r[0] or 0) or 1.0
 
 
@@ -278,16 +368,11 @@ def fulltext_scores(queries: DataFrame, corpus: DataFrame | None = None, index:
     """(query_id, key, score): BM25 of the rows in which every phrase of the query (its words at white space) occurs.
 
     Occurrence means a substring of key, value, source or tags, case-insensitive; a phrase of fewer than 3 characters never
-    occurs. Lengths count trigrams. ``index`` is that of ``build_index``, else one of ``corpus`` is made. Phrases are looked for
-    in blocks, each in one pass over the index.
+    occurs. Lengths count trigrams. ``index`` is that of ``build_index`` or of ``operators.index``, else one of ``corpus`` is made.
     """
     index = build_index(corpus) if index is None else index
     words = stash(_words(queries), "words")
-    found = [occurrences_of(index, block) for block in phrase_blocks(words)]
-    if not found:
-        key = dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
-        return index.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, key {key}, score double")
-    hits = stash(reduce(DataFrame.union, found), "hits")
+    hits = stash(occurrences_of(index, phrase_blocks(words)), "hits")
     n, mean = _statistics(index)
     df = stash(hits.groupBy("phrase").agg(F.count("*").alias("df")), "frequencies")
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
@@ -297,62 +382,74 @@ def fulltext_scores(queries: DataFrame, corpus: DataFrame | None = None, index:
     return scored.groupBy("query_id", "key").agg(F.sum("part").alias("score"), F.count("*").alias("n"), F.max("n_phrases").alias("n_phrases")).filter("n = n_phrases").select("query_id", "key", "score")
 
 
+def _query_grams(queries: DataFrame) -> DataFrame:
+    """The distinct (query_id, gram) of the words of 3 characters and more."""
+
+    def run(batches):
+        for batch in batches:
+            each = [_trigrams(p) for p in batch.column("phrase").to_pylist()]
+            which = pa.array(np.repeat(np.arange(len(each)), [len(g) for g in each]))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(which), pa.array(np.concatenate([*each, np.zeros(0, np.int64)]), pa.int64())], ["query_id", "gram"])
+
+    words = _words(queries).filter(F.length("phrase") >= 3)
+    return in_arrow(words, run, f"query_id {dict(queries.dtypes)['query_id']}, gram long").distinct()
+
+
+def _frequencies(index: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, df) of the written ``grams``: rows of the corpus that hold it."""
+
+    def run(batches):
+        for _, _, seg in _segments(batches):
+            held = np.repeat(np.arange(len(seg.grams)), np.diff(seg.at))
+            n = np.bincount(held[seg.live[seg.rows]], minlength=len(seg.grams))
+            yield pa.RecordBatch.from_arrays([pa.array(seg.grams[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], ["gram", "n"])
+
+    return in_arrow(index, run, "gram long, n long").join(small_side(grams, 1_000_000), "gram").groupBy("gram").agg(F.sum("n").alias("df"))
+
+
 def fulltext_terms(queries: DataFrame, corpus: DataFrame | None = None, k: int = 200, index: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): BM25 over the trigrams of the query's words, any of which may occur; the k best rows per query.
 
-    Scores equal to 9 places tie. Every segment gives its k best a query, so k rows a query and segment are shuffled.
+    Scores equal to 9 places tie. A query's scores in a segment are added up over the postings of its trigrams only.
     """
     index = build_index(corpus) if index is None else index
-    ids, key = dict(queries.dtypes)["query_id"], dict(index.dtypes)["keys"].removeprefix("array<").removesuffix(">")
-    id_type, key_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["keys"].dataType.elementType)
+    ids, key = dict(queries.dtypes)["query_id"], _key_type(index)
     n, mean = _statistics(index)
-    frequency = index.select(F.explode(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), (F.get("at", i + 1) - F.get("at", i)).alias("n")))).alias("x")).groupBy("x.gram").agg(F.sum("x.n").alias("df"))
-    per_query = _words(queries).groupBy("query_id").agg(F.collect_list("phrase").alias("phrases"))
-    parts = []
-
-    def flush(block: list) -> None:
-        grams = [np.unique(np.concatenate([_trigrams(p) for p in r.phrases if len(p) >= 3] or [np.zeros(0, np.int64)])) for r in block]
-        every = np.unique(np.concatenate(grams))
-        known = frequency.join(F.broadcast(index.sparkSession.createDataFrame(pa.table({"gram": every}))), "gram").toArrow().sort_by("gram")
-        every, df = known["gram"].to_numpy(), known["df"].to_numpy()
-        weight = np.zeros((len(block), len(every)))
-        for i, own in enumerate(grams):
-            at = np.flatnonzero(np.isin(every, own))
-            weight[i, at] = np.maximum(np.log((n - df[at] + 0.5) / (df[at] + 0.5)), MIN_IDF)
-        sent = index.sparkSession.sparkContext.broadcast(([r.query_id for r in block], every, weight))
-
-        def run(batches):
-            asked, every, weight = sent.value
-            for batch in batches:
-                for i in range(len(batch)):
-                    seg = Segment(batch, i)
-                    place = seg.find(every)
-                    there = np.flatnonzero(place >= 0)
-                    size = np.diff(seg.at)[place[there]]
-                    term = np.repeat(np.arange(len(there)), size)
-                    at = np.repeat(seg.at[place[there]] - (np.cumsum(size) - size), size) + np.arange(len(term))
-                    row, tf = seg.rows[at], seg.counts[at].astype(np.float64)
-                    table = np.zeros((len(there), len(seg.keys)))
-                    table[term, row] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * seg.sizes[row] / mean))
-                    scores = np.round(weight[:, there] @ table, 9)
-                    keys = seg.keys.to_pylist()
-                    out = [(q, keys[j], s[j]) for q, s in zip(asked, scores, strict=True) for j in _top(s, keys, k) if s[j] > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_type), pa.array([x[1] for x in out], key_type), pa.array([float(x[2]) for x in out], pa.float64())], ["query_id", "key", "score"])
-
-        parts.append(index.mapInArrow(run, f"query_id {ids}, key {key}, score double"))
-
-    block = []
-    for r in per_query.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            flush(block)
-            block = []
-    if block:
-        flush(block)
-    if not parts:
-        return index.sparkSession.createDataFrame([], f"query_id {ids}, key {key}, score double, rank int")
+    grams = stash(_query_grams(queries), "query_grams")
+    df = stash(_frequencies(index, stash(grams.select("gram").distinct(), "grams")), "frequencies")
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
+    weighted = grams.join(small_side(df, 1_000_000), "gram").select("query_id", F.struct("gram", idf.alias("w")).alias("term"))
+    blocks = in_blocks(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms")), BLOCK, "query_id").withColumnRenamed("rows", "rows_")
+
+    def run(batches):
+        held: dict[int, tuple[pa.Array, Best]] = {}
+        for batch, i, seg in _segments(batches):
+            asked = _struct(batch.column("rows_")[i].values)
+            name = batch.column("block")[i].as_py()
+            ids_, best = held.setdefault(name, (asked["query_id"], Best(k, ["query"])))
+            at, terms = asked["terms"].offsets.to_numpy(), _struct(asked["terms"].values)
+            place, weight = seg.find(terms["gram"].to_numpy()), terms["w"].to_numpy()
+            norm = K1 * (1 - B + B * seg.sizes / mean)
+            for q in range(len(ids_)):
+                own = np.arange(at[q], at[q + 1])
+                own = own[place[own] >= 0]
+                if not len(own):
+                    continue
+                which, row, tf = seg.postings(place[own])
+                s = np.bincount(row, weights=weight[own][which] * tf * (K1 + 1) / (tf + norm[row]), minlength=len(seg.sizes))
+                s = np.round(np.where(seg.live, s, 0), 9)
+                j = _candidates(s[None, :], k, np.array([5e-10]))[1]
+                best.add(pa.table({"query": pa.array(np.full(len(j), q), pa.int64()), "score": pa.array(s[j]), "key": seg.keys.take(pa.array(j))}))
+            if best.rows > 4 * k * len(ids_):
+                best.cut()
+        for ids_, best in held.values():
+            if best.tables:
+                t = best.take()
+                yield from t.select(["key", "score"]).add_column(0, "query_id", ids_.take(t["query"].combine_chunks())).to_batches()
+
+    found = in_arrow(paired(index, blocks, BROADCAST_BLOCKS), run, f"query_id {ids}, key {key}, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def fulltext_topk(queries: DataFrame, corpus: DataFrame | None = None, k: int = 200, mode: str = "phrase", index: DataFrame | None = None) -> DataFrame:
@@ -427,83 +524,93 @@ def classify_queries(queries: DataFrame, patterns: DataFrame, text: str = "text"
     return df.withColumn("query_type", kind)
 
 
-def _ranges(queries: DataFrame, corpus: DataFrame) -> dict:
-    """{query_id: (least, greatest cosine)} by a first pass that sends two numbers a query and batch."""
-    kind, out = dict(queries.dtypes)["query_id"], {}
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    for ids, q in _query_blocks(queries):
+def _ranges(blocks: DataFrame, packs: DataFrame, kind: str) -> DataFrame:
+    """(query_id, lo, hi): each query's least and greatest cosine; a task sends two numbers a query."""
 
-        def run(batches, ids=ids, q=q):
-            for batch in batches:
-                m, at = vectors(batch.column("embedding"), q.shape[1])
-                if len(at):
-                    s = q @ m.T
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], ["query_id", "lo", "hi"])
-
-        part = corpus.select("embedding").mapInArrow(run, f"query_id {kind}, lo double, hi double")
-        out |= {r[0]: (r[1], r[2]) for r in part.groupBy("query_id").agg(F.min("lo"), F.max("hi")).collect()}
-    return out
-
-
-def retrieve(queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adaptive: bool = True, overfetch: int | None = 50, per_library: int = 5) -> DataFrame:
+    def run(batches):
+        held: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                queries = _struct(batch.column("rows")[i].values)
+                n = len(queries["query_id"])
+                ids, lo, hi = held.setdefault(batch.column("block")[i].as_py(), (queries["query_id"], np.full(n, np.inf), np.full(n, -np.inf)))
+                for at, q in _by_dimension(queries["embedding"]):
+                    m, rows = vectors(batch.column("embedding")[i].values, q.shape[1])
+                    if len(rows):
+                        s = q @ m.T
+                        lo[at], hi[at] = np.minimum(lo[at], s.min(axis=1)), np.maximum(hi[at], s.max(axis=1))
+        for ids, lo, hi in held.values():
+            some = pa.array(np.flatnonzero(np.isfinite(lo)))
+            yield pa.RecordBatch.from_arrays([ids.take(some), pa.array(lo).take(some), pa.array(hi).take(some)], ["query_id", "lo", "hi"])
+
+    pairs = paired(packs.select("embedding"), blocks, BROADCAST_BLOCKS).select("block", "rows", "embedding")
+    return in_arrow(pairs, run, f"query_id {kind}, lo double, hi double").groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def retrieve(
+    queries: DataFrame, corpus: DataFrame, now: float, k: int = 5, adaptive: bool = True, overfetch: int | None = 50, per_library: int = 5, index: DataFrame | None = None, mode: str = "phrase"
+) -> DataFrame:
     """The k best rows per query over three libraries: (query_id, query_type, key, lib, raw_score, score, rank).
 
     queries: query_id, text, embedding, query_type and, optionally, industry. corpus: key, value, source, tags,
     embedding, confidence, stability, last_review. Scores are fused over the whole corpus (a row without a vector of the
-    query's length has a vector part of 0); of its ``overfetch`` best rows
-    (all, if None) each library keeps its best five, scaled by the boost for the query's type.
+    query's length has a vector part of 0); of its ``overfetch`` best rows (all, if None) each library keeps its best five, scaled by the boost
+    for the query's type. ``index`` is a full-text index of the corpus, else one is made; ``mode`` is that of ``fulltext_topk``.
     """
     spark = corpus.sparkSession
-    ids, id_type = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
+    ids = dict(queries.dtypes)["query_id"]
     time_ = retrievability(F.lit(float(now)), F.col("last_review"), F.col("stability"))
     conf = F.coalesce("confidence", F.lit(0.5))
+    lib = F.create_map(*[F.lit(x) for name, source in LIBRARIES.items() for x in (source, name)])
     rows = corpus.select("key", "source", "tags", "embedding", time_.cast("double").alias("time"), conf.cast("double").alias("conf"))
     ends = rows.agg(F.min("time"), F.max("time"), F.min("conf"), F.max("conf")).first()
     if ends[0] is None:
         return spark.createDataFrame([], f"query_id {ids}, query_type string, key {dict(corpus.dtypes)['key']}, lib string, raw_score double, score double, rank int")
-    scaled = rows.withColumns({"time": _scaled(F.col("time"), F.lit(ends[0]), F.lit(ends[1])), "conf": _scaled(F.col("conf"), F.lit(ends[2]), F.lit(ends[3]))})
-    fts = minmax(fulltext_topk(queries, corpus), "score", "query_id").select("query_id", "key", F.col("norm").alias("fts"))
-    fts = stash(fts, "fulltext")
+    scaled = rows.withColumns({"time": _scaled(F.col("time"), F.lit(ends[0]), F.lit(ends[1])), "conf": _scaled(F.col("conf"), F.lit(ends[2]), F.lit(ends[3])), "lib": F.try_element_at(lib, F.col("source"))})
+    fts = minmax(stash(fulltext_topk(queries, corpus, mode=mode, index=index), "fulltext"), "score", "query_id").select("query_id", "key", F.col("norm").alias("fts"))
     words = fts.groupBy("key").agg(F.collect_list(F.struct("query_id", "fts")).alias("words"))  # at most one a query
     scaled = stash(scaled.join(words, "key", "left"), "scaled")
+    packs = packed(scaled, PACK)
     queries = queries if adaptive else queries.withColumn("query_type", F.lit("general"))
-    spans = _ranges(queries, rows)
-    keep = overfetch or 0
-    parts = []
-    for block, q, kinds in _query_blocks(queries, "query_type"):
-
-        def run(batches, block=block, q=q, kinds=kinds):
-            w = np.array([WEIGHTS[k] for k in kinds])
-            lo = np.array([spans.get(i, (0, 0))[0] for i in block])
-            width = np.array([spans.get(i, (0, 0))[1] for i in block]) - lo
-            for batch in batches:
-                keys = batch.column("key").to_pylist()
-                m, at = vectors(batch.column("embedding"), q.shape[1])
-                vec = np.zeros((len(block), len(keys)))
-                if len(at):
-                    vec[:, at] = np.where(width[:, None] < 1e-9, 0.5, (q @ m.T - lo[:, None]) / np.where(width < 1e-9, 1, width)[:, None])
-                total = w[:, :1] * vec + w[:, 2:3] * batch.column("time").to_numpy()[None] + w[:, 3:] * batch.column("conf").to_numpy()[None]
-                words = batch.column("words")
-                found, row = words.flatten(), np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0))
-                n = pc.index_in(found.field("query_id"), value_set=pa.array(block, id_type)).fill_null(-1).to_numpy(zero_copy_only=False)
-                np.add.at(total, (n[n >= 0], row[n >= 0]), w[n[n >= 0], 1] * found.field("fts").to_numpy(zero_copy_only=False)[n >= 0])
-                total = np.round(total, 9)
-                out = [(i, j, total[n, j]) for n, i in enumerate(block) for j in (_top(total[n], keys, keep) if keep else range(len(keys)))]
-                pick = pa.array([j for _, j, _ in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in out], id_type), batch.column("key").take(pick), batch.column("source").take(pick), batch.column("tags").take(pick), pa.array([s for _, _, s in out], pa.float64())],
-                    ["query_id", "key", "source", "tags", "raw_score"],
-                )
-
-        tags = dict(corpus.dtypes)["tags"]
-        parts.append(scaled.mapInArrow(run, f"query_id {ids}, key {dict(corpus.dtypes)['key']}, source string, tags {tags}, raw_score double"))
-    best = reduce(DataFrame.union, parts)
-    w = W.partitionBy("query_id").orderBy(F.desc("raw_score"), "key")
+    asked = queries.select("query_id", "embedding", "query_type").filter("embedding IS NOT NULL")
+    spans = stash(_ranges(in_blocks(asked, BLOCK, "query_id"), packs, ids), "ranges")
+    blocks = in_blocks(asked.join(small_side(spans), "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lo", "hi")}), BLOCK, "query_id")
+
+    def score(block, pack, least):
+        w = np.array([WEIGHTS[t] for t in block["query_type"].to_pylist()])
+        lo, hi = block["lo"].to_numpy(), block["hi"].to_numpy()
+        width, n_rows = hi - lo, len(pack["key"])
+        vec = np.zeros((len(w), n_rows))
+        for at, q in _by_dimension(block["embedding"]):
+            m, rows = vectors(pack["embedding"], q.shape[1])
+            if len(rows):
+                vec[np.ix_(at, rows)] = np.where(width[at, None] < 1e-9, 0.5, (q @ m.T - lo[at, None]) / np.where(width[at] < 1e-9, 1, width[at])[:, None])
+        total = w[:, :1] * vec + w[:, 2:3] * pack["time"].to_numpy()[None] + w[:, 3:] * pack["conf"].to_numpy()[None]
+        found, row = pack["words"].flatten(), np.repeat(np.arange(n_rows), pc.fill_null(pc.list_value_length(pack["words"]), 0))
+        n = pc.index_in(found.field("query_id"), value_set=block["query_id"]).fill_null(-1).to_numpy(zero_copy_only=False)
+        np.add.at(total, (n[n >= 0], row[n >= 0]), w[n[n >= 0], 1] * found.field("fts").to_numpy(zero_copy_only=False)[n >= 0])
+        total = np.round(total, 9)
+        if overfetch:
+            i, j = _candidates(total, overfetch, least)
+        else:  # the best of each library
+            libs = pack["lib"].to_numpy(zero_copy_only=False)
+            parts = [np.flatnonzero(libs == name) for name in LIBRARIES]
+            found_ = [(i, p[j]) for p in parts if len(p) for i, j in [_candidates(total[:, p], per_library, np.full(len(w), -np.inf))]]
+            i, j = (np.concatenate([f[x] for f in found_]) if found_ else np.zeros(0, np.int64) for x in (0, 1))
+        at = pa.array(j)
+        return pa.table({"query": pa.array(i, pa.int64()), "score": pa.array(total[i, j]), "key": pack["key"].take(at), "tags": pack["tags"].take(at), "lib": pack["lib"].take(at)})
+
+    def run(batches):
+        for names, t in _carried(batches, score, overfetch or per_library, ["query"] if overfetch else ["query", "lib"]):
+            t = t.add_column(0, "query_id", names.take(t["query"].combine_chunks())).select(["query_id", "key", "lib", "tags", "score"])
+            yield from t.rename_columns([*t.column_names[:-1], "raw_score"]).to_batches()
+
+    kinds = dict(corpus.dtypes)
+    best = in_arrow(paired(packs, blocks, BROADCAST_BLOCKS), run, f"query_id {ids}, key {kinds['key']}, lib string, tags {kinds['tags']}, raw_score double")
     if overfetch:
+        w = W.partitionBy("query_id").orderBy(F.desc("raw_score"), "key")
         best = best.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= overfetch)
-    lib = F.create_map(*[F.lit(x) for name, source in LIBRARIES.items() for x in (source, name)])
-    best = best.withColumn("lib", F.try_element_at(lib, F.col("source"))).filter("lib IS NOT NULL")
-    best = best.withColumn("n", F.row_number().over(W.partitionBy("query_id", "lib").orderBy(F.desc("raw_score"), "key"))).filter(F.col("n") <= per_library)
+    best = best.filter("lib IS NOT NULL").withColumn("n", F.row_number().over(W.partitionBy("query_id", "lib").orderBy(F.desc("raw_score"), "key"))).filter(F.col("n") <= per_library)
     info = queries.select("query_id", "query_type", *[c for c in ("industry",) if c in queries.columns])
     best = best.join(small_side(info), "query_id")
     boost = F.create_map(*[F.lit(x) for t, b in BOOSTS.items() for name, v in zip(CLASSES, b, strict=True) for x in (f"{t}:{name}", v)])

@@ -250,12 +250,23 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     assert got["k1"] == pytest.approx(0.5) and got["k2"] == pytest.approx(0.55) and got["k3"] == 0.3
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    for n, ts in enumerate(["2024-01-01 00:10:00", "2024-01-01 05:00:00", "2024-01-01 00:20:00", "2024-01-02 00:00:00"]):
-        spark.createDataFrame([(ts, 1.0, False)], "ts string, latency_ms double, is_error boolean").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in" / f"f{n}"))
-    stream = spark.readStream.schema("ts timestamp, latency_ms double, is_error boolean").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+def in_time_order(spark, rows, schema, folder):
+    """One file a row, with file times in the rows' order."""
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(f"{folder}/f{n:03}")
+        for f in os.listdir(f"{folder}/f{n:03}"):
+            os.utime(f"{folder}/f{n:03}/{f}", (1_700_000_000 + n * 60, 1_700_000_000 + n * 60))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_late_rows_are_kept_for_one_batch_and_then_dropped(spark, tmp_path):
+    times = ["00:10:00", "05:00:00", "00:20:00", "05:10:00", "00:30:00", "23:00:00"]
+    rows = [(f"2024-01-01 {t}", float(n), False) for n, t in enumerate(times)]
+    stream = in_time_order(spark, rows, "at string, latency_ms double, is_error boolean", tmp_path / "in").withColumn("ts", F.to_timestamp("at"))
     out = jobs.run_to_end(jobs.stream_latency(stream, "1 hour"), "latency").collect()
-    assert sorted((str(r.start), r.n) for r in out) == [("2024-01-01 00:00:00", 1), ("2024-01-01 05:00:00", 1)]
+    # 00:20 comes in the batch right after the jump to 05:00 and counts, 00:30 two batches after it does not
+    got = {str(r.start): (r.n, [float(x) for x in r.percentiles]) for r in out}
+    assert got == {"2024-01-01 00:00:00": (2, [0.0, 2.0, 2.0]), "2024-01-01 05:00:00": (2, [1.0, 3.0, 3.0])}
 
 
 # --- the whole job --------------------------------------------------------------------------------
