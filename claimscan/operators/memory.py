@@ -20,7 +20,7 @@ CATEGORIES = ["identity", "skills", "preferences", "tools", "efficiency", "proje
 #: Vectors in a block of the similarity grid; a task holds two blocks.
 BLOCK = 4096
 #: Vectors in a cell of the pruned search; vectors that centroids are taken from; centroids of a part; vectors on which the recall of cells is tried.
-CELL, SAMPLE, MOST_CENTROIDS, PROBES = 64, 16_384, 1024, 2000
+CELL, SAMPLE, MOST_CENTROIDS, PROBES = 32, 16_384, 4096, 2000
 #: Topics in a block, vectors in a block that it is compared with, and blocks of topics that are broadcast; more are joined by a shuffle.
 TOPIC_BLOCK, PACK, BROADCAST_BLOCKS = 2048, 4096, 64
 
@@ -86,8 +86,8 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, di
 class Cells:
     """Cells around vectors of a sample: in each table a vector's cell is told by its nearest centroid in each of the table's parts."""
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables  # (parts, centroids, dim) each
+    def __init__(self, tables: list[list[np.ndarray]]):
+        self.tables = tables  # for each table the centroids of its parts
 
     def of(self, m: np.ndarray) -> np.ndarray:
         """The number of the cell of each row in each table; a number tells its table too."""
@@ -109,7 +109,7 @@ def _moved(m: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray
 
 
 def choose_cells(sample: np.ndarray, n: int, threshold: float, recall: float, size: int = CELL, seed: int = 11) -> Cells | None:
-    """Cells for ``n`` vectors like the sample, about ``size`` to a cell; None where all pairs are less work.
+    """Cells for ``n`` vectors like the sample; about ``size`` of them to a cell. None where all pairs are less work.
 
     The number of cells grows with n, and tables are added until pairs at just the threshold, made from the sample, share a cell as
     often as ``recall`` wants. Closer pairs do so more often.
@@ -118,32 +118,24 @@ def choose_cells(sample: np.ndarray, n: int, threshold: float, recall: float, si
     cells = n / size
     if cells < 2 or len(sample) < 2:
         return None
-    parts = max(1, math.ceil(math.log(cells) / math.log(MOST_CENTROIDS)))
+    parts = []
+    while cells > MOST_CENTROIDS:
+        parts.append(MOST_CENTROIDS)
+        cells /= MOST_CENTROIDS
+    parts.append(max(2, round(cells)))
     rng = np.random.default_rng(seed)
-    probe = sample[rng.permutation(len(sample))[:PROBES]]
+    sample = rng.permutation(sample)
+    probe, sample = np.split(sample, [min(PROBES, len(sample) // 4)])  # apart, as few of all vectors are near a centroid's origin
     near = _moved(probe, threshold, rng)
-    # the centroids of a table are the first ones of its order of the sample, so that more of them split the same cells further
-    orders: list[np.ndarray] = []
-
-    def tables(n_tables: int, k: int) -> Cells:
-        while len(orders) < n_tables:
-            orders.append(np.stack([rng.permutation(len(sample)) for _ in range(parts)]))
-        return Cells([sample[o[:, :k]] for o in orders[:n_tables]])
-
-    def found(c: Cells) -> float:
-        return (c.of(probe) == c.of(near)).any(axis=1).mean()
-
-    k, many = min(len(sample), max(2, round(cells ** (1 / parts)))), 1
-    while found(tables(many, k)) < recall:
-        many += 1
-        if many >= cells / 2:
+    met, tables = np.zeros(len(probe), dtype=bool), []
+    while met.mean() < recall:
+        # sample vectors, each moved far in a random direction: they follow the table's density, and no two tables share any
+        tables.append([_moved(sample[rng.integers(len(sample), size=k)], 0.7, rng) for k in parts])
+        one = Cells(tables[-1:])
+        met |= (one.of(probe) == one.of(near))[:, 0]
+        if len(tables) >= n / size / 2:
             return None
-    best = tables(many, k)
-    for more in np.linspace(1.05, 1.5, 10):  # smaller cells, as long as so many tables suffice
-        if (finer := round(k * more)) > len(sample) or found(tables(many, finer)) < recall:
-            break
-        best = tables(many, finer)
-    return best
+    return Cells(tables)
 
 
 def in_cells(rows: DataFrame, cells: Cells, dim: int) -> DataFrame:
@@ -164,8 +156,8 @@ def in_cells(rows: DataFrame, cells: Cells, dim: int) -> DataFrame:
 def similar_pairs_pruned(df: DataFrame, threshold: float = 0.85, recall: float = 0.95, size: int = CELL, block: int = BLOCK, dim: int | None = None, seed: int = 11, new: DataFrame | None = None) -> DataFrame:
     """``similar_pairs`` among vectors that share a cell only: it finds at least about ``recall`` of the pairs, in less than all pairs' work.
 
-    The centroids are SAMPLE vectors of the table at most; cells hold about ``size`` vectors whatever the table's size, so twice the rows make twice the
-    pairs of a table of cells, and a few more tables: the pairs met grow as n ** 1.2 at a threshold of 0.85 in 64 dimensions.
+    The centroids are made from a sample of SAMPLE vectors at most; cells hold about ``size`` vectors however many there are, so twice the rows meet in twice the pairs a
+    table of cells, and in a few more tables: the pairs met grow as about n ** 1.2 at a threshold of 0.85 in 64 dimensions.
     A cell of more than ``block`` vectors is dealt into blocks like the whole table in ``similar_pairs``, so that no task holds more than two blocks.
     With ``new``, only cells that hold some of these are looked at. Where all pairs are less work (few rows, or a low threshold), all are met.
     """
@@ -421,15 +413,18 @@ def short_postings(texts: DataFrame) -> DataFrame:
 ACTION_DELTA = {"confirm": 0.05, "dismiss": -0.10}
 
 
-def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 50) -> DataFrame:
+def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 50, index: DataFrame | None = None) -> DataFrame:
     """(key, at, delta, reason) for each memory whose value contains a feedback's word, by key the first ``most`` per word.
 
     feedback: word, action, at. Each distinct word is looked for once, case-insensitively: by trigram postings of the values, or, if it
-    has fewer than three characters, by postings of one and two characters.
+    has fewer than three characters, by postings of one and two characters. ``index`` is a full-text index of the values alone, else one is made if needed.
     """
     words = stash(feedback.select("word", F.lower("word").alias("phrase")).filter("word != ''").distinct(), "words")
     value = F.lower(F.coalesce("value", F.lit("")))
-    index = build_index(memories.select("key", "value"), ("value",)) if words.filter(F.length("phrase") > 2).limit(1).count() else None
+    if not words.filter(F.length("phrase") > 2).limit(1).count():
+        index = None
+    elif index is None:
+        index = build_index(memories.select("key", "value"), ("value",))
     hits = short_postings(memories.select("key", value.alias("text"))) if words.filter(F.length("phrase") < 3).limit(1).count() else None
     if hits is not None:
         short = small_side(stash(words.filter(F.length("phrase") < 3).select("phrase").distinct(), "short"))

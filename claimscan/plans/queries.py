@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscan.functions.text import first_match_label, keyword_tags
-from claimscan.functions.work import new_path, spread
+from claimscan.functions.work import new_path, spread, stash
 from claimscan.operators import analytics, evaluate, graph, judge, memory, scan, search
+from claimscan.operators.index import Index
 from claimscan.plans import inputs as i
 from claimscan.plans.review import cite, review
 from claimscan.sources import knowledge, markdown
-from claimscan.streaming import jobs
+from claimscan.sources.buckets import BucketedTable
+from claimscan.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -254,6 +257,27 @@ def a12(spark, sf):
     return knowledge.upsert(current, inc)
 
 
+@query("a12_bucketed_upserts", SQL["a12_upsert"])
+def a12_buckets(spark, sf):
+    """The same in a bucketed table, opened again after each of two upserts."""
+    current = i.memories(spark, sf).select("key", "value", "source", "confidence", "created_at", "updated_at")
+    at = F.unix_timestamp("o_orderdate")
+    inc = t(spark, sf, "orders").select(F.concat(F.lit("m"), (F.col("o_custkey") + 100).cast("string")).alias("key"), F.col("o_orderpriority").alias("value"), F.lit("user").alias("source"), at.alias("created_at"), (at * 100000 + F.col("o_orderkey")).alias("updated_at"))
+    newest = F.max("updated_at").over(W.partitionBy("key"))
+    inc = stash(inc.withColumn("newest", F.col("updated_at") == newest), "incoming")
+    table = BucketedTable.create(current, "key", 16)
+    for last in (True, False):  # an upsert that comes late takes nothing back
+        rows = inc.filter(F.col("newest") == last).drop("newest")
+        BucketedTable.open(spark, table.path).change(rows, _late_upsert if not last else knowledge.upsert)
+    return BucketedTable.open(spark, table.path).read()
+
+
+def _late_upsert(rows, new):
+    """Rows that are later than what is there."""
+    was = rows.select("key", F.col("updated_at").alias("was"))
+    return knowledge.upsert(rows, new.join(was, "key", "left").filter(F.col("was").isNull() | (F.col("updated_at") > F.col("was"))).drop("was"))
+
+
 @query("a13_write_knowledge", f"WITH {i.MEMORIES_SQL} SELECT key, value, source FROM memories WHERE source <> ''")
 def a13(spark, sf):
     rows = i.memories(spark, sf).filter("source != ''").select("key", "value", "source")
@@ -582,24 +606,39 @@ def d3(spark, sf):
     return search.fulltext_topk(_asked(spark, sf), _corpus(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "d3_fulltext_terms",
-    """
-WITH words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark),
+_TERMS_SQL = """
+words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark),
 terms AS (SELECT DISTINCT query_id, substr(w, CAST(p AS INT), 3) AS gram FROM (SELECT query_id, w, unnest(range(1, length(w) - 1)) AS p FROM words WHERE length(w) >= 3)),
 fields AS (SELECT 'd' || doc_id AS key, unnest(['d' || doc_id, lower(text), lower(source), lower(lang)]) AS f FROM documents),
 sized AS (SELECT key, sum(greatest(length(f) - 2, 0)) AS dl FROM fields GROUP BY key),
 found AS (SELECT key, gram, count(*) AS tf FROM (SELECT key, substr(f, CAST(p AS INT), 3) AS gram FROM (SELECT key, f, unnest(range(1, length(f) - 1)) AS p FROM fields WHERE length(f) >= 3)) WHERE gram IN (SELECT gram FROM terms) GROUP BY key, gram),
 df AS (SELECT gram, count(*) AS df FROM found GROUP BY gram), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM sized),
 part AS (SELECT key, gram, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM found JOIN df USING (gram) JOIN sized USING (key), st),
-s AS (SELECT query_id, key, round(sum(part), 9) AS score FROM part JOIN terms USING (gram) GROUP BY query_id, key)
-SELECT query_id, key, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s WHERE score > 0) WHERE rank <= 20
-""",
-)
+s AS (SELECT query_id, key, round(sum(part), 9) AS score FROM part JOIN terms USING (gram) GROUP BY query_id, key),
+fts_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s WHERE score > 0 QUALIFY rank <= {k})"""
+_TERMS_TOP = "SELECT query_id, key, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM fts_top"
+
+
+@query("d3_fulltext_terms", f"WITH {_TERMS_SQL.format(k=20)} {_TERMS_TOP}")
 def d3_terms(spark, sf):
     """Whole benchmark items as queries."""
-    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.fulltext_topk(asked, _corpus(spark, sf), 20, "terms").withColumn("score", F.round("score", 6))
+    return search.fulltext_topk(_items(spark, sf), _corpus(spark, sf), 20, "terms").withColumn("score", F.round("score", 6))
+
+
+def _items(spark, sf):
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("d3_index_changes", f"""WITH {_TERMS_SQL.format(k=20).replace("FROM documents)", "FROM documents WHERE source <> 'src3')")} {_TERMS_TOP}""")
+def d3_changes(spark, sf):
+    """An index of an older state of all documents, brought up to date: one source changed, one came later, one is taken down; then worn segments are merged."""
+    now = _corpus(spark, sf)
+    was = now.filter("source != 'src7'").withColumn("value", F.when(F.col("source") == "src5", F.reverse("value")).otherwise(F.col("value")))
+    index = Index.create(was)
+    index.upsert(now.filter("source IN ('src5', 'src7')"))
+    index.delete(now.filter("source = 'src3'"))
+    index.merge()
+    return search.fulltext_topk(_items(spark, sf), k=20, mode="terms", index=Index.open(spark, index.path).segments()).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -703,6 +742,26 @@ def d9(spark, sf):
     return _results(spark, sf).withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
 
 
+_WHOLE_SQL = (
+    _LIBRARY_SQL.replace("FROM documents JOIN v ON v.key = doc_id\n", "FROM documents LEFT JOIN v ON v.key = doc_id\n").replace(_FTS_SQL.format(k=200).replace("FROM documents)", "FROM documents JOIN v ON v.key = doc_id)").replace("lower(source)", f"{_SOURCES}[1 + doc_id % 4]"), "asked AS (SELECT item_id AS query_id, text FROM benchmark)," + _TERMS_SQL.format(k=200).replace("lower(source)", f"{_SOURCES}[1 + doc_id % 4]"))
+    .replace("(s - min(s) OVER p) / (max(s) OVER p - min(s) OVER p) AS vn", "coalesce((s - min(s) OVER p) / (max(s) OVER p - min(s) OVER p), 0) AS vn")
+)
+
+
+@query("d9_retrieve_documents", f"WITH {_WHOLE_SQL} SELECT query_id, query_type, key, lib, round(raw_score, 6) AS raw_score, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM results")
+def d9_documents(spark, sf):
+    """Whole items against all documents, with or without a vector, by an index that is made once."""
+    d = _corpus(spark, sf).withColumn("id", F.expr("cast(substring(key, 2) as bigint)"))
+    k = F.col("id")
+    v = i.vectors(spark, sf)
+    lib = d.drop("source").join(v.select(F.col("key").alias("id"), "embedding"), "id", "left").select(
+        "key", "value", F.array(*map(F.lit, _SOURCES))[(k % 4).cast("int")].alias("source"), "tags", "embedding", ((k % 10) / 10.0).alias("confidence"), (F.lit(30.0) + k % 5 * 10).alias("stability"), (F.lit(i.NOW) - k * 3600).alias("last_review")
+    )
+    asked = _classified(_items(spark, sf), spark).join(v.select(F.col("key").alias("query_id"), "embedding"), "query_id").select("query_id", "text", "query_type", "embedding")
+    found = search.retrieve(asked, lib, i.NOW, index=Index.create(lib).segments(), mode="terms")
+    return found.withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
+
+
 _RANKED_SQL = f"WITH {i.VECTORS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT q.key AS query_id, v.key, list_dot_product(q.e, v.e) AS s, v.label FROM v q, v WHERE q.key % 50 = 0) QUALIFY rank <= 30)"
 
 
@@ -747,6 +806,28 @@ def e1(spark, sf):
     return memory.similar_pairs(i.vectors(spark, sf), 0.4, block=200).withColumn("strength", F.round("strength", 6))
 
 
+@query(
+    "e1_near_copies",
+    f"""
+WITH {i.VECTORS_SQL}, b AS (SELECT key, e, label, list_transform(list_zip(e, lead(e, 1, e) OVER (ORDER BY key)), lambda x: x[1] + 0.4 * x[2]) AS m FROM v),
+c AS (SELECT key, label, e FROM v UNION ALL SELECT key + 1000000000, label, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM b),
+p AS (SELECT a.label, count(*) AS n FROM c a, c b WHERE a.key <> b.key AND list_dot_product(a.e, b.e) >= 0.85 GROUP BY a.label)
+SELECT label, n AS n_pairs, true AS recalled FROM p
+""",
+)
+def e1_near_copies(spark, sf):
+    """All vectors and a near copy of each, by cells: pairs a label, and whether 0.9 of them or more, over all labels, were found by cells."""
+    v = i.vectors(spark, sf)
+    after = v.select((F.col("key") - 1).alias("key"), F.col("embedding").alias("after"))
+    mixed = F.zip_with("embedding", F.coalesce("after", "embedding"), lambda x, y: x.cast("double") + y.cast("double") * 0.4)
+    norm = F.sqrt(F.aggregate("mixed", F.lit(0.0), lambda s, x: s + x * x))
+    copies = v.join(after, "key", "left").withColumn("mixed", mixed).select((F.col("key") + 1_000_000_000).alias("key"), F.transform("mixed", lambda x: x / norm).alias("embedding"), "label")
+    both = v.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(copies)
+    exact, found = (stash(f(both, 0.85), "pairs") for f in (memory.similar_pairs, memory.similar_pairs_pruned))
+    recalled = exact.join(found, ["key", "other"], "left_semi").count() >= 0.9 * exact.count()
+    return exact.join(both.select("key", "label"), "key").groupBy("label").agg(F.count("*").alias("n_pairs")).withColumn("recalled", F.lit(recalled))
+
+
 @query(
     "e2_add_links",
     f"""WITH {i.LINKS_SQL}, old AS (SELECT from_id, to_id, link_type, strength, created_at FROM links WHERE id % 2 = 0)
@@ -815,6 +896,15 @@ def e6(spark, sf):
     return graph.transitive_closure(i.links(spark, sf))
 
 
+@query("e6_closure_changes", f"""{_CLOSURE_SQL.replace("FROM conversations) c, (VALUES (1), (2)) s(step)", "FROM conversations) c, (VALUES (1), (2)) s(step)").replace("UNION SELECT p.ancestor, l.to_id, p.depth + 1 FROM p JOIN links l", "WHERE link_type <> 'contradicts' UNION SELECT p.ancestor, l.to_id, p.depth + 1 FROM p JOIN (SELECT * FROM links WHERE link_type <> 'contradicts') l").replace("SELECT from_id AS n FROM links UNION SELECT to_id FROM links", "SELECT from_id AS n FROM links WHERE link_type <> 'contradicts' UNION SELECT to_id FROM links WHERE link_type <> 'contradicts'")} SELECT ancestor, descendant, depth FROM closure""")
+def e6_changes(spark, sf):
+    """The closure of all links but one type, to which the links of that type come, and from which those of another type go."""
+    links = i.links(spark, sf)
+    first = stash(graph.transitive_closure(links.filter("link_type != 'refines'")), "closure")
+    more = graph.add_edges(first, links.filter("link_type = 'refines'"))
+    return graph.remove_edges(more, links.filter("link_type = 'contradicts'"), links.filter("link_type != 'contradicts'"))
+
+
 @query(
     "e7_causal_chain",
     f"""{_CLOSURE_SQL}, ends AS (SELECT from_id AS a, to_id AS d, link_type, strength FROM links UNION SELECT to_id, from_id, link_type, strength FROM links)
@@ -1238,6 +1328,45 @@ def h3_fold(spark, sf):
     return spark.read.schema("key string, confidence double").parquet(f"{path}/{max(done)}").withColumn("confidence", F.round("confidence", 6))
 
 
+def _paced(spark, sf, last: str):
+    """Events as a stream of two files: all of them, then one of a far time that lets the watermark pass all."""
+    e = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), "event_type", "event_id")
+    path = new_path(spark, "paced")
+    e.write.parquet(f"{path}/1")
+    e.agg(F.max("at").alias("at")).select(F.lit(last).alias("key"), (F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit("end").alias("event_type"), F.lit(-1).cast("long").alias("event_id")).write.parquet(f"{path}/2")
+    return spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(path)
+
+
+@query("h3_stream_fold", SQL["e9_apply_confidence"])
+def h3_stream(spark, sf):
+    """The log of the fold from a stream, by state per key that waits for the watermark."""
+    state.use_rocksdb(spark)
+    delta = F.when(F.col("event_type") == "error", -0.3).when(F.col("event_type") == "purchase", 0.35).otherwise(0.05)
+    deltas = _paced(spark, sf, "").filter("key = '' OR CAST(key AS BIGINT) % 4 != 3").select("key", "at", delta.alias("delta"), F.col("event_type").alias("reason"))
+    log = jobs.run_to_end(state.fold_deltas(deltas, "1 hour", 0.05, 0.99), "log").filter("key != ''")
+    return log.select("key", "step", F.round("old_confidence", 6).alias("old_confidence"), F.round("new_confidence", 6).alias("new_confidence"))
+
+
+@query("h3_table_fold")
+def h3_table(spark, sf):
+    """As ``h3_feedback_fold``, into a bucketed table by an index that lives on."""
+    feedback = _stream(spark, sf, "events").select(F.get_json_object("props", "$.k").alias("word"), F.when(F.col("event_type") == "error", "dismiss").when(F.col("event_type") == "click", "modify").otherwise("confirm").alias("action"), F.col("ts").alias("at"))
+    m = i.memories(spark, sf).select("key", "value", "confidence")
+    table = BucketedTable.create(m, "key", 16)
+    jobs.run_to_end(feedback, "feedback", batch=jobs.confidence_sink(table, Index.create(m, names=("value",)).segments()))
+    return table.read().select("key", F.round("confidence", 6).alias("confidence"))
+
+
+@query("h4_state_last", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(max(ts)) AS updated_at, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
+def h4_state(spark, sf):
+    """The last review by state per key, into a bucketed table."""
+    state.use_rocksdb(spark)
+    s = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"), "event_id")
+    table = BucketedTable.create(spark.createDataFrame([], "key string, updated_at long, event_id long"), "key", 16)
+    jobs.run_to_end(state.keep_last(s, "key", "updated_at"), "reviews", "update", jobs.table_sink(table, "updated_at"))
+    return table.read()
+
+
 @query("h4_last_reviews", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(max(ts)) AS updated_at, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
 def h4_last(spark, sf):
     """Of resubmitted reviews the last, kept by a sink that merges each batch."""

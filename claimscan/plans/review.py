@@ -31,15 +31,16 @@ def word_notes(replacements: DataFrame | None, citations: DataFrame | None, feed
     return None if out is None else out.select("word", *[c if c in out.columns else F.lit(None).cast("string").alias(c) for c in ("suggestion", "law_content")], *[c for c in ("confirm", "dismiss", "total") if c in out.columns])
 
 
-def cite(words: DataFrame, corpus: DataFrame, now: float, patterns: DataFrame, k: int = 3, lexicon: list[tuple[str, float]] = (), dim: int = 512) -> DataFrame:
+def cite(words: DataFrame, corpus: DataFrame, now: float, patterns: DataFrame, k: int = 3, lexicon: list[tuple[str, float]] = (), dim: int = 512, index: DataFrame | None = None) -> DataFrame:
     """(word, law_content): the k best sources for each distinct word, as labelled extracts. One query a word, however many hits it has.
 
-    ``words`` may bring their own ``embedding``; else they are encoded like the corpus, with ``lexicon`` and ``dim``.
+    ``words`` may bring their own ``embedding``; else they are encoded like the corpus, with ``lexicon`` and ``dim``. ``index`` is a full-text index of the corpus,
+    else one is made.
     """
     asked = words.filter("word IS NOT NULL").dropDuplicates(["word"]).withColumns({"query_id": F.col("word"), "text": F.col("word")})
     if "embedding" not in words.columns:
         asked = encode_hashed(asked, "text", list(lexicon), dim)
-    found = retrieve(classify_queries(asked, patterns), corpus, now, k)
+    found = retrieve(classify_queries(asked, patterns), corpus, now, k, index=index)
     cited = format_citations(found.join(corpus.select("key", "source", "value"), "key"))
     return cited.select(F.col("query_id").alias("word"), F.col("citation").alias("law_content"))
 

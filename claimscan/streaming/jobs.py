@@ -11,6 +11,7 @@ from claimscan.functions.work import new_path
 from claimscan.operators.judge import SIGNALS, feedback_counts
 from claimscan.operators.memory import apply_confidence, deltas_from_feedback, new_confidences
 from claimscan.plans.review import review
+from claimscan.sources.buckets import BucketedTable
 from claimscan.sources.knowledge import upsert
 
 
@@ -22,7 +23,8 @@ def stream_review(stream: DataFrame, rules: DataFrame, version: str = "v2", sign
 def stream_latency(stream: DataFrame, window: str = "1 hour", slide: str | None = None, gap: str | None = None, watermark: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, error rate and percentiles of (ts, latency_ms, is_error) per tumbling or sliding window, or per session with ``gap``.
 
-    ``by`` groups further, and is needed for sessions: Spark keeps none over a whole stream. Rows later than the watermark are dropped.
+    ``by`` groups further, and is needed for sessions: Spark keeps none over a whole stream. A row is dropped if it is later than the watermark as it
+    was after the batch before the last: what comes in the batch right after a jump in time still counts.
     """
     if gap and not by:
         raise ValueError("sessions need columns to group by")
@@ -55,6 +57,32 @@ def feedback_sink(memories: DataFrame, state_path: str):
     return merge
 
 
+def confidence_sink(table: BucketedTable, index: DataFrame):
+    """A foreachBatch function that folds each batch's feedback (word, action, at) into the memories of ``table``, whose key is ``key``.
+
+    Words are looked for in a written full-text ``index`` of the memories' values (see ``operators.index``), and only buckets that hold a memory with
+    a changed confidence are written. A batch that is delivered again changes nothing. See ``state.fold_deltas`` for deltas that come late or out of order.
+    """
+
+    def folded(rows: DataFrame, deltas: DataFrame) -> DataFrame:
+        new = new_confidences(apply_confidence(rows, deltas)).select("key", F.col("confidence").alias("new"))
+        return rows.join(new, "key", "left").withColumn("confidence", F.coalesce("new", "confidence")).drop("new")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        table.change(deltas_from_feedback(batch, table.read(), index=index), folded, f"batch {batch_id}")
+
+    return merge
+
+
+def table_sink(table: BucketedTable, order_col: str):
+    """A foreachBatch function that keeps the last row per key in ``table``: a batch writes the buckets of its keys only."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch, order_col, f"batch {batch_id}")
+
+    return merge
+
+
 def dedupe_reviews(stream: DataFrame, watermark: str = "1 hour", key: str = "review_id", ts: str = "ts") -> DataFrame:
     """A resubmitted review counts once: the first one. See ``upsert_sink`` for the last."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
