@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimscan.functions.text import SPACE, first_number, strip
-from claimscan.functions.work import small_side
+from claimscan.functions.work import MAX_SMALL
 
 # The marks that structure the source documents.
 NUMERALS = "一二三四五六七八九十"
@@ -104,10 +104,27 @@ def carry_section_title(lines: DataFrame, key: str, order: str = "line_no", line
     return lines.withColumn("section", F.last(plain, ignorenulls=True).over(w))
 
 
-def range_label(df: DataFrame, num_col: str, ranges: DataFrame, out: str = "label") -> DataFrame:
-    """Adds the label of the range (lo, hi, label) that has the number; ``""`` if none does."""
-    r = small_side(ranges.select("lo", "hi", F.col("label").alias("__label")))
+def ranges_of(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(__n, __label) for every range (lo, hi, __label) that has a number (__n, distinct): an equi-join, for ranges of any number.
+
+    A range of up to 2 ** level numbers lies in at most two bins of that size, and a number in one bin of each size that occurs.
+    """
+    sized = ranges.filter("lo <= hi").withColumn("level", F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int"))
+    bin_ = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    binned = sized.withColumn("bin", F.explode(F.sequence(bin_("lo"), bin_("hi"))))
+    levels = [r.level for r in sized.select("level").distinct().collect()]  # at most 64
+    asked = numbers.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", bin_("__n"))
+    return asked.join(binned, ["level", "bin"]).filter("__n BETWEEN lo AND hi").select("__n", "__label")
+
+
+def range_label(df: DataFrame, num_col: str, ranges: DataFrame, out: str = "label", limit: int = MAX_SMALL) -> DataFrame:
+    """Adds the label of the range (lo, hi, label) that has the number; ``""`` if none does. More than ``limit`` ranges are joined by bins."""
+    r = ranges.select("lo", "hi", F.col("label").alias("__label"))
     n = F.col(num_col)
     number = n if dict(df.dtypes)[num_col] != "string" else first_number(n)
-    joined = df.withColumn("__n", number).join(r, (F.col("__n") >= F.col("lo")) & (F.col("__n") <= F.col("hi")), "left")
+    rows = df.withColumn("__n", number)
+    if r.limit(limit + 1).count() > limit:
+        found = ranges_of(rows.select("__n").filter("__n IS NOT NULL").distinct(), r)
+        return rows.join(found, "__n", "left").withColumn(out, F.coalesce("__label", F.lit(""))).drop("__n", "__label")
+    joined = rows.join(F.broadcast(r), (F.col("__n") >= F.col("lo")) & (F.col("__n") <= F.col("hi")), "left")
     return joined.withColumn(out, F.coalesce("__label", F.lit(""))).drop("__n", "lo", "hi", "__label")
