@@ -199,6 +199,14 @@ def a8(spark, sf):
     return markdown.range_label(t(spark, sf, "part").select("p_partkey", "p_size"), "p_size", ranges)
 
 
+@query("a8_many_ranges", "SELECT p_partkey, coalesce(c_mktsegment, '') AS label FROM part LEFT JOIN customer ON p_partkey BETWEEN c_custkey * 3 AND c_custkey * 3 + c_nationkey % 7")
+def a8_many(spark, sf):
+    """Ranges of any number, of which some overlap, by bins."""
+    k = F.col("c_custkey") * 3
+    ranges = t(spark, sf, "customer").select(k.alias("lo"), (k + F.col("c_nationkey") % 7).alias("hi"), F.col("c_mktsegment").alias("label"))
+    return markdown.range_label(t(spark, sf, "part").select("p_partkey"), "p_partkey", ranges, limit=100)
+
+
 @query("a9_load_rules", "SELECT n_nationkey AS rule_idx, n_name AS word, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || '.*' END AS pattern, 'c' || n_regionkey AS category, '' AS regulation_ref FROM nation WHERE n_nationkey % 7 <> 0")
 def a9(spark, sf):
     n = F.col("n_nationkey")
@@ -762,6 +770,13 @@ def d9_documents(spark, sf):
     return found.withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
 
 
+@query("d9_retrieve_libraries", f"""WITH {_LIBRARY_SQL.replace("SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, key) <= 50", "SELECT * FROM raw")} SELECT query_id, query_type, key, lib, round(raw_score, 6) AS raw_score, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM results""")
+def d9_libraries(spark, sf):
+    """Each library's best of all rows, not of the best 50 only."""
+    found = search.retrieve(_library_queries(spark, sf), _library(spark, sf), i.NOW, overfetch=None)
+    return found.withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
+
+
 _RANKED_SQL = f"WITH {i.VECTORS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT q.key AS query_id, v.key, list_dot_product(q.e, v.e) AS s, v.label FROM v q, v WHERE q.key % 50 = 0) QUALIFY rank <= 30)"
 
 
@@ -1312,7 +1327,17 @@ def h2_sessions(spark, sf):
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "avg_ms", "error_rate")
 
 
-@query("h3_feedback_fold")
+_FOLD_SQL = f"""
+WITH {i.MEMORIES_SQL}, feedback AS (SELECT ts, json_extract_string(props, '$.k') AS word, CASE event_type WHEN 'error' THEN 'dismiss' WHEN 'click' THEN 'modify' ELSE 'confirm' END AS action FROM events),
+hit AS (SELECT w.word, m.key FROM (SELECT DISTINCT word FROM feedback) w JOIN memories m ON contains(lower(m.value), lower(w.word)) QUALIFY row_number() OVER (PARTITION BY w.word ORDER BY m.key) <= 50),
+d AS (SELECT h.key, ts, CASE action WHEN 'confirm' THEN 0.05 WHEN 'dismiss' THEN -0.10 ELSE -0.05 END::DOUBLE AS delta, action || ':' || f.word AS reason FROM feedback f JOIN hit h ON h.word = f.word),
+l AS (SELECT key, list(delta ORDER BY ts, delta, reason) AS l FROM d GROUP BY key)
+SELECT m.key, round(CASE WHEN l IS NULL THEN confidence ELSE list_reduce(list_prepend(coalesce(confidence, 0.5::DOUBLE), l), lambda c, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, c + x))) END, 6) AS confidence
+FROM memories m LEFT JOIN l ON l.key = m.key
+"""
+
+
+@query("h3_feedback_fold", _FOLD_SQL)
 def h3_fold(spark, sf):
     """The confidences after all feedback has been folded in, batch by batch."""
     e = _stream(spark, sf, "events")
@@ -1347,7 +1372,7 @@ def h3_stream(spark, sf):
     return log.select("key", "step", F.round("old_confidence", 6).alias("old_confidence"), F.round("new_confidence", 6).alias("new_confidence"))
 
 
-@query("h3_table_fold")
+@query("h3_table_fold", _FOLD_SQL)
 def h3_table(spark, sf):
     """As ``h3_feedback_fold``, into a bucketed table by an index that lives on."""
     feedback = _stream(spark, sf, "events").select(F.get_json_object("props", "$.k").alias("word"), F.when(F.col("event_type") == "error", "dismiss").when(F.col("event_type") == "click", "modify").otherwise("confirm").alias("action"), F.col("ts").alias("at"))
