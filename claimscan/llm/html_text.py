@@ -16,6 +16,7 @@ ignored, also such that bear the name of a result column.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -74,6 +75,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.use_marks = use_marks
         self.open: list[tuple[str, int, int, float, bool]] = []  # tag, region, container, weight, inside a link
+        # places of the blocks among them, and how many there are of each tag: so no search passes over elements that stay open
+        self.blocks: list[int] = []
+        self.counts: Counter[str] = Counter()
         self.n = 0
         self.lines: list[tuple[str, int, int, int, float, int]] = []
         self.text: list[str] = []
@@ -96,6 +100,12 @@ class Lines(HTMLParser):
     def _move(self) -> None:
         self.place = self.open[-1][1:4] if self.open else (0, 0, 1.0)
 
+    def _close_from(self, i: int) -> None:
+        while len(self.open) > i:
+            self.counts[self.open.pop()[0]] -= 1
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS or (tag in SKIPPED and tag != "title"):
@@ -104,12 +114,8 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in BLOCKS:  # a block ends an open paragraph
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in BLOCKS:
-                    if self.open[i][0] == "p":
-                        del self.open[i:]
-                    break
+        if tag in BLOCKS and self.blocks and self.open[self.blocks[-1]][0] == "p":  # a block ends an open paragraph
+            self._close_from(self.blocks[-1])
         region, container, weight = self.open[-1][1:4] if self.open else (0, 0, 1.0)
         if region >= 0:
             names = [v for k, v in attrs if v and k in ("class", "id", "role", "itemprop")] if self.use_marks and tag not in ("html", "body") else []
@@ -125,6 +131,9 @@ class Lines(HTMLParser):
             if tag in ("div", "section", "td", "body", "article", "main") and region >= 0:
                 self.n += 1
                 container = self.n
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.counts[tag] += 1
         self.open.append((tag, region, container, weight, tag == "a" or bool(self.open) and self.open[-1][4]))
         if (region, container, weight) != self.place:
             self._end_line()
@@ -134,12 +143,15 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in SKIPPED:
             self._end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._end_line() if self.open[i][1:4] != (self.open[i - 1][1:4] if i else (0, 0, 1.0)) else None
-                del self.open[i:]
-                self._move()
-                break
+        if not self.counts[tag]:
+            return
+        i = len(self.open) - 1
+        while self.open[i][0] != tag:
+            i -= 1
+        if self.open[i][1:4] != (self.open[i - 1][1:4] if i else (0, 0, 1.0)):
+            self._end_line()
+        self._close_from(i)
+        self._move()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -133,6 +133,18 @@ def test_long_page(spark):
     assert got.text == "\n".join(f"Line {i} of a long page with words in it." for i in range(60_000))
 
 
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "<div>x</div>" * n, lambda n: "<div>x" * n + "</i>" * n, lambda n: "<p><i>" * n + "</p>" * n + "x", lambda n: "<div>" * n + "x" + "</div>" * n])
+def test_time_of_open_and_stray_tags_is_linear(make):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.process_time()
+        ht.main_text(make(n))
+        took.append(time.process_time() - t)
+    assert took[1] < 20 and took[1] < 8 * max(took[0], 0.2)
+
+
 def test_pages(spark):
     rows = ht.op6_html_text(spark, DATA).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
