@@ -23,6 +23,8 @@ BLOCK = 4096
 CELL, SAMPLE, MOST_CENTROIDS, PROBES = 32, 16_384, 4096, 2000
 #: Topics in a block, vectors in a block that it is compared with, and blocks of topics that are broadcast; more are joined by a shuffle.
 TOPIC_BLOCK, PACK, BROADCAST_BLOCKS = 2048, 4096, 64
+#: Deltas that a task of a fold puts in order.
+PART = 500_000
 
 
 # --- links ----------------------------------------------------------------------------------------
@@ -370,8 +372,10 @@ def apply_confidence(memories: DataFrame, deltas: DataFrame, lo: float = 0.0, hi
     order = ["key", "at", "delta", "reason"]
     kind = {n: t for n, t in deltas.dtypes if n in order}
     known = memories.select("key", F.coalesce("confidence", F.lit(0.5)).cast("double").alias("start"))
-    parts = deltas.select(*order).filter("key IS NOT NULL AND delta IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    parts = stash(parts, "deltas")
+    rows = deltas.select(*order).filter("key IS NOT NULL AND delta IS NOT NULL")
+    size, cores = rows.count(), deltas.sparkSession.sparkContext.defaultParallelism
+    n = max(1, math.ceil(size / PART), min(cores, math.ceil(size / 10_000)))  # what a task holds is bounded, however many deltas there are
+    parts = stash(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "deltas")
     run_schema = f"part int, key {kind['key']}, at {kind['at']}, delta double, reason {kind['reason']}, place long, low double, high double, add double, old_low double, old_high double, old_add double"
 
     def compose(table: pa.Table) -> pa.Table:

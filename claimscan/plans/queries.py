@@ -759,15 +759,32 @@ _WHOLE_SQL = (
 @query("d9_retrieve_documents", f"WITH {_WHOLE_SQL} SELECT query_id, query_type, key, lib, round(raw_score, 6) AS raw_score, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM results")
 def d9_documents(spark, sf):
     """Whole items against all documents, with or without a vector, by an index that is made once."""
+    return _whole_results(spark, sf).withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
+
+
+def _whole_library(spark, sf):
+    """All documents, some with a vector of the same number."""
     d = _corpus(spark, sf).withColumn("id", F.expr("cast(substring(key, 2) as bigint)"))
     k = F.col("id")
-    v = i.vectors(spark, sf)
-    lib = d.drop("source").join(v.select(F.col("key").alias("id"), "embedding"), "id", "left").select(
+    v = i.vectors(spark, sf).select(F.col("key").alias("id"), "embedding")
+    return d.drop("source").join(v, "id", "left").select(
         "key", "value", F.array(*map(F.lit, _SOURCES))[(k % 4).cast("int")].alias("source"), "tags", "embedding", ((k % 10) / 10.0).alias("confidence"), (F.lit(30.0) + k % 5 * 10).alias("stability"), (F.lit(i.NOW) - k * 3600).alias("last_review")
     )
-    asked = _classified(_items(spark, sf), spark).join(v.select(F.col("key").alias("query_id"), "embedding"), "query_id").select("query_id", "text", "query_type", "embedding")
-    found = search.retrieve(asked, lib, i.NOW, index=Index.create(lib).segments(), mode="terms")
-    return found.withColumns({"raw_score": F.round("raw_score", 6), "score": F.round("score", 6)})
+
+
+def _whole_queries(spark, sf):
+    v = i.vectors(spark, sf).select(F.col("key").alias("query_id"), "embedding")
+    return _classified(_items(spark, sf), spark).join(v, "query_id").select("query_id", "text", "query_type", "embedding")
+
+
+def _whole_results(spark, sf):
+    lib = _whole_library(spark, sf)
+    return search.retrieve(_whole_queries(spark, sf), lib, i.NOW, index=Index.create(lib).segments(), mode="terms")
+
+
+@query("d11_cite_documents", f"""WITH {_WHOLE_SQL} SELECT query_id, string_agg(CASE lib WHEN 'law' THEN '📖 法条：' WHEN 'case' THEN '📋 案例：' ELSE '📌 规则：' END || substr(value, 1, 200), chr(10) || '---' || chr(10) ORDER BY rank) AS citation FROM results GROUP BY query_id""")
+def d11_documents(spark, sf):
+    return search.format_citations(_whole_results(spark, sf).join(_whole_library(spark, sf).select("key", "source", "value"), "key"))
 
 
 @query("d9_retrieve_libraries", f"""WITH {_LIBRARY_SQL.replace("SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, key) <= 50", "SELECT * FROM raw")} SELECT query_id, query_type, key, lib, round(raw_score, 6) AS raw_score, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM results""")
@@ -1207,18 +1224,35 @@ r AS (SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['unknown'] END) AS reason
 SELECT reason, count(*) AS n FROM r GROUP BY reason""",
 )
 def g4(spark, sf):
-    a = _answers(spark, sf)
-    cases = _cases(spark, sf)
+    return _reasons(_answers(spark, sf), _library_queries(spark, sf), _cases(spark, sf))
+
+
+def _reasons(a, asked, cases):
     joined = cases.join(a.select("query_id", "rank", "source", "value"), "query_id", "left")
     keyword = F.exists("expected_keywords", lambda k: F.col("value").contains(k))
     per = joined.groupBy("query_id", "query_type", "is_boundary").agg(
         F.coalesce(F.bool_or((F.col("source") == F.col("expected_source")) & keyword & (F.col("rank") <= 5)), F.lit(False)).alias("passed"),
         F.coalesce(F.bool_or(F.col("source") == F.col("expected_source")), F.lit(False)).alias("source_hit"), F.coalesce(F.bool_or(keyword), F.lit(False)).alias("keyword_hit"),
     )
-    detected = _library_queries(spark, sf).select("query_id", F.col("query_type").alias("detected_type"))
+    detected = asked.select("query_id", F.col("query_type").alias("detected_type"))
     return evaluate.reason_counts(evaluate.retrieval_failures(per.join(detected, "query_id")))
 
 
+def _whole_answers(spark, sf):
+    return _whole_results(spark, sf).drop("query_type").join(_whole_library(spark, sf).select("key", "source", "value"), "key")
+
+
+@query("g3_ranking_documents", SQL["g3_ranking_metrics"].replace(_LIBRARY_SQL, _WHOLE_SQL))
+def g3_documents(spark, sf):
+    """As ``g3_ranking_metrics``, of whole items against all documents."""
+    return evaluate.ranking_metrics(_whole_answers(spark, sf), _cases(spark, sf))
+
+
+@query("g4_reasons_documents", SQL["g4_failure_reasons"].replace(_LIBRARY_SQL, _WHOLE_SQL))
+def g4_documents(spark, sf):
+    return _reasons(_whole_answers(spark, sf), _whole_queries(spark, sf), _cases(spark, sf))
+
+
 @query(
     "g4_judgement_failures",
     f"""{_PRED_SQL}, x AS (SELECT *, predicted AND NOT expected AS fa, ['A', 'B', 'NONE'][1 + doc_id % 3] AS et FROM pred WHERE predicted <> expected),

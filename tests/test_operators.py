@@ -403,10 +403,12 @@ def test_vectors_of_documents_equal_a_plain_loop(spark, monkeypatch):
         assert r.embedding == pytest.approx((v / n if n else v).tolist(), abs=1e-6)
 
 
-def test_composed_folds_equal_the_loop(spark):
+@pytest.mark.parametrize("part", [400, 500_000])
+def test_composed_folds_equal_the_loop(spark, monkeypatch, part):
     """A key with many deltas is split over parts."""
     import random
 
+    monkeypatch.setattr(memory, "PART", part)
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(9)}", rng.randrange(200), rng.choice([-0.3, 0.05, 0.35]), rng.choice("ab")) for _ in range(3000)]
     rows += [("hot", 5, None, "a"), (None, 5, 0.1, "a")]
