@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ def _combined(patterns: list[str]) -> tuple[re.Pattern, set[str]]:
     return re.compile("|".join(f"(?:{p})" for p in patterns if p not in apart) or r"(?!)", re.IGNORECASE), apart
 
 
+@cache
 def _fold_table() -> np.ndarray:
     """For each code point one that all letters which differ by case only share; it may join others too."""
     every = np.arange(0x110000, dtype=np.uint32)
@@ -59,7 +61,6 @@ class Dictionary:
 
         self.patterns, self.compiled = patterns, {}
         self.words = {n: re.sub(r"\\(.)", r"\1", p) for n, p in enumerate(patterns) if LITERAL.fullmatch(p)}
-        self.table = None
         rest = [n for n in range(len(patterns)) if n not in self.words]
         self.any_rule, apart = _combined([patterns[n] for n in rest])
         self.rest, self.always = rest, [n for n in rest if patterns[n] in apart]
@@ -74,9 +75,7 @@ class Dictionary:
     def fold(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        if self.table is None:
-            self.table = _fold_table()
-        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes().decode("utf-32-le", "surrogatepass")
+        return _fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes().decode("utf-32-le", "surrogatepass")
 
     def rule(self, n: int) -> re.Pattern:
         if n not in self.compiled:
