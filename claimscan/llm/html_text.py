@@ -3,10 +3,12 @@
 Start, end and text events are turned into lines, one per block of the page. Every line has a text-to-tag ratio. What
 the contract names by element (menus, headers, footers, sidebars, forms, scripts, styles) or what a class calls by its full name an
 advert, a notice or comments is no text and counts as a line of ratio 0; class names that only hint at page
-furniture make a line weigh less. The ratios are smoothed with a Gaussian over neighbouring lines, and lines whose smoothed
+furniture make a line weigh less. Inside an article names mean less: a quotation, heading or paragraph is text whatever its name, and a
+block named a header, footer, notice or promotion is text where it has a sentence. The ratios are smoothed with a Gaussian over neighbouring lines, and lines whose smoothed
 ratio reaches a share of the ratios' standard deviation cluster as content. The content's letters choose the regions (an
 article or main element, else the containing block): those with a share of what the richest has. An article's region is
-taken whole, but for hinted lines and runs of links that are no content; elsewhere from the first to the last content line.
+taken whole, lists of links (references) included, but for hinted lines that are no content; elsewhere from the first to the last
+content line, without links.
 
 Cases: a null or empty page has an empty text; an unclosed or stray tag ends with its parent or is
 ignored; an unclosed comment hides the rest of the page; repeated rows are extracted each; an empty table gives an empty result. Further columns are
@@ -34,6 +36,8 @@ CUT = 0.5
 SHARE = 0.25
 #: What the ratio of a line counts whose class only hints at page furniture; the share of link text in a line of links.
 HINTED, LINKS = 0.2, 0.9
+#: What it counts inside an article if a name says "header" or "notice"; a line of at least so many words is a sentence.
+NAMED_INSIDE, SENTENCE = 0.5, 6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template title nav header footer aside form button select textarea option svg math iframe object canvas audio video menu dialog".split())
@@ -46,6 +50,9 @@ NAMED = frozenset("ad ads advert adverts advertisement advertisements advertisin
 HINTS = frozenset("banner side rail share sharing social related recommended recommendations subscribe subscription signup popup modal overlay widget pagination pager toolbar search login skip hidden teaser".split())
 PLAIN = frozenset("area bar block box buttons button container content items item inner left right top bottom links link list module panel section site slot thread unit wrapper wrap wide small large first last main page posts post the".split())
 TEXT = frozenset("article body content entry main post story text".split())
+#: Inside an article these names only weigh, and no name deletes an element of these kinds.
+WEIGHS_INSIDE = frozenset("header footer masthead contentinfo notice notices disclaimer alert promo sponsor sponsors".split())
+OWN_TEXT = frozenset("blockquote p pre q h1 h2 h3 h4 h5 h6 figure figcaption dd dt code em strong b i cite mark".split())
 #: An outermost article or main element is skipped for these words only.
 NOT_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
 #: Such parts of a class say what stands beside the content, not what it is.
@@ -54,9 +61,12 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|articlebody|main|main-conten
 SIZE = re.compile(r"\d+(?:x\d+)?")
 
 
-def furniture(value: str, outermost: bool = False) -> int:
-    """2 if a class, id or role names what is no text, 1 if it hints at it, else 0. Each name counts as a whole: "share-price" is neither."""
-    found = 0
+def furniture(value: str, outermost: bool = False, inside: bool = False) -> float:
+    """2 if a class, id or role names what is no text, 1 if it hints at it, else 0. Each name counts as a whole: "share-price" is neither.
+
+    Inside an article 1.5 for names that only weigh there.
+    """
+    found = 0.0
     for name in BESIDE.sub("", value).lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x and not SIZE.fullmatch(x)]
         named, hinted = [x for x in parts if x in NAMED], [x for x in parts if x in HINTS]
@@ -64,7 +74,8 @@ def furniture(value: str, outermost: bool = False) -> int:
             found = max(found, 2 * any(x in NOT_ARTICLE for x in parts))
         elif (named or hinted) and all(x in NAMED or x in HINTS or x in PLAIN or x in TEXT for x in parts):
             head = set(named) <= {"header", "footer", "nav", "navigation", "menu"} and any(x in TEXT for x in parts)  # as in "entry-header"
-            found = max(found, 0 if head and not hinted else 2 if named else 1)
+            weighs = inside and set(named) <= WEIGHS_INSIDE and not hinted
+            found = max(found, 0 if head and not hinted else 1.5 if named and weighs else 2 if named else 1)
     return found
 
 
@@ -120,14 +131,16 @@ class Lines(HTMLParser):
         if region >= 0:
             names = [v for k, v in attrs if v and k in ("class", "id", "role", "itemprop")] if self.use_marks and tag not in ("html", "body") else []
             text = any(ARTICLE.search(v) for v in names)
-            mark = 0 if text else max((furniture(v, tag in REGIONS and not region) for v in names), default=0)
+            mark = 0 if text else max((furniture(v, tag in REGIONS and not region, region > 0) for v in names), default=0)
+            if region and mark > 1 and tag in OWN_TEXT:
+                mark = 0
             unseen = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
             if tag in SKIPPED or unseen or mark == 2:
                 region = -1
             elif not region and (tag in REGIONS or text):
                 self.n += 1
                 region = self.n
-            weight = min(weight, HINTED) if mark == 1 else weight
+            weight = min(weight, {1: HINTED, 1.5: NAMED_INSIDE}.get(mark, 1.0))
             if tag in ("div", "section", "td", "body", "article", "main") and region >= 0:
                 self.n += 1
                 container = self.n
@@ -197,15 +210,21 @@ def choose(lines: list[tuple], use_ratio: bool = True) -> np.ndarray:
     inside = content & (region > 0)
     group = region if inside.any() else container
     content = inside if inside.any() else content
-    mass = np.bincount(group[content], weights=letters[content])
-    keep = np.zeros(len(lines), dtype=bool)
-    for g in np.flatnonzero(mass >= max(1, SHARE * mass.max())):
-        if inside.any():
-            keep |= region == g
-        else:
-            own = np.flatnonzero((container == g) & content)
-            keep[own[0] : own[-1] + 1] = True
-    return keep & seen & (content | ((weight == 1) & ~links))
+    mass = np.bincount(group[content], weights=letters[content], minlength=max(group.max(), 0) + 1)
+    chosen = mass >= max(1, SHARE * mass.max())
+    if inside.any():
+        keep = (region > 0) & chosen[np.maximum(region, 0)]
+    else:  # from each chosen container's first to its last content line
+        own = np.flatnonzero(content & chosen[np.maximum(container, 0)])
+        first, last = np.full(len(mass), len(lines)), np.full(len(mass), -1)
+        np.minimum.at(first, container[own], own)
+        np.maximum.at(last, container[own], own)
+        spans = np.zeros(len(lines) + 1, dtype=np.int64)
+        np.add.at(spans, first[last >= 0], 1)
+        np.add.at(spans, last[last >= 0] + 1, -1)
+        keep = np.cumsum(spans)[:-1] > 0
+    sentence = np.array([x[0].count(" ") + 1 >= SENTENCE for x in lines])
+    return keep & seen & (content | ((weight == 1) & (~links | (region > 0))) | ((weight == NAMED_INSIDE) & sentence & ~links))
 
 
 def main_text(html: str | None, use_ratio: bool = True) -> str:
