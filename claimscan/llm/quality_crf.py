@@ -5,8 +5,10 @@ those of the lines before and after it; a transition weight joins neighbours. Tr
 likelihood of the labels (each line of a labelled document has its document's), with the exact gradient
 from forward-backward sums. A document's score is the length-weighted mean of its lines' marginals.
 
-Forward and backward sums are prefix products of 2x2 matrices in log space, taken by doubling over all
-lines of a batch at once, so that a text of very many lines is no slower than many short ones.
+Forward and backward sums are prefix products of 2x2 matrices in log space, taken by doubling over many
+lines at once, so that a text of very many lines is no slower than many short ones. Scoring does so for BLOCK
+lines at a time and hands the messages on from block to block, so a text of any number of lines takes a few dozen
+bytes a line; a line's levels are one byte a feature.
 
 Training takes a bounded sample: the TRAIN_DOCS labelled documents with the smallest hash of doc_id. If they have more than
 TRAIN_LINES lines together, each gives its first lines, as many for each as the greatest equal share that fits, so
@@ -32,6 +34,8 @@ TRAIN_DOCS = 4000
 TRAIN_LINES = 100_000
 STEPS, RATE, PENALTY = 120, 0.3, 1e-3
 CHUNK = 4 << 20
+#: Lines whose messages are computed at a time in scoring.
+BLOCK = 1 << 12
 THRESHOLD = 0.3
 
 #: Byte classes whose share of a line is a feature.
@@ -62,7 +66,7 @@ def line_levels(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.searchsorted(breaks, offsets)
     first = before + np.arange(n_docs + 1)
     n = int(first[-1])
-    starts, ends = np.empty(n, np.int64), np.empty(n, np.int64)
+    starts, ends = np.empty(n, np.int32), np.empty(n, np.int32)  # a column has less than 2 GB
     is_first, is_last = np.zeros(n, bool), np.zeros(n, bool)
     is_first[first[:-1]] = True
     is_last[first[1:] - 1] = True
@@ -75,35 +79,41 @@ def line_levels(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.cumsum(mask, out=total[1:])
         return total
 
-    share = np.zeros((n, len(FEATURES)))
+    levels = np.empty((n, len(FEATURES)), dtype=np.uint8)
+
+    def put(j: int, share: np.ndarray) -> None:
+        levels[:, j] = np.searchsorted(CUTS, share, "left")
+
     for j, members in enumerate(CLASSES.values()):
         table = np.zeros(256, dtype=bool)
         table[list(members)] = True
         total = inside(table[data])
-        share[:, j] = (total[ends] - total[starts]) / np.maximum(size, 1)
+        put(j, (total[ends] - total[starts]) / np.maximum(size, 1))
     words = split_words(data, offsets, NOT_SPACE, lower=False)
     code, distinct = codes(words.words)
     a, b = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
     n_words = b - a
     again = inside(np.concatenate([[False], code[1:] == code[:-1]])[: len(code)])
     j = len(CLASSES)
-    share[:, j] = (again[b] - again[np.minimum(a + 1, b)]) / np.maximum(n_words, 1)
+    put(j, (again[b] - again[np.minimum(a + 1, b)]) / np.maximum(n_words, 1))
     line = np.repeat(np.arange(n), n_words)
     pairs = np.unique(line * max(1, len(distinct)) + code) if len(code) else np.zeros(0, np.int64)
-    share[:, j + 1] = np.bincount(pairs // max(1, len(distinct)), minlength=n) / np.maximum(n_words, 1)
-    share[:, j + 2] = size / np.maximum(n_words, 1) / 20
-    share[:, j + 3] = np.log1p(size) / 9
+    put(j + 1, np.bincount(pairs // max(1, len(distinct)), minlength=n) / np.maximum(n_words, 1))
+    put(j + 2, size / np.maximum(n_words, 1) / 20)
+    put(j + 3, np.log1p(size) / 9)
+    del line, pairs, again, words, code, a, b, n_words
     at = np.concatenate([[0], np.cumsum(size)])  # without the line ends, so that a text's last line equals an earlier one
     whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(data[data != 10])])
     same, kinds = codes(whole)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     seen = np.ones(n, dtype=bool)
     seen[np.unique(doc * max(1, len(kinds)) + same, return_index=True)[1]] = False
-    share[:, j + 4] = seen
+    put(j + 4, seen)
+    del same, doc, seen, whole
     padded = np.append(data, 0)
     head, tail = padded[np.minimum(starts, len(data))], padded[np.maximum(ends - 1, 0)]
-    share[:, j + 5] = np.where(size > 0, 0.2 * ((head >= 65) & (head <= 90)) + 0.6 * np.isin(tail, list(b".!?")), 1.0)
-    return np.searchsorted(CUTS, share, "left").astype(np.uint8), size, first
+    put(j + 5, np.where(size > 0, 0.2 * ((head >= 65) & (head <= 90)) + 0.6 * np.isin(tail, list(b".!?")), 1.0))
+    return levels, size, first
 
 
 class Chain:
@@ -150,6 +160,70 @@ class Chain:
         return good, np.exp(joint).sum(axis=0), log_z[first[:-1]]
 
 
+    def good_lines(self, levels: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(good) of each line, as ``marginals`` gives it, for BLOCK lines at a time: forward messages up to each block, then backward ones."""
+        weights = self.weights[:-5].reshape(self.SHAPE)
+        trans = self.weights[-4:].reshape(2, 2)
+        n = len(levels)
+        is_first, is_last = np.zeros(n, bool), np.zeros(n, bool)
+        is_first[first[:-1]] = True
+        is_last[first[1:] - 1] = True
+
+        score = np.full(n, self.weights[-5])
+
+        def add_up(a: int, b: int) -> None:
+            total = score[a:b]
+            for k, (edge, move) in enumerate(((is_first, -1), (None, 0), (is_last, 1))):
+                own = levels[np.clip(np.arange(a, b) + move, 0, n - 1)]
+                if edge is not None:
+                    own[edge[a:b]] = NONE
+                for j in range(own.shape[1]):
+                    total += weights[k, j][own[:, j]]
+
+        def steps(a: int, b: int) -> np.ndarray:
+            """Log weights from a line's predecessor to it; a first line has none."""
+            out = np.zeros((b - a, 2, 2))
+            out[:, :, 1] = score[a:b, None]
+            out += np.where(is_first[a:b, None, None], 0.0, trans)
+            return out
+
+        def places(edge: np.ndarray) -> np.ndarray:
+            """Each line's place after the last edge before it, or after the block's start."""
+            at = np.arange(len(edge))
+            return at - np.maximum.accumulate(np.where(edge, at, 0))
+
+        forward = np.empty((n, 2))
+        message = np.zeros(2)
+        edges = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+        for a, b in edges:
+            add_up(a, b)
+            step = steps(a, b)
+            if not is_first[a]:
+                step[0] = np.logaddexp(message[0] + step[0, 0], message[1] + step[0, 1])
+            part = _products(step, places(is_first[a:b]))[:, 0, :]
+            forward[a:b] = part - part.max(axis=1, keepdims=True)
+            message = forward[b - 1]
+        good = np.empty(n)
+        message = np.zeros(2)
+        for a, b in reversed(edges):
+            onward = np.zeros((b - a, 2, 2))
+            onward[:-1] = steps(a + 1, b) if b - a > 1 else 0.0
+            if b < n:
+                onward[-1] = steps(b, b + 1)[0] + message  # to the next block's first line, and on from there
+            onward[is_last[a:b]] = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)
+            turned = onward[::-1].transpose(0, 2, 1)
+            if b < n and not is_last[b - 1]:
+                turned[0] = np.logaddexp(turned[0, 0], turned[0, 1])
+            elif not is_last[b - 1]:
+                turned[0] = 0.0
+            part = _products(turned, places(is_last[a:b][::-1]))[::-1]
+            backward = np.logaddexp(part[:, 0, :], part[:, 1, :])
+            both = forward[a:b] + backward
+            good[a:b] = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+            message = backward[0] - backward[0].max()
+        return good
+
+
 def _products(m: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Log-space prefix products within runs; ``inner`` is the place in the run."""
     m = m.copy()
@@ -228,7 +302,7 @@ def score(docs: DataFrame, chain: Chain | None, with_lines: bool = False) -> Dat
         for whole in batches:
             for batch in chunks(whole, "text", CHUNK):
                 levels, size, first = line_levels(batch.column("text"))
-                good = chain.marginals(Chain.places(levels, first), first)[0] if chain else np.full(len(size), 0.5)
+                good = chain.good_lines(levels, first) if chain else np.full(len(size), 0.5)
                 weight = size + 1.0
                 mean = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
                 out = [batch.column("doc_id"), pa.array(np.clip(mean, 0, 1))]
