@@ -42,13 +42,13 @@ def path_of(url: Column) -> Column:
     return F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
 
 
-def keys(url: Column) -> Column:
-    """All (kind, value) that a list may have for the URL."""
+def keys(url: Column, deepest: int = (1 << 31) - 1) -> Column:
+    """All (kind, value) that a list may have for the URL; prefixes and domains of at most ``deepest`` parts only."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
     parts = F.split(F.substring_index(path, "?", 1), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, 1, i), "/")).alias("value")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, 1, i), "/")).alias("value")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("value")), F.struct(F.lit("url").alias("kind"), F.concat(host, path).alias("value")))
     return F.when(host != "", F.array_distinct(F.concat(own, domains, prefixes)))
 
@@ -70,7 +70,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     captures = captures.drop(*RESULTS)
     spans = stash(intervals(entries), "intervals")
     asked = captures.select(F.col(url).alias("u"), F.col(at).alias("t")).dropna().distinct()
-    asked = asked.select("u", "t", F.explode(keys(F.col("u"))).alias("k")).select("u", "t", "k.kind", "k.value")
+    parts = F.max(F.size(F.split("value", "[/.]")))  # at least the parts of any listed prefix or domain
+    deepest = spans.filter("kind IN ('prefix', 'domain')").agg(parts).first()[0] or 1
+    asked = asked.select("u", "t", F.explode(keys(F.col("u"), deepest)).alias("k")).select("u", "t", "k.kind", "k.value")
     side = small_side(spans, BROADCAST_ENTRIES)
     if side is spans:
         asked = asked.withColumn("salt", F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)))
