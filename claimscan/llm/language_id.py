@@ -6,6 +6,8 @@ the tasks, and the n-grams of a batch of documents are looked up and summed in n
 
 A matrix has at most ``MAX_LANGS`` languages, so what is sent to the tasks is bounded. If there are more, each matrix scores all
 texts in a pass of its own; the best language and the sum over languages are carried from pass to pass.
+Looked-up log-probabilities are summed for CELLS of them at a time (pieces of a text, in its order), so a long text times many
+languages is never held at once.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from; ties go to the language that sorts first; rows without doc_id are scored, but
@@ -15,6 +17,7 @@ Further columns are ignored, also such that bear the name of a result column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -30,6 +33,7 @@ BUCKET_BITS = 16
 MAX_LANGS = 256
 SMOOTHING = 0.5
 CHUNK = 1 << 20
+CELLS = 4 << 20
 SPACE = 32
 #: The pipeline keeps documents whose language is at least so probable.
 MIN_SCORE = 0.5
@@ -52,10 +56,32 @@ def letters() -> np.ndarray:
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The letters of all texts, one number a character, and the offset of each text."""
     data, offsets = buffers(column)
-    count = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=count[1:])
+    begins = (data & 0xC0) != 0x80
+    at = np.zeros(len(offsets), dtype=np.int64)
+    np.cumsum([np.count_nonzero(begins[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], out=at[1:])
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return letters()[points], count[offsets]
+    return letters()[points], at
+
+
+def pieces(at: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """The texts cut at every ``limit`` characters, in blocks of at most ``limit`` characters: (text, start of each piece, block's start and end)."""
+    sizes = np.diff(at)
+    n = -(-sizes // limit)
+    text = np.repeat(np.arange(len(sizes)), n)
+    starts = at[:-1][text] + limit * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+    edges = np.append(starts, at[-1])
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + limit, "right")) - 1)
+        yield text[i:j], starts[i:j], int(edges[i]), int(edges[j])
+        i = j
+
+
+def block_buckets(chars: np.ndarray, at: np.ndarray, a: int, b: int, order: int, bits: int) -> np.ndarray:
+    """``buckets`` of the characters from ``a`` to ``b``, whose n-grams may reach beyond."""
+    end = min(len(chars), b + order - 1)
+    i, j = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, end, "left")
+    return buckets(chars[a:end], np.clip(at[i : j + 1], a, end) - a, order, bits)[: b - a]
 
 
 def buckets(chars: np.ndarray, at: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -91,11 +117,12 @@ def count(docs: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
                 distinct = sorted(set(names))
                 own = np.array([distinct.index(x) for x in names])
                 chars, at = characters(batch.column("text"))
-                which = np.repeat(own, np.diff(at))
                 size = (1 << bits) + 1
                 total = np.zeros((len(distinct), size), dtype=np.int64)
-                for order in ORDERS:
-                    total += np.bincount(which * size + buckets(chars, at, order, bits), minlength=total.size).reshape(total.shape)
+                for text, starts, a, b in pieces(at, CELLS):
+                    which = np.repeat(own[text] * size, np.diff(np.append(starts, b)))
+                    for order in ORDERS:
+                        total += np.bincount(which + block_buckets(chars, at, a, b, order, bits), minlength=total.size).reshape(total.shape)
                 for i, lang in enumerate(distinct):
                     n = held.setdefault(lang, np.zeros(size, dtype=np.int64))
                     n[1:] += total[i, :-1]
@@ -141,8 +168,10 @@ def log_probabilities(column: pa.Array, model: Model) -> np.ndarray:
     worded = np.zeros(len(column), dtype=bool)
     if len(full):
         worded[full] = np.logical_or.reduceat(chars != SPACE, at[full])
-        for order in ORDERS:
-            total[full] += np.add.reduceat(model.matrix[buckets(chars, at, order, model.bits)], at[full], axis=0)
+        for text, starts, a, b in pieces(at, max(1, CELLS // len(model.langs))):
+            for order in ORDERS:
+                found = model.matrix[block_buckets(chars, at, a, b, order, model.bits)]
+                np.add.at(total, text, np.add.reduceat(found, starts - a, axis=0))
     total[~worded] = -np.inf
     return total
 

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimscan.llm import decontaminate as dc
@@ -25,6 +27,20 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("cells", [2, 6, 10, 1 << 22])
+def test_long_texts_in_pieces(monkeypatch, cells):
+    """Texts cut into pieces, with n-grams over their edges, add up to what whole texts give."""
+    monkeypatch.setattr(li, "CELLS", cells)
+    column = pa.array(["", "abc déf", None, "x", "12 !", "ßä ö q ab", "abcdefghijklmnop", "ab"])
+    model = li.Model(["a", "b"], 16, np.random.default_rng(1).normal(size=((1 << 16) + 1, 2)), np.array([-0.5, -1.0]))
+    model.matrix[-1] = 0
+    got = li.log_probabilities(column, model)
+    for t, text in enumerate(column.to_pylist()):
+        chars, at = li.characters(pa.array([text]))
+        want = model.prior + sum(model.matrix[li.buckets(chars, at, order, 16)].sum(axis=0) for order in li.ORDERS)
+        assert got[t] == pytest.approx(want) if any(c.isalpha() for c in text or "") else (got[t] == -np.inf).all()
+
+
 def test_language_edges(spark):
     docs = brute.edge_docs(spark)
     model = li.fit(docs)

@@ -51,6 +51,18 @@ def test_marginals_equal_enumeration():
     assert joint == pytest.approx(pairs)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_messages_from_block_to_block(monkeypatch, block):
+    """Blocks that end inside a text, at its end, and with texts of one line."""
+    monkeypatch.setattr(qc, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for _ in range(10):
+        first = np.concatenate([[0], np.cumsum(rng.integers(1, 9, rng.integers(1, 6)))])
+        levels = rng.integers(0, qc.LEVELS, (first[-1], len(qc.FEATURES))).astype(np.uint8)
+        chain = qc.Chain(rng.normal(size=len(qc.Chain().weights)))
+        assert chain.good_lines(levels, first) == pytest.approx(chain.marginals(qc.Chain.places(levels, first), first)[0])
+
+
 def test_quality_edges(spark):
     docs = brute.edge_docs(spark)
     labels = spark.createDataFrame([(5, 1), (9, 0), (None, 1), (6, None), (5, 1)], "doc_id long, quality int")
@@ -113,10 +125,10 @@ def test_hints_weigh_and_do_not_delete():
 
 
 def test_ratio_chooses_lines_and_regions():
-    """Link lists without a name inside and beside the text, several articles, and pages without any."""
+    """Link lists without a name beside the text, several articles, and pages without any."""
     links = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(9)) + "</ul>"
     teaser = "<article><h2>Other</h2><p><a href=/o>Read on</a></p></article>"
-    for html in (f"<article>{BODY}{links}</article>", f"<article>{BODY}</article>{teaser * 3}", f"<div>{links}</div><div>{BODY}</div><div>{links}</div>", f"<body>{links}{BODY}{links}</body>", f"<main>{BODY}</main><div>{links}</div>"):
+    for html in (f"<article>{BODY}</article>{links}", f"<article>{BODY}</article>{teaser * 3}", f"<div>{links}</div><div>{BODY}</div><div>{links}</div>", f"<body>{links}{BODY}{links}</body>", f"<main>{BODY}</main><div>{links}</div>"):
         assert ht.main_text(html).split("\n") == [x for x in ht.main_text(BODY).split("\n")], html
         assert ht.main_text(html, use_ratio=False) != ht.main_text(html)
     both = ht.main_text(f"<article>{BODY}</article><article>{BODY}</article>")
@@ -125,6 +137,27 @@ def test_ratio_chooses_lines_and_regions():
     assert one.count("\n") == 11
 
 
+@pytest.mark.parametrize("n", [6, 12])
+def test_references_inside_an_article_stay(n):
+    links = "<h2>References</h2><ul>" + "".join(f"<li><a href='/{i}'>Report {i} on a subject</a></li>" for i in range(n)) + "</ul>"
+    assert ht.main_text(f"<article>{BODY}{links}</article>").split("\n")[5:] == ["References", *(f"Report {i} on a subject" for i in range(n))]
+
+
+NAMED_TEXT = ["blockquote class='comment'", "blockquote class='reply'", "p class='alert'", "div id='notice'", "div class='promo-text'", "section class='header'", "section id='sponsors'"]
+
+
+@pytest.mark.parametrize("tag", NAMED_TEXT)
+def test_named_blocks_inside_an_article_stay_where_they_have_a_sentence(tag):
+    block = f"<{tag}>The firm said on the day after that nothing of it was true.</{tag.split()[0]}>"
+    assert "nothing of it was true" in ht.main_text(f"<article>{BODY}{block}{BODY}</article>")
+    assert "nothing of it was true" not in ht.main_text(f"<article>{BODY}{BODY}</article>{block}")
+
+
+@pytest.mark.parametrize("block", ["<div class='ad'>Buy all of these fine new things from us today.</div>", "<div class='comments'><p>I have read this and I do not agree at all.</p></div>", "<div class='comment'>I have read this and I do not agree at all.</div>", "<div class='notice'>Read on</div>", "<aside>More of the same kind of thing can be read here.</aside>"])
+def test_adverts_and_comments_inside_an_article_go(block):
+    assert ht.main_text(f"<article>{BODY}{block}{BODY}</article>").count("\n") == 9
+
+
 def test_long_page(spark):
     """A page above four megabytes, and paragraphs deep in inline elements."""
     html = "<article>" + "".join(f"<p>{'<b><i>' * 9}Line {i} of a long page with words in it.</p>" for i in range(60_000)) + "</article><footer>no</footer>"
@@ -271,3 +304,12 @@ def test_quality_scores_equal_plain_recursion(spark):
         for d, t in texts.items():
             assert got[d] == pytest.approx(plain_score(t, model.weights), abs=1e-6), d
     assert len({round(x, 3) for x in got.values()}) > 20
+
+
+def test_url_of_very_many_parts(spark):
+    """As many prefixes are made of a URL as the deepest listed prefix has parts."""
+    long = "http://a.b.example.com" + "/x" * 10_000
+    captures = spark.createDataFrame([(1, long, 5), (2, "http://example.com/x/x/y", 5), (3, "http://example.com/x", 5)], "id int, url string, fetched_at long")
+    entries = [("l", "blocked", "prefix", "a.b.example.com/x/x", "add", 1), ("l", "allowed", "domain", "example.com", "add", 1), ("l", "blocked", "prefix", "example.com/x/x", "add", 1)]
+    rows = {r.id: r for r in uf.evaluate(captures, spark.createDataFrame(entries, "list string, verdict string, kind string, value string, change string, at long")).collect()}
+    assert [(rows[i].verdict, rows[i].rule_value, rows[i].n_active) for i in (1, 2, 3)] == [("blocked", "a.b.example.com/x/x", 2), ("blocked", "example.com/x/x", 2), ("allowed", "example.com", 1)]
