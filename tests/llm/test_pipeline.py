@@ -1,6 +1,8 @@
 """The pipeline against a brute-force version of its stages, on the smallest tables."""
 
+import random
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from claimscan.llm import language_id, packing, quality_rules
@@ -65,3 +67,24 @@ def test_edges(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def written(spark):
+    """Bytes of the tables below the shared folder."""
+    return sum(p.stat().st_size for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet"))
+
+
+def test_quality_stage_writes_no_documents(spark):
+    """It returns what the operator keeps, and what it writes on the way is small beside the texts."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(400)) for _ in range(300)]
+    rows = [(i, "few words" if 200 <= i < 290 else t, "a" if i < 200 else "b") for i, t in enumerate(texts)]
+    rows += [(None, texts[0], None), (400, None, None), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    was = written(spark)
+    got = quality_rules.stage(spark, docs, DATA)
+    assert written(spark) - was < 0.05 * sum(len(t) for t in texts)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text, r.source)
+    want = quality_rules.judge(docs).collect()
+    assert sum(r.host_failed and not r.base_failed for r in want) == 10
+    assert sorted(map(key, got.collect())) == sorted(key(r) for r in want if r.kept)
