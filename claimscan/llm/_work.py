@@ -31,10 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back.
+
+    ``large`` is for rows of some megabytes: each is a row group, as Parquet would keep the first hundred of a file in memory, and read all of a group at once.
+    """
     path = f"{shared_dir(df.sparkSession)}/claimscan-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.row.count.limit", 1) if large else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

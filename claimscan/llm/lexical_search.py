@@ -32,7 +32,7 @@ from ._bytes import ALNUM, buffers, chunks, codes, split_words
 from ._work import in_arrow, small_side, stash, table
 
 #: Bytes of text in a segment of the index; a longer text is a segment of its own.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: Items in a block, and terms or blocks that are broadcast; beyond that they are joined by a shuffle.
 BLOCK, BROADCAST_TERMS, BROADCAST_BLOCKS = 256, 1_000_000, 64
 #: Positions that a list is read on in the first round and at most.
@@ -55,7 +55,7 @@ def _one(values, kind: pa.DataType) -> pa.Array:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Segments of the index of ``docs`` (doc_id, text), to be written with ``stash``."""
+    """Segments of the index of ``docs`` (doc_id, text), to be written with ``stash``, as large rows."""
 
     def made(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -240,7 +240,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
 def op13_lexical_search(spark, sf_dir: str) -> DataFrame:
     """The ten best of all ``documents`` for each ``benchmark`` item."""
-    index = stash(build_index(table(spark, sf_dir, "documents")), "index")
+    index = stash(build_index(table(spark, sf_dir, "documents")), "index", large=True)
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from claimscan.llm import lexical_search as x
@@ -118,3 +119,15 @@ def test_best_positions_jump_and_end_the_search_early():
     top = x.Top(10).within(np.arange(n)[::-1].copy(), np.zeros(n, dtype=bool))
     x.Lists(row, np.array([1, 2]), n, 10 * n).best(np.array([0, 1]), np.array([5, 7]), top)
     assert top.ids.tolist() == list(range(10))
+
+
+def test_a_task_holds_a_segment_and_not_a_file_of_them(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(x, "SEGMENT", 2000)
+    made = []
+    monkeypatch.setattr(x, "stash", lambda df, name, **how: made.append(stash(df, name, **how)) or made[-1])
+    spark.createDataFrame([(i, words(40, i)) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert x.op13_lexical_search(spark, str(tmp_path)).count() == 10
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made[0].inputFiles()]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert set(groups) == {1} and len(groups) > len(files)
