@@ -16,8 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscan.functions.work import in_arrow, new_path, small_side, stash
-from claimscan.operators.search import INDEX, SEGMENT, _segments, index_fields, segments_of
+from claimscan.functions.work import in_arrow, new_path, small_side, stash, write_large
+from claimscan.operators.search import INDEX, SEGMENT, _columns, _segments, index_fields, segments_of
 
 FIELDS = ("key", "value", "source", "tags")
 #: Dead rows that are broadcast to the segments; beyond that they are joined by a shuffle.
@@ -63,7 +63,7 @@ class Index:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"{self.path}/segments-{uuid.uuid4().hex}"
-        segments_of(rows).withColumn("segment", F.monotonically_increasing_id()).write.parquet(folder)
+        write_large(segments_of(rows).withColumn("segment", F.monotonically_increasing_id()), folder)
         return folder
 
     def _all(self) -> DataFrame:
@@ -142,4 +142,4 @@ def _rows_of(segments: DataFrame, kind: str) -> DataFrame:
             at = pa.array(seg.live.nonzero()[0])
             yield pa.RecordBatch.from_arrays([seg.keys.take(at), pa.array(seg.sizes).take(at), seg.texts.take(at)], ["key", "size", "text"])
 
-    return in_arrow(segments.drop("gen", "segment"), run, f"key {kind}, size long, text string")
+    return in_arrow(_columns(segments, "keys", "sizes", "texts"), run, f"key {kind}, size long, text string")

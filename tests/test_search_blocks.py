@@ -1,8 +1,10 @@
 """Blocks of queries and topics, the index that lives on, cells, closure under changes, buckets and state, against plain versions."""
 
 import os
+from glob import glob
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,22 @@ def test_vector_topk_in_blocks(spark, monkeypatch, blocks):
     assert got[98, 1] == ("bad", 1.0) and len(got) == 161
 
 
+def groups_of(files):
+    """Rows in each row group of Parquet files."""
+    read = [pq.ParquetFile(f).metadata for f in files]
+    return [m.row_group(g).num_rows for m in read for g in range(m.num_row_groups)]
+
+
+def test_a_task_holds_a_segment_and_not_a_file_of_them(spark, monkeypatch, tmp_path):
+    assert search.SEGMENT <= 1_000_000  # characters
+    monkeypatch.setattr(search, "SEGMENT", 400)
+    corpus = spark.createDataFrame([(f"k{i}", f"some text number {i} of many words", "a", "b") for i in range(200)], "key string, value string, source string, tags string").coalesce(2)
+    index = Index.create(corpus, str(tmp_path))
+    index.upsert(corpus.filter("key LIKE 'k1%'"))
+    for files in (glob(f"{tmp_path}/segments-*/*.parquet"), [f.removeprefix("file:") for f in search.build_index(corpus).inputFiles()]):
+        assert len(files) >= 2 and set(groups_of(files)) == {1} and len(groups_of(files)) > 10
+
+
 def test_no_query_passes_through_the_driver():
     folder = os.path.dirname(search.__file__)
     assert not any("toLocalIterator" in open(f"{folder}/{n}.py").read() for n in ("search", "memory", "index"))
