@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ BLOCK = 4096
 CELL, SAMPLE, MOST_CENTROIDS, PROBES = 32, 16_384, 4096, 2000
 #: Topics in a block, vectors in a block that it is compared with, and blocks of topics that are broadcast; more are joined by a shuffle.
 TOPIC_BLOCK, PACK, BROADCAST_BLOCKS = 2048, 4096, 64
-#: Deltas that a task of a fold puts in order.
-PART = 500_000
+#: Deltas that a task of a fold puts in order; memories, first by key, in which words are looked for before all are; memories of words that a task of a fold knows.
+PART, FIRST, KNOWN = 500_000, 10_000, 100_000
 
 
 # --- links ----------------------------------------------------------------------------------------
@@ -417,30 +418,131 @@ def short_postings(texts: DataFrame) -> DataFrame:
 ACTION_DELTA = {"confirm": 0.05, "dismiss": -0.10}
 
 
-def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 50, index: DataFrame | None = None) -> DataFrame:
-    """(key, at, delta, reason) for each memory whose value contains a feedback's word, by key the first ``most`` per word.
+def _short_hits(memories: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """(key, phrase) of written ``words`` (phrase) of one or two characters: at least the first ``most`` memories (key, text) of each, by key.
 
-    feedback: word, action, at. Each distinct word is looked for once, case-insensitively: by trigram postings of the values, or, if it
-    has fewer than three characters, by postings of one and two characters. ``index`` is a full-text index of the values alone, else one is made if needed.
+    A word that the FIRST memories hold often enough is not looked for in the others.
     """
+    last = memories.select("key").orderBy("key").limit(FIRST).agg(F.max("key")).first()[0]
+    if last is None:
+        return short_postings(memories).join(small_side(words), "phrase")
+    near = stash(short_postings(memories.filter(F.col("key").isNull() | (F.col("key") <= F.lit(last)))).join(small_side(words), "phrase").select("key", "phrase"), "near")
+    full = near.groupBy("phrase").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("phrase")
+    rest = stash(words.join(full, "phrase", "left_anti"), "rest")
+    if not rest.limit(1).count():
+        return near
+    far = memories.filter(F.col("key") > F.lit(last))
+    return near.unionByName(short_postings(far).join(small_side(rest), "phrase").select("key", "phrase"))
+
+
+def words_of_memories(feedback: DataFrame, memories: DataFrame, most: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """(key, word): by key the first ``most`` memories whose value contains a feedback's word. See ``deltas_from_feedback``."""
     words = stash(feedback.select("word", F.lower("word").alias("phrase")).filter("word != ''").distinct(), "words")
     value = F.lower(F.coalesce("value", F.lit("")))
     if not words.filter(F.length("phrase") > 2).limit(1).count():
         index = None
     elif index is None:
         index = build_index(memories.select("key", "value"), ("value",))
-    hits = short_postings(memories.select("key", value.alias("text"))) if words.filter(F.length("phrase") < 3).limit(1).count() else None
-    if hits is not None:
-        short = small_side(stash(words.filter(F.length("phrase") < 3).select("phrase").distinct(), "short"))
-        hits = hits.join(short, "phrase")
+    short = stash(words.filter(F.length("phrase") < 3).select("phrase").distinct(), "short")
+    hits = _short_hits(memories.select("key", value.alias("text")), short, most) if short.limit(1).count() else None
     if index is not None:
         long = occurrences_of(index, phrase_blocks(words)).select("key", "phrase")
         hits = long if hits is None else hits.unionByName(long)
     hits = memories.select("key", value.alias("phrase")).limit(0) if hits is None else hits
     hits = hits.join(words, "phrase").select("key", "word")
-    first = hits.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("key"))).filter(F.col("n") <= most).drop("n")
-    delta = F.when(F.col("action") == "confirm", ACTION_DELTA["confirm"]).when(F.col("action") == "dismiss", ACTION_DELTA["dismiss"]).otherwise(-0.05)
-    return feedback.join(first, "word").select("key", "at", delta.alias("delta"), F.concat_ws(":", F.lit("feedback"), "action", "word").alias("reason"))
+    return hits.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("key"))).filter(F.col("n") <= most).drop("n")
+
+
+def _action_delta() -> Column:
+    return F.when(F.col("action") == "confirm", ACTION_DELTA["confirm"]).when(F.col("action") == "dismiss", ACTION_DELTA["dismiss"]).otherwise(-0.05)
+
+
+def deltas_from_feedback(feedback: DataFrame, memories: DataFrame, most: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """(key, at, delta, reason) for each memory whose value contains a feedback's word, by key the first ``most`` per word.
+
+    feedback: word, action, at. Each distinct word is looked for once, case-insensitively: by trigram postings of the values, or, if it
+    has fewer than three characters, by postings of one and two characters. ``index`` is a full-text index of the values alone, else one is made if needed.
+    """
+    first = words_of_memories(feedback, memories, most, index)
+    return feedback.join(first, "word").select("key", "at", _action_delta().alias("delta"), F.concat_ws(":", F.lit("feedback"), "action", "word").alias("reason"))
+
+
+def _whole(add: np.ndarray, lo: float, hi: float) -> tuple[float, float, float]:
+    """(low, high, add) that clamped additions, one after the other, come to: neighbours are composed until one is left."""
+    low, high = np.full(len(add), lo), np.full(len(add), hi)
+    while len(add) > 1:
+        n = len(add) // 2 * 2
+        l2, h2, d2 = low[1:n:2], high[1:n:2], add[1:n:2]
+        both = np.clip(low[0:n:2] + d2, l2, h2), np.clip(high[0:n:2] + d2, l2, h2), add[0:n:2] + d2
+        low, high, add = (np.append(x, y[n:]) for x, y in zip(both, (low, high, add), strict=True))
+    return float(low[0]), float(high[0]), float(add[0])
+
+
+def feedback_functions(feedback: DataFrame, memories: DataFrame, most: int = 50, index: DataFrame | None = None, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """(key, low, high, add): what the deltas of ``deltas_from_feedback`` do to a memory's confidence c, all in all: min(high, max(low, c + add)).
+
+    The same as the last step of ``apply_confidence``, without its log and without a row for each feedback and memory: feedback is dealt by time, and a task composes
+    the deltas of each memory that it knows. Of feedback of the same time and delta the order does not matter. With more than KNOWN memories of words the deltas are dealt by key and time.
+    """
+    first = stash(words_of_memories(feedback, memories, most, index).filter("key IS NOT NULL"), "first")
+    kind, by_time = dict(memories.dtypes)["key"], first.count() <= KNOWN
+    if by_time:
+        known = first.toArrow().combine_chunks()
+        names = known["word"].combine_chunks().unique()
+        of_key: dict = {}
+        for key, w in zip(known["key"].to_pylist(), pc.index_in(known["word"], value_set=names).to_pylist(), strict=True):
+            of_key.setdefault(key, set()).add(w)
+        classes: dict[tuple, list] = {}
+        for key, w in of_key.items():  # memories of the same words have the same deltas
+            classes.setdefault(tuple(sorted(w)), []).append(key)
+        coded = feedback.sparkSession.createDataFrame(list(enumerate(names.to_pylist())), "w int, word string")
+        rows, order = feedback.join(F.broadcast(coded), "word").select("w", "at", _action_delta().alias("delta")), ["at", "delta", "w"]
+    else:
+        rows, order = feedback.join(first, "word").select("key", "at", _action_delta().alias("delta")), ["key", "at", "delta"]
+    size, cores = rows.count(), feedback.sparkSession.sparkContext.defaultParallelism
+    n = max(1, math.ceil(size / PART), min(cores, math.ceil(size / 10_000)))
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_end")).combine_chunks()
+        delta, out = table["delta"].to_numpy(), []
+        if by_time:
+            w = table["w"].to_numpy()
+            places = np.argsort(w, kind="stable")
+            edges = np.searchsorted(w[places], np.arange(len(names) + 1))
+            for of, keys in classes.items():
+                at = np.sort(np.concatenate([places[edges[x] : edges[x + 1]] for x in of]))
+                if len(at):
+                    f = _whole(delta[at], lo, hi)
+                    out += [(k, *f) for k in keys]
+        else:
+            codes = table["key"].combine_chunks().dictionary_encode()
+            which = codes.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(which, prepend=-1))
+            out = [(codes.dictionary[int(which[a])].as_py(), *_whole(delta[a:b], lo, hi)) for a, b in zip(starts, np.append(starts[1:], len(which)), strict=True)]
+        part = table["part"][0].as_py()
+        kinds = [table.schema.field("key").type if not by_time else known.schema.field("key").type, *[pa.float64()] * 3]
+        columns = [pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), *columns], ["part", "key", "low", "high", "add"])
+
+    dealt = rows.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order]).withColumn("part", F.spark_partition_id())
+    parts = stash(in_arrow(dealt, run, f"part int, key {kind}, low double, high double, add double"), "functions")
+    # a key has as many rows as parts hold it
+    clip = lambda v, f: F.least(f["high"], F.greatest(f["low"], v + f["add"]))
+    then = lambda s, f: F.struct(clip(s["low"], f).alias("low"), clip(s["high"], f).alias("high"), (s["add"] + f["add"]).alias("add"))
+    nothing = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("add"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "low", "high", "add"))), nothing, then)
+    return parts.groupBy("key").agg(whole.alias("f")).select("key", "f.*")
+
+
+def after_functions(memories: DataFrame, functions: DataFrame) -> DataFrame:
+    """``memories`` with the confidences to which ``feedback_functions`` take theirs; one without a function keeps its own."""
+    new = F.least("high", F.greatest("low", F.coalesce("confidence", F.lit(0.5)) + F.col("add")))
+    out = memories.join(functions, "key", "left").withColumn("confidence", F.when(F.col("add").isNull(), F.col("confidence")).otherwise(new))
+    return out.select(*memories.columns)
 
 
 def reinforce(df: DataFrame, recalls: DataFrame) -> DataFrame:

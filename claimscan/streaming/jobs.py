@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimscan.functions.work import new_path
 from claimscan.operators.judge import SIGNALS, feedback_counts
-from claimscan.operators.memory import apply_confidence, deltas_from_feedback, new_confidences
+from claimscan.operators.memory import after_functions, feedback_functions
 from claimscan.plans.review import review
 from claimscan.sources.buckets import BucketedTable
 from claimscan.sources.knowledge import upsert
@@ -49,10 +49,7 @@ def feedback_sink(memories: DataFrame, state_path: str):
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.schema("key string, confidence double").parquet(f"{state_path}/{batch_id - 1}") if batch_id else memories.select("key", "confidence")
-        current = memories.drop("confidence").join(before, "key", "left")
-        log = apply_confidence(current, deltas_from_feedback(batch, current))
-        new = new_confidences(log).select("key", F.col("confidence").alias("new"))
-        before.join(new, "key", "left").select("key", F.coalesce("new", "confidence").alias("confidence")).write.mode("overwrite").parquet(f"{state_path}/{batch_id}")
+        after_functions(before, feedback_functions(batch, memories)).write.mode("overwrite").parquet(f"{state_path}/{batch_id}")
 
     return merge
 
@@ -64,12 +61,8 @@ def confidence_sink(table: BucketedTable, index: DataFrame):
     a changed confidence are written. A batch that is delivered again changes nothing. See ``state.fold_deltas`` for deltas that come late or out of order.
     """
 
-    def folded(rows: DataFrame, deltas: DataFrame) -> DataFrame:
-        new = new_confidences(apply_confidence(rows, deltas)).select("key", F.col("confidence").alias("new"))
-        return rows.join(new, "key", "left").withColumn("confidence", F.coalesce("new", "confidence")).drop("new")
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.change(deltas_from_feedback(batch, table.read(), index=index), folded, f"batch {batch_id}")
+        table.change(feedback_functions(batch, table.read(), index=index), after_functions, f"batch {batch_id}")
 
     return merge
 

@@ -317,3 +317,20 @@ def test_table_fold_equals_the_whole_state_fold(spark, tmp_path):
     jobs.run_to_end(stream, "feedback", batch=jobs.confidence_sink(table, Index.create(m, names=("value",)).segments()))
     got = {r.key: r.confidence for r in table.read().collect()}
     assert got == {"k1": pytest.approx(0.5), "k2": pytest.approx(0.55), "k3": pytest.approx(0.2)}
+
+
+@pytest.mark.parametrize("known", [100_000, 3])
+def test_functions_of_feedback_equal_the_log(spark, monkeypatch, known):
+    monkeypatch.setattr(memory, "KNOWN", known)
+    monkeypatch.setattr(memory, "PART", 40)
+    monkeypatch.setattr(memory, "FIRST", 5)
+    rng = np.random.default_rng(12)
+    m = spark.createDataFrame([(f"k{i:02}", f"{i} and long word{i % 4}", None if i % 3 == 0 else i / 40) for i in range(40)], "key string, value string, confidence double")
+    rare = ["39", "7", "1", "word2", "WORD3", "nowhere", ""]
+    f = spark.createDataFrame([(rare[int(rng.integers(7))], ["confirm", "dismiss", "modify"][int(rng.integers(3))], int(rng.integers(60))) for _ in range(400)], "word string, action string, at long")
+    want = {r.key: r.confidence for r in memory.new_confidences(memory.apply_confidence(m, memory.deltas_from_feedback(f, m, 4))).collect()}
+    made = memory.feedback_functions(f, m, 4)
+    assert made.count() == len(want) > 5  # a row a memory, however much feedback there is
+    after = {r.key: r.confidence for r in memory.after_functions(m, made).collect()}
+    assert len(after) == 40 and all(after[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    assert all(after[r.key] == r.confidence for r in m.collect() if r.key not in want)
