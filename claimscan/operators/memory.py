@@ -20,6 +20,8 @@ RELATIONS = ["caused_by", "led_to", "resolved", "contradicts", "supersedes"]
 CATEGORIES = ["identity", "skills", "preferences", "tools", "efficiency", "projects"]
 #: Vectors in a block of the similarity grid; a task holds two blocks.
 BLOCK = 4096
+#: Vectors that a task of it reads of either side, and rows of a block that are multiplied at a time.
+DEALT, ROWS = 65_536, 512
 #: Vectors in a cell of the pruned search; vectors that centroids are taken from; centroids of a part; vectors on which the recall of cells is tried.
 CELL, SAMPLE, MOST_CENTROIDS, PROBES = 32, 16_384, 4096, 2000
 #: Topics in a block, vectors in a block that it is compared with, and blocks of topics that are broadcast; more are joined by a shuffle.
@@ -73,17 +75,52 @@ def _rows(df: DataFrame, new: DataFrame | None) -> DataFrame:
 def similar_pairs(df: DataFrame, threshold: float = 0.85, block: int = BLOCK, dim: int | None = None, new: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (key, other, strength) of different keys whose unit vectors have a dot product of at least ``threshold``.
 
-    The vectors are dealt into blocks by hash; every pair of blocks meets in one task, which holds two blocks and
-    emits only the pairs found. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
+    The vectors are dealt by hash and written once, in blocks of ``block``. A task reads two parts of this table (a cartesian product, so nothing is shuffled however
+    many blocks meet), and compares a block of the one with a block of the other at a time;
+    only the pairs found are emitted. No pair is computed twice; both orders are emitted. Vectors whose length is not ``dim``
     (by default the commonest of the table) are left out. With ``new`` (rows that come to ``df``) only pairs with one of these are found.
     """
     dim = common_dimension(df if new is None else df.unionByName(new, True)) if dim is None else dim
     rows = _rows(df, new)
-    blocks = max(1, math.ceil(rows.count() / block))
-    key = dict(df.dtypes)["key"]
-    own = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    dealt = own.withColumn("p", F.explode(_block_pairs("b", F.lit(blocks).cast("long")))).select("p.x", "p.y", "b", "fresh", "key", "embedding")
-    return dealt.groupBy("x", "y").applyInArrow(_meet(dim or 0, threshold), f"key {key}, other {key}, strength double")
+    n, cores = rows.count(), df.sparkSession.sparkContext.defaultParallelism
+    key, kind = dict(df.dtypes)["key"], np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
+    width = dim or 0
+
+    def pack(batches):
+        for whole in batches:
+            m, at = vectors(whole.column("embedding"), width)
+            for a in range(0, len(at), block):
+                some = pa.array(at[a : a + block])
+                one = pa.array([0, len(some)], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, whole.column(c).take(some)) for c in ("key", "fresh")]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([m[a : a + block].astype(kind).tobytes()], pa.large_binary())], ["keys", "fresh", "m"])
+
+    dealt = rows.repartition(max(1, math.ceil(n / DEALT), min(cores, math.ceil(n / block))), "key")
+    packs = in_arrow(dealt, pack, f"keys array<{key}>, fresh array<boolean>, m binary").withColumn("b", F.monotonically_increasing_id())
+    packs = stash(packs, "blocks", large=True)
+    left, right = (packs.select(*[F.col(c).alias(f"{c}{side}") for c in packs.columns]) for side in "xy")
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("bx") <= F.col("by"))
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                x, y = ([batch.column(f"{c}{side}")[i] for c in ("keys", "fresh", "m")] for side in "xy")
+                own, other = x[0].values, y[0].values
+                a, c = (np.frombuffer(s[2].as_buffer(), dtype=kind).reshape(-1, width).astype(np.float64) for s in (x, y))
+                fresh, also = (s[1].values.to_numpy(zero_copy_only=False) for s in (x, y))
+                same = batch.column("bx")[i].as_py() == batch.column("by")[i].as_py()
+                for at in range(0, len(a), ROWS):
+                    s = a[at : at + ROWS] @ c.T
+                    p, q = np.nonzero((s >= threshold) & (fresh[at : at + ROWS, None] | also[None, :]))
+                    p, q = (p[p + at < q], q[p + at < q]) if same else (p, q)
+                    one, two = own.take(pa.array(p + at)), other.take(pa.array(q))
+                    differ = pc.coalesce(pc.not_equal(one, two), pc.xor(one.is_null(), two.is_null())) if one.null_count or two.null_count else pc.not_equal(one, two)
+                    one, two, v = (z.filter(differ) for z in (one, two, pa.array(s[p, q], pa.float64())))
+                    if len(v):
+                        yield pa.RecordBatch.from_arrays([one, two, v], ["key", "other", "strength"])
+                        yield pa.RecordBatch.from_arrays([two, one, v], ["key", "other", "strength"])
+
+    return in_arrow(pairs, meet, f"key {key}, other {key}, strength double")
 
 
 class Cells:

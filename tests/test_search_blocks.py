@@ -334,3 +334,38 @@ def test_functions_of_feedback_equal_the_log(spark, monkeypatch, known):
     after = {r.key: r.confidence for r in memory.after_functions(m, made).collect()}
     assert len(after) == 40 and all(after[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
     assert all(after[r.key] == r.confidence for r in m.collect() if r.key not in want)
+
+
+@pytest.mark.parametrize("blocks", [64, 0])
+def test_fused_vectors_equal_fused_scores(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(13)
+    v, q = unit(rng.normal(size=(120, 6))), unit(rng.normal(size=(20, 6)))
+    v[100:] = v[:20]  # ties
+    corpus = spark.createDataFrame([*((i, v[i].tolist(), i % 4) for i in range(120)), (500, [1.0], 1), (501, None, 1)], "key long, embedding array<double>, label int").repartition(4)
+    asked = spark.createDataFrame([*((i, q[i].tolist()) for i in range(20)), (98, [1.0]), (99, None)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "PACK", 16)
+    monkeypatch.setattr(search, "BROADCAST_BLOCKS", blocks)
+    every = search.vector_topk(asked, corpus, 200)
+    conf = every.filter("key % 3 = 0").select("query_id", "key", (F.pmod(F.col("key") * 7 + F.col("query_id"), F.lit(11)) / 10.0).alias("norm"))
+    parts = {"vec": search.minmax(every, "score", "query_id").select("query_id", "key", "norm"), "conf": conf}
+    want = search.fuse_scores(parts, {"vec": 0.5, "conf": 0.2}, 5, corpus.filter("label IN (1, 2)"))
+    got = search.fuse_vectors(asked, corpus, 0.5, 5, {"conf": (0.2, lambda q, key: np.where(key % 3 == 0, (key * 7 + q[:, None]) % 11 / 10.0, np.nan))}, F.col("label").isin(1, 2))
+    shown = ["query_id", "key", F.round("score", 10), "rank"]
+    assert rows(got.select(*shown)) == rows(want.select(*shown)) and got.count() == 101
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan or blocks == 0 or "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_similar_pairs_shuffle_no_vector_twice(spark, block):
+    rng = np.random.default_rng(14)
+    v = unit(rng.normal(size=(90, 5)))
+    v[80:] = v[:10]
+    df = spark.createDataFrame([(f"k{i % 85}" if i else None, v[i].tolist()) for i in range(90)] + [("bad", [1.0])], "key string, embedding array<double>")
+    pairs = memory.similar_pairs(df, 0.6, block)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    keys = [f"k{i % 85}" if i else None for i in range(90)]
+    want = sorted(((keys[i], keys[j], round(float(v[i] @ v[j]), 9)) for i in range(90) for j in range(90) if keys[i] != keys[j] and v[i] @ v[j] >= 0.6), key=repr)
+    assert sorted(((r.key, r.other, round(r.strength, 9)) for r in pairs.collect()), key=repr) == want
